@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, sentencepiece_bpe
+from . import jaccard, mixing, sentencepiece_bpe
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_bpe.op1_sentencepiece,
     "op5_curriculum_mix": mixing.op5_curriculum_mix,
+    "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
 }
 ORACLE_SQL = {
     "op5_curriculum_mix": mixing.ORACLE_SQL,
+    "op10_ngram_jaccard": jaccard.ORACLE_SQL,
 }

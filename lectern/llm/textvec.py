@@ -130,7 +130,7 @@ def lines(b: Bytes) -> Spans:
 
 
 #: Bytes that are hashed at once: bounds the memory of very long batches.
-BLOCK = 1 << 22
+BLOCK = 1 << 17
 
 
 def hashes(b: Bytes, parts: Spans, lower: bool = False, seed: int = 0) -> np.ndarray:
