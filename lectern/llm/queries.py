@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import jaccard, mixing, sentencepiece_bpe, substrings
+from . import embeddings, jaccard, mixing, sentencepiece_bpe, substrings
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_bpe.op1_sentencepiece,
+    "op3_embedding_near_dedup": embeddings.op3_embedding_near_dedup,
     "op5_curriculum_mix": mixing.op5_curriculum_mix,
     "op8_substring_dedup": substrings.op8_substring_dedup,
     "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
 }
 ORACLE_SQL = {
+    "op3_embedding_near_dedup": embeddings.ORACLE_SQL,
     "op5_curriculum_mix": mixing.ORACLE_SQL,
     "op8_substring_dedup": substrings.ORACLE_SQL,
     "op10_ngram_jaccard": jaccard.ORACLE_SQL,
