@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import embeddings, jaccard, mixing, sentencepiece_bpe, substrings
+from . import embeddings, html_wrapper, jaccard, mixing, sentencepiece_bpe, substrings
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_bpe.op1_sentencepiece,
     "op3_embedding_near_dedup": embeddings.op3_embedding_near_dedup,
+    "op4_html_extraction": html_wrapper.op4_html_extraction,
     "op5_curriculum_mix": mixing.op5_curriculum_mix,
     "op8_substring_dedup": substrings.op8_substring_dedup,
     "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
