@@ -7,8 +7,8 @@ counts over all documents.  Two sets of similarity t or more share at least
 the ``l`` whose estimated cost is least: the postings that its prefix meets,
 plus the candidates, at most postings / ``l``, that are left to verify.
 
-Equal sets are one class and stand for each other.  In each posting list all
-members are first compared with one leader.  What is linked to the leader is
+Equal sets are one class and stand for each other.  In each longer posting
+list all members that share enough with one leader are first compared with it.  What is linked to the leader is
 thereby connected; what is too far from it cannot, by the triangle inequality
 of the Jaccard distance, link with what is linked to it.  Only the rest is
 paired, so large groups of near copies never become all their pairs, and no
@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .graph import components
-from .store import drop, materialize, small_batches
+from .store import bounded, drop, materialize, small_batches
 
 #: Cells of the table of shingle counts, and the rows in which it travels.
 CELLS, SLICES = 1 << 20, 64
+#: Members from which on a list is first compared with its leader.
+LED = 8
 #: Matches that a prefix may ask for.
 MOST_MATCHES = 4
 
@@ -83,15 +85,18 @@ def shingle_counts(docs: DataFrame, k: int) -> np.ndarray:
     return table.reshape(-1)
 
 
-def adaptive_prefix(members: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """The prefix of a set, rarest members first, and the matches that it asks for."""
+def adaptive_prefix(members: np.ndarray, counts: np.ndarray, usual: float, percent: int) -> tuple[np.ndarray, int]:
+    """The prefix of a set, rarest members first, and the matches that it asks for.
+
+    ``usual`` is the mean of ``counts``.
+    """
     n = len(members)
     if not n:
         return members, 1
     often = counts[_cell(members)]
     order = np.lexsort((members, often))
     # what chance brings into every cell says nothing about a shingle
-    meets = np.cumsum(np.maximum(often[order] - counts.mean(), 1.0))
+    meets = np.cumsum(np.maximum(often[order] - usual, 1.0))
     short = n - -(-percent * n // 100)
     best, cost = 1, None
     for m in range(1, MOST_MATCHES + 1):
@@ -112,12 +117,13 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 
 def described(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, set_key (a digest of the whole set), matches, prefix."""
-    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, k).astype(np.int32))
+    table = shingle_counts(docs, k)
+    usual, counts = float(table.mean()), docs.sparkSession.sparkContext.broadcast(table.astype(np.int32))
 
     def run(batches):
         for batch in batches:
             sets = shingle_sets(batch.column("text"), k)
-            prefixes = [adaptive_prefix(s, counts.value, percent) for s in sets]
+            prefixes = [adaptive_prefix(s, counts.value, usual, percent) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -146,13 +152,13 @@ def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
 def _verified(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """pairs (a, b) with common and union, the sizes of intersection and union."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = materialize(_sets_of(docs, ids, k).dropDuplicates(["doc_id"]), "sets")
+    ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+    sets = materialize(_sets_of(docs, bounded(ids), k), "sets")
     one, two = (sets.select(F.col("doc_id").alias(x), F.col("members").alias(f"of_{x}")) for x in "ab")
     both = pairs.join(two, "b").join(one, "a").withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
     both = both.select("a", "b", "common", (F.size("of_a") + F.size("of_b") - F.col("common")).alias("union"))
     out = materialize(both, "verified")
-    drop(sets)
+    drop(ids, sets)
     return out
 
 
@@ -172,33 +178,40 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     rows = materialize(described(docs, k, percent), "prefixes")
     full = rows.filter("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    reps = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    reps = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     posted = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "matches", F.explode("prefix").alias("h"))
-    shared = posted.groupBy("h").agg(F.count("*").alias("df"), F.min(F.struct("rep", "n")).alias("lead")).filter("df > 1")
-    lists = materialize(
-        posted.join(shared, "h").select("h", "rep", "n", "matches", F.col("lead.rep").alias("leader"), F.col("lead.n").alias("leader_n")), "lists"
-    )
+    posted = materialize(posted, "postings")
+    often = posted.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    lists = materialize(posted.join(often, "h"), "lists")
+    drop(posted)
 
     # 100 a >= percent b: as similar as asked; 100 a < far b: too far for any link with what is linked to the leader
     far = 100 - 2 * (100 - percent)
     low, high = F.least("n", "leader_n"), F.greatest("n", "leader_n")
-    near = low * 100 >= high * far
-    first = lists.filter(F.col("rep") != F.col("leader")).filter(near).select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    led = lists.filter(F.col("df") >= LED)
+    leaders = led.groupBy("h").agg(F.min(F.struct("rep", "n", "matches")).alias("lead"))
+    leaders = leaders.select("h", F.col("lead.rep").alias("leader"), F.col("lead.n").alias("leader_n"), F.col("lead.matches").alias("leader_matches"))
+    led = materialize(led.join(leaders, "h"), "led")
+    first = led.filter(F.col("rep") != F.col("leader")).filter(low * 100 >= high * far).groupBy(F.col("leader").alias("a"), F.col("rep").alias("b")).agg(
+        F.count("*").alias("shared"), F.min(F.least("matches", "leader_matches")).alias("asked")
+    )
+    first = materialize(first.filter("shared >= asked").select("a", "b"), "pairs")
     stars = _verified(docs, first, k)
     linked = stars.filter(F.col("common") * 100 >= F.col("union") * percent).select("a", "b")
     groups = components(linked)
     state = (
-        F.when(F.col("common").isNull() | (F.col("common") * 100 < F.col("union") * far), "far")
-        .when(F.col("common") * 100 >= F.col("union") * percent, "linked")
+        F.when((F.col("rep") == F.col("leader")) | (F.col("common") * 100 >= F.col("union") * percent), "linked")
+        .when((low * 100 < high * far) | (F.col("common") * 100 < F.col("union") * far), "far")
         .otherwise("between")
     )
     left = (
-        lists.filter(F.col("rep") != F.col("leader"))
-        .join(stars.select(F.col("a").alias("leader"), F.col("b").alias("rep"), "common", "union"), ["leader", "rep"], "left")
+        led.join(stars.select(F.col("a").alias("leader"), F.col("b").alias("rep"), "common", "union"), ["leader", "rep"], "left")
         .withColumn("state", state)
+        .unionByName(lists.filter(F.col("df") < LED).withColumn("state", F.lit("between")), allowMissingColumns=True)
         .join(groups.withColumnRenamed("node", "rep"), "rep", "left")
         .select("h", "rep", "n", "matches", "state", F.coalesce("component", "rep").alias("component"))
     )
+    # members that were not compared with their leader are "between": they meet all others, the leader too
     # a list needs pairs only if members other than those linked to its leader are left in it
     open_lists = left.groupBy("h").agg(
         F.count(F.when(F.col("state") != "linked", 1)).alias("rest"),
@@ -218,7 +231,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         F.count("*").alias("shared"), F.min(F.least("matches_x", "matches")).alias("asked")
     )
     last = _verified(docs, materialize(met.filter("shared >= asked").select("a", "b"), "pairs"), k)
-    drop(lists, left)
+    drop(lists, led, left)
     linked = linked.union(last.filter(F.col("common") * 100 >= F.col("union") * percent).select("a", "b"))
     groups = components(linked).withColumnRenamed("node", "rep")
     of_class = classes.join(groups, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Spark removes a query's shuffle files as soon as the query has ended.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -77,3 +78,12 @@ def drop(*tables: DataFrame) -> None:
     """Removes tables of ``materialize`` that no later query reads."""
     for df in tables:
         _remove(df.sparkSession, df._lectern_path)
+
+
+#: Rows of a narrow table (some whole numbers a row) that may go to every executor.
+NARROW_ROWS = 500_000
+
+
+def bounded(narrow: DataFrame, most: int = NARROW_ROWS) -> DataFrame:
+    """The written table, marked for broadcast if it has no more rows than the bound."""
+    return F.broadcast(narrow) if narrow.count() <= most else narrow
