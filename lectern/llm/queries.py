@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import embeddings, html_wrapper, jaccard, mixing, sentencepiece_bpe, substrings
+from . import embeddings, html_wrapper, jaccard, mixing, sentencepiece_bpe, simhash, substrings
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_bpe.op1_sentencepiece,
+    "op2_simhash": simhash.op2_simhash,
     "op3_embedding_near_dedup": embeddings.op3_embedding_near_dedup,
     "op4_html_extraction": html_wrapper.op4_html_extraction,
     "op5_curriculum_mix": mixing.op5_curriculum_mix,
