@@ -92,20 +92,43 @@ def _seeds(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, pos int, g long, right long, left long")
 
 
-def _candidates(docs: DataFrame, window: int) -> DataFrame:
-    """All windows that hold a surviving seed, by two hashes; ``docs`` has the array ``seeds``."""
+#: Marks of a surviving seed: its extension to the right, to the left, was seen twice.
+RIGHT, LEFT = 1, 2
+
+
+def marked_windows(h: np.ndarray, w: tv.Spans, at: np.ndarray, marks: np.ndarray, window: int) -> np.ndarray:
+    """First words of the windows whose least seed gram survived on every side that lies within them.
+
+    ``at`` are the words at which surviving seeds start.
+    """
     seed = window // 4
+    width = window - seed + 1
+    ok = np.zeros(len(h), dtype=bool)
+    if len(h) < window or not len(at):
+        return np.flatnonzero(ok)
+    g = tv.grams(h, seed, salt=1)
+    least = _sliding(g, width, np.minimum)
+    starts = _windows(w, window)[: len(least)]
+    for back in range(width):
+        need = RIGHT * (back + 2 * seed <= window) | LEFT * (back >= seed)
+        chosen = at[(marks & need) == need]
+        p = chosen - back
+        chosen, p = chosen[p >= 0], p[p >= 0]
+        chosen, p = chosen[p < len(least)], p[p < len(least)]
+        ok[p[(least[p] == g[chosen]) & starts[p]]] = True
+    return np.flatnonzero(ok)
+
+
+def _candidates(docs: DataFrame, window: int) -> DataFrame:
+    """All windows that may repeat, by two hashes; ``docs`` has the array ``seeds`` of 4 * position + marks."""
 
     def run(batches):
         for batch in batches:
             w = tv.words(b := tv.Bytes.of(batch.column("text")))
             seeds = batch.column("seeds")
             n = np.diff(seeds.offsets.to_numpy())
-            at = np.repeat(w.first[:-1], n) + seeds.flatten().to_numpy()
-            mark = np.zeros(len(w.start) + 1, np.int64)
-            np.add.at(mark, np.maximum(at - (window - seed), np.repeat(w.first[:-1], n)), 1)
-            np.add.at(mark, at + 1, -1)
-            at = np.flatnonzero((np.cumsum(mark)[:-1] > 0) & _windows(w, window))
+            found = seeds.flatten().to_numpy()
+            at = marked_windows(tv.hashes(b, w), w, np.repeat(w.first[:-1], n) + (found >> 2), found & 3, window)
             own, local = _local(w, at)
             one, two = (tv.grams(tv.hashes(b, w, seed=s), window, salt=s) for s in (3, 4))
             yield pa.RecordBatch.from_arrays(
@@ -134,11 +157,15 @@ def repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
     often = seeds.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
     level5 = materialize(seeds.join(often, "g", "left_semi"), "level5")
     drop(seeds)
-    # a window holds the seed and, unless it ends first, the seed's extension to the right; else the one to the left
-    sides = level5.select("doc_id", "pos", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("right").alias("x")), F.struct(F.lit(1).alias("side"), F.col("left").alias("x")))).alias("s"))
-    sides = sides.select("doc_id", "pos", "s.x").filter("x is not null")
+    # a window holds its seed's extension to the right, to the left, or both
+    sides = level5.select(
+        "doc_id", "pos", F.explode(F.array(F.struct(F.lit(RIGHT).alias("mark"), F.col("right").alias("x")), F.struct(F.lit(LEFT).alias("mark"), F.col("left").alias("x")))).alias("s")
+    )
+    sides = sides.select("doc_id", "pos", "s.mark", "s.x").filter("x is not null")
+    # the two sides of one place are different strings unless the text repeats itself, which counts as twice
     twice = sides.groupBy("x").agg(F.count("*").alias("n")).filter("n > 1").select("x")
-    level10 = sides.join(twice, "x", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("seeds"))
+    level10 = sides.join(twice, "x", "left_semi").groupBy("doc_id", "pos").agg(F.bit_or("mark").alias("marks"))
+    level10 = level10.groupBy("doc_id").agg(F.collect_set(F.col("pos").cast("long") * 4 + F.col("marks")).alias("seeds"))
     level10 = materialize(level10, "level10")
     drop(level5)
     found = materialize(_candidates(docs.join(level10, "doc_id").select("doc_id", "text", "seeds"), window), "windows")
