@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, html_wrapper, jaccard, mixing, sentencepiece_bpe, simhash, substrings
+from . import embeddings, html_wrapper, jaccard, mixing, pii, sentencepiece_bpe, simhash, substrings
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_bpe.op1_sentencepiece,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_html_extraction": html_wrapper.op4_html_extraction,
     "op5_curriculum_mix": mixing.op5_curriculum_mix,
     "op8_substring_dedup": substrings.op8_substring_dedup,
+    "op9_pii": pii.op9_pii,
     "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
 }
 ORACLE_SQL = {
