@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, html_wrapper, jaccard, mixing, pii, sentencepiece_bpe, simhash, substrings
+from . import embeddings, html_wrapper, jaccard, line_chunks, mixing, pii, quality, sentencepiece_bpe, simhash, substrings
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_bpe.op1_sentencepiece,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_embedding_near_dedup": embeddings.op3_embedding_near_dedup,
     "op4_html_extraction": html_wrapper.op4_html_extraction,
     "op5_curriculum_mix": mixing.op5_curriculum_mix,
+    "op6_quality": quality.op6_quality,
+    "op7_line_chunks": line_chunks.op7_line_chunks,
     "op8_substring_dedup": substrings.op8_substring_dedup,
     "op9_pii": pii.op9_pii,
     "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
