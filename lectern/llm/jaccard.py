@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
@@ -179,20 +179,29 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     full = rows.filter("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     reps = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    posted = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "matches", F.explode("prefix").alias("h"))
+    posted = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "matches", F.posexplode("prefix").alias("pos", "h"))
     posted = materialize(posted, "postings")
-    often = posted.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
-    lists = materialize(posted.join(often, "h"), "lists")
-    drop(posted)
+    often = posted.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1").select("h")
+    # what stands before a place of a prefix in no other prefix is in no set that meets it at that place:
+    # ``fit`` members at most are left to share with such a set
+    before = F.col("pos") - F.row_number().over(Window.partitionBy("rep").orderBy("pos")) + 1
+    shared = posted.join(often, "h", "left_semi").withColumn("fit", F.col("n") - F.greatest(before, F.lit(0))).drop("pos")
+    shared = materialize(shared, "shared")
+    asked = "({p} * ({{}} + {{}}) + {h} - 1) div {h}".format(p=percent, h=100 + percent)  # common members of a linked pair
+    # a member that cannot link with any size in its list leaves the list
+    sizes = shared.groupBy("h").agg(F.min("n").alias("least_n"), F.count("*").alias("df"))
+    kept = shared.join(sizes, "h").filter("df > 1").withColumn("other", F.greatest("least_n", F.expr(f"({percent} * n + 99) div 100")))
+    lists = materialize(kept.filter("fit >= " + asked.format("n", "other")).select("h", "rep", "n", "matches", "fit", "df"), "lists")
+    drop(posted, shared)
 
     # 100 a >= percent b: as similar as asked; 100 a < far b: too far for any link with what is linked to the leader
     far = 100 - 2 * (100 - percent)
-    low, high = F.least("n", "leader_n"), F.greatest("n", "leader_n")
+    low, high, most = F.least("n", "leader_n"), F.greatest("n", "leader_n"), F.least("fit", "leader_fit")
     led = lists.filter(F.col("df") >= LED)
-    leaders = led.groupBy("h").agg(F.min(F.struct("rep", "n", "matches")).alias("lead"))
-    leaders = leaders.select("h", F.col("lead.rep").alias("leader"), F.col("lead.n").alias("leader_n"), F.col("lead.matches").alias("leader_matches"))
+    leaders = led.groupBy("h").agg(F.min(F.struct((F.col("n") - F.col("fit")).alias("lost"), "rep", "n", "matches", "fit")).alias("lead"))
+    leaders = leaders.select("h", *[F.col(f"lead.{c}").alias(f"leader_{c}" if c != "rep" else "leader") for c in ("rep", "n", "matches", "fit")])
     led = materialize(led.join(leaders, "h"), "led")
-    first = led.filter(F.col("rep") != F.col("leader")).filter(low * 100 >= high * far).groupBy(F.col("leader").alias("a"), F.col("rep").alias("b")).agg(
+    first = led.filter(F.col("rep") != F.col("leader")).filter("least(fit, leader_fit) >= " + asked.format("n", "leader_n")).groupBy(F.col("leader").alias("a"), F.col("rep").alias("b")).agg(
         F.count("*").alias("shared"), F.min(F.least("matches", "leader_matches")).alias("asked")
     )
     first = materialize(first.filter("shared >= asked").select("a", "b"), "pairs")
@@ -201,7 +210,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     groups = components(linked)
     state = (
         F.when((F.col("rep") == F.col("leader")) | (F.col("common") * 100 >= F.col("union") * percent), "linked")
-        .when((low * 100 < high * far) | (F.col("common") * 100 < F.col("union") * far), "far")
+        .when((low * 100 < high * far) | (most * 100 < (F.col("n") + F.col("leader_n") - most) * far) | (F.col("common") * 100 < F.col("union") * far), "far")
         .otherwise("between")
     )
     left = (
@@ -209,7 +218,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         .withColumn("state", state)
         .unionByName(lists.filter(F.col("df") < LED).withColumn("state", F.lit("between")), allowMissingColumns=True)
         .join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("h", "rep", "n", "matches", "state", F.coalesce("component", "rep").alias("component"))
+        .select("h", "rep", "n", "matches", "fit", "state", F.coalesce("component", "rep").alias("component"))
     )
     # members that were not compared with their leader are "between": they meet all others, the leader too
     # a list needs pairs only if members other than those linked to its leader are left in it
@@ -220,10 +229,10 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         F.max("component").alias("c2"),
     ).filter("c1 < c2 and (rest > 1 or between = 1)").select("h", "between")
     left = materialize(left.join(open_lists, "h"), "open")
-    rest = left.filter("state <> 'linked'").select("h", "rep", "n", "matches", "component", "state")
-    also = left.filter("state = 'linked' and between = 1").select("h", "rep", "n", "matches", "component", "state")
-    x = rest.select("h", *[F.col(c).alias(f"{c}_x") for c in ("rep", "n", "matches", "component", "state")])
-    fits = "component_x <> component and least(n, n_x) * 100 >= greatest(n, n_x) * {}".format(percent)
+    rest = left.filter("state <> 'linked'").select("h", "rep", "n", "matches", "fit", "component", "state")
+    also = left.filter("state = 'linked' and between = 1").select("h", "rep", "n", "matches", "fit", "component", "state")
+    x = rest.select("h", *[F.col(c).alias(f"{c}_x") for c in ("rep", "n", "matches", "fit", "component", "state")])
+    fits = "component_x <> component and least(fit, fit_x) >= " + asked.format("n", "n_x")
     within = x.join(rest, "h").filter("rep_x < rep").filter(fits)
     across = x.filter("state_x = 'between'").join(also, "h").filter(fits)
     met = within.select("rep_x", "rep", "matches_x", "matches").union(across.select("rep_x", "rep", "matches_x", "matches"))
