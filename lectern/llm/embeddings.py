@@ -145,12 +145,12 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     sample = [r[0] for r in classes.orderBy(F.xxhash64("embedding", "label"), "rep").limit(SAMPLE).select("embedding").collect()]
     m = n_pivots(classes.count())
     described = materialize(_described(classes, sample, m), "described")
-    posted = described.select("label", F.explode("pivots").alias("pivot"), "rep", "copies", "embedding", "pivots")
-    lists = posted.groupBy("label", "pivot").agg(F.count("*").alias("n")).filter("n > 1").select("label", "pivot", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = posted.join(lists, ["label", "pivot"]).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    posted = described.select("label", F.size("embedding").alias("dims"), F.explode("pivots").alias("pivot"), "rep", "copies", "embedding", "pivots")
+    lists = posted.groupBy("label", "pivot", "dims").agg(F.count("*").alias("n")).filter("n > 1").select("label", "pivot", "dims", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = posted.join(lists, ["label", "pivot", "dims"]).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    found = dealt.select("label", "pivot", "i", "j", "rep", "copies", "embedding", "pivots", "block").groupBy("label", "pivot", "i", "j")
+    found = dealt.select("label", "pivot", "i", "j", "dims", "rep", "copies", "embedding", "pivots", "block").groupBy("label", "pivot", "i", "j", "dims")
     found = materialize(found.applyInArrow(_compared(cosine), "rep long, links long, root long"), "found")
     groups = components(found, "rep", "root").withColumnRenamed("node", "rep")
     counted = found.groupBy("rep").agg(F.sum("links").alias("links"))

@@ -131,7 +131,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = docs.count()
     ranges = max(1, min(RANGES, n // RANGE_ROWS))
-    splits = docs.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 1 / (8 * ranges)) if n else []
+    splits = docs.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 1 / (8 * ranges)) if ranges > 1 else []
     splits = sorted({int(s) for s in splits})
     table = F.array(*map(F.lit, splits)).cast("array<bigint>") if splits else None
 
