@@ -33,6 +33,8 @@ from .store import bounded, drop, materialize, small_batches
 CELLS, SLICES = 1 << 20, 64
 #: Members from which on a list is first compared with its leader.
 LED = 8
+#: Places of a document that are kept to tell in which list a pair is taken up.
+PLACES = 64
 #: Matches that a prefix may ask for.
 MOST_MATCHES = 4
 
@@ -185,13 +187,13 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # what stands before a place of a prefix in no other prefix is in no set that meets it at that place:
     # ``fit`` members at most are left to share with such a set
     before = F.col("pos") - F.row_number().over(Window.partitionBy("rep").orderBy("pos")) + 1
-    shared = posted.join(often, "h", "left_semi").withColumn("fit", F.col("n") - F.greatest(before, F.lit(0))).drop("pos")
+    shared = posted.join(often, "h", "left_semi").withColumn("fit", F.col("n") - F.greatest(before, F.lit(0)))
     shared = materialize(shared, "shared")
     asked = "({p} * ({{}} + {{}}) + {h} - 1) div {h}".format(p=percent, h=100 + percent)  # common members of a linked pair
     # a member that cannot link with any size in its list leaves the list
     sizes = shared.groupBy("h").agg(F.min("n").alias("least_n"), F.count("*").alias("df"))
     kept = shared.join(sizes, "h").filter("df > 1").withColumn("other", F.greatest("least_n", F.expr(f"({percent} * n + 99) div 100")))
-    lists = materialize(kept.filter("fit >= " + asked.format("n", "other")).select("h", "rep", "n", "matches", "fit", "df"), "lists")
+    lists = materialize(kept.filter("fit >= " + asked.format("n", "other")).select("h", "rep", "n", "matches", "pos", "fit", "df"), "lists")
     drop(posted, shared)
 
     # 100 a >= percent b: as similar as asked; 100 a < far b: too far for any link with what is linked to the leader
@@ -218,7 +220,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         .withColumn("state", state)
         .unionByName(lists.filter(F.col("df") < LED).withColumn("state", F.lit("between")), allowMissingColumns=True)
         .join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("h", "rep", "n", "matches", "fit", "state", F.coalesce("component", "rep").alias("component"))
+        .select("h", "rep", "n", "matches", "pos", "fit", "state", F.coalesce("component", "rep").alias("component"))
     )
     # members that were not compared with their leader are "between": they meet all others, the leader too
     # a list needs pairs only if members other than those linked to its leader are left in it
@@ -229,17 +231,26 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         F.max("component").alias("c2"),
     ).filter("c1 < c2 and (rest > 1 or between = 1)").select("h", "between")
     left = materialize(left.join(open_lists, "h"), "open")
-    rest = left.filter("state <> 'linked'").select("h", "rep", "n", "matches", "fit", "component", "state")
-    also = left.filter("state = 'linked' and between = 1").select("h", "rep", "n", "matches", "fit", "component", "state")
-    x = rest.select("h", *[F.col(c).alias(f"{c}_x") for c in ("rep", "n", "matches", "fit", "component", "state")])
-    fits = "component_x <> component and least(fit, fit_x) >= " + asked.format("n", "n_x")
+    # a pair is taken up in the last list that both are in, as far as the kept ends of their lists tell; there the
+    # number of shared places bounds, from both sides' places, what the two can have in common
+    places = F.transform(F.array_sort(F.collect_list(F.struct("pos", "h"))), lambda x: x["h"])
+    opened = left.groupBy("rep").agg(places.alias("o")).withColumn("whole", F.size("o") <= PLACES)
+    opened = opened.select("rep", "whole", F.when(F.col("whole"), F.col("o")).otherwise(F.slice("o", -PLACES, PLACES)).alias("o"))
+    left = materialize(left.join(opened, "rep"), "placed")
+    columns = ("rep", "n", "matches", "pos", "fit", "component", "state", "whole", "o")
+    rest = left.filter("state <> 'linked'").select("h", *columns)
+    also = left.filter("state = 'linked' and between = 1").select("h", *columns)
+    x = rest.select("h", *[F.col(c).alias(f"{c}_x") for c in columns])
+    need = asked.format("n", "n_x")
+    fits = f"""component_x <> component and least(fit, fit_x) >= {need}
+        and coalesce(try_element_at(array_intersect(o_x, o), -1) = h, true)
+        and (not (whole and whole_x) or (size(array_intersect(o_x, o)) >= least(matches_x, matches)
+          and least(n - pos, n_x - pos_x) - 1 + size(array_intersect(o_x, o)) >= {need}))"""
     within = x.join(rest, "h").filter("rep_x < rep").filter(fits)
     across = x.filter("state_x = 'between'").join(also, "h").filter(fits)
-    met = within.select("rep_x", "rep", "matches_x", "matches").union(across.select("rep_x", "rep", "matches_x", "matches"))
-    met = met.groupBy(F.least("rep_x", "rep").alias("a"), F.greatest("rep_x", "rep").alias("b")).agg(
-        F.count("*").alias("shared"), F.min(F.least("matches_x", "matches")).alias("asked")
-    )
-    last = _verified(docs, materialize(met.filter("shared >= asked").select("a", "b"), "pairs"), k)
+    met = within.select("rep_x", "rep").union(across.select("rep_x", "rep"))
+    met = met.select(F.least("rep_x", "rep").alias("a"), F.greatest("rep_x", "rep").alias("b")).distinct()
+    last = _verified(docs, materialize(met, "pairs"), k)
     drop(lists, led, left)
     linked = linked.union(last.filter(F.col("common") * 100 >= F.col("union") * percent).select("a", "b"))
     groups = components(linked).withColumnRenamed("node", "rep")
