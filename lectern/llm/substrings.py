@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .store import drop, materialize, small_batches
+from .store import bounded, drop, materialize, small_batches
 
 
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -144,15 +144,24 @@ def _candidates(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, pos int, h long, i int")
 
 
+def later_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id): documents whose whole text a smaller doc_id has too; all their windows start earlier there."""
+    keyed = docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
+    first = keyed.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    return materialize(keyed.join(first, "digest").filter("doc_id > first").select("doc_id").distinct(), "copies")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
 def repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
-    """(doc_id, pos): windows of ``window`` words whose words also start a window earlier.
+    """(doc_id, windows): starts of windows of ``window`` words whose words also start a window earlier.
 
     Earlier is a smaller doc_id or, in one document, a smaller position.  The
-    window is a multiple of four.  Rows without doc_id or text have none;
-    repeated rows of a document count as one.
+    window is a multiple of four.  ``docs`` has whole texts without later
+    copies, doc_id and text not null; repeated rows of a document count as one.
     """
-    small_batches(docs.sparkSession)
-    docs = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seeds = materialize(_seeds(docs, window), "seeds")
     often = seeds.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
     level5 = materialize(seeds.join(often, "g", "left_semi"), "level5")
@@ -181,15 +190,20 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     """Adds n_words, n_removed and kept_text to ``docs`` (doc_id, text).
 
     Every word that a repeated window covers goes; the kept words are joined
-    by one space.  A row with null or blank text keeps nothing and removes
+    by one space.  Documents with equal texts are compared once: all windows of
+    the later ones start earlier in the first.  A row with null or blank text keeps nothing and removes
     nothing; rows without doc_id keep all their words.  Other columns stay;
     columns named as the new ones are replaced.
     """
-    spans = repeated_windows(docs, window).withColumnRenamed("doc_id", "_doc")
+    small_batches(docs.sparkSession)
+    copies = later_copies(_keyed(docs))
+    unique = _keyed(docs).join(bounded(copies), "doc_id", "left_anti")
+    spans = repeated_windows(unique, window).withColumn("copy", F.lit(False))
+    spans = spans.unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True).withColumnRenamed("doc_id", "_doc").withColumnRenamed("copy", "_copy")
     new = ["n_words", "n_removed", "kept_text"]
     names = [c for c in docs.columns if c not in new]
     rows = docs.select(*names).join(spans, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
-    schema = rows.drop("windows").schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
+    schema = rows.drop("windows", "_copy").schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
 
     def run(batches):
         for batch in batches:
@@ -200,7 +214,9 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
             mark = np.zeros(len(w.start) + window + 1, np.int64)
             np.add.at(mark, at, 1)
             np.add.at(mark, at + window, -1)
-            gone = np.cumsum(mark)[: len(w.start)] > 0
+            n = tv.counts(w)
+            copy = np.array([x is True for x in batch.column("_copy").to_pylist()], dtype=bool) & (n >= window)
+            gone = (np.cumsum(mark)[: len(w.start)] > 0) | np.repeat(copy, n)
             removed = np.concatenate([[0], np.cumsum(gone)])[w.first]
             kept = []
             for i, j in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
@@ -221,7 +237,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
                 names=[*names, *new],
             )
 
-    return rows.select(*names, "windows").mapInArrow(run, schema)
+    return rows.select(*names, "windows", "_copy").mapInArrow(run, schema)
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
