@@ -50,7 +50,7 @@ def weighted_terms(docs: DataFrame, topics: DataFrame) -> DataFrame:
     asked = topics.select("topic_id", F.explode("q").alias("term"))
     # only terms that some topic asks for are counted: the count's shuffle has their number of rows, not the corpus's
     wanted = asked.select("term").distinct()
-    df = docs.select(F.explode("terms").alias("term")).join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    df = docs.select(F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     out = asked.join(df, "term").crossJoin(F.broadcast(n)).withColumn("idf", rarity(F.col("df"), F.col("n")))
     return out.select("topic_id", "term", "df", "n", "idf")
 
@@ -59,7 +59,8 @@ def matches(docs: DataFrame, topics: DataFrame, field_weight: Column | None = No
     """topic_id, doc_index, score (rounded), n_common, least_df for every pair with a common term.
 
     The topics' weighted terms are the small side; ``field_weight`` may use the
-    columns of ``docs`` and ``term``.
+    columns of ``docs`` and ``term``.  Which side is broadcast, if any, is left
+    to Spark, which goes by measured sizes.
     """
     weighed = weighted_terms(docs, topics)
     weight = F.col("idf") if field_weight is None else F.col("idf") * field_weight
@@ -91,7 +92,7 @@ def scored(docs: DataFrame, topics: DataFrame, field_weight: Column | None = Non
         home = topics.filter(F.arrays_overlap("q", F.array(*map(F.lit, DOMESTIC_STEMS))))
         also = dated_pairs(docs.filter("kind = 'timeline'"), home).join(found.select("topic_id", "doc_index"), ["topic_id", "doc_index"], "left_anti")
         found = found.unionByName(also.withColumn("base", F.lit(0.0)), allowMissingColumns=True)
-    found = found.join(docs.select("doc_index", "span"), "doc_index").join(F.broadcast(topics.select("topic_id", "spans")), "topic_id")
+    found = found.join(docs.select("doc_index", "span"), "doc_index").join(topics.select("topic_id", "spans"), "topic_id")
     meets = overlaps(F.col("span"), F.col("spans"))
     found = found.filter(~((F.size("spans") > 0) & F.col("span").isNotNull() & ~meets))
     score = F.round(F.col("base") + F.when(meets, bonus).otherwise(0.0), DECIMALS)
@@ -147,7 +148,7 @@ def pick(candidates: DataFrame, lengths: DataFrame, budget: Budget = DEFAULT) ->
 def render(picks: DataFrame, docs: DataFrame, topics: DataFrame, line: Column, in_order: bool = True, separator: str = "\n") -> DataFrame:
     """topic_id and its lines, joined; in load order unless told otherwise; null without picks."""
     rows = picks.select("topic_id", F.posexplode("picked").alias("nth", "doc_index"))
-    lines = docs.select("doc_index", line.alias("line")).join(F.broadcast(rows), "doc_index")
+    lines = docs.select("doc_index", line.alias("line")).join(rows, "doc_index")
     key = "doc_index" if in_order else "nth"
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "line"))), lambda x: x["line"]), separator)
     return topics.select("topic_id").join(lines.groupBy("topic_id").agg(text.alias("context")), "topic_id", "left")
