@@ -6,6 +6,11 @@ maximisation needs to estimate the heuristics' accuracies and the share of good
 texts, and with them each pattern's chance of being good.  Those posterior
 labels train a linear scorer on hashed word shapes, which then judges texts by
 what the heuristics do not look at.
+
+Toxicity is learned from a bounded sample of labelled texts: hashed words and
+word beginnings that toxic texts hold far more often than others, in whatever
+language, get their log odds as weights; a text is toxic if their mean over
+its words passes a limit that labelled texts kept apart have set.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .store import small_batches
+from .store import drop, materialize, small_batches
 
 GOOD, BAD, NOTHING = 1, 0, 2
 #: Texts on which the scorer is trained: the sample's documented bound (by hash, so in expectation).
@@ -26,7 +31,16 @@ SAMPLE = 20_000
 CELLS = 1 << 14
 EPOCHS, RATE, DECAY = 300, 1.0, 1e-4
 
-# Insults, a text with one of which is rejected whatever its score.
+#: Labelled texts from which toxicity is learned (a hard bound), and the part of them, one in so many, that sets the limit.
+LABELLED, APART = 20_000, 4
+#: Bytes of the word beginnings that count as features beside the whole word.
+BEGINNINGS = (5, 6, 7, 8)
+#: Toxic texts that must hold a feature, how much more often than others, and the most features that are kept.
+LEAST, ODDS, FEATURES = 3, 20.0, 100_000
+#: Toxic labelled texts on either side below which nothing is learned and the insults alone decide.
+ENOUGH = 5
+
+# Insults, known from the start; they alone decide where labels are missing.
 INSULTS = "trash pathetic idiot idiots worthless disgusting stupid clown scum loser losers moron morons".split()
 
 _CLASS = np.arange(256, dtype=np.uint8)
@@ -167,30 +181,106 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) ->
     return out
 
 
-_INSULT_HASHES: list[np.ndarray] = []
-
-
-def has_insult(b: tv.Bytes, w: tv.Spans) -> np.ndarray:
-    """Whether a text has a word that is an insult, case and outer punctuation aside."""
-    if not _INSULT_HASHES:
-        all_bytes = tv.Bytes.of(pa.array([" ".join(INSULTS)]))
-        _INSULT_HASHES.append(np.sort(tv.hashes(all_bytes, tv.words(all_bytes), lower=True)))
-    known = _INSULT_HASHES[0]
+def toxic_features(b: tv.Bytes, w: tv.Spans):
+    """Hashes of each word, then of its beginnings of each length, case and outer punctuation aside; 0 where it is too short."""
     word = np.zeros(256, dtype=bool)
     word[65:91] = word[97:123] = word[128:] = True
     inner = word[b.data]
     start, end = w.start.copy(), w.end.copy()
+    if not len(start):
+        return
     for _ in range(4):
         start += ~inner[start] & (start < end - 1)
         end -= ~inner[end - 1] & (start < end - 1)
-    sizes = end - start
-    fit = np.flatnonzero((sizes >= min(map(len, INSULTS))) & (sizes <= max(map(len, INSULTS))))
-    out = np.zeros(len(b.offsets) - 1, dtype=bool)
-    if len(fit):
-        h = tv.hashes(b, tv.Spans(start[fit], end[fit], w.first), lower=True)
-        hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
-        out[np.searchsorted(w.first, fit[hit], side="right") - 1] = True
-    return out
+    yield tv.hashes(b, tv.Spans(start, end, w.first), lower=True)
+    for k in BEGINNINGS:
+        # only a longer word's: a whole word says something else than a beginning
+        out = np.zeros(len(start), np.uint64)
+        long = np.flatnonzero(end - start > k)
+        out[long] = tv.hashes(b, tv.Spans(start[long], start[long] + k, w.first), lower=True, seed=k)
+        yield out
+
+
+def insults() -> dict[int, float]:
+    """The insults as features."""
+    b = tv.Bytes.of(pa.array([" ".join(INSULTS)]))
+    return dict.fromkeys(next(toxic_features(b, tv.words(b))).tolist(), float(np.log(ODDS)))
+
+
+def toxicity(b: tv.Bytes, w: tv.Spans, known: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Each text's mean over its words of the greatest weight of a word's features; ``known`` is sorted."""
+    most = np.zeros(len(w.start))
+    for h in toxic_features(b, w):
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        np.maximum(most, np.where(known[at] == h, weights[at], 0.0), out=most)
+    total = np.concatenate([[0.0], np.cumsum(most)])[w.first]
+    return np.diff(total) / np.maximum(tv.counts(w), 1)
+
+
+def _arrays(features: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
+    known = np.array(sorted(features), dtype=np.uint64)
+    return known, np.array([features[h] for h in known.tolist()])
+
+
+def best_limit(scores: np.ndarray, toxic: np.ndarray) -> float:
+    """The limit with the least sum of both classes' shares on its wrong side, halfway to the next score."""
+    order = np.argsort(scores, kind="stable")
+    s, t = scores[order], toxic[order]
+    cost = np.cumsum(t) / max(t.sum(), 1) + (len(t) - t.sum() - np.cumsum(~t)) / max((~t).sum(), 1)
+    cost[:-1][s[1:] == s[:-1]] = 9.0
+    i = int(np.argmin(cost))
+    return float((s[i] + s[min(i + 1, len(s) - 1)]) / 2)
+
+
+def learn_toxicity(docs: DataFrame, labels: DataFrame | None, text: str = "text") -> tuple[np.ndarray, np.ndarray, float]:
+    """Features (sorted hashes), their weights, and the limit beyond which a text is toxic.
+
+    ``labels`` has doc_id and toxic (0 or 1).  At most LABELLED labelled
+    documents, by hash of doc_id, are used, equal texts once.
+    """
+    known = insults()
+    alone = (*_arrays(known), 0.0)
+    if labels is None:
+        return alone
+    given = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic"))
+    given = given.orderBy(F.xxhash64("_id"), "_id").limit(LABELLED)
+    rows = docs.filter(F.col(text).isNotNull()).join(F.broadcast(given), F.col("doc_id") == F.col("_id"))
+    rows = rows.groupBy(F.xxhash64(text).alias("key")).agg(F.min(text).alias("text"), F.max("_toxic").alias("toxic"))
+    rows = materialize(rows.withColumn("apart", F.pmod("key", F.lit(APART)) == 0), "labelled")
+    sizes = {(r["apart"], r["toxic"]): r["n"] for r in rows.groupBy("apart", "toxic").agg(F.count("*").alias("n")).collect()}
+    n_toxic, n_other = sizes.get((False, 1), 0), sizes.get((False, 0), 0)
+    if min(n_toxic, n_other, sizes.get((True, 1), 0), sizes.get((True, 0), 0)) < ENOUGH:
+        drop(rows)
+        return alone
+
+    def features(batches):
+        for batch in batches:
+            w = tv.words(b := tv.Bytes.of(batch.column(0)))
+            own, toxic = tv.owners(w), np.asarray(batch.column(1)) == 1
+            for h in toxic_features(b, w):
+                order = np.lexsort((own, h))
+                h, of = h[order], own[order]
+                new = h != 0
+                new[1:] &= (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+                found, which = np.unique(h[new], return_inverse=True)
+                t = np.bincount(which, toxic[of[new]], len(found)).astype(np.int64)
+                n = np.bincount(which, minlength=len(found))
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(t), pa.array(n - t)], names=["h", "t", "o"])
+
+    often = rows.filter("not apart").select("text", "toxic").mapInArrow(features, "h long, t long, o long").groupBy("h").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    odds = (F.col("t") / n_toxic) / ((F.col("o") + 0.5) / n_other)
+    chosen = often.filter(F.col("t") >= LEAST).withColumn("odds", odds).filter(F.col("odds") >= ODDS).orderBy(F.desc("odds"), "h").limit(FEATURES)
+    known |= {r["h"] % 2**64: float(np.log(r["odds"])) for r in chosen.collect()}
+    hashes, weights = _arrays(known)
+
+    def score(batches):
+        for batch in batches:
+            w = tv.words(b := tv.Bytes.of(batch.column(0)))
+            yield pa.RecordBatch.from_arrays([pa.array(toxicity(b, w, hashes, weights)), pa.array(np.asarray(batch.column(1)) == 1)], names=["score", "toxic"])
+
+    apart = rows.filter("apart").select("text", "toxic").mapInArrow(score, "score double, toxic boolean").collect()
+    drop(rows)
+    return hashes, weights, best_limit(np.array([r["score"] for r in apart]), np.array([r["toxic"] for r in apart]))
 
 
 def train(docs: DataFrame, text: str = "text") -> tuple[dict[int, float], np.ndarray]:
@@ -223,16 +313,18 @@ def train(docs: DataFrame, text: str = "text") -> tuple[dict[int, float], np.nda
     return chance, fit_scorer([(np.array(r["cells"], np.int64), np.array(r["weights"])) for r in rows], labels)
 
 
-def classify(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, threshold: float = 0.5, labels: DataFrame | None = None) -> DataFrame:
     """All columns of ``docs`` (with text), and weak_label, score, toxic and keep.
 
     weak_label is the posterior of the votes, score the linear scorer's; a text
-    is kept if the score reaches the threshold and it holds no insult.  Null and
+    is kept if the score reaches the threshold and it is not toxic.  Toxicity is
+    learned from ``labels`` (doc_id, toxic), which ``docs`` then needs doc_id
+    for; without enough of them a text with an insult is toxic.  Null and
     blank texts score 0 and are not kept.  Equal texts are judged alike; columns
     that have a new one's name are replaced; an empty table gives an empty one.
     """
     chance, weights = train(docs)
-    given = docs.sparkSession.sparkContext.broadcast((chance, weights.astype(np.float32)))
+    given = docs.sparkSession.sparkContext.broadcast((chance, weights.astype(np.float32), *learn_toxicity(docs, labels)))
     new = ["weak_label", "score", "toxic", "keep"]
     names = [c for c in docs.columns if c not in new]
     schema = docs.select(*names).schema
@@ -240,13 +332,13 @@ def classify(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
         schema = schema.add(name, kind)
 
     def run(batches):
-        chance, weights = given.value
+        chance, weights, known, odds, limit = given.value
         for batch in batches:
             w = tv.words(b := tv.Bytes.of(batch.column("text")))
             weak = [chance.get(c, 0.5) for c in codes(votes(b, w, tv.hashes(b, w))).tolist()]
             raw = np.array([float(x @ weights[c]) for c, x in shapes(b)]) + weights[-1]
             score = np.where(tv.counts(w) > 0, 1 / (1 + np.exp(-np.clip(raw, -50, 50))), 0.0)
-            toxic = has_insult(b, w)
+            toxic = toxicity(b, w, known, odds) > limit
             keep = (score >= threshold) & ~toxic
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(weak, pa.float64()), pa.array(score), pa.array(toxic), pa.array(keep)], names=[*names, *new])
 
@@ -256,4 +348,5 @@ def classify(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 def op6_quality(spark, sf_dir: str) -> DataFrame:
     """Weak label, score and decision for all ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return classify(docs).select("doc_id", F.round("weak_label", 6).alias("weak_label"), F.round("score", 4).alias("score"), "toxic", "keep")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return classify(docs, labels=labels).select("doc_id", F.round("weak_label", 6).alias("weak_label"), F.round("score", 4).alias("score"), "toxic", "keep")

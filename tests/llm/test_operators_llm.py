@@ -268,6 +268,26 @@ def test_quality_odd_rows(spark):
     assert quality.classify(frame(spark).limit(0)).count() == 0
 
 
+def test_toxicity_is_learned_in_any_language(spark):
+    rng = random.Random(9)
+    made, marks = ["das", "lichung", "oubre", "mente", "keiten", "vion", "erau", "schein"], ["grumpf", "zorgnak"]
+    rows, labels = [], []
+    for i in range(400):
+        body = [rng.choice(made) + rng.choice(made) for _ in range(rng.choice([40, 120]))]
+        if i % 4 == 0:
+            for at in rng.sample(range(len(body)), max(2, len(body) // 20)):
+                body[at] = rng.choice(marks) + rng.choice(made) + ","
+        rows.append((i, " ".join(body)))
+        if i < 300:
+            labels.append((i, int(i % 4 == 0)))
+    rows += [(1000, " ".join(["plain words of a long story"] * 500) + " stupid"), (1001, None)]
+    labelled = spark.createDataFrame(labels + [(None, 1), (7, None)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["toxic"] for r in quality.classify(frame(spark, rows), labels=labelled).collect()}
+    held_out = range(300, 400)
+    assert sum(got[i] for i in held_out if i % 4 == 0) >= 24 and not any(got[i] for i in held_out if i % 4)
+    assert not got[1000] and not got[1001]
+
+
 def test_labellers_recover_a_mixture():
     rng = np.random.default_rng(0)
     k = len(quality.LABELLERS)
