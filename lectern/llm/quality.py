@@ -25,7 +25,7 @@ from . import textvec as tv
 from .store import drop, materialize, small_batches
 
 GOOD, BAD, NOTHING = 1, 0, 2
-#: Texts on which the scorer is trained: the sample's documented bound (by hash, so in expectation).
+#: Distinct texts on which the scorer is trained, those with the least hashes: the sample's documented bound, a hard one.
 SAMPLE = 20_000
 #: Hashed features of the scorer.
 CELLS = 1 << 14
@@ -295,20 +295,22 @@ def train(docs: DataFrame, text: str = "text") -> tuple[dict[int, float], np.nda
     counted = docs.select(text).mapInArrow(vote, "code long").groupBy("code").agg(F.count("*").alias("n")).collect()
     counts = {r["code"]: r["n"] for r in counted}
     chance = fit_labellers(counts)
-    part = min(1.0, SAMPLE / max(1, sum(counts.values())))
-
     def sampled(batches):
         for batch in batches:
             w = tv.words(b := tv.Bytes.of(batch.column(0)))
             found = shapes(b)
             code = codes(votes(b, w, tv.hashes(b, w)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(code), pa.array([c for c, _ in found], pa.list_(pa.int32())), pa.array([x.astype(np.float32) for _, x in found], pa.list_(pa.float32()))],
-                names=["code", "cells", "weights"],
+                [batch.column(1), pa.array(code), pa.array([c for c, _ in found], pa.list_(pa.int32())), pa.array([x.astype(np.float32) for _, x in found], pa.list_(pa.float32()))],
+                names=["key", "code", "cells", "weights"],
             )
 
-    picked = docs.select(text).filter(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < int(part * (1 << 30)))
-    rows = picked.mapInArrow(sampled, "code long, cells array<int>, weights array<float>").orderBy("code", "cells", "weights").collect()
+    texts = docs.select(F.col(text).alias("text")).filter("text is not null").withColumn("key", F.xxhash64("text"))
+    least = texts.select(F.col("key").alias("_key")).distinct().orderBy("_key").limit(SAMPLE)
+    # a text's copies count once
+    picked = texts.join(F.broadcast(least), F.col("key") == F.col("_key"), "left_semi").groupBy("key").agg(F.min("text").alias("text")).select("text", "key")
+    rows = picked.mapInArrow(sampled, "key long, code long, cells array<int>, weights array<float>").collect()
+    rows.sort(key=lambda r: r["key"])
     labels = np.array([chance[r["code"]] for r in rows])
     return chance, fit_scorer([(np.array(r["cells"], np.int64), np.array(r["weights"])) for r in rows], labels)
 

@@ -288,6 +288,18 @@ def test_toxicity_is_learned_in_any_language(spark):
     assert not got[1000] and not got[1001]
 
 
+def test_scorer_sample_is_bounded_and_has_each_text_once(spark, monkeypatch):
+    seen = []
+    fit = quality.fit_scorer
+    monkeypatch.setattr(quality, "fit_scorer", lambda rows, labels: seen.append(len(rows)) or fit(rows, labels))
+    monkeypatch.setattr(quality, "SAMPLE", 30)
+    rows = [(i, f"text number {i} says {i * i}.") for i in range(100)] + [(200 + i, None) for i in range(100)] + [(400 + i, "the same again") for i in range(100)]
+    quality.train(frame(spark, rows))
+    monkeypatch.setattr(quality, "SAMPLE", 1000)
+    quality.train(frame(spark, rows))
+    assert seen == [30, 101]
+
+
 def test_labellers_recover_a_mixture():
     rng = np.random.default_rng(0)
     k = len(quality.LABELLERS)
