@@ -1,75 +1,54 @@
-"""Operator 7: line dedup by content-defined chunks of lines.
-
-A rolling hash over the hashes of following lines decides after which lines a
-chunk ends, so equal passages are cut alike wherever they stand, and inserted
-lines shift no border but the next.  Chunks of two lines or more that occur
-again anywhere in the corpus, later by (doc_id, place), are removed once their
-bytes have been compared with the first occurrence's.
+"""Operator 7: line dedup by rolling chunks of lines.
+
+A rolling hash sees every two following lines, so each border depends on the
+lines at it alone and equal passages are cut alike wherever they stand.  Every
+chunk that occurs earlier in the corpus, by (doc_id, place), leads to its first
+occurrence; chunks that overlap there as they do here are joined to one run,
+which so reaches as far in both directions as the lines are equal.  Runs are
+removed once their bytes have been compared with the first occurrence's: of a
+repeated passage of two lines or more, all lines go.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .store import bounded, drop, materialize, small_batches
 
-#: Lines that the rolling hash sees, and the mean number of lines of a chunk.
-ROLLING, MEAN_LINES = 2, 4
-#: Lines from which on a chunk can be removed.
-LEAST_LINES = 2
-
-
-def chunk_ends(parts: tv.Spans, h: np.ndarray) -> np.ndarray:
-    """Whether a chunk ends with each line; a text's last line always ends one."""
-    rolled = np.zeros(len(h), np.uint64)
-    g = tv.grams(h, ROLLING, salt=7)
-    rolled[ROLLING - 1 :] = g
-    own = tv.owners(parts)
-    cut = rolled % np.uint64(MEAN_LINES) == 0
-    cut[: ROLLING - 1] = False
-    # the first lines of a text have no full window behind them
-    cut[ROLLING - 1 :] &= own[ROLLING - 1 :] == own[: len(own) - ROLLING + 1]
-    last = parts.first[1:][tv.counts(parts) > 0] - 1
-    cut[last] = True
-    return cut
+#: Lines of a chunk, which the rolling hash sees: the shortest passage that can be removed.
+ROLLING = 2
 
 
-def _chunks(b: tv.Bytes, seed: int = 0) -> tuple[tv.Spans, np.ndarray, np.ndarray, np.ndarray]:
+def _chunks(b: tv.Bytes) -> tuple[tv.Spans, np.ndarray, np.ndarray, np.ndarray]:
     """Lines of a batch, the first line of each chunk, one past its last, and the text that it is of."""
     parts = tv.lines(b)
-    if not len(parts.start):
-        none = np.zeros(0, np.int64)
-        return parts, none, none, none
-    stop = np.flatnonzero(chunk_ends(parts, tv.hashes(b, parts))) + 1
-    start = np.concatenate([[0], stop[:-1]])
-    return parts, start, stop, tv.owners(parts)[start]
+    start = np.flatnonzero(tv.inside(parts, ROLLING))
+    return parts, start, start + ROLLING, tv.owners(parts)[start]
 
 
 def _keys(docs: DataFrame) -> DataFrame:
-    """Chunks of enough lines: doc_id, line (its first), lines, and two hashes of its bytes."""
+    """All chunks: doc_id, line (its first), and two hashes of its bytes."""
 
     def run(batches):
         for batch in batches:
             b = tv.Bytes.of(batch.column("text"))
             parts, start, stop, own = _chunks(b)
-            long = np.flatnonzero(stop - start >= LEAST_LINES)
-            start, stop, own = start[long], stop[long], own[long]
             whole = tv.Spans(parts.start[start], parts.end[stop - 1], parts.first)
             one, two = (tv.hashes(b, whole, seed=s) for s in (5, 6))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(own)), pa.array((start - parts.first[own]).astype(np.int32)), pa.array((stop - start).astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
-                names=["doc_id", "line", "lines", "h", "i"],
+                [batch.column("doc_id").take(pa.array(own)), pa.array((start - parts.first[own]).astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
+                names=["doc_id", "line", "h", "i"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, line int, lines int, h long, i long")
+    return docs.mapInArrow(run, "doc_id long, line int, h long, i long")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    """The bytes of wanted chunks; ``docs`` has the array ``wanted`` of struct<line, lines>."""
+    """The bytes of wanted runs; ``docs`` has the array ``wanted`` of struct<line, lines>."""
 
     def run(batches):
         for batch in batches:
@@ -84,35 +63,47 @@ def _texts(docs: DataFrame) -> DataFrame:
             own, line, n = own[fits], line[fits], n[fits]
             first = parts.first[own] + line
             text = [b.data[s:e].tobytes() for s, e in zip(parts.start[first].tolist(), parts.end[first + n - 1].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(own)), pa.array(line), pa.array(text, pa.binary())], names=["doc_id", "line", "bytes"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(own)), pa.array(line), pa.array(n), pa.array(text, pa.binary())], names=["doc_id", "line", "lines", "bytes"])
+
+    return docs.mapInArrow(run, "doc_id long, line int, lines int, bytes binary")
+
 
-    return docs.mapInArrow(run, "doc_id long, line int, bytes binary")
+def _runs(again: DataFrame) -> DataFrame:
+    """Chunks joined to runs that repeat one run of an earlier place: doc_id, line, lines, of, at."""
+    again = again.withColumn("shift", F.col("at") - F.col("line"))
+    # following lines less their rank are one number; repeated rows share a rank
+    island = F.col("line") - F.dense_rank().over(Window.partitionBy("doc_id", "of", "shift").orderBy("line"))
+    runs = again.withColumn("island", island).groupBy("doc_id", "of", "shift", "island").agg(F.min("line").alias("line"), (F.max("line") - F.min("line") + ROLLING).alias("lines"))
+    return runs.select("doc_id", "line", "lines", "of", (F.col("line") + F.col("shift")).alias("at"))
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, gone): of each document the chunks to remove, as structs of first line and lines."""
+    """(doc_id, gone): of each document the runs to remove, as structs of first line and lines."""
     keyed = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keys = materialize(_keys(keyed).distinct(), "chunks")
-    first = keys.groupBy("h", "i").agg(F.min(F.struct("doc_id", "line")).alias("f"), F.count("*").alias("n")).filter("n > 1")
+    keys = materialize(_keys(keyed), "chunks")
+    spot = F.struct("doc_id", "line")
+    first = keys.groupBy("h", "i").agg(F.min(spot).alias("f"), F.max(spot).alias("l")).filter("f <> l")
     first = first.select("h", "i", F.col("f.doc_id").alias("of"), F.col("f.line").alias("at"))
-    again = materialize(keys.join(first, ["h", "i"]), "again")
+    again = keys.join(first, ["h", "i"]).filter("doc_id <> of or line <> at").select("doc_id", "line", "of", "at")
+    runs = materialize(_runs(again), "runs")
     place = F.struct("line", "lines")
-    wanted = materialize(again.groupBy("doc_id").agg(F.collect_set(place).alias("wanted")), "wanted")
+    places = runs.select("doc_id", "line", "lines").union(runs.select("of", "at", "lines").distinct())
+    wanted = materialize(places.groupBy("doc_id").agg(F.collect_set(place).alias("wanted")), "wanted")
     narrow = bounded(wanted.select(F.col("doc_id").alias("_id")))
     texts = keyed.join(narrow, F.col("doc_id") == F.col("_id"), "left_semi").join(wanted, "doc_id")
-    texts = materialize(_texts(texts).dropDuplicates(["doc_id", "line"]), "texts")
-    firsts = texts.select(F.col("doc_id").alias("of"), F.col("line").alias("at"), F.col("bytes").alias("first_bytes"))
-    later = again.filter("doc_id <> of or line <> at").join(texts, ["doc_id", "line"]).join(firsts, ["of", "at"])
+    texts = materialize(_texts(texts).dropDuplicates(["doc_id", "line", "lines"]), "texts")
+    firsts = texts.select(F.col("doc_id").alias("of"), F.col("line").alias("at"), "lines", F.col("bytes").alias("first_bytes"))
+    later = runs.join(texts, ["doc_id", "line", "lines"]).join(firsts, ["of", "at", "lines"])
     out = materialize(later.filter("bytes = first_bytes").groupBy("doc_id").agg(F.collect_set(place).alias("gone")), "gone")
-    drop(keys, again, wanted, texts)
+    drop(keys, runs, wanted, texts)
     return out
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` (doc_id, text), text without repeated chunks, and n_lines and n_removed.
+    """All columns of ``docs`` (doc_id, text), text without repeated runs of lines, and n_lines and n_removed.
 
     Lines are what stands between line feeds.  Null texts stay null and empty
-    ones empty, with no lines; a text all of whose chunks are removed becomes
+    ones empty, with no lines; a text all of whose lines are removed becomes
     empty.  Rows without doc_id stay as they are; repeated rows of a document
     count as one and are cut alike.  Columns named as the new ones are
     replaced; an empty table gives an empty one.

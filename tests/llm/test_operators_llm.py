@@ -349,6 +349,20 @@ def test_line_chunks_against_brute_force(spark):
     assert got == brute_chunks(rows) and any(n for _, _, n in got.values())
 
 
+def test_planted_passages_of_two_to_eight_lines_go_whole(spark):
+    rows, want = [], {}
+    for n in range(2, 9):
+        for k in range(12):
+            passage = [f"passage {n} {k} line {x}" for x in range(n)]
+            for copy in range(3):
+                i = 1000 * copy + 100 * n + k
+                before, after = ([f"own {i} {side} {x}" for x in range((i + copy) % 4)] for side in "ab")
+                rows.append((i, "\n".join(before + passage + after)))
+                want[i] = "\n".join(before + (passage if copy == 0 else []) + after)
+    got = {r["doc_id"]: r["text"] for r in line_chunks.dedup_lines(frame(spark, rows)).collect()}
+    assert got == want
+
+
 def test_line_chunks_odd_rows(spark):
     got = line_chunks.dedup_lines(frame(spark)).collect()
     assert len(got) == len(ODD) and [r["text"] for r in got if r["doc_id"] == 1] == [None] and got[0]["kind"] == "mine"
