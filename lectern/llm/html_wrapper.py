@@ -44,8 +44,6 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _WORDS = {k: re.compile(rf"(?:^|[\s_-])(?:{v})(?:$|[\s_-])", re.I) for k, v in (("any", ANYWHERE), ("out", OUTSIDE))}
-#: Deeper elements hang from the element at this depth.
-DEPTH = 150
 #: Children left on either side, multiplied, beyond which tags are paired in order only.
 WIDE = 40_000
 #: A text is template if so large a part of at least so many aligned pages have it.
@@ -55,21 +53,29 @@ CONSTANT, PAGES = 0.9, 5
 class Node:
     """An element, or a text (tag ``#``)."""
 
-    __slots__ = ("tag", "text", "marks", "children", "shape", "number")
+    __slots__ = ("tag", "text", "marks", "children", "shape", "number", "size")
 
     def __init__(self, tag: str, text: str = "", marks: str = ""):
         self.tag, self.text, self.marks = tag, text, marks
         self.children: list[Node] = []
         self.shape = 0
         self.number = -1
+        self.size = 1
 
 
 def parse(html: str) -> Node:
     """The tree of a page; unclosed and stray tags are borne as browsers do."""
     root = Node("#root")
     path = [root]
+    opened: dict[str, int] = {}
     at = 0
     lower = None
+
+    def leave(i: int) -> None:
+        for node in path[i:]:
+            opened[node.tag] -= 1
+        del path[i:]
+
     for_ever = _TOKEN.search
     while True:
         m = for_ever(html, at)
@@ -86,15 +92,15 @@ def parse(html: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            for i in range(len(path) - 1, 0, -1):
+            for i in range(len(path) - 1, 0, -1) if opened.get(tag) else ():
                 if path[i].tag == tag:
-                    del path[i:]
+                    leave(i)
                     break
             continue
         if tag in CLOSES_P:
-            for i in range(len(path) - 1, 0, -1):
+            for i in range(len(path) - 1, 0, -1) if opened.get("p") else ():
                 if path[i].tag == "p":
-                    del path[i:]
+                    leave(i)
                     break
                 if path[i].tag not in INLINE:
                     break
@@ -102,7 +108,7 @@ def parse(html: str) -> Node:
             closes = SIBLINGS[tag].split()
             for i in range(len(path) - 1, 0, -1):
                 if path[i].tag in closes:
-                    del path[i:]
+                    leave(i)
                     break
                 if path[i].tag in SCOPES:
                     break
@@ -112,8 +118,9 @@ def parse(html: str) -> Node:
             lower = lower or html.lower()
             end = lower.find("</" + tag, at)
             at = len(html) if end < 0 else end
-        elif tag not in VOID and not m[3].endswith("/") and len(path) < DEPTH:
+        elif tag not in VOID and not m[3].endswith("/"):
             path.append(node)
+            opened[tag] = opened.get(tag, 0) + 1
     _shapes(root)
     return root
 
@@ -128,18 +135,23 @@ def _shapes(root: Node) -> None:
         todo.extend(reversed(node.children))
     for node in reversed(order):
         node.shape = hash((node.tag, tuple([c.shape for c in node.children])))
+        node.size = 1 + sum([c.size for c in node.children])
 
 
-def _pair(a: list[Node], b: list[Node], memo: dict) -> list[tuple[Node, Node]]:
-    """Which children are matched: head and tail of equal shape first, which loses nothing, then by tables."""
-    out = []
+def _middle(a: list[Node], b: list[Node]) -> tuple[int, int, int]:
+    """How many children of equal shape stand at the head, and where each side's tail of such begins."""
     i, m, n = 0, len(a), len(b)
     while i < m and i < n and a[i].shape == b[i].shape:
-        out.append((a[i], b[i]))
         i += 1
     while m > i and n > i and a[m - 1].shape == b[n - 1].shape:
         m, n = m - 1, n - 1
-        out.append((a[m], b[n]))
+    return i, m, n
+
+
+def _pair(a: list[Node], b: list[Node], memo: dict) -> list[tuple[Node, Node]]:
+    """Which children are matched: head and tail of equal shape first, which loses nothing, then by tables."""
+    i, m, n = _middle(a, b)
+    out = [*zip(a[:i], b[:i]), *zip(a[m:], b[n:])]
     a, b = a[i:m], b[i:n]
     if not a or not b:
         return out
@@ -157,7 +169,7 @@ def _pair(a: list[Node], b: list[Node], memo: dict) -> list[tuple[Node, Node]]:
         for y in range(len(b) - 1, -1, -1):
             best = below[y] if below[y] > row[y + 1] else row[y + 1]
             if a[x].tag == b[y].tag:
-                best = max(best, below[y + 1] + _score(a[x], b[y], memo))
+                best = max(best, below[y + 1] + memo[a[x].shape, b[y].shape])
             row[y] = best
     x = y = 0
     while x < len(a) and y < len(b):
@@ -172,20 +184,35 @@ def _pair(a: list[Node], b: list[Node], memo: dict) -> list[tuple[Node, Node]]:
 
 
 def _size(node: Node) -> int:
-    return 1 + sum(map(_size, node.children))
+    return node.size
 
 
 def _score(a: Node, b: Node, memo: dict) -> int:
-    """Nodes of the largest matching of two trees whose roots have one tag."""
-    key = (a.number, b.number)
-    if key not in memo:
-        memo[key] = _size(a) if a.shape == b.shape else 1 + sum(_score(x, y, memo) for x, y in _pair(a.children, b.children, memo))
-    return memo[key]
+    """Nodes of the largest matching of two trees whose roots have one tag; ``memo`` gets those of all pairs below by shapes."""
+    order, todo = [], [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        key = (x.shape, y.shape)
+        if key in memo:
+            continue
+        memo[key] = x.size
+        if x.shape == y.shape:
+            continue
+        order.append((x, y))
+        i, m, n = _middle(x.children, y.children)
+        right = {q.shape: q for q in y.children[i:n]}.values()
+        todo.extend((p, q) for p in {p.shape: p for p in x.children[i:m]}.values() for q in right if p.tag == q.tag)
+    # a pair is met before what only it needs, but shared ones may be met early: lower trees first
+    order.sort(key=lambda pair: pair[0].size)
+    for x, y in order:
+        memo[x.shape, y.shape] = 1 + sum([p.size if p.shape == q.shape else memo[p.shape, q.shape] for p, q in _pair(x.children, y.children, memo)])
+    return memo[a.shape, b.shape]
 
 
 def align(page: Node, reference: Node) -> dict[int, Node]:
     """Reference node of each matched page node, by simple tree matching."""
     out, memo, todo = {}, {}, [(page, reference)]
+    _score(page, reference, memo)
     while todo:
         a, b = todo.pop()
         out[a.number] = b
@@ -236,26 +263,29 @@ def blocks(page: Node, aligned: dict[int, Node]) -> list[tuple[str, int, bool]]:
             out.append((text, -1 if found[0] is None else found[0].number, same, within))
         parts.clear()
 
-    def walk(node: Node, within: int) -> None:
-        nonlocal most
-        for child in node.children:
-            if child.tag == "#":
-                parts.append(child)
-            elif child.tag == "br":
+    # each open element: its children that are left, and the rank within which it stands; a block one is closed at its end
+    todo = [(iter(page.children), 0, False)]
+    while todo:
+        children, within, block = todo[-1]
+        child = next(children, None)
+        if child is None:
+            todo.pop()
+            if block:
                 close(within)
-            elif _furniture(child, within > 0):
-                if child.tag not in INLINE:
-                    close(within)
-            elif child.tag in INLINE:
-                walk(child, within)
-            else:
+        elif child.tag == "#":
+            parts.append(child)
+        elif child.tag == "br":
+            close(within)
+        elif _furniture(child, within > 0):
+            if child.tag not in INLINE:
                 close(within)
-                inner = max(within, _main_rank(child))
-                most = max(most, inner)
-                walk(child, inner)
-                close(inner)
-
-    walk(page, 0)
+        elif child.tag in INLINE:
+            todo.append((iter(child.children), within, False))
+        else:
+            close(within)
+            inner = max(within, _main_rank(child))
+            most = max(most, inner)
+            todo.append((iter(child.children), inner, True))
     close(0)
     return [(t, n, s) for t, n, s, within in out if within == most]
 

@@ -228,6 +228,15 @@ def test_tree_matching_is_the_largest():
     assert html_wrapper._score(a, html_wrapper.parse("<div><p>9</p><ul><li>w</li></ul><p>8</p></div>"), {}) == html_wrapper._size(a)
 
 
+def test_deep_pages_keep_their_structure(spark):
+    deep = "<div><article>" + "<div>" * 200 + "deep" + "</div>" * 200 + "<p>rest</p></article></div>"
+    nav = "<div>" * 300 + "<nav>Menu</nav>text" + "</div>" * 300
+    hosts = [(1, "http://a/", deep), (2, "http://b/", nav), (3, "http://c/", "<div>" * 20000 + "x"), (4, "http://c/", "<div>" * 19000 + "<p>y" + "</div>" * 100 + "z")]
+    df = spark.createDataFrame(hosts, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_wrapper.main_text(df).collect()}
+    assert got == {1: "deep\nrest", 2: "text", 3: "x", 4: "y\nz"}
+
+
 # --- 5 ---
 
 
