@@ -12,9 +12,11 @@ within it counts.
 
 from __future__ import annotations
 
+import math
 import re
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +46,8 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _WORDS = {k: re.compile(rf"(?:^|[\s_-])(?:{v})(?:$|[\s_-])", re.I) for k, v in (("any", ANYWHERE), ("out", OUTSIDE))}
-#: Children left on either side, multiplied, beyond which tags are paired in order only.
-WIDE = 40_000
+#: Children left on either side, multiplied, beyond which the same table is filled by array arithmetic, some rows at a time.
+WIDE = 4_000
 #: A text is template if so large a part of at least so many aligned pages have it.
 CONSTANT, PAGES = 0.9, 5
 
@@ -156,13 +158,7 @@ def _pair(a: list[Node], b: list[Node], memo: dict) -> list[tuple[Node, Node]]:
     if not a or not b:
         return out
     if len(a) * len(b) > WIDE:
-        j = 0
-        for x in a:
-            k = next((k for k in range(j, min(j + 64, len(b))) if b[k].tag == x.tag), None)
-            if k is not None:
-                out.append((x, b[k]))
-                j = k + 1
-        return out
+        return out + _pair_wide(a, b, memo)
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for x in range(len(a) - 1, -1, -1):
         row, below = table[x], table[x + 1]
@@ -183,6 +179,44 @@ def _pair(a: list[Node], b: list[Node], memo: dict) -> list[tuple[Node, Node]]:
     return out
 
 
+def _pair_wide(a: list[Node], b: list[Node], memo: dict) -> list[tuple[Node, Node]]:
+    """The pairs that the whole table gives, with about a square root of its rows held at once."""
+    kinds = {q.shape: q for q in b}
+    place = {shape: i for i, shape in enumerate(kinds)}
+    index = np.array([place[q.shape] for q in b])
+    gains: dict[int, np.ndarray] = {}
+
+    def above(below: np.ndarray, p: Node) -> np.ndarray:
+        if p.shape not in gains:
+            gains[p.shape] = np.array([memo[p.shape, shape] if p.tag == q.tag else 0 for shape, q in kinds.items()])
+        best = np.maximum(below[:-1], below[1:] + gains[p.shape][index])
+        return np.append(np.maximum.accumulate(best[::-1])[::-1], 0)
+
+    step = math.isqrt(len(a)) + 1
+    row, kept = np.zeros(len(b) + 1, np.int64), {}
+    for x in range(len(a), 0, -1):
+        if x % step == 0 or x == len(a):
+            kept[x] = row
+        row = above(row, a[x - 1])
+    out, x, y = [], 0, 0
+    for start in range(0, len(a), step):
+        stop = min(start + step, len(a))
+        table = [kept.pop(stop)]
+        for p in reversed(a[start:stop]):
+            table.append(above(table[-1], p))
+        table.reverse()
+        while x < stop and y < len(b):
+            here, below = table[x - start], table[x - start + 1]
+            if here[y] == below[y]:
+                x += 1
+            elif here[y] == here[y + 1]:
+                y += 1
+            else:
+                out.append((a[x], b[y]))
+                x, y = x + 1, y + 1
+    return out
+
+
 def _size(node: Node) -> int:
     return node.size
 

@@ -237,6 +237,23 @@ def test_deep_pages_keep_their_structure(spark):
     assert got == {1: "deep\nrest", 2: "text", 3: "x", 4: "y\nz"}
 
 
+def test_wide_pages_are_matched_as_narrow_ones(monkeypatch):
+    tail = "<div class=x>note</div><p>end <b>e</b>"
+    page = html_wrapper.parse("<div>" + "<p>some <b>bold</b> words" * 2500 + tail + "</div>")
+    reference = html_wrapper.parse("<div>" + "<p>plain" * 20 + tail.replace("<b>e</b>", "e") + "</div>")
+    found = html_wrapper.align(page, reference)
+    assert any(r.tag == "div" and r.marks for r in found.values()) and len(found) == html_wrapper._score(page, reference, {})
+    rng = random.Random(5)
+    some = lambda n: html_wrapper.parse("".join(f"<{t}>{rng.choice(['', 'x', '<i>x</i>', '<i>x</i>y'])}</{t}>" for t in rng.choices(["div", "b", "ul"], k=n)))
+    for n in (5, 30, 60):
+        page, reference = some(n), some(n + 7)
+        both = []
+        for wide in (0, 10**9):
+            monkeypatch.setattr(html_wrapper, "WIDE", wide)
+            both.append({k: r.number for k, r in html_wrapper.align(page, reference).items()})
+        assert both[0] == both[1]
+
+
 # --- 5 ---
 
 
