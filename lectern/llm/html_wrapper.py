@@ -1,27 +1,29 @@
 """Operator 4: main text of web pages by wrapper induction.
 
-For every host one page is the reference.  Each page's DOM tree is aligned
-with its host's reference tree by simple tree matching (the largest order-
-preserving matching of children with equal tags, top down).  Over all distinct
-pages of the host, a reference text that is the same in nearly all aligned
-pages is template; slots whose text varies are content.  Parts that HTML marks
-as no content (menus, footers, forms, adverts, comments ...) go by their tags,
-roles and classes, and where a page has an article or main element, only text
-within it counts.
+For every host the pages of its most frequent layouts are references: those
+whose trees are alike are merged to one tree that has the slots of all, others
+stay apart.  Each page's DOM tree is aligned with the most alike of its host's
+trees by simple tree matching (the largest order-preserving matching of
+children with equal tags, top down).  Over all distinct pages aligned with a
+tree, a slot that has one text in nearly all of them is template; slots whose
+text varies are content.  Parts that HTML marks as no content (menus, footers,
+forms, adverts, comments ...) go by their tags, roles and classes, and where a
+page has an article or main element, only text within it counts.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from html import unescape
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import materialize, small_batches
+from .store import bounded, materialize, small_batches
 
 # HTML element names, roles, and class words of page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,6 +52,8 @@ _WORDS = {k: re.compile(rf"(?:^|[\s_-])(?:{v})(?:$|[\s_-])", re.I) for k, v in (
 WIDE = 4_000
 #: A text is template if so large a part of at least so many aligned pages have it.
 CONSTANT, PAGES = 0.9, 5
+#: References of a host at most, the depth to which tags tell layouts apart, and the likeness from which trees are merged.
+LAYOUTS, OUTLINE, ALIKE = 8, 4, 0.6
 
 
 class Node:
@@ -127,12 +131,12 @@ def parse(html: str) -> Node:
     return root
 
 
-def _shapes(root: Node) -> None:
-    """Numbers nodes in page order and gives equal subtrees, texts aside, equal shapes."""
+def _shapes(root: Node, base: int = 0) -> None:
+    """Numbers nodes in page order from a base on and gives equal subtrees, texts aside, equal shapes."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
-        node.number = len(order)
+        node.number = base + len(order)
         order.append(node)
         todo.extend(reversed(node.children))
     for node in reversed(order):
@@ -243,9 +247,10 @@ def _score(a: Node, b: Node, memo: dict) -> int:
     return memo[a.shape, b.shape]
 
 
-def align(page: Node, reference: Node) -> dict[int, Node]:
+def align(page: Node, reference: Node, memo: dict | None = None) -> dict[int, Node]:
     """Reference node of each matched page node, by simple tree matching."""
-    out, memo, todo = {}, {}, [(page, reference)]
+    memo = {} if memo is None else memo
+    out, todo = {}, [(page, reference)]
     _score(page, reference, memo)
     while todo:
         a, b = todo.pop()
@@ -254,6 +259,68 @@ def align(page: Node, reference: Node) -> dict[int, Node]:
     return out
 
 
+def outline(page: Node) -> int:
+    """A hash of which tags stand on which paths near the root, however often."""
+    paths, todo = set(), [(page, "", 0)]
+    while todo:
+        node, path, depth = todo.pop()
+        for child in node.children:
+            if child.tag != "#" and child.tag not in INLINE:
+                paths.add(below := f"{path}/{child.tag}")
+                if depth + 1 < OUTLINE:
+                    todo.append((child, below, depth + 1))
+    return int.from_bytes(hashlib.blake2b(" ".join(sorted(paths)).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def nearest(page: Node, trees: list[Node]) -> tuple[float, Node, dict]:
+    """The tree most alike to a page, the first among equals: likeness, tree and its scores."""
+    best = None
+    for tree in trees:
+        memo: dict = {}
+        alike = 2 * _score(page, tree, memo) / (page.size + tree.size)
+        if best is None or alike > best[0]:
+            best = alike, tree, memo
+    return best
+
+
+def grow(tree: Node, page: Node) -> None:
+    """Adds the page's unmatched nodes to the tree, each after what it follows in the page."""
+    found = align(page, tree)
+    todo = [page]
+    while todo:
+        node = todo.pop()
+        slots = found[node.number].children
+        at = {id(slot): i for i, slot in enumerate(slots)}
+        after: dict[int, list[Node]] = {}
+        last = -1
+        for child in node.children:
+            if child.number in found:
+                last = at[id(found[child.number])]
+                todo.append(child)
+            else:
+                after.setdefault(last, []).append(child)
+        if after:
+            slots[:] = [*after.get(-1, ()), *(x for i, slot in enumerate(slots) for x in (slot, *after.get(i, ())))]
+    _shapes(tree)
+
+
+def induce(references: list[str]) -> list[Node]:
+    """The trees of a host's references, alike ones merged; all their nodes have numbers of their own."""
+    trees: list[Node] = []
+    for html in references:
+        page = parse(html)
+        if trees and (found := nearest(page, trees))[0] >= ALIKE:
+            grow(found[1], page)
+        else:
+            trees.append(page)
+    trees = trees or [parse("")]
+    base = 0
+    for tree in trees:
+        _shapes(tree, base)
+        base += tree.size
+    return trees
+
+
 def _furniture(node: Node, within: bool) -> bool:
     if node.tag in FURNITURE or node.tag == "header" and not within:
         return True
@@ -278,9 +345,9 @@ def _main_rank(node: Node) -> int:
     return int(node.tag == "main" or "role" in node.marks and bool(re.search(r"role\s*=\s*[\"']?main", node.marks)))
 
 
-def blocks(page: Node, aligned: dict[int, Node]) -> list[tuple[str, int, bool]]:
-    """The page's candidate blocks: text, reference node of its first text, whether all its texts are the reference's."""
-    out: list[tuple[str, int, bool, int]] = []
+def blocks(page: Node, aligned: dict[int, Node]) -> list[tuple[str, int]]:
+    """The page's candidate blocks: text, and reference node of its first text."""
+    out: list[tuple[str, int, int]] = []
     parts: list[Node] = []
     most = 0
 
@@ -292,9 +359,8 @@ def blocks(page: Node, aligned: dict[int, Node]) -> list[tuple[str, int, bool]]:
             for p in parts:
                 text += " " * (bool(text) and bool(p.text) and (gap or "s" in p.marks)) + p.text
                 gap = "e" in p.marks or gap and not p.text
-            found = [aligned.get(p.number) for p in texts]
-            same = all(r is not None and r.text == p.text for r, p in zip(found, texts))
-            out.append((text, -1 if found[0] is None else found[0].number, same, within))
+            first = aligned.get(texts[0].number)
+            out.append((text, -1 if first is None else first.number, within))
         parts.clear()
 
     # each open element: its children that are left, and the rank within which it stands; a block one is closed at its end
@@ -321,7 +387,7 @@ def blocks(page: Node, aligned: dict[int, Node]) -> list[tuple[str, int, bool]]:
             most = max(most, inner)
             todo.append((iter(child.children), inner, True))
     close(0)
-    return [(t, n, s) for t, n, s, within in out if within == most]
+    return [(t, n) for t, n, within in out if within == most]
 
 
 def _host(url):
@@ -333,11 +399,21 @@ BROADCAST = 32 << 20
 
 
 def _references(rows: DataFrame) -> DataFrame:
-    """One page of each host: its shortest that is not empty, by a fixed order among equals."""
-    light = rows.filter("length(html) > 0").groupBy("host").agg(F.min(F.struct(F.length("html").alias("n"), F.xxhash64("html").alias("key"))).alias("least"))
-    light = light.select(F.col("host").alias("_host"), F.col("least.key").alias("_key"))
-    found = rows.join(light, (F.col("host") == F.col("_host")) & (F.xxhash64("html") == F.col("_key")))
-    return found.groupBy("host").agg(F.min("html").alias("reference"))
+    """(host, references): the shortest page of each of a host's most frequent outlines, in that order; no empty ones."""
+
+    def run(batches):
+        for batch in batches:
+            found = [outline(parse(html)) for html in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("host", "key", "n")), pa.array(found, pa.int64())], names=["host", "key", "n", "outline"])
+
+    filled = rows.filter("length(html) > 0").withColumns({"key": F.xxhash64("html"), "n": F.length("html")})
+    outlines = filled.select("host", "key", "n", "html").mapInArrow(run, "host string, key long, n int, outline long").distinct()
+    layouts = outlines.groupBy("host", "outline").agg(F.count("*").alias("pages"), F.min(F.struct("n", "key")).alias("least"))
+    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("pages"), "outline"))
+    chosen = layouts.withColumn("rank", rank).filter(F.col("rank") <= LAYOUTS).select(F.col("host").alias("_host"), F.col("least.key").alias("_key"), "rank")
+    chosen = bounded(materialize(chosen, "layouts"), BROADCAST >> 7)
+    found = filled.join(chosen, (F.col("host") == F.col("_host")) & (F.col("key") == F.col("_key"))).groupBy("host", "rank").agg(F.min("html").alias("html"))
+    return found.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "html"))), lambda r: r["html"]).alias("references"))
 
 
 def _bounded(table: DataFrame, size: str, most: int) -> DataFrame:
@@ -358,34 +434,37 @@ def main_text(pages: DataFrame) -> DataFrame:
     small_batches(pages.sparkSession, 500)
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), _host(F.col("url")).alias("host"))
     refs = materialize(_references(rows), "references")
-    refs = _bounded(refs, "length(reference)", BROADCAST)
+    refs = _bounded(refs, "aggregate(references, 0L, (n, r) -> n + length(r))", BROADCAST)
     rows = rows.join(refs, "host", "left").withColumn("copy", F.xxhash64("html"))
 
     def run(batches):
-        kept: dict[str, Node] = {}
+        kept: dict[str, list[Node]] = {}
         for batch in batches:
             found = []
-            for html, host, ref in zip(*(batch.column(c).to_pylist() for c in ("html", "host", "reference"))):
+            references = batch.column("references")
+            for i, (html, host) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("html", "host")))):
                 if host not in kept:
                     if len(kept) > 200:
                         kept.clear()
-                    kept[host] = parse(ref or "")
+                    kept[host] = induce(references[i].as_py() or [])
                 page = parse(html)
-                found.append([{"t": t, "n": n, "s": s} for t, n, s in blocks(page, align(page, kept[host]))])
-            kind = pa.list_(pa.struct([("t", pa.string()), ("n", pa.int32()), ("s", pa.bool_())]))
+                _, tree, memo = nearest(page, kept[host])
+                found.append([{"t": t, "n": n} for t, n in blocks(page, align(page, tree, memo))])
+            kind = pa.list_(pa.struct([("t", pa.string()), ("n", pa.int32())]))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host", "copy")), pa.array(found, kind)], names=["page_id", "url", "host", "copy", "blocks"])
 
     ids = rows.schema["page_id"].dataType.simpleString()
-    schema = f"page_id {ids}, url string, host string, copy long, blocks array<struct<t: string, n: int, s: boolean>>"
+    schema = f"page_id {ids}, url string, host string, copy long, blocks array<struct<t: string, n: int>>"
     cut = materialize(rows.mapInArrow(run, schema), "blocks")
     # copies of a page say nothing about its host's template: each distinct page counts once
-    seen = cut.select("host", "copy", F.explode("blocks").alias("b")).filter("b.n >= 0").select("host", "copy", "b.n", "b.s").distinct()
-    template = seen.groupBy("host", "n").agg(F.count("*").alias("pages"), F.count(F.when(F.col("s"), 1)).alias("same"))
-    template = template.filter((F.col("pages") >= PAGES) & (F.col("same") >= CONSTANT * F.col("pages")))
-    template = materialize(template.groupBy("host").agg(F.collect_list("n").alias("constant")), "template")
-    cut = cut.join(_bounded(template, "size(constant)", BROADCAST // 8), "host", "left")
-    constant = F.coalesce("constant", F.array().cast("array<int>"))
-    content = F.filter("blocks", lambda b: ~(b["s"] & F.array_contains(constant, b["n"])))
+    seen = cut.select("host", "copy", F.explode("blocks").alias("b")).filter("b.n >= 0").select("host", "copy", "b.n", F.xxhash64("b.t").alias("t")).distinct()
+    said = seen.groupBy("host", "n", "t").agg(F.count("*").alias("same"))
+    template = said.groupBy("host", "n").agg(F.sum("same").alias("pages"), F.max(F.struct("same", "t")).alias("most"))
+    template = template.filter((F.col("pages") >= PAGES) & (F.col("most.same") >= CONSTANT * F.col("pages")))
+    template = materialize(template.groupBy("host").agg(F.collect_list(F.struct("n", F.col("most.t").alias("t"))).alias("constant")), "template")
+    cut = cut.join(_bounded(template, "size(constant)", BROADCAST // 24), "host", "left")
+    constant = F.coalesce("constant", F.array().cast("array<struct<n: int, t: bigint>>"))
+    content = F.filter("blocks", lambda b: ~F.array_contains(constant, F.struct(b["n"].alias("n"), F.xxhash64(b["t"]).alias("t"))))
     text = F.array_join(F.transform(content, lambda b: b["t"]), "\n")
     return cut.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 

@@ -237,6 +237,17 @@ def test_deep_pages_keep_their_structure(spark):
     assert got == {1: "deep\nrest", 2: "text", 3: "x", 4: "y\nz"}
 
 
+def test_no_stub_and_no_layout_hides_the_template_of_another(spark):
+    layouts = (
+        "<div><b>Brand</b></div><div><span>Our slogan</span></div><section><h2>Title {i}</h2><p>story {i}</p><p>more {i}</p></section><div>About us</div>",
+        "<table><tr><td>Left {i}<td>Shop rules</table><ul><li>item {i}<li>thing {i}</ul><dl><dt>Prices<dd>cost {i}</dl>",
+    )
+    rows = [(i, "http://a/", "<html><body>" + layouts[i % 2].replace("{i}", str(i)) + "</body></html>") for i in range(40)]
+    rows.append((100, "http://a/", "<p>gone"))
+    got = {r["page_id"]: r["text"] for r in html_wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i}\nstory {i}\nmore {i}" if i % 2 == 0 else f"Left {i}\nitem {i}\nthing {i}\ncost {i}" for i in range(40)} | {100: "gone"}
+
+
 def test_wide_pages_are_matched_as_narrow_ones(monkeypatch):
     tail = "<div class=x>note</div><p>end <b>e</b>"
     page = html_wrapper.parse("<div>" + "<p>some <b>bold</b> words" * 2500 + tail + "</div>")
