@@ -540,3 +540,31 @@ def test_pipeline(spark, sf):
     for name, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, sf)
     assert empty.count() == 0
+
+
+def test_stages_keep_documents_without_id_and_one_of_each_class(spark, model):
+    import corpus_pipeline
+
+    rows = corpus(80) + [(None, "only here " * 9), (None, "only here " * 9), (None, "quite another text of its own"), (5, None), (900, "a b c d e f"), (900, "a b c d e f"), (901, "a b c d e f")]
+    rows += [(None, "a b c d e f")]
+    docs = spark.createDataFrame([(i, t, "en", "s" + str(n % 3), len(t or "")) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    ids = [(10**6 + n if i is None else i, t) for n, (i, t) in enumerate(rows)]
+    texts = collections.defaultdict(list)
+    for i, t in ids:
+        texts[i].append(t)
+    whole = {i: min(ts, key=lambda t: t or "") for i, ts in texts.items()}
+    classes = brute_classes(sorted((i, t) for i, t in whole.items() if i != 5), 5, 80)
+    want = collections.Counter((None if i >= 10**6 else i, whole[i]) for i, (_, c) in classes.items() if c == i)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").cache()
+    got = collections.Counter((r["doc_id"], r["text"]) for r in kept.collect() if r["doc_id"] != 5)
+    assert got == want and sum(r["doc_id"] == 5 for r in kept.collect()) == 1 and (None, "quite another text of its own") in got
+
+    mixed = collections.Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.mix(spark, kept, "").collect())
+    plan = mixing.allocate(corpus_pipeline.numbered(kept)).collect()
+    assert sum(mixed.values()) == sum(len(r["positions"]) for r in plan)
+    assert sum(n for (i, _), n in mixed.items() if i is None) == sum(len(r["positions"]) for r in plan if r["doc_id"] > 901) > 0
+
+    library = sentencepiece_bpe.PieceCoder(model).library
+    coded = collections.Counter((r["doc_id"], r["n_tokens"], r["round_trip"]) for r in corpus_pipeline.tokens(spark, kept, "").collect())
+    pieces = {(r["doc_id"], r["text"]): library.encode(r["text"] or "") for r in kept.collect()}
+    assert coded == collections.Counter((i, len(p), library.decode(p) == (t or "")) for (i, t), p in pieces.items())
