@@ -1,7 +1,7 @@
 """Operator 2: SimHash document fingerprints, by DataFrame operations only.
 
-The distinct terms of a text vote with their weights on 128 signed bits: a set
-bit of the term's hash counts for, a clear one against; the fingerprint has the
+The terms of a text vote, as often as they occur, with their weights on 128
+signed bits: a set bit of the term's hash counts for, a clear one against; the fingerprint has the
 signs.  Votes for two bits travel in one long, as halves that cannot overflow,
 so a document needs 64 sums, made while its terms are generated.
 
@@ -18,7 +18,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import bounded, materialize
 
 SPACES = r"[\x20\x09-\x0D]+"
 #: Seeds of the two 64-bit halves of a term's hash.
@@ -30,8 +30,8 @@ RANGE_ROWS, RANGES = 500, 4096
 
 
 def _terms(text: Column) -> Column:
-    """The distinct lower-case words of a text."""
-    return F.array_distinct(F.split(F.lower(text), SPACES))
+    """The lower-case words of a text, each as often as it occurs."""
+    return F.split(F.lower(text), SPACES)
 
 
 def _hash(term: Column, seed: int) -> Column:
@@ -120,6 +120,13 @@ def near_fingerprints(prints: DataFrame, radius: int = 3, spare: int = 3, salts:
     return pairs.filter(F.col("bits") <= radius).select("high_a", "low_a", "high_b", "low_b", "bits").distinct()
 
 
+def near_counts(prints: DataFrame, radius: int = 3) -> DataFrame:
+    """(high, low, n_near): how many other fingerprints are within the radius, of those that have any."""
+    pairs = near_fingerprints(prints, radius)
+    sides = F.explode(F.array(*[F.struct(F.col(f"high_{x}").alias("high"), F.col(f"low_{x}").alias("low")) for x in "ab"]))
+    return pairs.select(sides.alias("p")).groupBy("p.high", "p.low").agg(F.count("*").alias("n_near"))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Each row with its range, its number in it, and the text of the next row by doc_id.
 
@@ -174,7 +181,8 @@ def compare_edited(docs: DataFrame) -> DataFrame:
 
     ``docs`` has doc_id and text; a null text counts as empty; other columns
     are ignored.  Repeated rows stand side by side; a single row is its own
-    next.  Two texts without terms are alike.
+    next.  Two texts without terms are alike.  n_near is the number of other
+    fingerprints of the table within three bits, found by the block tables.
     """
     rows = with_next(docs)
     rows = rows.withColumn("edited", F.when(F.col("ghost") == 0, edited(F.col("text"), F.coalesce("next_text", F.lit("")))))
@@ -189,10 +197,13 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     both = prints.groupBy(*keys[:-1]).agg(of(0, "high").alias("high"), of(0, "low").alias("low"), of(1, "high").alias("e_high"), of(1, "low").alias("e_low"))
     order = Window.partitionBy("range").orderBy("nth")
     both = both.withColumns({"n_high": F.lead("high").over(order), "n_low": F.lead("low").over(order)}).filter("ghost = 0")
+    near = bounded(materialize(near_counts(prints.filter("kind = 0")), "near").select(F.col("high").alias("_high"), F.col("low").alias("_low"), "n_near"))
+    both = both.join(near, (F.col("high") == F.col("_high")) & (F.col("low") == F.col("_low")), "left")
     return both.select(
         "doc_id", "n_chars", "edited_sha256", shown(F.col("high"), F.col("low")).alias("fingerprint"), shown(F.col("e_high"), F.col("e_low")).alias("edited_fingerprint"),
         likeness(*map(F.col, ("high", "low", "e_high", "e_low"))).alias("near_edited"),
         likeness(*map(F.col, ("high", "low", "n_high", "n_low"))).alias("near_next"),
+        F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
     )
 
 

@@ -136,6 +136,23 @@ def test_fingerprint_votes(spark):
     assert got[2] == (0, 0)
 
 
+def test_proportions_count_and_the_query_has_near_fingerprints(spark):
+    rng = random.Random(8)
+    rows = [(i, t) for i, t in corpus(60) if t.strip()]
+    base = [f"term{rng.randrange(900)}" for _ in range(900)]
+    for i in range(6):
+        body = base[:]
+        body[rng.randrange(900)] = f"new{i}"
+        rows.append((500 + i, " ".join(body)))
+    rows += [(600, "alpha " * 30 + "beta gamma delta"), (601, "alpha beta " + "gamma delta " * 30)]
+    got = {r["doc_id"]: r for r in simhash.compare_edited(frame(spark, rows)).collect()}
+    prints = {int(r["fingerprint"], 16) for r in got.values()}
+    for r in got.values():
+        p = int(r["fingerprint"], 16)
+        assert r["n_near"] == sum(0 < bin(p ^ q).count("1") <= 3 for q in prints)
+    assert any(r["n_near"] for r in got.values()) and got[600]["fingerprint"] != got[601]["fingerprint"]
+
+
 def test_block_tables_find_all_near_fingerprints(spark):
     rng = random.Random(4)
     base = [rng.getrandbits(128) for _ in range(40)]
