@@ -38,21 +38,34 @@ def _folds() -> tuple[str, str, dict[str, str]]:
 _FROM, _TO, _SEVERAL = _folds()
 
 
+def let(value: Column, use) -> Column:
+    """What ``use`` makes of a value that is computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def fold(text: Column) -> Column:
     """Lower case without accents; ligatures are spelled out, combining marks dropped."""
-    out = F.translate(F.lower(text), _FROM, _TO)
-    spelled = out
-    for c, plain in _SEVERAL.items():
-        spelled = F.replace(spelled, F.lit(c), F.lit(plain))
-    out = F.when(out.rlike(f"[{''.join(_SEVERAL)}]"), spelled).otherwise(out)
-    return F.when(out.rlike(r"\p{M}"), F.regexp_replace(out, r"\p{M}+", "")).otherwise(out)
+    several, rest = f"[{''.join(_SEVERAL)}]", r"\p{M}"
+
+    def spelled(out: Column) -> Column:
+        for c, plain in _SEVERAL.items():
+            out = F.replace(out, F.lit(c), F.lit(plain))
+        return F.regexp_replace(out, r"\p{M}+", "")
+
+    def accents(lower: Column) -> Column:
+        return F.when(lower.rlike(r"[^\x00-\x7F]"), let(F.translate(lower, _FROM, _TO), lambda out: F.when(out.rlike(f"{several}|{rest}"), spelled(out)).otherwise(out))).otherwise(lower)
+
+    return let(F.lower(text), accents)
 
 
 def terms(text: Column, without: tuple[str, ...] = ()) -> Column:
-    """The sorted distinct terms of a text: folded words cut to their first letters, stop words left out."""
-    words = F.regexp_extract_all(fold(text), F.lit(f"[a-z]{{{SHORTEST_WORD},}}"), F.lit(0))
-    words = F.filter(words, lambda w: ~w.isin(STOP_WORDS))
-    out = F.array_sort(F.array_distinct(F.transform(words, lambda w: F.substring(w, 1, TERM_LETTERS))))
+    """The sorted distinct terms of a text: folded words cut to their first letters, stop words left out.
+
+    ``without`` are terms that are left out as well.
+    """
+    words = F.array_distinct(F.regexp_extract_all(fold(text), F.lit(f"[a-z]{{{SHORTEST_WORD},}}"), F.lit(0)))
+    words = F.array_except(words, F.array(*map(F.lit, STOP_WORDS)))
+    out = F.sort_array(F.array_distinct(F.transform(words, lambda w: F.substring(w, 1, TERM_LETTERS))))
     return F.array_except(out, F.array(*map(F.lit, without))) if without else out
 
 

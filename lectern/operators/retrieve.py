@@ -7,7 +7,6 @@ without texts; a document's line is joined back after the selection.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.periods import overlaps
 from ..functions.text import DOMESTIC_STEMS
+from ..store import drop, materialize
 
 
 @dataclass(frozen=True)
@@ -55,8 +55,8 @@ def weighted_terms(docs: DataFrame, topics: DataFrame) -> DataFrame:
     return out.select("topic_id", "term", "df", "n", "idf")
 
 
-def matches(docs: DataFrame, topics: DataFrame, field_weight: Column | None = None) -> DataFrame:
-    """topic_id, doc_index, score (rounded), n_common, least_df for every pair with a common term.
+def matches(docs: DataFrame, topics: DataFrame, field_weight: Column | None = None, audit: bool = False) -> DataFrame:
+    """topic_id, doc_index, base, n_common, least_df, n for every pair with a common term; ``audit`` adds matched, the sorted common terms.
 
     The topics' weighted terms are the small side; ``field_weight`` may use the
     columns of ``docs`` and ``term``.  Which side is broadcast, if any, is left
@@ -64,11 +64,10 @@ def matches(docs: DataFrame, topics: DataFrame, field_weight: Column | None = No
     """
     weighed = weighted_terms(docs, topics)
     weight = F.col("idf") if field_weight is None else F.col("idf") * field_weight
-    pairs = docs.withColumn("term", F.explode("terms")).join(weighed, "term")
-    return pairs.groupBy("topic_id", "doc_index").agg(
-        F.sum(weight).alias("base"), F.count("*").alias("n_common"), F.min("df").alias("least_df"), F.max("n").alias("n"),
-        F.array_sort(F.collect_list("term")).alias("matched"),
-    )
+    fields = [] if field_weight is None else [c for c in docs.columns if c not in ("terms", "term", "doc_index", "span", "len", "kind")]
+    pairs = docs.select("doc_index", *fields, F.explode("terms").alias("term")).join(weighed, "term")
+    told = [F.sort_array(F.collect_list("term")).alias("matched")] if audit else []
+    return pairs.groupBy("topic_id", "doc_index").agg(F.sum(weight).alias("base"), F.count("*").alias("n_common"), F.min("df").alias("least_df"), F.max("n").alias("n"), *told)
 
 
 def dated_pairs(docs: DataFrame, topics: DataFrame) -> DataFrame:
@@ -80,14 +79,14 @@ def dated_pairs(docs: DataFrame, topics: DataFrame) -> DataFrame:
     return met.select("topic_id", "doc_index").distinct()
 
 
-def scored(docs: DataFrame, topics: DataFrame, field_weight: Column | None = None, bonus: float = OVERLAP_BONUS, domestic: bool = True) -> DataFrame:
+def scored(docs: DataFrame, topics: DataFrame, field_weight: Column | None = None, bonus: float = OVERLAP_BONUS, domestic: bool = True, audit: bool = False) -> DataFrame:
     """Candidates of each topic: topic_id, doc_index, score and the figures of ``matches``.
 
     A document with a span that meets none of a topic's is out; one without a
     span passes.  Topics with a domestic stem also get, without a common term,
     timeline documents whose span meets theirs.
     """
-    found = matches(docs, topics, field_weight)
+    found = matches(docs, topics, field_weight, audit)
     if domestic:
         home = topics.filter(F.arrays_overlap("q", F.array(*map(F.lit, DOMESTIC_STEMS))))
         also = dated_pairs(docs.filter("kind = 'timeline'"), home).join(found.select("topic_id", "doc_index"), ["topic_id", "doc_index"], "left_anti")
@@ -126,23 +125,25 @@ def pick(candidates: DataFrame, lengths: DataFrame, budget: Budget = DEFAULT) ->
     """
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("picked"))
     rows = candidates.join(lengths.select("doc_index", "len"), "doc_index").filter(F.col("len") + budget.in_test <= budget.chars)
-    rows = rows.select("topic_id", F.col("doc_index").cast("long").alias("doc_index"), "score", F.col("len").cast("long").alias("len")).persist()
-    states = rows.select("topic_id").distinct().withColumn("state", start).withColumn("seen_score", F.lit(None).cast("double")).withColumn("seen_index", F.lit(None).cast("long"))
+    rows = materialize(rows.select("topic_id", F.col("doc_index").cast("long").alias("doc_index"), "score", F.col("len").cast("long").alias("len")), "candidates")
+    left, states = rows.withColumn("state", start), None
     while True:
-        left = rows.join(states, "topic_id").filter(
-            "seen_score is null or score < seen_score or (score = seen_score and doc_index > seen_index)"
-        ).filter((F.size("state.picked") < budget.lines) & (F.col("state.used") + F.col("len") + budget.in_test <= budget.chars))
         best = ranked(left, ROUND_ROWS)
-        grouped = best.groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_index", "len"))).alias("rows"), F.first("state").alias("state0"), F.max_by(F.struct("score", "doc_index"), "rank").alias("last"), F.max("rank").alias("n"))
-        done = grouped.select("topic_id", _fold(F.col("rows"), F.col("state0"), budget).alias("new"), "last", "n")
-        states = (
-            states.join(done, "topic_id", "left")
-            .select("topic_id", F.coalesce("new", "state").alias("state"), F.coalesce("last.score", "seen_score").alias("seen_score"), F.coalesce("last.doc_index", "seen_index").alias("seen_index"), F.coalesce("n", F.lit(0)).alias("n"))
-            .persist()
-        )
-        if not states.filter(F.col("n") == ROUND_ROWS).limit(1).count():
+        done = best.groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_index", "len"))).alias("rows"), F.first("state").alias("state0"), F.max_by(F.struct("score", "doc_index"), "rank").alias("last"), F.max("rank").alias("n"))
+        done = done.select("topic_id", _fold(F.col("rows"), F.col("state0"), budget).alias("state"), "last", "n")
+        if states is not None:
+            old = states.select("topic_id", F.col("state").alias("old"))
+            done = old.join(done, "topic_id", "left").select("topic_id", F.coalesce("state", "old").alias("state"), "last", F.coalesce("n", F.lit(0)).alias("n"))
+        before, states = states, materialize(done, "picked")
+        if before is not None:
+            drop(before)
+        # topics with more rows than one round sees, and room for them
+        more = states.filter((F.col("n") == ROUND_ROWS) & (F.size("state.picked") < budget.lines) & (F.col("state.used") + budget.in_test < budget.chars))
+        if not more.limit(1).count():
+            drop(rows)
             return states.select("topic_id", "state.picked", "state.used")
-        states = states.drop("n")
+        left = rows.join(more.select("topic_id", "state", "last"), "topic_id").filter("score < last.score or (score = last.score and doc_index > last.doc_index)")
+        left = left.filter(F.col("state.used") + F.col("len") + budget.in_test <= budget.chars).drop("last")
 
 
 def render(picks: DataFrame, docs: DataFrame, topics: DataFrame, line: Column, in_order: bool = True, separator: str = "\n") -> DataFrame:
@@ -154,42 +155,73 @@ def render(picks: DataFrame, docs: DataFrame, topics: DataFrame, line: Column, i
     return topics.select("topic_id").join(lines.groupBy("topic_id").agg(text.alias("context")), "topic_id", "left")
 
 
-def pick_diverse(candidates: DataFrame, docs: DataFrame, topics: DataFrame, budget: Budget = DIVERSE) -> DataFrame:
-    """topic_id, picked: each time the best of score, newly covered terms and unlikeness to what is picked.
+#: Candidates of a topic that compete at first; four times as many where that does not settle the picks.
+RIVALS = 256
 
-    Utility is score + weight of the topic's terms that are not yet covered
-    - 3 * the largest Jaccard likeness to a picked document; ties go to the
-    smaller doc_index.  Every pick changes every utility, so a topic's
-    candidates that fit the budget alone are one group, without their texts.
-    """
-    weights = weighted_terms(docs, topics).groupBy("topic_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idf"))
-    rows = candidates.join(docs.select("doc_index", "len", "terms"), "doc_index").filter(F.col("len") + budget.in_test <= budget.chars)
-    rows = rows.select("topic_id", "doc_index", "score", "len", "terms").join(weights, "topic_id")
+
+def _diverse(budget: Budget):
+    """Picks among a topic's rivals; ``sure`` tells whether no candidate beyond them could have won a round."""
 
     def choose(pdf):
+        import numpy as np
+
         idf = dict(pdf["idf"].iloc[0])
-        left = [(float(s), int(i), int(n), frozenset(t)) for s, i, n, t in zip(pdf["score"], pdf["doc_index"], pdf["len"], pdf["terms"])]
-        picked, used, covered, chosen = [], 0, set(), []
-        while left and len(picked) < budget.lines:
-            best = None
-            for row in left:
-                score, index, n, words = row
-                if used + n + budget.in_test > budget.chars:
-                    continue
-                gain = math.fsum(idf[t] for t in words if t in idf and t not in covered)
-                like = max((len(words & c) / max(1, len(words | c)) for c in chosen), default=0.0)
-                key = (round(score + gain - 3 * like, DECIMALS), -index)
-                if best is None or key > best[0]:
-                    best = key, row
-            if best is None:
+        pdf = pdf.sort_values("doc_index", kind="stable")
+        own = [frozenset(t) for t in pdf["terms"]]
+        score, index, size = pdf["score"].to_numpy(float), pdf["doc_index"].tolist(), pdf["len"].to_numpy()
+        beyond = pdf["beyond"].iloc[0]
+        asked = [t & idf.keys() for t in own]
+        gain, like = np.array([sum(idf[x] for x in sorted(t)) for t in asked]), np.zeros(len(own))
+        free = np.ones(len(own), dtype=bool)
+        picked, used, covered, sure = [], 0, set(), True
+        while len(picked) < budget.lines:
+            fits = free & (used + size + budget.in_test <= budget.chars)
+            if not fits.any():
+                sure &= not beyond > -np.inf
                 break
-            row = best[1]
-            left.remove(row)
-            picked.append(row[1])
-            used += row[2] + budget.in_sum
-            covered |= {t for t in row[3] if t in idf}
-            chosen.append(row[3])
-        return type(pdf)({"topic_id": [pdf["topic_id"].iloc[0]], "picked": [picked]})
+            utility = np.where(fits, np.round(score + gain - 3 * like, DECIMALS), -np.inf)
+            best = int(np.argmax(utility))  # the first of equals has the least doc_index
+            rest = sum(x for t, x in idf.items() if t not in covered)
+            sure &= bool(utility[best] > beyond + min(beyond, rest) + 1e-5)
+            free[best] = False
+            picked.append(index[best])
+            used += int(size[best]) + budget.in_sum
+            fresh, words = asked[best] - covered, own[best]
+            covered |= fresh
+            for i in np.flatnonzero(free):
+                if fresh & asked[i]:
+                    gain[i] = sum(idf[x] for x in sorted(asked[i] - covered))
+                common = len(words & own[i])
+                like[i] = max(like[i], common / max(1, len(words) + len(own[i]) - common))
+        return type(pdf)({"topic_id": [pdf["topic_id"].iloc[0]], "picked": [picked], "sure": [sure]})
+
+    return choose
+
 
+def pick_diverse(candidates: DataFrame, docs: DataFrame, topics: DataFrame, budget: Budget = DIVERSE) -> DataFrame:
+    """topic_id, picked: each time the best of score, newly covered terms and unlikeness to what is picked.
+
+    Utility is score + weight of the topic's terms that are not yet covered
+    - 3 * the largest Jaccard likeness to a picked document; ties go to the
+    smaller doc_index.  No utility is above the score and the weight of what is
+    not yet covered, so the best candidates by score are enough as long as each
+    pick beats that bound of the rest; topics where one does not get four times
+    as many.
+    """
+    weighed = weighted_terms(docs, topics)
+    idf = weighed.groupBy("topic_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idf"))
+    rows = candidates.join(docs.select("doc_index", "len"), "doc_index").filter(F.col("len") + budget.in_test <= budget.chars)
+    rows = materialize(rows.select("topic_id", "doc_index", "score", "len"), "candidates")
     kind = topics.schema["topic_id"].dataType.simpleString()
-    return rows.groupBy("topic_id").applyInPandas(choose, f"topic_id {kind}, picked array<bigint>")
+    rivals, out, left = RIVALS, None, rows
+    while True:
+        # what a document's common terms weigh is its score without the bonus, or less
+        first = ranked(left, rivals + 1)
+        beyond = F.max(F.when(F.col("rank") == rivals + 1, F.col("score"))).over(Window.partitionBy("topic_id"))
+        first = first.withColumn("beyond", F.coalesce(beyond, F.lit(float("-inf")))).filter(F.col("rank") <= rivals)
+        first = first.join(docs.select("doc_index", "terms"), "doc_index").join(idf, "topic_id").select("topic_id", "doc_index", "score", "len", "terms", "idf", "beyond")
+        got = materialize(first.groupBy("topic_id").applyInPandas(_diverse(budget), f"topic_id {kind}, picked array<bigint>, sure boolean"), "diverse")
+        out = got.filter("sure").select("topic_id", "picked") if out is None else out.union(got.filter("sure").select("topic_id", "picked"))
+        if not got.filter("not sure").limit(1).count():
+            return out
+        left, rivals = rows.join(got.filter("not sure").select("topic_id"), "topic_id", "left_semi"), 4 * rivals

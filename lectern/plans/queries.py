@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import periods as P
 from ..functions import text as X
 from ..operators import infer, ledger, retrieve, validate
+from ..store import materialize
 from . import prompt
 
 TOPICS = [
@@ -19,6 +20,8 @@ QUESTIONS = [
     ("d", "Podaj dwie cechy.", 2.0), ("e", "Podaj nazwę", 15.0), ("f", "nie więcej niż 400 słów", None), ("g", "", 10.0), ("h", "Write an ESSAY of at least 250 words", 5.0),
 ]
 SPLITS = [("p", "x\n1. A\n2) B"), ("q", "no heading"), ("r", "Temat 1. Pierwszy\n  Temat 2) Drugi\nciąg dalszy"), ("s", "1. one")]
+#: Bytes of a table that is dealt out before much is done with it.
+SMALL = 64 << 20
 ROMANS = ["XI", "XIX", "IV", "XC", "XXI", "MD", "", "xiv", "CXLIX"]
 
 
@@ -34,14 +37,20 @@ def _spans(array):
     return F.array_join(F.transform(array, lambda s: F.concat_ws("-", s["lo"], s["hi"])), " ")
 
 
-def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as a corpus: load order by doc_id, the source as title, the language as date."""
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt out to all cores where they come in few pieces."""
     docs = _table(spark, sf_dir, "documents")
-    years = P.years(F.col("text"))
-    span = F.when(F.size(years) > 0, F.struct(F.array_min(years).alias("lo"), F.array_max(years).alias("hi")))
-    return docs.select(
-        F.col("doc_id").alias("doc_index"), F.lit("context").alias("kind"), "source", "lang", X.terms(F.col("text")).alias("terms"), span.alias("span"), _line().alias("line"),
-    ).withColumn("len", F.length("line")).drop("line")
+    if int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < SMALL:
+        return docs.repartition(spark.sparkContext.defaultParallelism)
+    return docs
+
+
+def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a corpus: load order by doc_id, the source as title, the language as date; one scan, written once."""
+    years = X.let(P.years(F.col("text")), lambda y: F.when(F.size(y) > 0, F.struct(F.array_min(y).alias("lo"), F.array_max(y).alias("hi"))))
+    return materialize(_documents(spark, sf_dir).select(
+        F.col("doc_id").alias("doc_index"), F.lit("context").alias("kind"), "source", "lang", X.terms(F.col("text")).alias("terms"), years.alias("span"), F.length(_line()).alias("len"),
+    ), "corpus")
 
 
 def _line():
@@ -59,13 +68,14 @@ def _candidates(spark, sf_dir, **options):
 
 
 def terms_per_doc(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id", X.terms(F.col("text")).alias("t"))
+    docs = _documents(spark, sf_dir).select("doc_id", X.terms(F.col("text")).alias("t"))
+    docs = materialize(docs, "terms")
     return docs.select("doc_id", F.size("t").cast("long").alias("n_terms"), _joined(F.col("t")).alias("terms"))
 
 
 def term_document_frequency(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select(X.terms(F.col("text")).alias("terms"))
-    return retrieve.term_df(docs)
+    docs = _documents(spark, sf_dir).select(X.terms(F.col("text")).alias("terms"))
+    return retrieve.term_df(materialize(docs, "terms"))
 
 
 def idf_scores(spark, sf_dir):
