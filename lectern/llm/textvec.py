@@ -15,15 +15,6 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_P = U64(0x9E3779B97F4A7C15 | 1)
-
-
-def _inverse(p: int) -> int:
-    """Inverse of an odd number modulo 2**64, by Newton's iteration."""
-    x = p
-    for _ in range(6):
-        x = x * (2 - p * x) % 2**64
-    return x
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -44,20 +35,19 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_POW = {}
+_PLACES: dict[int, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n of each."""
-    have = _POW.get("n", 0)
-    if have < n:
-        n = max(n, 1 << 20)
-        for name, base in (("p", int(_P)), ("q", _inverse(int(_P)))):
-            steps = np.full(n, base, dtype=U64)
-            steps[0] = 1
-            _POW[name] = np.multiply.accumulate(steps)
-        _POW["n"] = n
-    return _POW["p"], _POW["q"]
+def _places(n: int, seed: int) -> np.ndarray:
+    """An odd random factor for each of the first n places of a part."""
+    have = _PLACES.get(seed)
+    if have is None or len(have) < n:
+        size = max(1024, 1 << max(n - 1, 1).bit_length())
+        have = mix(np.arange(1, size + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + mix(np.full(1, seed + 1, U64))) | U64(1)
+        if len(_PLACES) > 64:
+            _PLACES.clear()
+        _PLACES[seed] = have
+    return have
 
 
 @dataclass
@@ -130,26 +120,35 @@ def lines(b: Bytes) -> Spans:
 
 
 #: Bytes that are hashed at once: bounds the memory of very long batches.
-BLOCK = 1 << 17
+BLOCK = 1 << 18
 
 
 def hashes(b: Bytes, parts: Spans, lower: bool = False, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of the bytes of each part, the same wherever it stands."""
+    """A 64-bit hash of the bytes of each part, the same wherever it stands.
+
+    Every place of a part has a random factor of its own (multilinear hashing),
+    so no pattern of repetition makes different parts meet, as it would in sums
+    over the powers of a base.  The parts' ends ascend; parts may overlap.
+    """
     out = np.empty(len(parts.start), dtype=U64)
     table = _tables(seed)
     if lower:
         table = table[_LOWER]
+    size = parts.end - parts.start
     i = 0
     while i < len(out):
         base = int(parts.start[i])
         j = int(np.searchsorted(parts.end, base + BLOCK, side="right"))
         j = max(j, i + 1)
-        stop = int(parts.end[j - 1])
-        p, q = _powers(stop - base + 1)
-        total = np.zeros(stop - base + 1, dtype=U64)
-        np.cumsum(table[b.data[base:stop]] * p[: stop - base], out=total[1:])
-        s, e = parts.start[i:j] - base, parts.end[i:j] - base
-        out[i:j] = mix((total[e] - total[s]) * q[s] + (e - s).astype(U64))
+        n = size[i:j]
+        ends = np.cumsum(n)
+        starts = ends - n
+        at = np.arange(int(ends[-1])) - np.repeat(starts, n)
+        factors = _places(int(n.max(initial=0)), seed)
+        terms = table[b.data[at + np.repeat(parts.start[i:j], n)]] * factors[at]
+        total = np.zeros(len(terms) + 1, dtype=U64)
+        np.cumsum(terms, out=total[1:])
+        out[i:j] = mix(total[ends] - total[starts] + n.astype(U64))
         i = j
     return out
 
@@ -162,10 +161,12 @@ def grams(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=U64)
-    p, q = _powers(len(h) + 1)
-    total = np.zeros(len(h) + 1, dtype=U64)
-    np.cumsum(mix(h + U64(salt)) * p[: len(h)], out=total[1:])
-    return mix((total[k:] - total[:n]) * q[:n])
+    mixed = mix(h + U64(salt))
+    factors = _places(k, salt + 1000)
+    total = np.zeros(n, dtype=U64)
+    for j in range(k):
+        total += mixed[j : j + n] * factors[j]
+    return mix(total)
 
 
 def counts(parts: Spans) -> np.ndarray:
