@@ -42,16 +42,23 @@ ANYWHERE = (
     r"subscribe|newsletter|signup|login|notices?|disclaimer"
 )
 OUTSIDE = r"header|masthead|topbar|toolbar|search|alert|skip"
+# Whole class names that are furniture within an article or main element, too.
+INSIDE = frozenset(
+    "ad ads advert adverts advertisement advertising sponsored promo sidebar comments comment-list comments-list reader-comments share sharing share-buttons "
+    "newsletter newsletter-signup cookie-notice cookie-banner breadcrumb breadcrumbs pagination related-posts related-articles".split()
+)
 
 _TOKEN = re.compile(
     r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)(?:>|\Z))", re.S
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+#: What makes a tag close itself: a slash that is not the end of an unquoted value.
+_CLOSED = re.compile(r"(?:^|[\s\"'])/\Z")
 _WORDS = {k: re.compile(rf"(?:^|[\s_-])(?:{v})(?:$|[\s_-])", re.I) for k, v in (("any", ANYWHERE), ("out", OUTSIDE))}
 #: Children left on either side, multiplied, beyond which the same table is filled by array arithmetic, some rows at a time.
 WIDE = 4_000
 #: A text is template if so large a part of at least so many aligned pages have it.
-CONSTANT, PAGES = 0.9, 5
+CONSTANT, PAGES = 0.9, 3
 #: References of a host at most, the depth to which tags tell layouts apart, and the likeness from which trees are merged.
 LAYOUTS, OUTLINE, ALIKE = 8, 4, 0.6
 
@@ -124,7 +131,7 @@ def parse(html: str) -> Node:
             lower = lower or html.lower()
             end = lower.find("</" + tag, at)
             at = len(html) if end < 0 else end
-        elif tag not in VOID and not m[3].endswith("/"):
+        elif tag not in VOID and not _CLOSED.search(m[3]):
             path.append(node)
             opened[tag] = opened.get(tag, 0) + 1
     _shapes(root)
@@ -327,15 +334,12 @@ def _furniture(node: Node, within: bool) -> bool:
     if "=" not in node.marks:
         return False
     marks = {k.lower(): x or y or z for k, x, y, z in _ATTRIBUTE.findall(node.marks)}
+    if marks.get("role", "").lower() in ROLES or marks.get("aria-hidden") == "true" or "display:none" in marks.get("style", "").replace(" ", ""):
+        return True
+    if within:
+        return not INSIDE.isdisjoint(marks.get("class", "").lower().split())
     named = f"{marks.get('class', '')} {marks.get('id', '')}"
-    return (
-        marks.get("role", "").lower() in ROLES
-        or marks.get("aria-hidden") == "true"
-        or "display:none" in marks.get("style", "").replace(" ", "")
-        or bool(_WORDS["any"].search(named))
-        or not within
-        and bool(_WORDS["out"].search(named))
-    )
+    return any(bool(words.search(named)) for words in _WORDS.values())
 
 
 def _main_rank(node: Node) -> int:
@@ -346,10 +350,14 @@ def _main_rank(node: Node) -> int:
 
 
 def blocks(page: Node, aligned: dict[int, Node]) -> list[tuple[str, int]]:
-    """The page's candidate blocks: text, and reference node of its first text."""
+    """The page's candidate blocks: text, and reference node of its first text, -1 where none or no template may take it.
+
+    Of a page with articles and with a main element, the articles count unless
+    the main element has more text of its own: then they are teasers.
+    """
     out: list[tuple[str, int, int]] = []
     parts: list[Node] = []
-    most = 0
+    ranks = {0}
 
     def close(within: int) -> None:
         texts = [p for p in parts if p.text]
@@ -360,7 +368,7 @@ def blocks(page: Node, aligned: dict[int, Node]) -> list[tuple[str, int]]:
                 text += " " * (bool(text) and bool(p.text) and (gap or "s" in p.marks)) + p.text
                 gap = "e" in p.marks or gap and not p.text
             first = aligned.get(texts[0].number)
-            out.append((text, -1 if first is None else first.number, within))
+            out.append((text, -1 if first is None or within else first.number, within))
         parts.clear()
 
     # each open element: its children that are left, and the rank within which it stands; a block one is closed at its end
@@ -384,17 +392,19 @@ def blocks(page: Node, aligned: dict[int, Node]) -> list[tuple[str, int]]:
         else:
             close(within)
             inner = max(within, _main_rank(child))
-            most = max(most, inner)
+            ranks.add(inner)
             todo.append((iter(child.children), inner, True))
     close(0)
-    return [(t, n) for t, n, within in out if within == most]
+    size = [sum(len(t) for t, _, rank in out if rank == r) for r in (0, 1, 2)]
+    chosen = 0 if ranks == {0} else 1 if size[1] > size[2] or 2 not in ranks else 2
+    return [(t, n) for t, n, rank in out if rank == chosen]
 
 
 def _host(url):
     return F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1), F.lit(""))
 
 
-#: Characters of all reference pages up to which they go to every executor.
+#: Bytes of all reference pages up to which they go to every executor.
 BROADCAST = 32 << 20
 
 
@@ -411,17 +421,11 @@ def _references(rows: DataFrame) -> DataFrame:
     layouts = outlines.groupBy("host", "outline").agg(F.count("*").alias("pages"), F.min(F.struct("n", "key")).alias("least"))
     rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("pages"), "outline"))
     chosen = layouts.withColumn("rank", rank).filter(F.col("rank") <= LAYOUTS).select(F.col("host").alias("_host"), F.col("least.key").alias("_key"), "rank")
-    chosen = bounded(materialize(chosen, "layouts"), BROADCAST >> 7)
+    chosen = bounded(materialize(chosen, "layouts"))
     found = filled.join(chosen, (F.col("host") == F.col("_host")) & (F.col("key") == F.col("_key"))).groupBy("host", "rank").agg(F.min("html").alias("html"))
     return found.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "html"))), lambda r: r["html"]).alias("references"))
 
 
-def _bounded(table: DataFrame, size: str, most: int) -> DataFrame:
-    """The table, marked for broadcast if its measured size is within the bound."""
-    total = table.agg(F.sum(F.expr(size))).first()[0] or 0
-    return F.broadcast(table) if total <= most else table
-
-
 def main_text(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points).
 
@@ -431,10 +435,10 @@ def main_text(pages: DataFrame) -> DataFrame:
     the empty text; pages without a host share the empty host; repeated rows
     give repeated results; an empty table gives an empty one.
     """
-    small_batches(pages.sparkSession, 500)
+    small_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), _host(F.col("url")).alias("host"))
     refs = materialize(_references(rows), "references")
-    refs = _bounded(refs, "aggregate(references, 0L, (n, r) -> n + length(r))", BROADCAST)
+    refs = bounded(refs, BROADCAST)
     rows = rows.join(refs, "host", "left").withColumn("copy", F.xxhash64("html"))
 
     def run(batches):
@@ -462,7 +466,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     template = said.groupBy("host", "n").agg(F.sum("same").alias("pages"), F.max(F.struct("same", "t")).alias("most"))
     template = template.filter((F.col("pages") >= PAGES) & (F.col("most.same") >= CONSTANT * F.col("pages")))
     template = materialize(template.groupBy("host").agg(F.collect_list(F.struct("n", F.col("most.t").alias("t"))).alias("constant")), "template")
-    cut = cut.join(_bounded(template, "size(constant)", BROADCAST // 24), "host", "left")
+    cut = cut.join(bounded(template), "host", "left")
     constant = F.coalesce("constant", F.array().cast("array<struct<n: int, t: bigint>>"))
     content = F.filter("blocks", lambda b: ~F.array_contains(constant, F.struct(b["n"].alias("n"), F.xxhash64(b["t"]).alias("t"))))
     text = F.array_join(F.transform(content, lambda b: b["t"]), "\n")

@@ -1,89 +1,46 @@
-"""Written intermediate tables: they cut lineage and outlive lost executors."""
+"""Bounds on what goes to Python and to every executor; written tables come from the library."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Spark removes a query's shuffle files as soon as the query has ended.
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
+from ..store import drop, materialize, setting, shared_dir
 
-    Only where the session names none (local tests), a temporary one is set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-        if found:
-            found = found.rsplit("/", 1)[0]
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lectern-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+__all__ = ["bounded", "drop", "materialize", "setting", "shared_dir", "small_batches"]
 
-
-@contextlib.contextmanager
-def setting(spark: SparkSession, key: str, value: str):
-    """A session setting for the time of a block."""
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the rows that go to Python at once, as texts may be long."""
+def small_batches(spark: SparkSession, rows: int = 200, most: int = 4 << 20) -> None:
+    """Bounds the rows and the bytes that go to Python at once, as texts may be long."""
     if int(spark.conf.get(_ROWS, "10000")) > rows:
         spark.conf.set(_ROWS, str(rows))
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df into the shared folder and returns the written table.
-
-    The write ends the query below it, whose shuffle files are then removed.
-    The table itself is removed when the driver's Python ends, or by ``drop``.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lectern/{name}-{uuid.uuid4().hex}"
-    with setting(spark, _CLEAN, "true"):
-        df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._lectern_path = path
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BYTES)) > most:
+        spark.conf.set(_BYTES, str(most))
+
+
+#: Bytes of a table's rows that may go to every executor.
+BROADCAST = 16 << 20
+
+
+def _width(table: DataFrame):
+    """Bytes of a row: eight a column, and what strings, binaries and arrays of numbers hold."""
+    out = F.lit(16 + 8 * len(table.columns)).cast("long")
+    for f in table.schema:
+        kind = f.dataType.simpleString()
+        if kind in ("string", "binary"):
+            out = out + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif kind == "array<string>":
+            out = out + F.coalesce(F.aggregate(f.name, F.lit(0).cast("long"), lambda n, x: n + 8 + F.coalesce(F.octet_length(x), F.lit(0))), F.lit(0))
+        elif kind.startswith("array"):
+            inner = 8 * max(1, kind.count(":")) + (16 if "struct" in kind else 0)
+            out = out + inner * F.greatest(F.coalesce(F.size(f.name), F.lit(0)), F.lit(0))
     return out
 
 
-def drop(*tables: DataFrame) -> None:
-    """Removes tables of ``materialize`` that no later query reads."""
-    for df in tables:
-        _remove(df.sparkSession, df._lectern_path)
-
-
-#: Rows of a narrow table (some whole numbers a row) that may go to every executor.
-NARROW_ROWS = 500_000
-
-
-def bounded(narrow: DataFrame, most: int = NARROW_ROWS) -> DataFrame:
-    """The written table, marked for broadcast if it has no more rows than the bound."""
-    return F.broadcast(narrow) if narrow.count() <= most else narrow
+def bounded(table: DataFrame, most: int = BROADCAST) -> DataFrame:
+    """The written table, marked for broadcast if its measured bytes are within the bound."""
+    size = table.agg(F.sum(_width(table))).first()[0] or 0
+    return F.broadcast(table) if size <= most else table
