@@ -39,6 +39,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         state, before = now, edges
         edges = materialize(_stars(before), "edges")
         drop(before)
-    return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(
+    out = edges.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(
         edges.select(F.col("lo"), F.col("lo")).distinct()
     )
+    out._lectern_path = edges._lectern_path
+    return out

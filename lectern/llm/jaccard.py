@@ -1,11 +1,17 @@
 """Operator 10: n-gram Jaccard self-join with adaptive multi-match prefixes.
 
-Each document is the set of its word shingles, as 64-bit hashes.  All sets are
-put in one global order, rare shingles first, after a fixed-size table of
-counts over all documents.  Two sets of similarity t or more share at least
-``l`` of the first ``n - ceil(t n) + l`` members of each; every document picks
-the ``l`` whose estimated cost is least: the postings that its prefix meets,
-plus the candidates, at most postings / ``l``, that are left to verify.
+Each document is the set of its word shingles, as 64-bit hashes.  In any common
+order of shingles, two sets of similarity t or more share at least ``l`` of the
+first ``n - ceil(t n) + l`` members of each: a longer prefix asks for more
+shared members.  That is used twice.
+
+First in the order of hashes, which needs no counts: prefixes are lengthened in
+proportion to the set, and only sets whose prefix has as many members in common
+with other prefixes as the smallest possible partner asks for stay.  Then, for
+what is left, shingles are counted exactly and put in order, rare ones first;
+every document picks the ``l`` whose estimated cost is least: the postings that
+its prefix meets, plus the candidates, at most postings / ``l``, that are left
+to verify.
 
 Equal sets are one class and stand for each other.  In each longer posting
 list all members that share enough with one leader are first compared with it.  What is linked to the leader is
@@ -18,7 +24,6 @@ link between classes that are not connected otherwise is lost.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +34,13 @@ from . import textvec as tv
 from .graph import components
 from .store import bounded, drop, materialize, small_batches
 
-#: Cells of the table of shingle counts, and the rows in which it travels.
-CELLS, SLICES = 1 << 20, 64
+#: One more shared member is asked for every so many members when prefixes go by hash.
+LENGTHEN = 12
 #: Members from which on a list is first compared with its leader.
 LED = 8
 #: Places of a document that are kept to tell in which list a pair is taken up.
 PLACES = 64
-#: Matches that a prefix may ask for.
+#: Matches that a prefix by rarity may ask for.
 MOST_MATCHES = 4
 
 
@@ -56,59 +61,10 @@ def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
     return out
 
 
-def _cell(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(44)).astype(np.int64)
-
-
-def shingle_counts(docs: DataFrame, k: int) -> np.ndarray:
-    """Documents that hold a shingle of each cell; four megabytes at any corpus size."""
-
-    def run(batches):
-        table = np.zeros(CELLS, np.int64)
-        for batch in batches:
-            sets = shingle_sets(batch.column("text"), k)
-            if sets:
-                table += np.bincount(_cell(np.concatenate(sets)), minlength=CELLS)
-        parts = table.astype(np.int32).reshape(SLICES, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "counts"])
-
-    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS // SLICES, np.int64)
-        for batch in batches:
-            for x in batch.column("counts"):
-                total += np.frombuffer(x.as_buffer(), np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slice", "counts"])
-
-    schema = "slice int, counts binary"
-    rows = docs.select("text").mapInArrow(run, schema).groupBy("slice").applyInArrow(add, schema).collect()
-    table = np.zeros((SLICES, CELLS // SLICES), np.int64)
-    for row in rows:
-        table[row["slice"]] = np.frombuffer(row["counts"], np.int64)
-    return table.reshape(-1)
-
-
-def adaptive_prefix(members: np.ndarray, counts: np.ndarray, usual: float, percent: int) -> tuple[np.ndarray, int]:
-    """The prefix of a set, rarest members first, and the matches that it asks for.
-
-    ``usual`` is the mean of ``counts``.
-    """
+def hash_prefix(members: np.ndarray, percent: int) -> np.ndarray:
+    """The first members by hash, as many as share 1 + n // LENGTHEN with any linked set as large or larger."""
     n = len(members)
-    if not n:
-        return members, 1
-    often = counts[_cell(members)]
-    order = np.lexsort((members, often))
-    # what chance brings into every cell says nothing about a shingle
-    meets = np.cumsum(np.maximum(often[order] - usual, 1.0))
-    short = n - -(-percent * n // 100)
-    best, cost = 1, None
-    for m in range(1, MOST_MATCHES + 1):
-        if short + m > n:
-            break
-        postings = meets[short + m - 1]
-        estimate = postings + postings / m * (1 + n / 16)
-        if cost is None or estimate < 0.9 * cost:
-            best, cost = m, estimate
-    return members[order[: short + best]], best
+    return members[: n - -(-percent * n // 100) + 1 + n // LENGTHEN]
 
 
 def _lists(values: list[np.ndarray]) -> pa.Array:
@@ -117,50 +73,110 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
+def _key(members: np.ndarray) -> bytes:
+    return hashlib.blake2b(members.tobytes(), digest_size=16).digest()
+
+
 def described(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (a digest of the whole set), matches, prefix."""
-    table = shingle_counts(docs, k)
-    usual, counts = float(table.mean()), docs.sparkSession.sparkContext.broadcast(table.astype(np.int32))
+    """doc_id, n_shingles, set_key (a digest of the whole set), prefix (by hash)."""
 
     def run(batches):
         for batch in batches:
             sets = shingle_sets(batch.column("text"), k)
-            prefixes = [adaptive_prefix(s, counts.value, usual, percent) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                    pa.array([m for _, m in prefixes], pa.int32()),
-                    _lists([p for p, _ in prefixes]),
-                ],
-                names=["doc_id", "n_shingles", "set_key", "matches", "prefix"],
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.binary()), _lists([hash_prefix(s, percent) for s in sets])],
+                names=["doc_id", "n_shingles", "set_key", "prefix"],
             )
 
-    schema = "doc_id long, n_shingles long, set_key binary, matches int, prefix array<long>"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, prefix array<long>")
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """The whole sets of some documents."""
+def _classes(full: DataFrame) -> tuple[DataFrame, bool]:
+    """set_key, first (its smallest doc_id), n, rep (a number of its own); and whether a class's first row is there again.
+
+    ``rep`` is ``first``, unless rows of one doc_id have different sets.
+    """
+    by_doc = full.groupBy("set_key", "doc_id").agg(F.first("n_shingles").alias("n"), F.count("*").alias("again"))
+    classes = by_doc.groupBy("set_key").agg(F.min(F.struct("doc_id", "again", "n")).alias("f"))
+    classes = materialize(classes.select("set_key", F.col("f.doc_id").alias("first"), "f.again", "f.n"), "classes")
+    told = classes.groupBy("first").agg(F.count("*").alias("sets"), F.max("again").alias("again")).agg(F.max("sets"), F.max("again")).first()
+    if (told[0] or 0) <= 1:
+        out = classes.withColumn("rep", F.col("first"))
+        out._lectern_path = classes._lectern_path
+        return out, (told[1] or 0) > 1
+    out = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    drop(classes)
+    return out, (told[1] or 0) > 1
+
+
+def screened(full: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The classes whose hash prefix shares enough members with other prefixes to have a partner."""
+    of = classes.select(F.col("set_key").alias("_key"), "first", "rep")
+    reps = full.join(bounded(of), (F.col("set_key") == F.col("_key")) & (F.col("doc_id") == F.col("first")))
+    posted = reps.select("rep", F.explode("prefix").alias("h"))
+    # a table of its own: the join then meets no aggregate's partitioning, and a frequent shingle can be split
+    often = materialize(posted.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1").select("h"), "often")
+    hits = posted.join(often, "h", "left_semi").groupBy("rep").agg(F.count("*").alias("hits"))
+    # a partner has at least percent of the members, and asks for a match for every LENGTHEN of them
+    least = F.expr(f"1 + (({percent} * n + 99) div 100) div {LENGTHEN}")
+    out = materialize(classes.join(hits, "rep").filter(F.col("hits") >= least).select("set_key", "first", "rep"), "screened")
+    drop(often)
+    return out
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame, k: int, again: bool) -> DataFrame:
+    """rep, n and members of the wanted classes' whole sets."""
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(shingle_sets(batch.column("text"), k))], names=["doc_id", "members"])
+            sets = shingle_sets(batch.column("text"), k)
+            # a row of the same doc_id may have another text
+            mine = np.array([_key(s) == key for s, key in zip(sets, batch.column("set_key").to_pylist())], dtype=bool)
+            sets = [s for s, ok in zip(sets, mine) if ok]
+            yield pa.RecordBatch.from_arrays([batch.column("rep").filter(pa.array(mine)), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], names=["rep", "n", "members"])
+
+    rows = docs.join(bounded(wanted), F.col("doc_id") == F.col("first")).select("rep", "set_key", "text")
+    rows = rows.mapInArrow(run, "rep long, n long, members array<long>")
+    return rows.dropDuplicates(["rep"]) if again else rows
 
-    wanted = docs.select("doc_id", "text").join(ids, "doc_id")
-    return wanted.mapInArrow(run, "doc_id long, members array<long>")
 
+def adaptive_prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """rep, n, matches, pos, h: each set's prefix in the order of exact counts, without members that no other set has.
+
+    ``pos`` is the place in the whole set, those without partners first.
+    """
+    members = sets.select("rep", "n", F.explode("members").alias("h"))
+    often = materialize(members.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "often")
+    short = F.expr(f"n - ({percent} * n + 99) div 100")
+    # counted from the end, places need no count of the members without partners
+    last = Window.partitionBy("rep").orderBy(F.desc("df"), F.desc("h"))
+    rows = members.join(often, "h").withColumn("pos", F.col("n") - F.row_number().over(last)).filter(F.col("pos") < short + MOST_MATCHES)
+    mine = Window.partitionBy("rep")
+    rows = rows.withColumn("meets", F.sum("df").over(mine.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    best, cost = F.lit(1), None
+    estimates = {}
+    for m in range(1, MOST_MATCHES + 1):
+        postings = F.coalesce(F.max(F.when(F.col("pos") < short + m, F.col("meets"))).over(mine), F.lit(0))
+        estimates[f"e{m}"] = F.when(short + m <= F.col("n"), postings + postings / m * (1 + F.col("n") / 16))
+    rows = rows.withColumns(estimates)
+    for m in range(1, MOST_MATCHES + 1):
+        now = F.col(f"e{m}")
+        best, cost = (best, now) if cost is None else (F.when(now < 0.9 * cost, m).otherwise(best), F.when(now < 0.9 * cost, now).otherwise(cost))
+    rows = rows.withColumn("matches", best).filter(F.col("pos") < short + F.col("matches"))
+    rows = materialize(rows.select("rep", "n", F.col("matches").cast("int").alias("matches"), F.col("pos").cast("int").alias("pos"), "h"), "postings")
+    drop(often)
+    return rows
 
-def _verified(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+
+def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs (a, b) with common and union, the sizes of intersection and union."""
-    ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    sets = materialize(_sets_of(docs, bounded(ids), k), "sets")
-    one, two = (sets.select(F.col("doc_id").alias(x), F.col("members").alias(f"of_{x}")) for x in "ab")
+    ids = materialize(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "ids")
+    asked = sets.join(bounded(ids), "rep", "left_semi")
+    one, two = (asked.select(F.col("rep").alias(x), F.col("members").alias(f"of_{x}")) for x in "ab")
     both = pairs.join(two, "b").join(one, "a").withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
     both = both.select("a", "b", "common", (F.size("of_a") + F.size("of_b") - F.col("common")).alias("union"))
     out = materialize(both, "verified")
-    drop(ids, sets)
+    drop(ids)
     return out
 
 
@@ -172,18 +188,39 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     (k = 5 and 80 unless told otherwise; percent at least 67, so that the far
     side of the triangle inequality is not empty).  Null texts and texts
     without words have empty sets and link with nothing.  A row without doc_id
-    gets no component and links with nothing; repeated rows share theirs.  An
+    gets no component and links with nothing; repeated rows share theirs, and
+    rows of one doc_id with different texts are documents of their own.  An
     empty table gives an empty one; further columns are ignored.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = materialize(described(docs, k, percent), "prefixes")
     full = rows.filter("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    reps = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    posted = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "matches", F.posexplode("prefix").alias("pos", "h"))
-    posted = materialize(posted, "postings")
-    often = posted.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1").select("h")
+    classes, again = _classes(full)
+    wanted = screened(full, classes, percent)
+    keyed = materialize(rows.select("doc_id", "n_shingles", "set_key"), "keyed")
+    drop(rows)
+    sets = materialize(_sets_of(docs, wanted, k, again), "sets")
+    drop(wanted)
+    groups, used = _components(sets, percent)
+    drop(sets)
+    groups = groups.withColumnRenamed("node", "rep")
+    of_class = classes.join(groups, "rep", "left").select("set_key", "first", F.coalesce("component", "rep").alias("component"))
+    least = of_class.groupBy("component").agg(F.min("first").alias("component_id"))
+    of_class = of_class.join(least, "component").select("set_key", "component_id")
+    named = keyed.withColumn("set_key", F.when(F.col("n_shingles") > 0, F.col("set_key")))
+    out = named.join(of_class, "set_key", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
+    )
+    out = materialize(out, "components")
+    drop(keyed, classes, *used)
+    return out
+
+
+def _components(sets: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(node, component) of the sets that link with others, and the written tables that it still reads."""
+    posted = adaptive_prefixes(sets, percent)
+    often = materialize(posted.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1").select("h"), "often")
     # what stands before a place of a prefix in no other prefix is in no set that meets it at that place:
     # ``fit`` members at most are left to share with such a set
     before = F.col("pos") - F.row_number().over(Window.partitionBy("rep").orderBy("pos")) + 1
@@ -191,23 +228,25 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     shared = materialize(shared, "shared")
     asked = "({p} * ({{}} + {{}}) + {h} - 1) div {h}".format(p=percent, h=100 + percent)  # common members of a linked pair
     # a member that cannot link with any size in its list leaves the list
-    sizes = shared.groupBy("h").agg(F.min("n").alias("least_n"), F.count("*").alias("df"))
+    sizes = materialize(shared.groupBy("h").agg(F.min("n").alias("least_n"), F.count("*").alias("df")), "sizes")
     kept = shared.join(sizes, "h").filter("df > 1").withColumn("other", F.greatest("least_n", F.expr(f"({percent} * n + 99) div 100")))
     lists = materialize(kept.filter("fit >= " + asked.format("n", "other")).select("h", "rep", "n", "matches", "pos", "fit", "df"), "lists")
-    drop(posted, shared)
+    drop(posted, often, shared, sizes)
 
     # 100 a >= percent b: as similar as asked; 100 a < far b: too far for any link with what is linked to the leader
     far = 100 - 2 * (100 - percent)
     low, high, most = F.least("n", "leader_n"), F.greatest("n", "leader_n"), F.least("fit", "leader_fit")
     led = lists.filter(F.col("df") >= LED)
     leaders = led.groupBy("h").agg(F.min(F.struct((F.col("n") - F.col("fit")).alias("lost"), "rep", "n", "matches", "fit")).alias("lead"))
-    leaders = leaders.select("h", *[F.col(f"lead.{c}").alias(f"leader_{c}" if c != "rep" else "leader") for c in ("rep", "n", "matches", "fit")])
+    leaders = materialize(leaders.select("h", *[F.col(f"lead.{c}").alias(f"leader_{c}" if c != "rep" else "leader") for c in ("rep", "n", "matches", "fit")]), "leaders")
     led = materialize(led.join(leaders, "h"), "led")
+    drop(leaders)
     first = led.filter(F.col("rep") != F.col("leader")).filter("least(fit, leader_fit) >= " + asked.format("n", "leader_n")).groupBy(F.col("leader").alias("a"), F.col("rep").alias("b")).agg(
         F.count("*").alias("shared"), F.min(F.least("matches", "leader_matches")).alias("asked")
     )
     first = materialize(first.filter("shared >= asked").select("a", "b"), "pairs")
-    stars = _verified(docs, first, k)
+    stars = _verified(sets, first)
+    drop(first)
     linked = stars.filter(F.col("common") * 100 >= F.col("union") * percent).select("a", "b")
     groups = components(linked)
     state = (
@@ -222,6 +261,8 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         .join(groups.withColumnRenamed("node", "rep"), "rep", "left")
         .select("h", "rep", "n", "matches", "pos", "fit", "state", F.coalesce("component", "rep").alias("component"))
     )
+    left = materialize(left, "left")
+    drop(lists, led, groups)
     # members that were not compared with their leader are "between": they meet all others, the leader too
     # a list needs pairs only if members other than those linked to its leader are left in it
     open_lists = left.groupBy("h").agg(
@@ -230,16 +271,19 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         F.min("component").alias("c1"),
         F.max("component").alias("c2"),
     ).filter("c1 < c2 and (rest > 1 or between = 1)").select("h", "between")
-    left = materialize(left.join(open_lists, "h"), "open")
+    open_lists = materialize(open_lists, "open-lists")
+    opened = materialize(left.join(open_lists, "h"), "open")
+    drop(left, open_lists)
     # a pair is taken up in the last list that both are in, as far as the kept ends of their lists tell; there the
     # number of shared places bounds, from both sides' places, what the two can have in common
     places = F.transform(F.array_sort(F.collect_list(F.struct("pos", "h"))), lambda x: x["h"])
-    opened = left.groupBy("rep").agg(places.alias("o")).withColumn("whole", F.size("o") <= PLACES)
-    opened = opened.select("rep", "whole", F.when(F.col("whole"), F.col("o")).otherwise(F.slice("o", -PLACES, PLACES)).alias("o"))
-    left = materialize(left.join(opened, "rep"), "placed")
+    ends = opened.groupBy("rep").agg(places.alias("o")).withColumn("whole", F.size("o") <= PLACES)
+    ends = ends.select("rep", "whole", F.when(F.col("whole"), F.col("o")).otherwise(F.slice("o", -PLACES, PLACES)).alias("o"))
+    placed = materialize(opened.join(ends, "rep"), "placed")
+    drop(opened)
     columns = ("rep", "n", "matches", "pos", "fit", "component", "state", "whole", "o")
-    rest = left.filter("state <> 'linked'").select("h", *columns)
-    also = left.filter("state = 'linked' and between = 1").select("h", *columns)
+    rest = placed.filter("state <> 'linked'").select("h", *columns)
+    also = placed.filter("state = 'linked' and between = 1").select("h", *columns)
     x = rest.select("h", *[F.col(c).alias(f"{c}_x") for c in columns])
     need = asked.format("n", "n_x")
     fits = f"""component_x <> component and least(fit, fit_x) >= {need}
@@ -250,15 +294,14 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     across = x.filter("state_x = 'between'").join(also, "h").filter(fits)
     met = within.select("rep_x", "rep").union(across.select("rep_x", "rep"))
     met = met.select(F.least("rep_x", "rep").alias("a"), F.greatest("rep_x", "rep").alias("b")).distinct()
-    last = _verified(docs, materialize(met, "pairs"), k)
-    drop(lists, led, left)
+    met = materialize(met, "pairs")
+    drop(placed)
+    last = _verified(sets, met)
+    drop(met)
     linked = linked.union(last.filter(F.col("common") * 100 >= F.col("union") * percent).select("a", "b"))
-    groups = components(linked).withColumnRenamed("node", "rep")
-    of_class = classes.join(groups, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    keyed = rows.withColumn("set_key", F.when(F.col("n_shingles") > 0, F.col("set_key")))
-    return keyed.join(of_class, "set_key", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
-    )
+    out = components(linked)
+    drop(stars, last)
+    return out, [out]
 
 
 def op10_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
