@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
@@ -81,15 +81,16 @@ def _seeds(docs: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(pa.array(own)),
+                    batch.column("part").take(pa.array(own)),
                     pa.array(local.astype(np.int32)),
                     pa.array(g[at].view(np.int64)),
                     pa.array(twice[at].view(np.int64), mask=~fits[at]),
                     pa.array(twice[back].view(np.int64), mask=~has_left),
                 ],
-                names=["doc_id", "pos", "g", "right", "left"],
+                names=["doc_id", "part", "pos", "g", "right", "left"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, pos int, g long, right long, left long")
+    return docs.mapInArrow(run, "doc_id long, part int, pos int, g long, right long, left long")
 
 
 #: Marks of a surviving seed: its extension to the right, to the left, was seen twice.
@@ -134,55 +135,83 @@ def _candidates(docs: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(pa.array(own)),
+                    batch.column("part").take(pa.array(own)),
                     pa.array(local.astype(np.int32)),
                     pa.array(one[at].view(np.int64)),
                     pa.array((two[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
                 ],
-                names=["doc_id", "pos", "h", "i"],
+                names=["doc_id", "part", "pos", "h", "i"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, pos int, h long, i int")
+    return docs.mapInArrow(run, "doc_id long, part int, pos int, h long, i int")
 
 
-def later_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id): documents whose whole text a smaller doc_id has too; all their windows start earlier there."""
-    keyed = docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
-    first = keyed.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    return materialize(keyed.join(first, "digest").filter("doc_id > first").select("doc_id").distinct(), "copies")
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text and part of all rows with a doc_id; and each row's doc_id, part and digest.
+
+    ``part`` is 0 where the rows of a doc_id have one text, else the text's
+    rank by digest among them.
+    """
+    digests = materialize(docs.select("doc_id", _digest(F.col("text")).alias("digest")), "digests")
+    seen = F.xxhash64("digest")
+    clash = digests.groupBy("doc_id").agg(F.min(seen).alias("a"), F.max(seen).alias("b")).filter("a < b").select("doc_id")
+    if not clash.limit(1).count():
+        out = digests.withColumn("part", F.lit(0))
+        out._lectern_path = digests._lectern_path
+        return docs.withColumn("part", F.lit(0)), out
+    parts = digests.join(clash, "doc_id", "left_semi").distinct().withColumn("part", F.row_number().over(Window.partitionBy("doc_id").orderBy("digest")) - 1)
+    parts = materialize(parts, "parts")
+    both = digests.join(parts, ["doc_id", "digest"], "left").withColumn("part", F.coalesce("part", F.lit(0)))
+    both = materialize(both, "digests")
+    parts = parts.select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), "part")
+    rows = docs.join(parts, (F.col("doc_id") == F.col("_doc")) & (_digest(F.col("text")) == F.col("_digest")), "left")
+    return rows.select(*docs.columns, F.coalesce("part", F.lit(0)).alias("part")), both
+
+
+def later_copies(digests: DataFrame) -> DataFrame:
+    """(doc_id, part): texts that come earlier as well; all their windows start earlier there."""
+    place = F.struct("doc_id", "part")
+    first = digests.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("digest", "first")
+    first = materialize(first, "firsts")
+    out = materialize(digests.join(first, "digest").filter(place > F.col("first")).select("doc_id", "part").distinct(), "copies")
+    drop(first)
+    return out
 
 
 def repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
-    """(doc_id, windows): starts of windows of ``window`` words whose words also start a window earlier.
+    """(doc_id, part, windows): starts of windows of ``window`` words whose words also start a window earlier.
 
-    Earlier is a smaller doc_id or, in one document, a smaller position.  The
+    Earlier is a smaller doc_id, part or, in one document, position.  The
     window is a multiple of four.  ``docs`` has whole texts without later
     copies, doc_id and text not null; repeated rows of a document count as one.
     """
     seeds = materialize(_seeds(docs, window), "seeds")
-    often = seeds.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
+    # a table of its own: the join then meets no aggregate's partitioning, and a frequent key can be split
+    often = materialize(seeds.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g"), "often")
     level5 = materialize(seeds.join(often, "g", "left_semi"), "level5")
-    drop(seeds)
+    drop(seeds, often)
     # a window holds its seed's extension to the right, to the left, or both
     sides = level5.select(
-        "doc_id", "pos", F.explode(F.array(F.struct(F.lit(RIGHT).alias("mark"), F.col("right").alias("x")), F.struct(F.lit(LEFT).alias("mark"), F.col("left").alias("x")))).alias("s")
+        "doc_id", "part", "pos", F.explode(F.array(F.struct(F.lit(RIGHT).alias("mark"), F.col("right").alias("x")), F.struct(F.lit(LEFT).alias("mark"), F.col("left").alias("x")))).alias("s")
     )
-    sides = sides.select("doc_id", "pos", "s.mark", "s.x").filter("x is not null")
+    sides = sides.select("doc_id", "part", "pos", "s.mark", "s.x").filter("x is not null")
     # the two sides of one place are different strings unless the text repeats itself, which counts as twice
-    twice = sides.groupBy("x").agg(F.count("*").alias("n")).filter("n > 1").select("x")
-    level10 = sides.join(twice, "x", "left_semi").groupBy("doc_id", "pos").agg(F.bit_or("mark").alias("marks"))
-    level10 = level10.groupBy("doc_id").agg(F.collect_set(F.col("pos").cast("long") * 4 + F.col("marks")).alias("seeds"))
+    twice = materialize(sides.groupBy("x").agg(F.count("*").alias("n")).filter("n > 1").select("x"), "twice")
+    level10 = sides.join(twice, "x", "left_semi").groupBy("doc_id", "part", "pos").agg(F.bit_or("mark").alias("marks"))
+    level10 = level10.groupBy("doc_id", "part").agg(F.collect_set(F.col("pos").cast("long") * 4 + F.col("marks")).alias("seeds"))
     level10 = materialize(level10, "level10")
-    drop(level5)
-    found = materialize(_candidates(docs.join(level10, "doc_id").select("doc_id", "text", "seeds"), window), "windows")
+    drop(level5, twice)
+    found = materialize(_candidates(docs.join(level10, ["doc_id", "part"]).select("doc_id", "part", "text", "seeds"), window), "windows")
     drop(level10)
-    first = found.groupBy("h", "i").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    again = found.join(first, ["h", "i"]).filter("doc_id <> first.doc_id or pos <> first.pos")
-    out = materialize(again.groupBy("doc_id").agg(F.collect_set("pos").alias("windows")), "again")
-    drop(found)
+    place = F.struct("doc_id", "part", "pos")
+    first = materialize(found.groupBy("h", "i").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("h", "i", "first"), "firsts")
+    again = found.join(first, ["h", "i"]).filter(place > F.col("first"))
+    out = materialize(again.groupBy("doc_id", "part").agg(F.collect_set("pos").alias("windows")), "again")
+    drop(found, first)
     return out
 
 
@@ -192,23 +221,34 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     Every word that a repeated window covers goes; the kept words are joined
     by one space.  Documents with equal texts are compared once: all windows of
     the later ones start earlier in the first.  A row with null or blank text keeps nothing and removes
-    nothing; rows without doc_id keep all their words.  Other columns stay;
-    columns named as the new ones are replaced.
+    nothing; rows without doc_id keep all their words.  Repeated rows of a
+    document count as one; different texts under one doc_id are documents of
+    their own, one after the other by their digests.  Windows are told apart by
+    96 bits of multilinear hashes.  Other columns stay; columns named as the
+    new ones are replaced.
     """
     small_batches(docs.sparkSession)
-    copies = later_copies(_keyed(docs))
-    unique = _keyed(docs).join(bounded(copies), "doc_id", "left_anti")
-    spans = repeated_windows(unique, window).withColumn("copy", F.lit(False))
-    spans = spans.unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True).withColumnRenamed("doc_id", "_doc").withColumnRenamed("copy", "_copy")
+    keyed, digests = numbered(docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    copies = later_copies(digests)
+    several = bool(digests.filter("part > 0").limit(1).count())
+    keyed = keyed.filter("text is not null")
+    unique = keyed.join(bounded(copies), ["doc_id", "part"], "left_anti")
+    spans = repeated_windows(unique, window).withColumn("_copy", F.lit(False))
+    spans = spans.unionByName(copies.withColumn("_copy", F.lit(True)), allowMissingColumns=True)
+    if several:
+        spans = spans.join(digests.distinct(), ["doc_id", "part"])
+    spans = spans.withColumnsRenamed({"doc_id": "_doc", "windows": "_windows", "digest": "_sum"}).drop("part")
     new = ["n_words", "n_removed", "kept_text"]
     names = [c for c in docs.columns if c not in new]
-    rows = docs.select(*names).join(spans, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
-    schema = rows.drop("windows", "_copy").schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
+    on = F.col("doc_id").cast("long") == F.col("_doc")
+    rows = docs.select(*names).withColumn("_digest", _digest(F.col("text"))) if several else docs.select(*names)
+    rows = rows.join(spans, on & (F.col("_digest") == F.col("_sum")) if several else on, "left").select(*names, "_windows", "_copy")
+    schema = docs.select(*names).schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
 
     def run(batches):
         for batch in batches:
             w = tv.words(b := tv.Bytes.of(batch.column("text")))
-            spans = batch.column("windows")
+            spans = batch.column("_windows")
             n = np.diff(spans.offsets.to_numpy())
             at = np.repeat(w.first[:-1], n) + spans.flatten().to_numpy()
             mark = np.zeros(len(w.start) + window + 1, np.int64)
@@ -237,7 +277,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
                 names=[*names, *new],
             )
 
-    return rows.select(*names, "windows", "_copy").mapInArrow(run, schema)
+    return rows.select(*names, "_windows", "_copy").mapInArrow(run, schema)
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
