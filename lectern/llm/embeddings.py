@@ -22,12 +22,13 @@ from pyspark.sql import types as T
 from .graph import components
 from .store import drop, materialize
 
-#: Vectors that may be looked at to choose pivots: the sample's documented bound.
-SAMPLE = 4096
+#: Vectors that may be looked at to choose pivots, and so the most pivots: the sample's documented bound.
+SAMPLE = 16384
 #: Nearest pivots that describe a vector, and how many of them two candidates share.
 NEAREST, SHARED = 8, 2
-#: Vectors of a block.
+#: Vectors of a block, and those that are held against all pivots at once.
 BLOCK = 512
+HELD = 256
 
 
 def n_pivots(n: int) -> int:
@@ -37,7 +38,12 @@ def n_pivots(n: int) -> int:
 
 def _unit(column: pa.Array) -> np.ndarray:
     n = len(column)
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+    return _scaled(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1))
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; the largest component is divided out first, so squares neither overflow nor vanish."""
+    x = x / np.abs(x).max(axis=1, keepdims=True, initial=1e-323)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -45,8 +51,7 @@ def _pivots(sample: list[list[float]], dims: int, m: int) -> np.ndarray:
     """m unit vectors: those of the sample that have this many dimensions, then random ones."""
     own = [v for v in sample if len(v) == dims][:m]
     drawn = np.random.default_rng(dims).standard_normal((m - len(own), dims))
-    x = np.concatenate([np.asarray(own, dtype=np.float64).reshape(-1, dims), drawn])
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    return _scaled(np.concatenate([np.asarray(own, dtype=np.float64).reshape(-1, dims), drawn]))
 
 
 def _described(vectors: DataFrame, sample: list[list[float]], m: int) -> DataFrame:
@@ -58,9 +63,8 @@ def _described(vectors: DataFrame, sample: list[list[float]], m: int) -> DataFra
                 part = pa.table([*batch.columns], names=batch.schema.names).filter(pa.array(sizes == dims)).combine_chunks()
                 if dims not in known:
                     known[dims] = _pivots(sample, dims, m)
-                near = _unit(part.column("embedding").combine_chunks()) @ known[dims].T
-                k = min(NEAREST, m)
-                order = np.argsort(-near, axis=1, kind="stable")[:, :k].astype(np.int32)
+                x, k = _unit(part.column("embedding").combine_chunks()), min(NEAREST, m)
+                order = np.concatenate([np.argsort(-(x[i : i + HELD] @ known[dims].T), axis=1, kind="stable")[:, :k] for i in range(0, len(x), HELD)]).astype(np.int32)
                 ends = pa.array(np.arange(0, order.size + 1, k, dtype=np.int32))
                 out = part.append_column("pivots", pa.ListArray.from_arrays(ends, pa.array(order.ravel())))
                 yield from out.to_batches()
@@ -142,8 +146,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     fit = rows.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("embedding", lambda v: v != 0))
     classes = fit.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     classes = materialize(classes, "vectors")
-    sample = [r[0] for r in classes.orderBy(F.xxhash64("embedding", "label"), "rep").limit(SAMPLE).select("embedding").collect()]
     m = n_pivots(classes.count())
+    sample = [r[0] for r in classes.orderBy(F.xxhash64("embedding", "label"), "rep").limit(m).select("embedding").collect()]
     described = materialize(_described(classes, sample, m), "described")
     posted = described.select("label", F.size("embedding").alias("dims"), F.explode("pivots").alias("pivot"), "rep", "copies", "embedding", "pivots")
     lists = posted.groupBy("label", "pivot", "dims").agg(F.count("*").alias("n")).filter("n > 1").select("label", "pivot", "dims", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
