@@ -1,11 +1,13 @@
 """Operator 9: personal data by bootstrapped contextual extraction, by DataFrame operations only.
 
 Well-formed e-mail addresses, IP addresses, payment cards and phone numbers are
-the seeds.  The words before a seed are a lexical pattern.  Patterns and the
-identifier-like strings that they stand before form a bipartite graph, which is
-scored in rounds: a pattern's confidence is the mean score of its distinct
-instances, an instance's score the chance that one of its trusted patterns is
-right.  Strings of no known form that a trusted pattern introduces are added.
+the seeds, and, for secrets, long hexadecimal strings.  The words before a seed
+are a lexical pattern.  Patterns and the identifier-like strings that they
+stand before form a bipartite graph, which is scored in rounds: a pattern's
+confidence is the mean score of its distinct instances, an instance's score the
+chance that one of its trusted patterns is right.  Strings that a trusted
+pattern introduces are added: keys that a cue names, and identifiers of no
+known form.  A hexadecimal string that no trusted pattern introduces is not.
 """
 
 from __future__ import annotations
@@ -16,6 +18,9 @@ from pyspark.sql import functions as F
 from .store import drop, materialize
 
 KINDS = ("email", "ip", "card", "phone")
+#: The kind that only the method finds, and its seeds: long hexadecimal strings with letters and digits.
+SECRET = "secret"
+SECRET_SEED = r"^(?=.*[0-9])(?=.*[A-Fa-f])(?:[0-9a-f]{32,}|[0-9A-F]{32,})$"
 #: The given forms, written so that a search is linear: a run is entered at its start only, and never re-read.
 _LOCAL = r"[A-Za-z0-9._%+-]"
 FORMS = {
@@ -72,8 +77,9 @@ def _matches(docs: DataFrame) -> DataFrame:
     # the arrays are a column of their own, which is not copied into every row that comes of them
     rows = rows.select("doc_id", "copy", F.col("f.kind").alias("kind"), F.arrays_zip(F.col("f.gaps").alias("gap"), F.col("f.found").alias("match")).alias("zipped"))
     rows = rows.select("doc_id", "copy", "kind", F.posexplode("zipped").alias("nth", "x")).filter("x.match is not null")
-    words = F.filter(F.split(F.lower(F.regexp_replace(F.substring(F.col("x.gap"), F.greatest(F.lit(1), F.length("x.gap") - 80), F.lit(81)), "[0-9]+", "0")), rf"[{_S}]+"), lambda w: w != "")
-    words = F.when(F.size(words) > 2, F.slice(words, -2, 2)).otherwise(words)
+    # read from its end, a gap gives its last two words without a look at the rest
+    tail = F.regexp_extract(F.reverse("x.gap"), rf"^[{_S}]*+([^{_S}]++(?:[{_S}]++[^{_S}]++)?)", 1)
+    words = F.filter(F.split(F.regexp_replace(F.lower(F.reverse(tail)), "[0-9]+", "0"), rf"[{_S}]+"), lambda w: w != "")
     rows = rows.select("doc_id", "copy", "kind", "nth", F.length("x.gap").alias("gap"), "x.match", words.alias("before"))
     rows = materialize(rows.dropDuplicates(["doc_id", "copy", "kind", "nth"]), "matches")
     turn = Window.partitionBy("doc_id", "copy", "kind").orderBy("nth")
@@ -84,7 +90,7 @@ def _matches(docs: DataFrame) -> DataFrame:
 def _patterns(before: Column) -> Column:
     """The patterns that words give: the last word if it is a cue, and the last two."""
     last = F.try_element_at(before, F.lit(-1))
-    cue = F.when(last.rlike("[:=#]$"), F.concat(F.lit("1 "), last))
+    cue = F.when(last.rlike("[^:=#].*[:=#]$"), F.concat(F.lit("1 "), last))
     two = F.when(F.size(before) == 2, F.concat(F.lit("2 "), F.array_join(before, " ")))
     return F.array_compact(F.array(cue, two))
 
@@ -132,7 +138,8 @@ def find_spans(docs: DataFrame) -> DataFrame:
     other = formed.select(F.col("doc_id").alias("d"), F.col("copy").alias("c"), F.col("start").alias("s"), F.col("end").alias("e"))
     free = tokens.join(other, tokens["doc_id"].eqNullSafe(other["d"]) & (F.col("copy") == F.col("c")) & (F.col("start") < F.col("e")) & (F.col("s") < F.col("end")), "left_anti")
     free = materialize(free.select("doc_id", "copy", "start", "end", "value", F.explode(_patterns(F.col("before"))).alias("pattern")), "free")
-    seeds = base.select(F.col("match").alias("value"), "kind").distinct()
+    secrets = free.filter(F.col("value").rlike(SECRET_SEED)).select("value", F.lit(SECRET).alias("kind"))
+    seeds = base.select(F.col("match").alias("value"), "kind").union(secrets).distinct()
     known = base.select(F.explode(_patterns(F.col("before"))).alias("pattern"), F.col("match").alias("value"))
     edges = materialize(known.unionByName(free.select("pattern", "value")).distinct(), "graph")
     trusted = _spread(edges, seeds)
@@ -144,10 +151,10 @@ def find_spans(docs: DataFrame) -> DataFrame:
 def pii_summary(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): counts of base spans, their digest, and all spans.
 
-    The order of spans is by kind as in ``KINDS``, then start.
+    The order of spans is by kind as in ``KINDS``, secrets last, then start.
     """
     spans = find_spans(docs)
-    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    rank = F.array_position(F.array(*map(F.lit, (*KINDS, SECRET))), F.col("kind"))
     spans = spans.withColumn("x", F.struct(rank.alias("rank"), "start", "end", "kind"))
     shown = lambda xs: F.array_join(F.transform(F.array_sort(xs), lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     found = spans.groupBy(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy")).agg(
