@@ -83,7 +83,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     keys = materialize(_keys(keyed), "chunks")
     spot = F.struct("doc_id", "line")
     first = keys.groupBy("h", "i").agg(F.min(spot).alias("f"), F.max(spot).alias("l")).filter("f <> l")
-    first = first.select("h", "i", F.col("f.doc_id").alias("of"), F.col("f.line").alias("at"))
+    # a table of its own: the join then meets no aggregate's partitioning, and a frequent chunk can be split
+    first = materialize(first.select("h", "i", F.col("f.doc_id").alias("of"), F.col("f.line").alias("at")), "firsts")
     again = keys.join(first, ["h", "i"]).filter("doc_id <> of or line <> at").select("doc_id", "line", "of", "at")
     runs = materialize(_runs(again), "runs")
     place = F.struct("line", "lines")
@@ -95,7 +96,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     firsts = texts.select(F.col("doc_id").alias("of"), F.col("line").alias("at"), "lines", F.col("bytes").alias("first_bytes"))
     later = runs.join(texts, ["doc_id", "line", "lines"]).join(firsts, ["of", "at", "lines"])
     out = materialize(later.filter("bytes = first_bytes").groupBy("doc_id").agg(F.collect_set(place).alias("gone")), "gone")
-    drop(keys, runs, wanted, texts)
+    drop(keys, first, runs, wanted, texts)
     return out
 
 
@@ -112,7 +113,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     new = ["n_lines", "n_removed"]
     names = [c for c in docs.columns if c not in new]
     gone = repeated_chunks(docs).withColumnRenamed("doc_id", "_doc").withColumnRenamed("gone", "_gone")
-    rows = docs.select(*names).join(bounded(gone, 200_000), F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
+    rows = docs.select(*names).join(bounded(gone), F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
     schema = docs.select(*names).schema.add("n_lines", "long").add("n_removed", "long")
 
     def run(batches):
