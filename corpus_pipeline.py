@@ -60,8 +60,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in training order, sources mixed to their target weights; repeated ones once for each copy, also those without doc_id."""
-    return found(curriculum_mix(numbered(docs)))
+    """Documents in training order, sources mixed to their target weights; repeated ones once for each copy, also those without doc_id.
+
+    A copy that a source's target takes in part is cut there; n_chars follows the text.
+    """
+    return curriculum_mix(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
