@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -19,6 +20,23 @@ DOMESTIC_STEMS = ("polsk", "rzecz", "piast")
 # Tags that betray unparsed reasoning.
 REASONING_TAGS = ("<think>", "</think>", "<|channel>", "<channel|>")
 
+# Words whose terms say nothing in a short question, and in a topic that is looked up in the alternate corpus.
+GENERIC_SHORT = (
+    "źródło tekst autor fragment wydarzenie historia historyczny Polska polski państwo polityka społeczeństwo odpowiedź uzasadnienie "
+    "przedstawiony wyjaśnij podaj wskaż rozstrzygnij nazwa"
+)
+GENERIC_TOPIC = (
+    "Zajmij stanowisko wobec powyższej tezy uzasadnij uwzględniając argumentacji aspekt polityczny społeczny gospodarczy kulturowy trzy "
+    "wybrane wydarzenia panowanie okres wiek przyczyny skutki"
+)
+
+
+def word_terms(words: str) -> tuple[str, ...]:
+    """The terms of a few words that are known when a plan is made."""
+    plain = "".join(c for c in unicodedata.normalize("NFKD", words.lower().replace("ł", "l")) if not unicodedata.combining(c))
+    found = re.findall(f"[a-z]{{{SHORTEST_WORD},}}", plain)
+    return tuple(sorted({w[:TERM_LETTERS] for w in found if w not in STOP_WORDS}))
+
 
 def _folds() -> tuple[str, str, dict[str, str]]:
     """Letters that lose their marks one to one, and those that become several letters."""
@@ -98,6 +116,7 @@ def topic_parts(question: Column) -> Column:
     return F.when(F.size(parts) > 1, F.slice(parts, F.lit(2), F.size(parts) - 1)).otherwise(F.array(question))
 
 
+# What a question's limits and an essay look like, in folded text.
 _UNIT = r"\s*(?:slow|wyraz|words)"
 
 

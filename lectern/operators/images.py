@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 # Media types by file ending; the default, and the crops' share of a side.
 MIME = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp", "svg": "image/svg+xml", "tiff": "image/tiff", "tif": "image/tiff"}
-DEFAULT_MIME, LEAST_SIDE = "image/png", 500
+DEFAULT_MIME, LEAST_SIDE, MOST_IMAGES = "image/png", 500, 3
 
 
 def mime(path: Column) -> Column:
@@ -33,8 +33,18 @@ def crop_boxes(width: int, height: int) -> list[tuple[int, int, int, int]]:
     return [(x, y, x + w, y + h) for y in (0, height - h) for x in (0, width - w)]
 
 
+def crop_columns(width: Column, height: Column, essay: Column, n_images: Column) -> Column:
+    """The boxes of ``crop_boxes`` as an array column; none for essays or beside more than three images."""
+    w, h = (F.floor((3 * x + 4) / 5).cast("int") for x in (width, height))
+    box = lambda x, y: F.array(x, y, x + w, y + h)
+    zero = F.lit(0)
+    boxes = F.array(box(zero, zero), box(width - w, zero), box(zero, height - h), box(width - w, height - h))
+    fits = ~essay & (n_images <= MOST_IMAGES) & (F.least(width, height) >= LEAST_SIDE)
+    return F.when(F.coalesce(fits, F.lit(False)), boxes).otherwise(F.array().cast("array<array<int>>"))
+
+
 def crops(images: DataFrame) -> DataFrame:
-    """id, path, nth, box, content: the PNG crops of each image (id, path, content)."""
+    """id, path, nth, box, content: each image (id, path, content) as it is, nth 0, and its PNG crops."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from io import BytesIO
@@ -44,6 +54,7 @@ def crops(images: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for key, path, content in zip(batch["id"], batch["path"], batch["content"]):
+                rows.append((key, path, 0, None, content))
                 with Image.open(BytesIO(content)) as image:
                     image = image.convert("RGB")
                     for nth, box in enumerate(crop_boxes(*image.size), 1):

@@ -12,18 +12,40 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import has_reasoning_tags, is_blank, strip, word_count
+from ..plans.prompt import part, without_last
+from ..store import materialize
 
 OUT = "id string, answer string, seconds double, finish_reason string, error string, raw string"
 
 
+# Fixed value: the characters of an error's text that are kept.
+ERROR_TEXT = 3000
+
+
+def health(base: str, timeout: int = 10, ask=None) -> dict:
+    """The server's status; one other than ok is an error, as nothing should then be asked."""
+    if ask is None:
+        from urllib.request import urlopen
+
+        def ask(url):
+            with urlopen(url, timeout=timeout) as reply:
+                return json.load(reply)
+
+    found = ask(base.rstrip("/") + "/health")
+    if found.get("status") != "ok":
+        raise RuntimeError(f"server not ready: {found}")
+    return found
+
+
 def http_responder(base: str, route: str = "/v1/chat/completions", timeout: int = 1800) -> Callable[[list[dict]], list[dict]]:
-    """Posts each payload to a chat server; error texts are cut to 3000 characters."""
+    """Posts each payload to a chat server; what fails, in whatever way, is an answer with an error, cut to its first characters."""
 
     def ask(payloads: list[dict]) -> list[dict]:
+        from http.client import HTTPException
         from urllib.error import HTTPError
         from urllib.request import Request, urlopen
 
@@ -36,7 +58,9 @@ def http_responder(base: str, route: str = "/v1/chat/completions", timeout: int
                 choice = body["choices"][0]
                 out.append({"answer": choice["message"].get("content"), "finish_reason": choice.get("finish_reason"), "raw": json.dumps(body)})
             except HTTPError as error:
-                out.append({"error": error.read().decode("utf-8", "replace")[:3000]})
+                out.append({"error": error.read().decode("utf-8", "replace")[:ERROR_TEXT]})
+            except (OSError, HTTPException, ValueError, LookupError) as error:  # no connection, a timeout, no JSON, no choice
+                out.append({"error": f"{type(error).__name__}: {error}"[:ERROR_TEXT]})
         return out
 
     return ask
@@ -64,17 +88,55 @@ def respond(requests: DataFrame, responder: Callable[[list[dict]], list[dict]],
     return rows.withColumns({"status": status, "answer": strip(answer), "truncated": F.coalesce(F.col("finish_reason") == "length", F.lit(False)), "word_count": word_count(answer)})
 
 
-def two_stage(requests: DataFrame, eligible: DataFrame, responder, slots: int, first: str, follow: str) -> DataFrame:
-    """Eligible ids get a first request with ``first`` as instruction; its answer and ``follow`` are added to theirs.
+def sound(rows: DataFrame, stopped: bool = True) -> Column:
+    """Whether a first answer may be built on: not blank, no tags, no error and, for plans, ended by itself."""
+    return (F.col("status") == "ok") & (F.coalesce(F.col("finish_reason") == "stop", F.lit(False)) if stopped else F.lit(True))
 
-    ``requests`` has id and messages (array of struct<role, content>); the
-    result has the messages of the second stage.  A first answer that is not
-    sound leaves its item out.
+
+def two_stage(requests: DataFrame, eligible: DataFrame, responder, slots: int, first: str, follow: str) -> tuple[DataFrame, DataFrame]:
+    """Eligible ids get a first request with ``first`` as system text; its answer and ``follow`` are added to theirs.
+
+    ``requests`` has id and messages (array of struct<role, content>, the
+    system text first).  Returns the second stage's requests with the seconds of
+    the first, and the quarantine: items whose first answer is not sound, with
+    their raw responses.
     """
     ask = requests.join(eligible.select("id"), "id", "left_semi")
-    extra = F.concat("messages", F.array(F.struct(F.lit("user").alias("role"), F.lit(first).alias("content"))))
-    plans = respond(ask.select("id", F.to_json(F.struct(extra.alias("messages"))).alias("payload")), responder, slots)
-    plans = plans.filter("status = 'ok' and finish_reason = 'stop'").select("id", F.col("answer").alias("plan"))
+    system = F.array(F.struct(F.lit("system").alias("role"), F.lit(first).alias("content")))
+    extra = F.concat(system, F.slice("messages", F.lit(2), F.greatest(F.size("messages") - 1, F.lit(0))))
+    plans = materialize(respond(ask.select("id", F.to_json(F.struct(extra.alias("messages"))).alias("payload")), responder, slots), "plans")
+    good = plans.filter(sound(plans)).select("id", F.col("answer").alias("plan"), F.col("seconds").alias("first_seconds"))
     longer = F.concat("messages", F.array(F.struct(F.lit("assistant").alias("role"), F.col("plan").alias("content")), F.struct(F.lit("user").alias("role"), F.lit(follow).alias("content"))))
-    done = ask.join(plans, "id").select("id", longer.alias("messages"))
-    return requests.join(eligible.select("id"), "id", "left_anti").select("id", "messages").union(done)
+    done = ask.join(good, "id").select("id", longer.alias("messages"), "first_seconds")
+    rest = requests.join(eligible.select("id"), "id", "left_anti").select("id", "messages", F.lit(None).cast("double").alias("first_seconds"))
+    return rest.union(done), plans.filter(~sound(plans))
+
+
+def observe(requests: DataFrame, responder, slots: int, system: str, ask_for: str, before: str, after: str) -> tuple[DataFrame, DataFrame]:
+    """Questions with images get a request on the images alone; what it tells is added to their content.
+
+    ``requests`` has id, essay, images (an array) and parts; essays and items
+    without images pass.  Returns id and parts, and the quarantine.
+    """
+    eligible = F.coalesce(F.size("images") > 0, F.lit(False)) & ~F.col("essay")
+    asked = requests.filter(eligible)
+    only = F.concat(without_last(F.col("parts")), F.array(part("text", F.lit(ask_for))))
+    notes = respond(asked.select("id", F.to_json(F.struct(F.lit(system).alias("system"), only.alias("content"))).alias("payload")), responder, slots)
+    notes = materialize(notes, "observations")
+    good = notes.filter(sound(notes, False)).select("id", F.col("answer").alias("notes"))
+    told = F.concat("parts", F.array(part("text", F.concat(F.lit(before), F.col("notes"), F.lit(after)))))
+    done = asked.join(good, "id").select("id", told.alias("parts"))
+    return requests.filter(~eligible).select("id", "parts").union(done), notes.filter(~sound(notes, False))
+
+
+def total_seconds(records: DataFrame) -> DataFrame:
+    """Adds total_seconds, to two digits: both stages' where there were two, else null."""
+    return records.withColumn("total_seconds", F.round(F.col("seconds") + F.col("first_seconds"), 2))
+
+
+def require_sound(rows: DataFrame) -> DataFrame:
+    """The rows, if all of them succeeded; otherwise an error that names one that did not."""
+    bad = rows.filter("status <> 'ok'").select("id", "status").limit(1).collect()
+    if bad:
+        raise RuntimeError(f"item {bad[0]['id']} is not completed: {bad[0]['status']}")
+    return rows

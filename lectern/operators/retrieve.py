@@ -155,45 +155,47 @@ def render(picks: DataFrame, docs: DataFrame, topics: DataFrame, line: Column, i
     return topics.select("topic_id").join(lines.groupBy("topic_id").agg(text.alias("context")), "topic_id", "left")
 
 
-#: Candidates of a topic that compete at first; four times as many where that does not settle the picks.
-RIVALS = 256
+#: Candidates of a topic that compete at first, and the documents up to which all that hold a term do; four times as many where that does not settle the picks.
+RIVALS, RARE = 256, 64
 
 
 def _diverse(budget: Budget):
-    """Picks among a topic's rivals; ``sure`` tells whether no candidate beyond them could have won a round."""
+    """Continues a topic's picks among its rivals, as long as no candidate beyond them could win the round."""
 
     def choose(pdf):
         import numpy as np
 
-        idf = dict(pdf["idf"].iloc[0])
-        pdf = pdf.sort_values("doc_index", kind="stable")
-        own = [frozenset(t) for t in pdf["terms"]]
-        score, index, size = pdf["score"].to_numpy(float), pdf["doc_index"].tolist(), pdf["len"].to_numpy()
-        beyond = pdf["beyond"].iloc[0]
+        idf, frequent, beyond = dict(pdf["idf"].iloc[0]), set(pdf["frequent"].iloc[0]), pdf["beyond"].iloc[0]
+        before = [frozenset(t) for t in pdf[pdf["nth"] >= 0].sort_values("nth")["terms"]]
+        picked, used = list(pdf["picked"].iloc[0]), int(pdf["used"].iloc[0])
+        rivals = pdf[pdf["nth"] < 0].sort_values("doc_index", kind="stable")
+        own = [frozenset(t) for t in rivals["terms"]]
+        score, index, size = rivals["score"].to_numpy(float), rivals["doc_index"].tolist(), rivals["len"].to_numpy()
         asked = [t & idf.keys() for t in own]
-        gain, like = np.array([sum(idf[x] for x in sorted(t)) for t in asked]), np.zeros(len(own))
-        free = np.ones(len(own), dtype=bool)
-        picked, used, covered, sure = [], 0, set(), True
+        covered = set().union(*before) & idf.keys()
+        worth = lambda terms: sum(idf[x] for x in sorted(terms))
+        alike = lambda a, b: len(a & b) / max(1, len(a | b))
+        gain = np.array([worth(t - covered) for t in asked])
+        like = np.array([max([alike(t, x) for x in before], default=0.0) for t in own])
+        free, done = np.ones(len(own), dtype=bool), True
         while len(picked) < budget.lines:
             fits = free & (used + size + budget.in_test <= budget.chars)
-            if not fits.any():
-                sure &= not beyond > -np.inf
-                break
             utility = np.where(fits, np.round(score + gain - 3 * like, DECIMALS), -np.inf)
-            best = int(np.argmax(utility))  # the first of equals has the least doc_index
-            rest = sum(x for t, x in idf.items() if t not in covered)
-            sure &= bool(utility[best] > beyond + min(beyond, rest) + 1e-5)
+            best = int(np.argmax(utility)) if len(own) else -1  # the first of equals has the least doc_index
+            rest = beyond + min(beyond, worth(frequent - covered))
+            if best < 0 or not utility[best] > rest + 1e-5:
+                done = not beyond > -np.inf
+                break
             free[best] = False
             picked.append(index[best])
             used += int(size[best]) + budget.in_sum
-            fresh, words = asked[best] - covered, own[best]
+            fresh = asked[best] - covered
             covered |= fresh
             for i in np.flatnonzero(free):
                 if fresh & asked[i]:
-                    gain[i] = sum(idf[x] for x in sorted(asked[i] - covered))
-                common = len(words & own[i])
-                like[i] = max(like[i], common / max(1, len(words) + len(own[i]) - common))
-        return type(pdf)({"topic_id": [pdf["topic_id"].iloc[0]], "picked": [picked], "sure": [sure]})
+                    gain[i] = worth(asked[i] - covered)
+                like[i] = max(like[i], alike(own[best], own[i]))
+        return type(pdf)({"topic_id": [pdf["topic_id"].iloc[0]], "picked": [picked], "used": [used], "done": [done]})
 
     return choose
 
@@ -203,25 +205,39 @@ def pick_diverse(candidates: DataFrame, docs: DataFrame, topics: DataFrame, budg
 
     Utility is score + weight of the topic's terms that are not yet covered
     - 3 * the largest Jaccard likeness to a picked document; ties go to the
-    smaller doc_index.  No utility is above the score and the weight of what is
-    not yet covered, so the best candidates by score are enough as long as each
-    pick beats that bound of the rest; topics where one does not get four times
-    as many.
+    smaller doc_index.  The best candidates by score and all that hold a rare
+    term compete; the rest can cover frequent terms only, so no utility of
+    theirs is above the least score that competes and the weight of frequent
+    terms not yet covered.  Where a pick does not beat that bound, what still
+    fits competes again, with more rivals if that brought nothing.
     """
-    weighed = weighted_terms(docs, topics)
-    idf = weighed.groupBy("topic_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idf"))
+    weighed = materialize(weighted_terms(docs, topics), "weighed")
+    idf = weighed.groupBy("topic_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idf"), F.collect_list(F.struct("term", "df")).alias("dfs"))
     rows = candidates.join(docs.select("doc_index", "len"), "doc_index").filter(F.col("len") + budget.in_test <= budget.chars)
     rows = materialize(rows.select("topic_id", "doc_index", "score", "len"), "candidates")
-    kind = topics.schema["topic_id"].dataType.simpleString()
-    rivals, out, left = RIVALS, None, rows
+    kind, index = (x.dataType.simpleString() for x in (topics.schema["topic_id"], rows.schema["doc_index"]))
+    states = rows.select("topic_id").distinct().select("topic_id", F.array().cast(f"array<{index}>").alias("picked"), F.lit(0).cast("long").alias("used"))
+    rivals, rare, out = RIVALS, RARE, None
     while True:
-        # what a document's common terms weigh is its score without the bonus, or less
-        first = ranked(left, rivals + 1)
-        beyond = F.max(F.when(F.col("rank") == rivals + 1, F.col("score"))).over(Window.partitionBy("topic_id"))
-        first = first.withColumn("beyond", F.coalesce(beyond, F.lit(float("-inf")))).filter(F.col("rank") <= rivals)
-        first = first.join(docs.select("doc_index", "terms"), "doc_index").join(idf, "topic_id").select("topic_id", "doc_index", "score", "len", "terms", "idf", "beyond")
-        got = materialize(first.groupBy("topic_id").applyInPandas(_diverse(budget), f"topic_id {kind}, picked array<bigint>, sure boolean"), "diverse")
-        out = got.filter("sure").select("topic_id", "picked") if out is None else out.union(got.filter("sure").select("topic_id", "picked"))
-        if not got.filter("not sure").limit(1).count():
+        left = rows.join(states, "topic_id").filter((F.col("used") + F.col("len") + budget.in_test <= budget.chars) & ~F.array_contains("picked", F.col("doc_index"))).drop("picked", "used")
+        best = ranked(left, rivals + 1)
+        last = best.filter(F.col("rank") == rivals + 1).select("topic_id", F.col("score").alias("beyond"))
+        asked = weighed.filter(F.col("df") <= rare).select("topic_id", "term")
+        holds = docs.select("doc_index", F.explode("terms").alias("term")).join(asked, "term").select("topic_id", "doc_index").distinct()
+        first = best.filter(F.col("rank") <= rivals).drop("rank").union(left.join(holds, ["topic_id", "doc_index"], "left_semi")).distinct().withColumn("nth", F.lit(-1))
+        before = states.select("topic_id", F.posexplode("picked").alias("nth", "doc_index")).select("topic_id", "doc_index", F.lit(0.0).alias("score"), F.lit(0).alias("len"), "nth")
+        frequent = F.transform(F.filter("dfs", lambda x: x["df"] > rare), lambda x: x["term"]).alias("frequent")
+        group = first.union(before).join(docs.select("doc_index", "terms"), "doc_index").join(idf.select("topic_id", "idf", frequent), "topic_id").join(states, "topic_id").join(last, "topic_id", "left")
+        group = group.withColumn("beyond", F.coalesce("beyond", F.lit(float("-inf"))))
+        got = group.groupBy("topic_id").applyInPandas(_diverse(budget), f"topic_id {kind}, picked array<{index}>, used long, done boolean")
+        # topics without a row here have nothing left that fits
+        old = states.withColumnsRenamed({"picked": "_picked", "used": "_used"})
+        got = old.join(got, "topic_id", "left").select("topic_id", F.coalesce("picked", "_picked").alias("picked"), F.coalesce("used", "_used").alias("used"), F.coalesce("done", F.lit(True)).alias("done"), (F.col("used") > F.col("_used")).alias("moved"))
+        got = materialize(got, "diverse")
+        finished = got.filter("done").select("topic_id", "picked")
+        out = finished if out is None else out.union(finished)
+        states = got.filter("not done").select("topic_id", "picked", "used")
+        if not states.limit(1).count():
             return out
-        left, rivals = rows.join(got.filter("not sure").select("topic_id"), "topic_id", "left_semi"), 4 * rivals
+        if got.filter("not done and not moved").limit(1).count():
+            rivals, rare = 4 * rivals, 4 * rare

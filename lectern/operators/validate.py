@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import has_reasoning_tags, is_blank, word_bounds, word_count
 
 
+# The messages below, which tell a run's reader what to look at.
 def row_rules(answer: Column, recorded: Column, truncated: Column, finish: Column, essay: Column, question: Column) -> Column:
     """The messages that a row's rules give, in the order of the rules; a blank answer ends the list."""
     bounds, words = word_bounds(question), word_count(answer)
@@ -45,22 +46,49 @@ def warnings(rows: DataFrame) -> DataFrame:
     return rows.select("id", F.posexplode(told).alias("nth", "message"))
 
 
-def run_violations(items: DataFrame, answers: DataFrame, records: DataFrame, same_exam: bool = True, same_hash: bool = True) -> DataFrame:
-    """message of every rule on the run as a whole: hashes, ids, order, coverage."""
-    spark = items.sparkSession
-    fixed = [m for ok, m in ((same_hash, "Exam hash differs from the run"), (same_exam, "exam_id mismatch")) if not ok]
-    out = [spark.createDataFrame([(m,) for m in fixed], "message string")]
+def with_records(answers: DataFrame, records: DataFrame, items: DataFrame, essays: DataFrame) -> DataFrame:
+    """The answers (pos, id, answer) beside their records, questions, and whether they are essays: what the row rules need."""
+    known = records.select("id", F.col("answer").alias("recorded"), "truncated", "finish_reason")
+    asked = items.select("id", "question").withColumn("known", F.lit(True))
+    rows = answers.join(known, "id", "left").join(asked, "id", "left").join(essays.select("id").distinct().withColumn("essay", F.lit(True)), "id", "left")
+    return rows.withColumns({"question": F.coalesce("question", F.lit("")), "essay": F.coalesce("essay", F.lit(False)) & F.coalesce("known", F.lit(False))}).drop("known")
+
+
+def run_violations(items: DataFrame, answers: DataFrame, records: DataFrame, fingerprints: DataFrame, exam_ids: DataFrame) -> DataFrame:
+    """nth and message of every rule on the run as a whole: hashes, exam ids, item ids in order, coverage.
+
+    ``fingerprints`` has one row with the exam's hash now and the run's
+    (actual, recorded), ``exam_ids`` one with the answers' and the exam's
+    (actual, expected); nulls are values.
+    """
+    hashes = fingerprints.filter(~F.col("actual").eqNullSafe(F.col("recorded"))).select(F.lit(0).alias("nth"), F.lit("Exam hash differs from the run").alias("message"))
+    named = exam_ids.filter(~F.col("actual").eqNullSafe(F.col("expected"))).select(F.lit(1), F.lit("exam_id mismatch"))
     pairs = items.select("pos", F.col("id").alias("expected")).join(answers.select("pos", F.col("id").alias("actual")), "pos", "full")
     moved = pairs.filter(~F.col("expected").eqNullSafe(F.col("actual"))).limit(1).select(F.lit("x").alias("x"))
     twice = answers.groupBy("id").count().filter("count > 1").limit(1).select(F.lit("x").alias("x"))
-    out.append(moved.union(twice).distinct().select(F.lit("Missing, extra, duplicate or reordered IDs").alias("message")))
+    order = moved.union(twice).distinct().select(F.lit(2), F.lit("Missing, extra, duplicate or reordered IDs"))
     one, two = items.select("id").distinct(), records.select("id").distinct()
     apart = one.join(two, "id", "left_anti").union(two.join(one, "id", "left_anti")).limit(1)
-    out.append(apart.select(F.lit("Records do not cover the full exam").alias("message")))
-    return reduce(DataFrame.union, out)
+    return reduce(DataFrame.union, [hashes, named, order, apart.select(F.lit(3), F.lit("Records do not cover the full exam"))])
 
 
 def report(violations: DataFrame, rows: DataFrame) -> DataFrame:
     """One row: status, number of violations and of answers."""
     n = violations.agg(F.count("*").alias("n_errors"))
     return n.crossJoin(rows.agg(F.count("*").alias("answer_count"))).select(F.when(F.col("n_errors") == 0, "PASS").otherwise("FAIL").alias("status"), "n_errors", "answer_count")
+
+
+def full_report(items: DataFrame, answers: DataFrame, records: DataFrame, essays: DataFrame, fingerprints: DataFrame, exam_ids: DataFrame) -> DataFrame:
+    """One row: status, errors and warnings in order (those on the run, then row by row), answer_count and essay_ids."""
+    rows = with_records(answers, records, items, essays)
+    run = run_violations(items, answers, records, fingerprints, exam_ids).select(F.lit(-1).alias("pos"), "nth", "message")
+    told = F.concat(F.col("id"), F.lit(": "), F.col("message"))
+    row = row_rules(*map(F.col, ("answer", "recorded", "truncated", "finish_reason", "essay", "question")))
+    by_row = rows.select("pos", "id", F.posexplode(row).alias("nth", "message")).select("pos", "nth", told.alias("message"))
+    bounds = word_bounds(F.col("question"))
+    open_end = rows.filter(F.col("essay") & ~is_blank(F.col("answer")) & bounds["low"].isNull() & bounds["high"].isNull())
+    open_end = open_end.select("pos", F.lit(0).alias("nth"), F.concat(F.col("id"), F.lit(": no explicit word limit parsed; inspect task manually")).alias("message"))
+    listed = lambda name: F.transform(F.array_sort(F.collect_list(F.struct("pos", "nth", "message"))), lambda x: x["message"]).alias(name)
+    errors, warned = run.union(by_row).agg(listed("errors")), open_end.agg(listed("warnings"))
+    counted = answers.agg(F.count("*").alias("answer_count")).crossJoin(essays.agg(F.sort_array(F.collect_set("id")).alias("essay_ids")))
+    return errors.crossJoin(warned).crossJoin(counted).select(F.when(F.size("errors") == 0, "PASS").otherwise("FAIL").alias("status"), "errors", "warnings", "answer_count", "essay_ids")

@@ -24,6 +24,10 @@ class Wording:
     essay: str = "Choose one topic, give its number, and write an essay of 350 to 450 words."
     bounded_essay: str = "Choose one topic, give its number, and keep to the number of words that the task asks for."
     image: str = "Image: "
+    system: str = "Answer from the sources and your knowledge."
+    essay_system: str = "Write an essay. Keep to the length asked for; where only a minimum of 300 words is given, aim at 350 to 450 words."
+    length: str = "Keep to the length asked for; where only a minimum of 300 words is given, aim at 350 to 450 words."
+    bounded_length: str = "Keep strictly to the limits that the task gives."
 
 
 @dataclass(frozen=True)
@@ -39,7 +43,8 @@ class Sampling:
     essay_tokens: int = 3072
 
 
-def _part(kind: str, text: Column, url: Column | None = None) -> Column:
+def part(kind: str, text: Column, url: Column | None = None) -> Column:
+    """One part of a prompt: a text or an image."""
     return F.struct(F.lit(kind).alias("type"), text.cast("string").alias("text"), (F.lit(None) if url is None else url).cast("string").alias("url"))
 
 
@@ -54,6 +59,12 @@ def rule(question: Column, essay: Column, wording: Wording = Wording()) -> Colum
     return F.when(~essay, wording.short).when(bounded(question), wording.bounded_essay).otherwise(wording.essay)
 
 
+def system_text(question: Column, essay: Column, wording: Wording = Wording()) -> Column:
+    """The system text: an essay's clause on length gives way to the task's own limits."""
+    bound = F.replace(F.lit(wording.essay_system), F.lit(wording.length), F.lit(wording.bounded_length))
+    return F.when(~essay, wording.system).when(bounded(question), bound).otherwise(wording.essay_system)
+
+
 def parts(question: Column, source: Column, form: Column, essay: Column, context: Column, images: Column | None = None, wording: Wording = Wording(), question_first: bool = False) -> Column:
     """The prompt's parts in order: images, sources with task and rule, and the context of an essay.
 
@@ -68,10 +79,10 @@ def parts(question: Column, source: Column, form: Column, essay: Column, context
     )
     shown = none
     if images is not None:
-        shown = F.flatten(F.transform(images, lambda i: F.array(_part("text", F.concat(F.lit(wording.image), i["path"])), _part("image_url", F.lit(None), i["url"]))))
-    helped = F.when(essay & (blank(context) != ""), F.array(_part("text", F.concat(F.lit(wording.help + "\n"), context)))).otherwise(none)
-    first = F.array(_part("text", F.concat(F.lit(wording.task + "\n"), blank(question)))) if question_first else none
-    return F.concat(first, shown, F.array(_part("text", text)), helped)
+        shown = F.flatten(F.transform(images, lambda i: F.array(part("text", F.concat(F.lit(wording.image), i["path"])), part("image_url", F.lit(None), i["url"]))))
+    helped = F.when(essay & (blank(context) != ""), F.array(part("text", F.concat(F.lit(wording.help + "\n"), context)))).otherwise(none)
+    first = F.array(part("text", F.concat(F.lit(wording.task + "\n"), blank(question)))) if question_first else none
+    return F.concat(first, shown, F.array(part("text", text)), helped)
 
 
 def without_last(parts: Column) -> Column:

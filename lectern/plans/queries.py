@@ -295,24 +295,28 @@ def _values(rows: list[tuple]) -> str:
     return "VALUES " + ", ".join("(" + ", ".join(map(show, row)) + ")" for row in rows)
 
 
-def _sql_scored(bonus: str = "2", weight: str = "1", match: str = "TRUE") -> str:
+_LINE = "'[' || doc_id || '] ' || source || ' | ' || lang || ' | ' || text"
+_TOPIC_SQL = f"SELECT item_id AS topic_id, {_sql_terms('text')} AS q, {_sql_years('text')} AS ys FROM benchmark"
+
+
+def _sql_scored(bonus: str = "2", weight: str = "1", match: str = "TRUE", line: str = _LINE, topics: str = _TOPIC_SQL, years: str = _sql_years("text"), docs: str = "documents", terms: str = _sql_terms("text")) -> str:
     """Common table expressions up to ``scored`` (topic_id, doc_id, len, n_common, score); topics have no domestic stems here."""
     return f"""
-corpus AS MATERIALIZED (SELECT doc_id, source, lang, text, len(text) AS tl, {_sql_terms('text')} AS terms, {_sql_years('text')} AS ys,
-  length('[' || doc_id || '] ' || source || ' | ' || lang || ' | ' || text) AS len FROM documents),
-topics AS MATERIALIZED (SELECT item_id AS topic_id, {_sql_terms('text')} AS q, {_sql_years('text')} AS ys FROM benchmark),
+corpus AS MATERIALIZED (SELECT doc_id, source, lang, text, {terms} AS terms, {years} AS ys, length({line}) AS len FROM {docs}),
+topics AS MATERIALIZED ({topics}),
 held AS (SELECT doc_id, source, lang, unnest(terms) AS term FROM corpus),
 often AS (SELECT term, count(*) AS df FROM held GROUP BY term),
 asked AS (SELECT topic_id, unnest(q) AS term FROM topics),
+weighed AS (SELECT topic_id, term, df, ln(1 + (SELECT count(*) FROM corpus) / (1 + df)::DOUBLE) AS idf FROM asked JOIN often USING (term)),
 base AS (
-  SELECT a.topic_id, h.doc_id, sum(ln(1 + (SELECT count(*) FROM documents) / (1 + o.df)::DOUBLE) * {weight}) AS base, count(*) AS n_common, min(o.df) AS least_df
-  FROM asked a JOIN held h USING (term) JOIN often o USING (term) GROUP BY ALL),
+  SELECT a.topic_id, h.doc_id, sum(a.idf * {weight}) AS base, count(*) AS n_common, min(a.df) AS least_df, list_sort(list(h.term)) AS matched
+  FROM weighed a JOIN held h USING (term) GROUP BY ALL),
 met AS (
   SELECT b.*, c.len, c.source, c.lang, len(c.ys) > 0 AS dated, len(t.ys) > 0 AS asks,
          coalesce(list_min(c.ys) <= list_max(t.ys) AND list_max(c.ys) >= list_min(t.ys), FALSE) AS meets
   FROM base b JOIN corpus c USING (doc_id) JOIN topics t USING (topic_id)),
 scored AS (
-  SELECT topic_id, doc_id, len, n_common, round(base + CASE WHEN meets THEN {bonus} ELSE 0 END, 6) AS score
+  SELECT topic_id, doc_id, len, n_common, matched, round(base + CASE WHEN meets THEN {bonus} ELSE 0 END, 6) AS score
   FROM met WHERE NOT (asks AND dated AND NOT meets) AND {match})"""
 
 
@@ -364,9 +368,26 @@ ORACLE_SQL = {
 lines AS (SELECT p.topic_id, string_agg('[' || c.doc_id || '] ' || c.source || ' | ' || c.lang || ' | ' || c.text, chr(10) ORDER BY c.doc_id) AS c
   FROM (SELECT topic_id, unnest(ids) AS doc_id FROM picked) p JOIN documents c USING (doc_id) GROUP BY p.topic_id)
 SELECT b.item_id, CAST(length(coalesce(l.c, '')) AS BIGINT) AS n_chars, sha256(coalesce(l.c, '')) AS sha256 FROM benchmark b LEFT JOIN lines l ON l.topic_id = b.item_id""",
-    "retrieve_short": f"WITH RECURSIVE {_sql_scored(bonus='0', match='n_common >= 2 AND least_df <= greatest(2, 0.03 * (SELECT count(*) FROM documents))')}, {_sql_picked(1600, 1, 1, 4)} SELECT topic_id AS item_id, array_to_string(ids, ' ') AS picked, used FROM picked",
+    "retrieve_short": f"WITH RECURSIVE {_sql_scored(bonus='0', match='n_common >= 2 AND least_df <= greatest(2, 0.03 * (SELECT count(*) FROM corpus))')}, {_sql_picked(1600, 1, 1, 4)} SELECT topic_id AS item_id, array_to_string(ids, ' ') AS picked, used FROM picked",
     "retrieve_weighted": f"""WITH RECURSIVE {_sql_scored(weight=f"CASE WHEN list_contains({_sql_terms("'the ' || h.source || ' that'")}, h.term) THEN 3 WHEN list_contains({_sql_terms("h.lang || 'with from'")}, h.term) THEN 2 ELSE 1 END")}, {_sql_picked(8500, 2, 2, 5)}
 SELECT topic_id AS item_id, array_to_string(ids, ' ') AS picked, used FROM picked""",
+    "retrieve_diverse": f"""WITH RECURSIVE {_sql_scored()},
+rivals AS MATERIALIZED (
+  SELECT s.topic_id, s.doc_id, s.len, s.score, s.matched, c.terms FROM scored s JOIN corpus c USING (doc_id) WHERE s.len + 1 <= 4000),
+worth AS MATERIALIZED (SELECT topic_id, map_from_entries(list((term, idf))) AS idf FROM weighed GROUP BY topic_id),
+steps AS (
+  SELECT topic_id, 0 AS n, 0::BIGINT AS used, []::BIGINT[] AS ids, []::VARCHAR[] AS covered, []::VARCHAR[][] AS chosen FROM (SELECT DISTINCT topic_id FROM rivals)
+  UNION ALL
+  SELECT topic_id, n + 1, used + best.len + 1, list_append(ids, best.doc_id), list_concat(covered, best.matched), list_append(chosen, best.terms)
+  FROM (
+    SELECT s.topic_id, any_value(s.n) AS n, any_value(s.used) AS used, any_value(s.ids) AS ids, any_value(s.covered) AS covered, any_value(s.chosen) AS chosen,
+      max(struct_pack(
+        u := round(r.score + coalesce(list_sum(list_transform(list_filter(r.matched, lambda t: NOT list_contains(s.covered, t)), lambda t: w.idf[t])), 0)
+          - 3 * coalesce(list_max(list_transform(s.chosen, lambda c: len(list_intersect(c, r.terms)) / greatest(1, len(c) + len(r.terms) - len(list_intersect(c, r.terms)))::DOUBLE)), 0), 6),
+        d := -r.doc_id, doc_id := r.doc_id, len := r.len, matched := r.matched, terms := r.terms)) AS best
+    FROM steps s JOIN rivals r USING (topic_id) JOIN worth w USING (topic_id)
+    WHERE s.n < 18 AND NOT list_contains(s.ids, r.doc_id) AND s.used + r.len + 1 <= 4000 GROUP BY s.topic_id))
+SELECT topic_id AS item_id, array_to_string(list_sort(arg_max(ids, n)), ' ') AS picked, CAST(max(n) AS BIGINT) AS n_picked FROM steps GROUP BY topic_id""",
     "roman_numerals": f"SELECT * FROM ({_values([('XI', 11), ('XIX', 19), ('IV', 4), ('XC', 90), ('XXI', 21), ('MD', 0), ('', 0), ('xiv', 14), ('CXLIX', 149)])}) t(numeral, value)",
     "periods_of_topic": f"SELECT * FROM ({_values(_PERIODS)}) t(topic_no, periods)",
     "doc_year_span": f"""SELECT doc_id, CAST(CASE WHEN NOT contains(text, '{P.BCE}') THEN list_min(y) END AS BIGINT) AS lo, CAST(CASE WHEN NOT contains(text, '{P.BCE}') THEN list_max(y) END AS BIGINT) AS hi

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,8 +24,14 @@ CORPUS = ("kind", "id", "title", "date_text", "text", "span", "terms")
 
 
 def _lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines, blank ones skipped, a broken one an error, with ``line``: the place in the load order."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path).withColumn("line", F.monotonically_increasing_id())
+    """JSON lines, blank ones skipped, a broken one an error, with ``line``: the place in the load order.
+
+    Files are read in whatever pieces and order; a row's place is its file, the
+    start of the piece in it, and the order within the piece, which one task reads.
+    """
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    return rows.select(*rows.columns, at.alias("line"))
 
 
 def timeline(spark: SparkSession, path: str) -> DataFrame:
@@ -57,12 +64,12 @@ def load_corpus(first: DataFrame | None, second: DataFrame | None) -> DataFrame:
     if not parts:
         raise ValueError("a corpus needs at least one source")
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
-    # numbering within ranges of the order; only each range's count meets in one place
-    rows = rows.withColumn("_range", F.shiftright("line", 33))
+    # numbering within pieces of files; only each piece's count meets in one place
+    rows = rows.withColumn("_range", F.struct("line.file", "line.block"))
     sizes = rows.groupBy("_part", "_range").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.orderBy("_part", "_range").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select("_part", "_range", F.coalesce(before, F.lit(0)).alias("_before"))
-    nth = F.row_number().over(Window.partitionBy("_part", "_range").orderBy("line"))
+    nth = F.row_number().over(Window.partitionBy("_part", "_range").orderBy("line.nth"))
     out = rows.withColumn("_nth", nth).join(sizes, ["_part", "_range"]).withColumn("doc_index", F.col("_before") + F.col("_nth") - 1)
     return out.drop("_part", "_range", "_nth", "_before", "line")
 
@@ -118,11 +125,17 @@ def answers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def contained(root: str, path: str) -> str:
-    """The path below the root; one that leaves it is an error."""
-    full = posixpath.normpath(posixpath.join(root, path))
-    if full != root.rstrip("/") and not full.startswith(root.rstrip("/") + "/"):
+    """The path below the root; one that leaves it, by its parts or by a link of a local folder, is an error."""
+    scheme, bare = re.fullmatch(r"([A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?)?(.*)", root, re.S).groups()
+    bare = posixpath.normpath(bare)
+    full = posixpath.normpath(posixpath.join(bare, path))
+    if not scheme or scheme in ("file:", "file://"):
+        inside = posixpath.commonpath([posixpath.realpath(bare), posixpath.realpath(full)]) == posixpath.realpath(bare)
+    else:
+        inside = full == bare or full.startswith(bare.rstrip("/") + "/")
+    if not inside:
         raise ValueError(f"path outside the folder: {path}")
-    return full
+    return (scheme or "") + full
 
 
 def binaries(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -141,6 +154,23 @@ def verified_images(items: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def inventory(spark: SparkSession, paths: list[str], folder: str) -> DataFrame:
-    """name and bytes of expected files below a folder; bytes are null for absent ones."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"))
-    return spark.createDataFrame([(p,) for p in paths], "name string").join(found, "name", "left")
+    """name and bytes of expected files, by their paths below a folder; bytes are null for absent ones."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/") + "/"
+    bare = lambda p: F.regexp_replace(p, "^([a-z]+:)/+", "$1/")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(bare(F.col("path")).alias("path"), F.col("length").alias("bytes"))
+    wanted = spark.createDataFrame([(p,) for p in paths], "name string").withColumn("path", bare(F.concat(F.lit(root), F.col("name"))))
+    return wanted.join(found, "path", "left").select("name", "bytes")
+
+
+def total_bytes(files: DataFrame) -> DataFrame:
+    """One row: the bytes of all files; absent ones count nothing."""
+    return files.agg(F.coalesce(F.sum(F.coalesce("bytes", F.lit(0))), F.lit(0)).alias("bytes"))
+
+
+def optional_text(spark: SparkSession, path: str) -> str | None:
+    """A side file's text without white space at its ends, or None where there is no such file."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return spark.read.text(path, wholetext=True).first()[0].strip()

@@ -26,6 +26,26 @@ def audit_name(key):
     return F.concat(F.lit("essay-request-"), F.substring(F.sha2(key, 256), 1, 12), F.lit(".json"))
 
 
+def write_audits(rows: DataFrame, folder: str, key: str = "id", body: str = "payload") -> None:
+    """One file of a folder for each row, in a subfolder named by its audit name."""
+    rows.select(audit_name(F.col(key)).alias("name"), body).write.mode("overwrite").partitionBy("name").text(folder)
+
+
+def write_contexts(contexts: DataFrame, audit: DataFrame, folder: str) -> None:
+    """A run that stops after retrieval: the contexts and their audit."""
+    write_json(contexts, f"{folder}/contexts")
+    write_json(audit, f"{folder}/retrieval")
+
+
+def tee(lines, path: str):
+    """Passes lines on, one by one, and appends each to a file of the driver as it passes."""
+    with open(path, "a", encoding="utf-8") as log:
+        for line in lines:
+            log.write(line)
+            log.flush()
+            yield line
+
+
 def publish(answers: DataFrame, violations: DataFrame, path: str) -> bool:
     """Writes the answers if there is no violation, else removes what was published before."""
     spark = answers.sparkSession

@@ -54,6 +54,13 @@ def _remove(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; what is written there is removed when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/lectern/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df into the shared folder and returns the written table.
 
@@ -61,10 +68,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     The table itself is removed when the driver's Python ends, or by ``drop``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lectern/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     with setting(spark, _CLEAN, "true"):
         df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lectern_path = path
     return out

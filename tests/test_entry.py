@@ -5,7 +5,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lectern.plans.queries import ORACLE_SQL, QUERIES
+from lectern.plans import queries, run_queries
+
+QUERIES, ORACLE_SQL = queries.QUERIES | run_queries.QUERIES, queries.ORACLE_SQL | run_queries.ORACLE_SQL
 
 
 def comparable(value):

@@ -1,11 +1,13 @@
+import collections
 import json
 import math
 import random
+import tarfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import images, infer, ledger, retrieve, validate
+from lectern.operators import images, infer, ledger, retrieve, run, validate
 from lectern.plans import prompt
 from lectern.sources import corpus, sinks
 from lectern.streaming import ledger as streaming
@@ -111,27 +113,142 @@ def test_validation_and_publishing(spark, tmp_path):
     items = spark.createDataFrame([(0, "1"), (1, "2")], "pos int, id string")
     answers = spark.createDataFrame([(0, "1", "a"), (1, "2", "b")], "pos int, id string, answer string")
     records = answers.select("id", "answer")
-    assert validate.run_violations(items, answers, records).count() == 0
-    assert {r["message"] for r in validate.run_violations(items, answers.withColumn("id", F.lit("1")), records.limit(1), same_exam=False).collect()} == {
+    pair = lambda *given: spark.createDataFrame([given], "actual string, {} string".format("recorded" if len(given[0] or "") == 4 else "expected"))
+    same, other, exam, odd = pair("abcd", "abcd"), pair("abcd", "efgh"), pair("e", "e"), pair("e", None)
+    assert validate.run_violations(items, answers, records, same, exam).count() == 0
+    assert [r["message"] for r in validate.run_violations(items, answers.withColumn("id", F.lit("1")), records.limit(1), same, odd).orderBy("nth").collect()] == [
         "exam_id mismatch", "Missing, extra, duplicate or reordered IDs", "Records do not cover the full exam",
-    }
+    ]
     out = str(tmp_path / "answers")
-    assert sinks.publish(answers, validate.run_violations(items, answers, records), out)
+    assert sinks.publish(answers, validate.run_violations(items, answers, records, same, exam), out)
     assert spark.read.json(out).count() == 2
-    assert not sinks.publish(answers, validate.run_violations(items, answers, records, same_hash=False), out)
+    assert not sinks.publish(answers, validate.run_violations(items, answers, records, other, exam), out)
     assert not (tmp_path / "answers").exists()
 
 
 def test_prompt_and_two_stages(spark):
-    df = spark.createDataFrame([("1", "at most 5 words", "s", True), ("2", "q", None, False)], "id string, question string, source string, essay boolean")
+    df = spark.createDataFrame([("1", "at most 5 words", "s", True), ("2", "q", None, False), ("3", "bad", "s", True)], "id string, question string, source string, essay boolean")
     parts = prompt.parts(F.col("question"), F.col("source"), F.lit("f"), F.col("essay"), F.lit("ctx"))
     rows = df.select("id", parts.alias("p"), prompt.payload(F.lit("sys"), parts, F.col("essay")).alias("j")).orderBy("id").collect()
     assert len(rows[0]["p"]) == 2 and prompt.Wording.bounded_essay in rows[0]["p"][0]["text"] and len(rows[1]["p"]) == 1
     assert json.loads(rows[0]["j"])["max_tokens"] == 3072
-    asked = df.select("id", F.array(F.struct(F.lit("user").alias("role"), F.col("question").alias("content"))).alias("messages"))
-    plan = lambda ps: [{"answer": "plan of " + p["messages"][0]["content"], "finish_reason": "stop"} for p in ps]
-    done = {r["id"]: r["messages"] for r in infer.two_stage(asked, df.filter("essay"), plan, 2, "make a plan", "now write").collect()}
-    assert [m["role"] for m in done["1"]] == ["user", "assistant", "user"] and len(done["2"]) == 1
+    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    asked = df.select("id", F.array(message("system", F.lit("write")), message("user", F.col("question"))).alias("messages"))
+    plan = lambda ps: [{"answer": f"{p['messages'][0]['content']} of {p['messages'][1]['content']}", "finish_reason": "length" if p["messages"][1]["content"] == "bad" else "stop", "raw": "r"} for p in ps]
+    done, refused = infer.two_stage(asked, df.filter("essay"), plan, 2, "make a plan", "now write")
+    done = {r["id"]: r for r in done.collect()}
+    assert [(m["role"], m["content"]) for m in done["1"]["messages"]] == [("system", "write"), ("user", "at most 5 words"), ("assistant", "make a plan of at most 5 words"), ("user", "now write")]
+    assert len(done["2"]["messages"]) == 2 and done["2"]["first_seconds"] is None and done["1"]["first_seconds"] >= 0
+    assert [r["id"] for r in refused.collect()] == ["3"] and set(done) == {"1", "2"}
+
+
+def test_what_fails_to_answer_is_a_row(spark):
+    got = infer.http_responder("http://127.0.0.1:9", timeout=1)([{}])
+    assert "error" in got[0] and len(got[0]["error"]) <= infer.ERROR_TEXT
+    rows = infer.respond(spark.createDataFrame([("1", "{}")], "id string, payload string"), infer.http_responder("http://127.0.0.1:9", timeout=1), 1)
+    assert rows.first()["status"] == "error"
+    with pytest.raises(RuntimeError, match="not completed"):
+        infer.require_sound(rows)
+    assert infer.health("http://x/", ask=lambda url: {"status": "ok", "url": url})["url"] == "http://x/health"
+    with pytest.raises(RuntimeError, match="not ready"):
+        infer.health("http://x", ask=lambda url: {"status": "loading"})
+
+
+def test_parameters_and_choices(spark):
+    given = run.Parameters.of({"max_tokens": "9", "essay_ids": "1 2", "validate_only": "true", "temperature": "0.5"})
+    assert given.max_tokens == 9 and given.essay_ids == ("1", "2") and given.validate_only and given.temperature == 0.5
+    with pytest.raises(ValueError, match="choose"):
+        run.Parameters.of({"no_essays": "true", "essay_ids": "1"})
+    with pytest.raises(ValueError, match="unknown"):
+        run.Parameters.of({"tokens": "1"})
+    spark.conf.set("spark.lectern.max_tokens", "77")
+    assert run.Parameters.of_session(spark).max_tokens == 77
+    spark.conf.unset("spark.lectern.max_tokens")
+    items = spark.createDataFrame([("1", "Write an essay.", 1.0), ("2", "Name it.", 12.0), ("3", "Name it.", 1.0)], "id string, question string, max_points double")
+    with pytest.raises(ValueError, match="ambiguous essays: 2"):
+        run.choose_essays(items)
+    assert [r["id"] for r in run.choose_essays(items.filter("id <> '2'")).collect()] == ["1"]
+    assert run.choose_essays(items, run.Parameters(no_essays=True)).count() == 0
+    assert [r["id"] for r in run.choose_essays(items, run.Parameters(essay_ids=("2",))).collect()] == ["2"]
+    with pytest.raises(ValueError, match="unknown essay ids: 9"):
+        run.choose_essays(items, run.Parameters(essay_ids=("9",)))
+    assert sorted(r["id"] for r in run.select_items(items, run.Parameters(ids=("3", "1", "3"))).collect()) == ["1", "3"]
+    with pytest.raises(ValueError, match="unknown ids"):
+        run.select_items(items, run.Parameters(ids=("7",)))
+    one = spark.createDataFrame([(1, None)], "a int, b string")
+    run.check_same(one, one)
+    with pytest.raises(ValueError, match="changed"):
+        run.check_same(one, one.withColumn("b", F.lit("x")))
+
+
+def test_load_order_is_that_of_files_and_places(spark, tmp_path):
+    root = tmp_path / "notes"
+    root.mkdir()
+    want = []
+    for n in range(6):  # later files are larger: Spark packs the largest pieces first
+        names = [f"{n}-{k}" for k in range(3 + 400 * n)]
+        want += names
+        (root / f"part-{n}.jsonl").write_text("".join(json.dumps({"id": x, "title": "t", "text": "y" * n}) + "\n" for x in names))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    got = corpus.load_corpus(None, corpus.notes(spark, str(root))).orderBy("doc_index").collect()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["id"] for r in got] == want and [r["doc_index"] for r in got] == list(range(len(want)))
+
+
+def test_side_files(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    (tmp_path / "a" / "x.bin").write_bytes(b"123")
+    (tmp_path / "b" / "x.bin").write_bytes(b"12345")
+    (tmp_path / "note.txt").write_text(" told \n")
+    found = {r["name"]: r["bytes"] for r in corpus.inventory(spark, ["a/x.bin", "b/x.bin", "c/x.bin"], str(tmp_path)).collect()}
+    assert found == {"a/x.bin": 3, "b/x.bin": 5, "c/x.bin": None}
+    assert corpus.optional_text(spark, str(tmp_path / "note.txt")) == "told" and corpus.optional_text(spark, str(tmp_path / "none.txt")) is None
+    (tmp_path / "a" / "out").symlink_to("/etc")
+    with pytest.raises(ValueError):
+        corpus.contained(str(tmp_path / "a"), "out/passwd")
+    assert corpus.contained("hdfs://n/exam", "a/../b.png") == "hdfs://n/exam/b.png"
+    with pytest.raises(ValueError):
+        corpus.contained("hdfs://n/exam", "../b.png")
+    assert list(sinks.tee(["one\n", "two\n"], str(tmp_path / "log"))) == ["one\n", "two\n"] and (tmp_path / "log").read_text() == "one\ntwo\n"
+    sinks.pack(str(tmp_path / "a"), str(tmp_path / "a.tar.gz"))
+    with tarfile.open(tmp_path / "a.tar.gz") as tar:
+        assert "a/x.bin" in tar.getnames()
+
+
+def test_diverse_passes_give_what_one_scan_gives(spark, monkeypatch):
+    rng = random.Random(3)
+    vocabulary = [f"t{i:03}x" for i in range(60)]
+    docs = [(i, sorted(rng.sample(vocabulary, rng.randrange(3, 25))), rng.choice([40, 90, 200, 700])) for i in range(400)]
+    asked = [(t, sorted(rng.sample(vocabulary, 12)), []) for t in range(5)]
+    frame = spark.createDataFrame(docs, "doc_index long, terms array<string>, len int").withColumn("span", F.lit(None).cast("struct<lo: int, hi: int>")).withColumn("kind", F.lit("context"))
+    topics = spark.createDataFrame(asked, "topic_id long, q array<string>, spans array<struct<lo: int, hi: int>>")
+    found = retrieve.scored(frame, topics).select("topic_id", "doc_index", "score").cache()
+    scores = {(r["topic_id"], r["doc_index"]): r["score"] for r in found.collect()}
+    monkeypatch.setattr(retrieve, "RIVALS", 4)
+    monkeypatch.setattr(retrieve, "RARE", 1)
+    budget = retrieve.Budget(1500, 1, 1, 9)
+    got = {r["topic_id"]: r["picked"] for r in retrieve.pick_diverse(found, frame, topics, budget).collect()}
+    df = collections.Counter(t for _, terms, _ in docs for t in terms)
+    for topic, q, _ in asked:
+        picked, used, covered, chosen = [], 0, set(), []
+        while len(picked) < budget.lines:
+            best = None
+            for i, terms, size in docs:
+                if i in picked or (topic, i) not in scores or used + size + 1 > budget.chars:
+                    continue
+                gain = sum(math.log(1 + len(docs) / (1 + df[t])) for t in sorted(set(terms) & set(q) - covered))
+                like = max((len(set(terms) & c) / len(set(terms) | c) for c in chosen), default=0)
+                key = (round(scores[topic, i] + gain - 3 * like, 6), -i)
+                best = max(best or key, key)
+            if best is None:
+                break
+            i = -best[1]
+            picked.append(i)
+            used += docs[i][2] + 1
+            covered |= set(docs[i][1]) & set(q)
+            chosen.append(set(docs[i][1]))
+        assert got[topic] == picked
 
 
 def test_streaming_ledger_runs_twice_as_once(spark, tmp_path):
