@@ -37,12 +37,9 @@ LABELLED, APART = 20_000, 4
 BEGINNINGS = (5, 6, 7, 8)
 #: Toxic texts that must hold a feature, how much more often than others, and the most features that are kept.
 LEAST, ODDS, FEATURES = 3, 20.0, 100_000
-#: Toxic labelled texts on either side below which nothing is learned and the insults alone decide.
+#: Labelled texts of either kind on either side below which nothing is learned, and so nothing is toxic.
 ENOUGH = 5
 
-# Insults, known from the start; they alone decide where labels are missing.
-INSULTS = "trash pathetic idiot idiots worthless disgusting stupid clown scum loser losers moron morons".split()
-
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[97:123] = _CLASS[128:] = 97
 _CLASS[65:91] = 65
@@ -201,16 +198,10 @@ def toxic_features(b: tv.Bytes, w: tv.Spans):
         yield out
 
 
-def insults() -> dict[int, float]:
-    """The insults as features."""
-    b = tv.Bytes.of(pa.array([" ".join(INSULTS)]))
-    return dict.fromkeys(next(toxic_features(b, tv.words(b))).tolist(), float(np.log(ODDS)))
-
-
 def toxicity(b: tv.Bytes, w: tv.Spans, known: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Each text's mean over its words of the greatest weight of a word's features; ``known`` is sorted."""
     most = np.zeros(len(w.start))
-    for h in toxic_features(b, w):
+    for h in toxic_features(b, w) if len(known) else ():
         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
         np.maximum(most, np.where(known[at] == h, weights[at], 0.0), out=most)
     total = np.concatenate([[0.0], np.cumsum(most)])[w.first]
@@ -238,8 +229,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame | None, text: str = "text"
     ``labels`` has doc_id and toxic (0 or 1).  At most LABELLED labelled
     documents, by hash of doc_id, are used, equal texts once.
     """
-    known = insults()
-    alone = (*_arrays(known), 0.0)
+    alone = (*_arrays({}), float("inf"))
     if labels is None:
         return alone
     given = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic"))
@@ -270,8 +260,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame | None, text: str = "text"
     often = rows.filter("not apart").select("text", "toxic").mapInArrow(features, "h long, t long, o long").groupBy("h").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
     odds = (F.col("t") / n_toxic) / ((F.col("o") + 0.5) / n_other)
     chosen = often.filter(F.col("t") >= LEAST).withColumn("odds", odds).filter(F.col("odds") >= ODDS).orderBy(F.desc("odds"), "h").limit(FEATURES)
-    known |= {r["h"] % 2**64: float(np.log(r["odds"])) for r in chosen.collect()}
-    hashes, weights = _arrays(known)
+    hashes, weights = _arrays({r["h"] % 2**64: float(np.log(r["odds"])) for r in chosen.collect()})
 
     def score(batches):
         for batch in batches:
@@ -321,7 +310,7 @@ def classify(docs: DataFrame, threshold: float = 0.5, labels: DataFrame | None =
     weak_label is the posterior of the votes, score the linear scorer's; a text
     is kept if the score reaches the threshold and it is not toxic.  Toxicity is
     learned from ``labels`` (doc_id, toxic), which ``docs`` then needs doc_id
-    for; without enough of them a text with an insult is toxic.  Null and
+    for; without enough of them no text is toxic.  Null and
     blank texts score 0 and are not kept.  Equal texts are judged alike; columns
     that have a new one's name are replaced; an empty table gives an empty one.
     """
