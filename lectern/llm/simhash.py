@@ -18,7 +18,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import bounded, materialize
+from .store import bounded, drop, materialize
 
 SPACES = r"[\x20\x09-\x0D]+"
 #: Seeds of the two 64-bit halves of a term's hash.
@@ -26,7 +26,9 @@ SEEDS = (42, 1042)
 #: A term weighs its length, up to this.
 HEAVIEST = 4
 #: Rows of a range of documents within which neighbours are found, and the most ranges.
-RANGE_ROWS, RANGES = 500, 4096
+RANGE_ROWS, RANGES = 500, 65_536
+#: Fingerprints of a table that share the chosen blocks beyond which halves of the other blocks must be shared, too; and those of one part of a key.
+CROWD, PART = 1024, 512
 
 
 def _terms(text: Column) -> Column:
@@ -86,38 +88,67 @@ def likeness(*halves: Column) -> Column:
     return F.lit(1.0) - distance(*halves) / F.lit(128.0)
 
 
-def near_fingerprints(prints: DataFrame, radius: int = 3, spare: int = 3, salts: int = 16) -> DataFrame:
+def _bits(high: Column, low: Column, a: int, b: int) -> Column:
+    """Bits a to b of a fingerprint as text, counted from the lowest."""
+    parts = []
+    for half, base in ((low, 0), (high, 64)):
+        x, y = max(a, base) - base, min(b, base + 64) - base
+        if x < y:
+            mask = (1 << (y - x)) - 1
+            parts.append(F.shiftrightunsigned(half, x).bitwiseAND(F.lit(mask if mask < 1 << 63 else -1)))
+    return F.concat_ws("-", *parts)
+
+
+def near_fingerprints(prints: DataFrame, radius: int = 3, spare: int = 3) -> DataFrame:
     """All pairs of distinct fingerprints at most ``radius`` bits apart.
 
     ``prints`` has high and low; returns high_a, low_a, high_b, low_b and bits,
     each pair once.  Equal fingerprints are one row here, as copies need no
     table; nulls and further columns are ignored.  One block table is joined
-    for each choice of ``spare`` of the ``radius + spare`` blocks, dealt by the
-    chosen blocks and a salt, so a frequent block value is met in many tasks.
+    for each choice of ``spare`` of the ``radius + spare`` blocks.  Where many
+    share the chosen blocks, two halves of other blocks must be equal as well:
+    of ``2 * radius`` halves ``radius`` bits leave ``radius`` equal, two of
+    them within the first or within the second half of these halves.  What is
+    still frequent is dealt out in parts by its measured count.
     """
+    if radius < 3:  # two of the halves need not be equal then in one part
+        return near_fingerprints(prints, 3, spare).filter(F.col("bits") <= radius)
     count = radius + spare
     cuts = [round(i * 128 / count) for i in range(count + 1)]
-    distinct = prints.select("high", "low").filter("high is not null and low is not null").distinct()
-
-    def block(i: int) -> Column:
-        parts = []
-        for half, base in (("low", 0), ("high", 64)):
-            a, b = max(cuts[i], base) - base, min(cuts[i + 1], base + 64) - base
-            if a < b:
-                mask = (1 << (b - a)) - 1
-                parts.append(F.shiftrightunsigned(half, a).bitwiseAND(F.lit(mask if mask < 1 << 63 else -1)))
-        return F.concat_ws("-", *parts)
-
-    blocks = F.array(*[block(i) for i in range(count)])
-    tables = [F.struct(F.lit(t).alias("t"), F.concat_ws("|", *[F.element_at("_b", i + 1) for i in chosen]).alias("key")) for t, chosen in enumerate(combinations(range(count), spare))]
+    halves = [(a, (a + b) // 2, b) for a, b in zip(cuts, cuts[1:])]
+    distinct = materialize(prints.select("high", "low").filter("high is not null and low is not null").distinct(), "prints")
+    high, low = F.col("high"), F.col("low")
+    choices = list(combinations(range(count), spare))
+    blocks = F.array(*[_bits(high, low, a, b) for a, b in zip(cuts, cuts[1:])])
+    tables = [F.struct(F.lit(t).alias("t"), F.concat_ws("|", *[F.element_at("_b", i + 1) for i in chosen]).alias("key")) for t, chosen in enumerate(choices)]
     rows = distinct.withColumn("_b", blocks).select("high", "low", F.explode(F.array(*tables)).alias("x")).select("high", "low", "x.t", "x.key")
-    often = rows.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1").select("t", "key")
-    rows = rows.join(often, ["t", "key"], "left_semi")
-    left = rows.withColumn("salt", F.pmod(F.xxhash64("high", "low"), F.lit(salts))).select("t", "key", "salt", F.col("high").alias("high_a"), F.col("low").alias("low_a"))
-    right = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))).select("t", "key", "salt", F.col("high").alias("high_b"), F.col("low").alias("low_b"))
+    often = materialize(rows.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1"), "blocks")
+    rows = materialize(rows.join(often, ["t", "key"]), "tables")
+    drop(often)
+    found = _met(rows.filter(F.col("n") <= CROWD), radius)
+    if rows.filter(F.col("n") > CROWD).limit(1).count():
+        finer = F.lit(None).cast("array<string>")
+        for t, chosen in enumerate(choices):
+            left = [(x, y) for i in range(count) if i not in chosen for x, y in ((halves[i][0], halves[i][1]), (halves[i][1], halves[i][2]))]
+            middle = len(left) // 2
+            twos = [*combinations(left[:middle], 2), *combinations(left[middle:], 2)]
+            keys = F.array(*[F.concat_ws("|", F.lit(str(k)), _bits(high, low, *one), _bits(high, low, *two)) for k, (one, two) in enumerate(twos)])
+            finer = F.when(F.col("t") == t, keys).otherwise(finer)
+        crowd = rows.filter(F.col("n") > CROWD).select("high", "low", "t", F.explode(finer).alias("part"), "key")
+        crowd = crowd.select("high", "low", "t", F.concat_ws("/", "key", "part").alias("key"))
+        often = materialize(crowd.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1"), "parts")
+        found = found.union(_met(crowd.join(often, ["t", "key"]), radius))
+    return found.distinct()
+
+
+def _met(rows: DataFrame, radius: int) -> DataFrame:
+    """Pairs of rows (high, low, t, key, n) of one key that are near; each key in as many parts as its count asks for."""
+    parts = F.ceil(F.col("n") / PART)
+    left = rows.withColumn("salt", F.pmod(F.xxhash64("high", "low"), parts)).select("t", "key", "salt", F.col("high").alias("high_a"), F.col("low").alias("low_a"))
+    right = rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).select("t", "key", "salt", F.col("high").alias("high_b"), F.col("low").alias("low_b"))
     bits = distance(F.col("high_a"), F.col("low_a"), F.col("high_b"), F.col("low_b"))
     pairs = left.join(right, ["t", "key", "salt"]).filter("struct(high_a, low_a) < struct(high_b, low_b)").withColumn("bits", bits)
-    return pairs.filter(F.col("bits") <= radius).select("high_a", "low_a", "high_b", "low_b", "bits").distinct()
+    return pairs.filter(F.col("bits") <= radius).select("high_a", "low_a", "high_b", "low_b", "bits")
 
 
 def near_counts(prints: DataFrame, radius: int = 3) -> DataFrame:
@@ -140,7 +171,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     ranges = max(1, min(RANGES, n // RANGE_ROWS))
     splits = docs.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 1 / (8 * ranges)) if ranges > 1 else []
     splits = sorted({int(s) for s in splits})
-    table = F.array(*map(F.lit, splits)).cast("array<bigint>") if splits else None
+    table = F.from_json(F.lit(str(splits)), "array<bigint>") if splits else None
 
     def range_of(doc_id: Column) -> Column:
         if table is None:
