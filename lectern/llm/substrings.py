@@ -14,10 +14,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .rows import digest, numbered
 from .store import bounded, drop, materialize, small_batches
 
 
@@ -146,32 +147,6 @@ def _candidates(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, part int, pos int, h long, i int")
 
 
-def _digest(text: Column) -> Column:
-    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
-
-
-def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """doc_id, text and part of all rows with a doc_id; and each row's doc_id, part and digest.
-
-    ``part`` is 0 where the rows of a doc_id have one text, else the text's
-    rank by digest among them.
-    """
-    digests = materialize(docs.select("doc_id", _digest(F.col("text")).alias("digest")), "digests")
-    seen = F.xxhash64("digest")
-    clash = digests.groupBy("doc_id").agg(F.min(seen).alias("a"), F.max(seen).alias("b")).filter("a < b").select("doc_id")
-    if not clash.limit(1).count():
-        out = digests.withColumn("part", F.lit(0))
-        out._lectern_path = digests._lectern_path
-        return docs.withColumn("part", F.lit(0)), out
-    parts = digests.join(clash, "doc_id", "left_semi").distinct().withColumn("part", F.row_number().over(Window.partitionBy("doc_id").orderBy("digest")) - 1)
-    parts = materialize(parts, "parts")
-    both = digests.join(parts, ["doc_id", "digest"], "left").withColumn("part", F.coalesce("part", F.lit(0)))
-    both = materialize(both, "digests")
-    parts = parts.select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), "part")
-    rows = docs.join(parts, (F.col("doc_id") == F.col("_doc")) & (_digest(F.col("text")) == F.col("_digest")), "left")
-    return rows.select(*docs.columns, F.coalesce("part", F.lit(0)).alias("part")), both
-
-
 def later_copies(digests: DataFrame) -> DataFrame:
     """(doc_id, part): texts that come earlier as well; all their windows start earlier there."""
     place = F.struct("doc_id", "part")
@@ -241,7 +216,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     new = ["n_words", "n_removed", "kept_text"]
     names = [c for c in docs.columns if c not in new]
     on = F.col("doc_id").cast("long") == F.col("_doc")
-    rows = docs.select(*names).withColumn("_digest", _digest(F.col("text"))) if several else docs.select(*names)
+    rows = docs.select(*names).withColumn("_digest", digest(F.col("text"))) if several else docs.select(*names)
     rows = rows.join(spans, on & (F.col("_digest") == F.col("_sum")) if several else on, "left").select(*names, "_windows", "_copy")
     schema = docs.select(*names).schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
 
