@@ -10,53 +10,51 @@ from lectern.llm.line_chunks import dedup_lines
 from lectern.llm.mixing import curriculum_mix
 from lectern.llm.quality import classify
 from lectern.llm.sentencepiece_bpe import decode, encode
-from lectern.llm.store import materialize
+from lectern.llm.store import bounded, materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
-    return classify(docs, labels=spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("keep").select(*COLUMNS)
+    """Documents that the quality classifier keeps; null and blank texts go, equal texts fare alike."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return classify(docs.select(*COLUMNS), labels=labels).filter("keep").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated chunks of lines; one that loses all its text goes, n_chars follows the text."""
-    out = dedup_lines(docs).filter("n_removed = 0 or length(text) > 0")
+    """Documents without repeated chunks of lines; one that loses all its text goes, n_chars follows the text.
+
+    Null and empty texts, and rows without doc_id, stay as they are; repeated
+    rows of a document count as one.
+    """
+    out = dedup_lines(docs.select(*COLUMNS)).filter("n_removed = 0 or length(text) > 0")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """The documents and ``lost``: those without doc_id are marked and get numbers behind all others'."""
-    lost = docs.filter("doc_id is null")
-    if not lost.limit(1).count():
+    """The documents with a doc_id for each row: those without one, or without one of their own, are ``lost`` and get numbers behind all others'."""
+    docs = docs.select(*COLUMNS, F.col("doc_id").alias("was"))
+    twice = materialize(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "twice")
+    if not twice.limit(1).count() and not docs.filter("doc_id is null").limit(1).count():
         return docs.withColumn("lost", F.lit(False))
     last = docs.agg(F.max("doc_id")).first()[0]
-    lost = lost.withColumn("doc_id", F.monotonically_increasing_id() + F.lit(max(0, last or 0) + 1))
-    return docs.filter("doc_id is not null").withColumn("lost", F.lit(False)).unionByName(materialize(lost.withColumn("lost", F.lit(True)), "lost"))
-
-
-def found(docs: DataFrame) -> DataFrame:
-    """The documents as they were before ``numbered``."""
-    return docs.withColumn("doc_id", F.when(~F.col("lost"), F.col("doc_id"))).select(*COLUMNS)
+    lost = docs.filter("doc_id is null").unionByName(docs.join(twice, "doc_id", "left_semi"))
+    lost = lost.withColumn("doc_id", F.monotonically_increasing_id() + F.lit(max(0, last or 0) + 1)).withColumn("lost", F.lit(True))
+    rest = docs.filter("doc_id is not null").join(twice, "doc_id", "left_anti").withColumn("lost", F.lit(False))
+    return rest.unionByName(materialize(lost, "lost"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each class of documents with five-word shingles alike to 0.8, once.
+    """One document of each class whose five-word shingles are alike to 0.8: the one with the smallest doc_id.
 
-    Of rows that share that doc_id the one with the least text stays.  Documents
-    without doc_id are compared as well and come after all others.
+    Rows without doc_id, or whose doc_id other rows have too, are documents of
+    their own that come after all others; of equal rows one stays.  Null and
+    empty texts are like nothing and stay.
     """
     docs = numbered(docs)
-    classes = jaccard_classes(docs, k=5, percent=80).filter("doc_id = component_id")
-    classes = materialize(classes.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n")), "classes")
-    out = docs.join(classes.filter("n = 1"), F.col("doc_id") == F.col("_id"), "left_semi")
-    if classes.filter("n > 1").limit(1).count():
-        again = docs.join(classes.filter("n > 1"), F.col("doc_id") == F.col("_id"), "left_semi")
-        rest = [c for c in (*COLUMNS[1:], "lost")]
-        again = again.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("least")).select("doc_id", *[F.col(f"least.{c}").alias(c) for c in rest])
-        out = out.unionByName(again)
-    return found(out)
+    kept = materialize(jaccard_classes(docs, k=5, percent=80).filter("doc_id = component_id").select("doc_id"), "kept")
+    out = docs.join(bounded(kept), "doc_id", "left_semi")
+    return out.withColumn("doc_id", F.when(F.col("lost"), F.col("was")).otherwise(F.col("doc_id"))).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +66,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's token count, the digest of its ids, and whether decoding gives the text back."""
+    """Each document's token count, the digest of its ids, and whether decoding gives the text back; a null text counts as empty."""
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
@@ -80,7 +78,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mix", mix), ("tokens", tokens)]
 
-#: No stage but the mix can be told in SQL; the tests compare the stages' rows with plain Python.
+#: No stage but the mix can be told in SQL; tests/llm compares each stage's rows with plain Python.
 ORACLE_SQL = None
 
 
