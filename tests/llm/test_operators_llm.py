@@ -4,6 +4,7 @@ import collections
 import glob
 import hashlib
 import html
+import math
 import os
 import random
 import re
@@ -154,7 +155,10 @@ def test_proportions_count_and_the_query_has_near_fingerprints(spark):
     assert any(r["n_near"] for r in got.values()) and got[600]["fingerprint"] != got[601]["fingerprint"]
 
 
-def test_block_tables_find_all_near_fingerprints(spark):
+@pytest.mark.parametrize("crowd,part", [(1024, 512), (2, 3)])
+def test_block_tables_find_all_near_fingerprints(spark, crowd, part, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "PART", part)
     rng = random.Random(4)
     base = [rng.getrandbits(128) for _ in range(40)]
     prints = set(base)
@@ -164,6 +168,8 @@ def test_block_tables_find_all_near_fingerprints(spark):
             for bit in rng.sample(range(128), n):
                 x ^= 1 << bit
             prints.add(x)
+    for n in range(60):  # many that differ in a few bits here and there
+        prints.add(base[30] ^ 1 << rng.randrange(128) ^ 1 << rng.randrange(128))
     signed = lambda v: v - 2**64 if v >= 2**63 else v
     rows = [(signed(p >> 64), signed(p & (2**64 - 1))) for p in prints]
     got = simhash.near_fingerprints(spark.createDataFrame([*rows, rows[0], (None, 1)], "high long, low long"), 3).collect()
@@ -404,11 +410,90 @@ def test_quality_odd_rows(spark):
     rows = [*ODD, (20, "What an IDIOT, really."), (21, "A clownish day.")]
     got = quality.classify(frame(spark, rows))
     found = {r["doc_id"]: r for r in got.collect()}
-    assert got.count() == len(rows) and found[20]["toxic"] and not found[21]["toxic"]
+    assert got.count() == len(rows) and not any(r["toxic"] for r in found.values())  # nothing is toxic without labels
     assert not found[1]["keep"] and not found[3]["keep"] and found[5]["kind"] == "mine"
     assert quality.classify(frame(spark).limit(0)).count() == 0
 
 
+def plain_votes(text):
+    """The labellers' votes on one text, by plain Python over its bytes."""
+    b = (text or "").encode()
+    w = re.findall(rb"[^\x20\x09-\x0D]+", b)
+    n = len(w)
+    one = max(n, 1)
+    count = lambda chars: sum(c in chars for c in b)
+    letters = [c for c in b if chr(c).isalpha() and c < 128]
+    symbols = b"#$%&*|~^=<>{}[]\\_@+/"
+    stutter = sum(any(i >= k and w[i] == w[i - k] for k in (1, 2)) for i in range(n)) / one
+    variety = len(set(zip(w, w[1:]))) / max(n - 1, 1)
+    upper = sum(65 <= c <= 90 for c in b) / max(len(letters), 1)
+    ends, size = count(b".!?") / one, len(b) / one
+    tails = sum(x[-1] in symbols for x in w) / one
+    solid = [c for c in b if c not in b" \t\n\v\f\r"]
+    wordy = sum(chr(c).isalnum() and c < 128 or c >= 128 for c in solid) / max(len(solid), 1)
+    rules = [
+        (count(symbols) / one < 0.05, count(symbols) / one > 0.25), (upper < 0.2, upper > 0.4), (count(b"!") / one < 0.02, count(b"!") / one > 0.25), (False, count(b"|") / one > 0.15),
+        (stutter < 0.05, stutter > 0.2), (variety > 0.8 and n >= 10, variety < 0.5 and n >= 10), (0.005 < ends < 0.5, ends == 0 and n >= 60),
+        (3 < size < 14 and n > 0, size >= 30 or n == 0), (tails < 0.05 and n > 0, tails > 0.3), (wordy > 0.9, wordy < 0.8 and n >= 5),
+    ]
+    return tuple(0 if bad else 1 if good else 2 for good, bad in rules)
+
+
+def test_classifier_against_plain_python(spark):
+    rng = random.Random(21)
+    good = lambda: " ".join(rng.choice(["The", "river", "went", "on", "past", "old", "stones", "and", "quiet", "houses."]) + rng.choice(["", "", "s"]) for _ in range(rng.randrange(8, 90)))
+    poor = lambda: " ".join(rng.choice(["BUY", "NOW!!!", "$$$", "||", "click|here", "x=1;", "@@#", "win", "win"]) for _ in range(rng.randrange(8, 90)))
+    rows = [(i, good() if rng.random() < 0.7 else poor()) for i in range(150)] + [(200, ""), (201, None), (202, "é|ß 漢字"), (203, "ONE TWO")]
+    texts = [t or "" for _, t in rows]
+    votes = [plain_votes(t) for t in texts]
+    # expectation-maximisation, text by text
+    chance = [0.1 if 0 in v else 0.9 for v in votes]
+    for _ in range(50):
+        prior = min(max(sum(chance) / len(chance), 1e-3), 1 - 1e-3)
+        said = {side: [[0.5 + sum(p if side else 1 - p for v, p in zip(votes, chance) if v[k] == vote) for vote in (0, 1)] for k in range(10)] for side in (0, 1)}
+        odds = []
+        for v in votes:
+            log = [math.log(1 - prior), math.log(prior)]
+            for k, vote in enumerate(v):
+                if vote < 2:
+                    for side in (0, 1):
+                        log[side] += math.log(said[side][k][vote] / sum(said[side][k]))
+            odds.append(1 / (1 + math.exp(min(50, max(-50, log[0] - log[1])))))
+        chance = odds
+
+    def features(text):
+        kinds = "".join("a" if c >= 128 or 97 <= c <= 122 else "A" if 65 <= c <= 90 else "0" if 48 <= c <= 57 else chr(c) for c in text.encode())
+        shaped = re.findall(r"[^\x20\x09-\x0D]+", re.sub(r"(.)\1+", r"\1", kinds, flags=re.S))
+        b = tv.Bytes.of(pa.array([" ".join(shaped)]))
+        h = tv.hashes(b, tv.words(b))
+        often = collections.Counter(int(x) % quality.CELLS for x in [*h, *tv.grams(h, 2)])
+        weight = {c: math.log1p(k) for c, k in often.items()}
+        size = max(math.sqrt(sum(x * x for x in weight.values())), 1e-9)
+        return {c: x / size for c, x in weight.items()}
+
+    # the sample: distinct texts that are there, few enough here to be all
+    sample = list({t: p for (_, t), p in zip(rows, chance) if t is not None}.items())
+    dense = np.zeros((len(sample), quality.CELLS + 1))
+    for i, (t, _) in enumerate(sample):
+        for c, x in features(t).items():
+            dense[i, c] = x
+    dense[:, -1] = 1
+    label, theta = np.array([p for _, p in sample]), np.zeros(quality.CELLS + 1)
+    rate = np.full(len(theta), 20.0 * quality.RATE)
+    rate[-1] = quality.RATE
+    decay = np.full(len(theta), quality.DECAY)
+    decay[-1] = 0
+    for _ in range(quality.EPOCHS):
+        miss = 1 / (1 + np.exp(-np.clip(dense @ theta, -50, 50))) - label
+        theta = theta - rate * (dense.T @ miss / len(sample) + decay * theta)
+    got = {r["doc_id"]: r for r in quality.classify(frame(spark, rows)).collect()}
+    for (i, t), p in zip(rows, chance):
+        assert got[i]["weak_label"] == pytest.approx(p, abs=1e-6)
+        raw = sum(x * theta[c] for c, x in features(t or "").items()) + theta[-1]
+        want = 1 / (1 + math.exp(-raw)) if words(t) else 0.0
+        assert got[i]["score"] == pytest.approx(want, abs=1e-4) and got[i]["keep"] == (got[i]["score"] >= 0.5)
+
+
 def test_toxicity_is_learned_in_any_language(spark):
     rng = random.Random(9)
     made, marks = ["das", "lichung", "oubre", "mente", "keiten", "vion", "erau", "schein"], ["grumpf", "zorgnak"]
@@ -504,6 +589,13 @@ def test_planted_passages_of_two_to_eight_lines_go_whole(spark):
     assert got == want
 
 
+def test_lines_of_one_id_with_different_texts(spark):
+    passage = "shared one\nshared two\nshared three"
+    rows = [(1, "first\n" + passage), (2, "a\nb\nc\nd\ne"), (2, passage + "\nend"), (2, passage + "\nend"), (2, None), (3, "a\nb\nc\nd\ne")]
+    got = collections.Counter((r["doc_id"], r["text"]) for r in line_chunks.dedup_lines(frame(spark, rows).withColumns({"part": F.lit(1), "gone": F.lit(2)})).collect())
+    assert got == collections.Counter([(1, rows[0][1]), (2, rows[1][1]), (2, "end"), (2, "end"), (2, None), (3, "")])
+
+
 def test_line_chunks_odd_rows(spark):
     got = line_chunks.dedup_lines(frame(spark)).collect()
     assert len(got) == len(ODD) and [r["text"] for r in got if r["doc_id"] == 1] == [None] and got[0]["kind"] == "mine"
@@ -765,46 +857,75 @@ def test_classes_odd_rows(spark):
 # --- pipeline ---
 
 
+def rows_of(df):
+    return collections.Counter((r["doc_id"], r["text"]) for r in df.collect())
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    kept = docs
+    kept, counts = docs, [docs.count()]
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        kept = stage(spark, kept, sf)
-        assert kept.columns == docs.columns
+        kept = stage(spark, kept, sf).cache()
+        assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
+        counts.append(kept.count())
+    assert counts[0] > counts[1] >= counts[2] > counts[3] > 0
     last = corpus_pipeline.run(spark, sf)
-    assert 0 < last.count() and last.filter("not round_trip").count() <= last.count()
+    want = corpus_pipeline.tokens(spark, kept, sf)
+    assert sorted(map(repr, last.collect())) == sorted(map(repr, want.collect()))
     empty = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, sf)
     assert empty.count() == 0
 
 
-def test_stages_keep_documents_without_id_and_one_of_each_class(spark, model):
+def test_stages_against_plain_python(spark, sf, model):
     import corpus_pipeline
 
-    rows = corpus(80) + [(None, "only here " * 9), (None, "only here " * 9), (None, "quite another text of its own"), (5, None), (900, "a b c d e f"), (900, "a b c d e f"), (901, "a b c d e f")]
-    rows += [(None, "a b c d e f")]
+    lined = "\n".join(f"shared line {i}" for i in range(5))
+    rows = corpus(80) + [(300, lined + "\nown end"), (301, "before\n" + lined), (302, lined), (None, lined), (900, "a b c d e f"), (900, "a b c d e f"), (901, "a b c d e f"), (None, "a b c d e f")]
+    rows += [(None, "only here " * 9), (None, "only here " * 9), (None, "quite another text of its own"), (5, None), (6, ""), (902, "one text " * 4), (902, "two other texts " * 4)]
     docs = spark.createDataFrame([(i, t, "en", "s" + str(n % 3), len(t or "")) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
-    ids = [(10**6 + n if i is None else i, t) for n, (i, t) in enumerate(rows)]
-    texts = collections.defaultdict(list)
-    for i, t in ids:
-        texts[i].append(t)
-    whole = {i: min(ts, key=lambda t: t or "") for i, ts in texts.items()}
-    classes = brute_classes(sorted((i, t) for i, t in whole.items() if i != 5), 5, 80)
-    want = collections.Counter((None if i >= 10**6 else i, whole[i]) for i, (_, c) in classes.items() if c == i)
-    kept = corpus_pipeline.near_duplicates(spark, docs, "").cache()
-    got = collections.Counter((r["doc_id"], r["text"]) for r in kept.collect() if r["doc_id"] != 5)
-    assert got == want and sum(r["doc_id"] == 5 for r in kept.collect()) == 1 and (None, "quite another text of its own") in got
-
-    mixed = collections.Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.mix(spark, kept, "").collect())
-    plan = mixing.allocate(kept).collect()
+    for name in ("lost", "was", "n", "keep", "_id", "part", "words", "row"):
+        docs = docs.withColumn(name, F.lit("mine"))
+    columns = list(corpus_pipeline.COLUMNS)
+
+    judged = quality.classify(docs.select("doc_id", "text"), labels=spark.read.parquet(f"{sf}/labels.parquet")).filter("keep")
+    kept = corpus_pipeline.quality(spark, docs, sf)
+    assert kept.columns == columns and rows_of(kept) == rows_of(judged)
+
+    cut = corpus_pipeline.lines(spark, docs, sf)
+    told = {n: (i, t) for n, (i, t) in enumerate(rows)}
+    order = sorted((i, hashlib.sha256((t or "").encode()).digest(), n) for n, (i, t) in told.items() if i is not None)
+    firsts, same = [], {}
+    for i, d, n in order:  # repeated rows count as one
+        if (i, d) not in same:
+            firsts.append((len(firsts), told[n][1]))
+        same[n] = same.setdefault((i, d), len(firsts) - 1)
+    left = brute_chunks(firsts)
+    want = collections.Counter()
+    for n, (i, t) in told.items():
+        _, text, removed = left[same[n]] if i is not None else (0, t, 0)
+        if not removed or text:
+            want[i, None if t is None else text] += 1
+    assert cut.columns == columns and rows_of(cut) == want and all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in cut.collect())
+
+    often = collections.Counter(i for i, _ in rows)
+    ids = [(10**6 + n if i is None or often[i] > 1 else i, t) for n, (i, t) in enumerate(rows)]
+    back = {j: i for (j, _), (i, _) in zip(ids, rows)}
+    text = dict(ids)
+    want = collections.Counter((back[i], text[i]) for i, (_, c) in brute_classes(ids, 5, 80).items() if c == i)
+    alone = corpus_pipeline.near_duplicates(spark, docs, "").cache()
+    assert alone.columns == columns and rows_of(alone) == want and want[None, "quite another text of its own"] == 1
+
+    mixed = rows_of(corpus_pipeline.mix(spark, alone, ""))
+    plan = mixing.allocate(alone).collect()
     assert sum(mixed.values()) == sum(len(r["copies"]) for r in plan)
     assert sum(n for (i, _), n in mixed.items() if i is None) == sum(len(r["copies"]) for r in plan if r["doc_id"] is None) > 0
     assert sum(n * len(words(t)) for (_, t), n in mixed.items()) == sum(r["taken"] for r in plan)
 
     library = sentencepiece_bpe.PieceCoder(model).library
-    coded = collections.Counter((r["doc_id"], r["n_tokens"], r["round_trip"]) for r in corpus_pipeline.tokens(spark, kept, "").collect())
-    pieces = {(r["doc_id"], r["text"]): library.encode(r["text"] or "") for r in kept.collect()}
-    assert coded == collections.Counter((i, len(p), library.decode(p) == (t or "")) for (i, t), p in pieces.items())
+    coded = collections.Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["round_trip"]) for r in corpus_pipeline.tokens(spark, docs, "").collect())
+    pieces = [(i, t or "", library.encode(t or "")) for i, t in rows]
+    assert coded == collections.Counter((i, len(p), hashlib.sha256(",".join(map(str, p)).encode()).hexdigest(), library.decode(p) == t) for i, t, p in pieces)
