@@ -11,15 +11,13 @@ from ..operators import infer, ledger, retrieve, validate
 from ..store import materialize
 from . import prompt
 
-TOPICS = [
-    (1, "Rozwój miast w XIX wieku"), (2, "w latach 1795-1918 i w XIX wieku"), (3, "XX–XIX wieku"), (4, "co najmniej 300 słów"),
-    (5, "Polska od XI do XII w. i XI–XII wieku"), (6, "w latach 50. XX wieku gospodarka"), (7, "Rzecz o roku 1410 i 99 rycerzach"), (8, ""), (9, "12345 99 1000-1100"),
-]
-QUESTIONS = [
-    ("a", "Napisz wypracowanie, minimum 300 słów.", 1.0), ("b", "Wybierz jeden temat. 200–250 słów", 3.0), ("c", "at most 400 words about it", 12.0),
-    ("d", "Podaj dwie cechy.", 2.0), ("e", "Podaj nazwę", 15.0), ("f", "nie więcej niż 400 słów", None), ("g", "", 10.0), ("h", "Write an ESSAY of at least 250 words", 5.0),
-]
-SPLITS = [("p", "x\n1. A\n2) B"), ("q", "no heading"), ("r", "Temat 1. Pierwszy\n  Temat 2) Drugi\nciąg dalszy"), ("s", "1. one")]
+#: Roman numbers of the centuries, for topics made of a table's rows.
+CENTURIES = "I II III IV V VI VII VIII IX X XI XII XIII XIV XV XVI XVII XVIII XIX XX XXI".split()
+#: Questions with limits of many kinds; rows of a table take them in turn, with a number of their own.
+QUESTIONS = (
+    "Napisz wypracowanie, minimum {n} słów.", "Wybierz jeden temat. 200–{n} słów", "at most {n} words about it", "Podaj dwie cechy.", "Podaj nazwę", "nie więcej niż {n} słów",
+    "", "Write an ESSAY of at least {n} words", "choose one: maximum {n} words, min. 120 wyrazów", "{n}-900 wyrazów", "Co najmniej {n} slow",
+)
 #: Bytes of a table that is dealt out before much is done with it.
 SMALL = 64 << 20
 ROMANS = ["XI", "XIX", "IV", "XC", "XXI", "MD", "", "xiv", "CXLIX"]
@@ -124,11 +122,30 @@ def retrieve_diverse(spark, sf_dir):
 
 
 def roman_numerals(spark, sf_dir):
-    return spark.createDataFrame([(r,) for r in ROMANS], "numeral string").select("numeral", P.roman(F.col("numeral")).cast("long").alias("value"))
+    """The value of all Roman digits of a text, in whatever order they stand."""
+    rows = _table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(F.col("text"), "[^IVXLCDMivxlcdm]", "").alias("numeral"))
+    return rows.select("item_id", F.length("numeral").cast("long").alias("n_digits"), P.roman(F.col("numeral")).cast("long").alias("value"))
+
+
+def _century(n) -> "F.Column":
+    return F.element_at(F.array(*map(F.lit, CENTURIES)), (n % len(CENTURIES) + 1).cast("int"))
 
 
 def periods_of_topic(spark, sf_dir):
-    return spark.createDataFrame(TOPICS, "topic_no long, topic string").select("topic_no", _spans(P.periods(F.col("topic"))).alias("periods"))
+    """The spans of topics that name centuries, ranges of them, years and decades, by the row's number."""
+    n, form = F.col("doc_id"), F.col("doc_id") % 8
+    year, later = (1000 + n % 900).cast("string"), (1100 + n % 800).cast("string")
+    topic = (
+        F.when(form == 0, F.concat(F.lit("Rozwój miast w "), _century(n), F.lit(" wieku")))
+        .when(form == 1, F.concat(F.lit("w latach "), year, F.lit("-"), later, F.lit(" i w "), _century(n), F.lit(" w."), F.lit(" oraz 99 i 12345")))
+        .when(form == 2, F.concat(_century(n), F.lit("–"), _century(n * 5), F.lit(" wiek")))
+        .when(form == 3, F.concat(F.lit("w latach "), (n % 10).cast("string"), F.lit("0. "), _century(n), F.lit(" wieku, rok 1410")))
+        .when(form == 4, F.concat(_century(n), F.lit(" wieku i "), _century(n * 3), F.lit(" wieku, "), year))
+        .when(form == 5, F.concat(F.lit("rok "), (n % 10_000).cast("string")))
+        .when(form == 6, F.concat(F.lit("a"), _century(n), F.lit(" wieku; "), _century(n), F.lit("wieku")))
+        .otherwise(F.lit("bez daty"))
+    )
+    return _table(spark, sf_dir, "documents").select("doc_id", _spans(P.periods(topic)).alias("periods"))
 
 
 def doc_year_span(spark, sf_dir):
@@ -145,26 +162,46 @@ def period_overlap_join(spark, sf_dir):
 
 
 def domestic_union_branch(spark, sf_dir):
-    rows = [(1, "timeline", "1003", "Bitwa nad rzeką"), (2, "timeline", "1015 – 30 stycznia 1018", "Wojna z cesarzem"), (3, "context", "1410", "Polskie rycerstwo"), (4, "timeline", "1410", "Grunwald"), (5, "timeline", "bez daty", "Polska kultura")]
-    docs = spark.createDataFrame(rows, "doc_index long, kind string, date string, text string")
-    docs = docs.select("doc_index", "kind", X.terms(F.col("text")).alias("terms"), P.doc_span(F.col("date")).alias("span"))
-    topics = spark.createDataFrame([(1, "Polska w XI wieku"), (2, "Rycerstwo w roku 1410"), (3, "Rzeczpospolita w XV wieku")], "topic_id long, topic string")
+    """Topics with and without a domestic stem against timeline rows and notes, some of them dated."""
+    n = F.col("doc_id")
+    docs = _documents(spark, sf_dir).select(
+        n.alias("doc_index"), F.when(n % 2 == 0, "timeline").otherwise("context").alias("kind"),
+        X.terms(F.concat("text", F.when(n % 50 == 0, " Polska kultura").when(n % 7 == 0, " rycerstwo").otherwise(""))).alias("terms"),
+        P.doc_span(F.concat((900 + n % 700).cast("string"), F.lit(" – "), (910 + n % 700).cast("string"), F.when(n % 11 == 0, " p.n.e.").otherwise(""))).alias("span"),
+    )
+    docs = materialize(docs.withColumn("span", F.when(F.col("doc_index") % 3 != 0, F.col("span"))), "domestic")
+    topics = spark.createDataFrame([(1, "Polska w XI wieku"), (2, "Rycerstwo w roku 1410"), (3, "Rzeczpospolita w XV wieku"), (4, "Polska")], "topic_id long, topic string")
     topics = topics.select("topic_id", X.terms(F.col("topic")).alias("q"), P.periods(F.col("topic")).alias("spans"))
     return retrieve.scored(docs, topics).select("topic_id", "doc_index", F.coalesce("n_common", F.lit(0)).cast("long").alias("n_common"), "score")
 
 
 def topic_split(spark, sf_dir):
-    rows = spark.createDataFrame(SPLITS, "id string, question string").select("id", F.posexplode(X.topic_parts(F.col("question"))).alias("nth", "topic"))
-    return rows.select("id", (F.col("nth") + 1).cast("long").alias("topic_no"), "topic")
+    """Questions with numbered headings of several forms, or none, and text before the first."""
+    rows = _table(spark, sf_dir, "pages").select("page_id", "url")
+    n = F.col("page_id") % 4
+    question = (
+        F.when(n == 0, F.concat(F.lit("intro\n1. "), "url", F.lit("\n2) B "), "url")).when(n == 1, F.concat(F.lit("no heading "), "url"))
+        .when(n == 2, F.concat(F.lit("Temat 1. "), "url", F.lit("\n  Temat 2) Drugi\nciąg dalszy "), "url")).otherwise(F.concat(F.lit("1. "), "url"))
+    )
+    rows = rows.select("page_id", F.posexplode(X.topic_parts(question)).alias("nth", "topic"))
+    return rows.select("page_id", (F.col("nth") + 1).cast("long").alias("topic_no"), "topic")
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' numbers with a question and its points each."""
+    n = F.col("doc_id")
+    said = F.element_at(F.array(*[F.lit(q) for q in QUESTIONS]), (n % len(QUESTIONS) + 1).cast("int"))
+    points = F.when(n % 5 != 0, (n % 15).cast("double"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.replace(said, F.lit("{n}"), (n % 1200).cast("string")).alias("question"), points.alias("max_points"))
 
 
 def essay_classification(spark, sf_dir):
-    return spark.createDataFrame(QUESTIONS, "id string, question string, max_points double").select("id", X.essay_class(F.col("question"), F.col("max_points")).alias("kind"))
+    return _asked(spark, sf_dir).select("doc_id", X.essay_class(F.col("question"), F.col("max_points")).alias("kind"))
 
 
 def word_bounds(spark, sf_dir):
     b = X.word_bounds(F.col("question"))
-    return spark.createDataFrame(QUESTIONS, "id string, question string, max_points double").select("id", b["low"].cast("long").alias("low"), b["high"].cast("long").alias("high"))
+    return _asked(spark, sf_dir).select("doc_id", b["low"].cast("long").alias("low"), b["high"].cast("long").alias("high"))
 
 
 def word_count(spark, sf_dir):
@@ -335,11 +372,9 @@ folded AS (
 picked AS (SELECT topic_id, max_by(ids, rn) AS ids, max_by(used, rn) AS used FROM folded GROUP BY topic_id)"""
 
 
-_PERIODS = [
-    (1, "1801-1900"), (2, "1801-1900 1795-1918"), (3, ""), (4, "300-300"), (5, "1101-1200 1001-1200"), (6, "1950-1959"), (7, "1410-1410"), (8, ""), (9, "1000-1100"),
-]
 _FOLDED = _sql_fold("coalesce(question, '')")
-_Q = f"(SELECT * FROM ({_values(QUESTIONS)}) t(id, question, max_points))"
+_Q = "(SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN (doc_id % 15)::DOUBLE END AS max_points, replace([{}][doc_id % {} + 1], '{{n}}', CAST(doc_id % 1200 AS VARCHAR)) AS question FROM documents)".format(", ".join(f"'{q}'" for q in QUESTIONS), len(QUESTIONS))
+_HUNDRED = "(({}) % 21) * 100 + 1 || '-' || ((({}) % 21) + 1) * 100"
 _UNIT = r"\s*(?:slow|wyraz|words)"
 _ANSWERS = f"""
 SELECT conv_id || '-' || turn AS id, text AS answer, text AS recorded, FALSE AS truncated, 'stop' AS finish_reason, turn = 1 AS essay, 20 AS low, NULL::INTEGER AS high
@@ -388,19 +423,35 @@ steps AS (
     FROM steps s JOIN rivals r USING (topic_id) JOIN worth w USING (topic_id)
     WHERE s.n < 18 AND NOT list_contains(s.ids, r.doc_id) AND s.used + r.len + 1 <= 4000 GROUP BY s.topic_id))
 SELECT topic_id AS item_id, array_to_string(list_sort(arg_max(ids, n)), ' ') AS picked, CAST(max(n) AS BIGINT) AS n_picked FROM steps GROUP BY topic_id""",
-    "roman_numerals": f"SELECT * FROM ({_values([('XI', 11), ('XIX', 19), ('IV', 4), ('XC', 90), ('XXI', 21), ('MD', 0), ('', 0), ('xiv', 14), ('CXLIX', 149)])}) t(numeral, value)",
-    "periods_of_topic": f"SELECT * FROM ({_values(_PERIODS)}) t(topic_no, periods)",
+    "roman_numerals": """WITH d AS (SELECT item_id, list_transform(string_split(upper(regexp_replace(text, '[^IVXLCDMivxlcdm]', '', 'g')), ''), lambda c: CASE c WHEN 'I' THEN 1 WHEN 'V' THEN 5 WHEN 'X' THEN 10 WHEN 'L' THEN 50 WHEN 'C' THEN 100 ELSE 0 END) AS v,
+  length(regexp_replace(text, '[^IVXLCDMivxlcdm]', '', 'g')) AS n FROM benchmark)
+SELECT item_id, n AS n_digits, CAST(list_sum(list_transform(range(1, len(v) + 1), lambda i: CASE WHEN v[i] < coalesce(list_max(v[i + 1:]), 0) THEN -v[i] ELSE v[i] END)) AS BIGINT) AS value FROM d""",
+    "periods_of_topic": f"""WITH d AS (SELECT doc_id, doc_id AS n, 1000 + doc_id % 900 AS y, 1100 + doc_id % 800 AS z FROM documents)
+SELECT doc_id, CASE n % 8 WHEN 0 THEN {_HUNDRED.format('n', 'n')} WHEN 1 THEN {_HUNDRED.format('n', 'n')} || ' ' || least(y, z) || '-' || greatest(y, z)
+  WHEN 2 THEN CASE WHEN n % 21 <= n * 5 % 21 THEN (n % 21) * 100 + 1 || '-' || (n * 5 % 21 + 1) * 100 ELSE '' END
+  WHEN 3 THEN (n % 21) * 100 + (n % 10) * 10 || '-' || (n % 21) * 100 + (n % 10) * 10 + 9
+  WHEN 4 THEN {_HUNDRED.format('n', 'n')} || ' ' || {_HUNDRED.format('n * 3', 'n * 3')} || ' ' || y || '-' || y
+  WHEN 5 THEN CASE WHEN n % 10000 BETWEEN 100 AND 9999 THEN n % 10000 || '-' || n % 10000 ELSE '' END
+  WHEN 6 THEN {_HUNDRED.format('n', 'n')} ELSE '' END AS periods FROM d""",
     "doc_year_span": f"""SELECT doc_id, CAST(CASE WHEN NOT contains(text, '{P.BCE}') THEN list_min(y) END AS BIGINT) AS lo, CAST(CASE WHEN NOT contains(text, '{P.BCE}') THEN list_max(y) END AS BIGINT) AS hi
 FROM (SELECT doc_id, text, {_sql_years('text')} AS y FROM documents)""",
     "period_overlap_join": """SELECT t.id AS topic_id, count(*) AS n_docs, CAST(sum(o_orderkey) AS BIGINT) AS key_sum
 FROM orders o JOIN (VALUES (1, 1996, 1996), (2, 1990, 1995), (3, 2001, 2005), (4, 1200, 1200)) t(id, lo, hi) ON year(o_orderdate) <= t.hi AND year(o_orderdate) + 1 >= t.lo GROUP BY t.id""",
-    "domestic_union_branch": "SELECT * FROM (VALUES (1, 1, 0, 2.0::DOUBLE), (1, 2, 0, 2.0), (1, 5, 1, round(ln(1 + 5 / 3.0), 6)), (2, 3, 1, round(ln(1 + 5 / 2.0) + 2, 6)), (3, 4, 0, 2.0)) t(topic_id, doc_index, n_common, score)",
-    "topic_split": "SELECT * FROM (VALUES ('p', 1, 'A' || chr(10)), ('p', 2, 'B'), ('q', 1, 'no heading'), ('r', 1, 'Pierwszy' || chr(10)), ('r', 2, 'Drugi' || chr(10) || 'ciąg dalszy'), ('s', 1, 'one')) t(id, topic_no, topic)",
-    "essay_classification": rf"""SELECT id, CASE WHEN regexp_matches(f, 'wypracowan|\besej|\bessay') OR (regexp_matches(f, '\b\d{{3,4}}{_UNIT}') AND regexp_matches(f, 'wybierz\s+jeden|choose\s+one')) THEN 'essay'
-  WHEN regexp_matches(f, '\b\d{{3,4}}{_UNIT}') OR coalesce(max_points >= 10, FALSE) THEN 'uncertain' ELSE 'short' END AS kind FROM (SELECT id, max_points, {_FOLDED} AS f FROM {_Q})""",
-    "word_bounds": rf"""SELECT id, coalesce(TRY_CAST(nullif(regexp_extract(f, '(?:minimum|co najmniej|at least|min\.)\s*(\d+){_UNIT}', 1), '') AS BIGINT), TRY_CAST(nullif(regexp_extract(f, '\b(\d+)\s*[-–]\s*(\d+){_UNIT}', 1), '') AS BIGINT)) AS low,
+    "domestic_union_branch": f"""WITH docs AS (SELECT doc_id, doc_id % 2 = 0 AS timeline, {_sql_terms("text || CASE WHEN doc_id % 50 = 0 THEN ' Polska kultura' WHEN doc_id % 7 = 0 THEN ' rycerstwo' ELSE '' END")} AS terms,
+    CASE WHEN doc_id % 3 <> 0 AND doc_id % 11 <> 0 THEN least(900 + doc_id % 700, 910 + doc_id % 700) END AS lo, CASE WHEN doc_id % 3 <> 0 AND doc_id % 11 <> 0 THEN 910 + doc_id % 700 END AS hi FROM documents),
+topics(topic_id, q, a, b, home) AS (VALUES (1, ['polsk'], 1001, 1100, TRUE), (2, ['rycer', 'roku'], 1410, 1410, FALSE), (3, ['rzecz'], 1401, 1500, TRUE), (4, ['polsk'], NULL, NULL, TRUE)),
+often AS (SELECT t.term, count(*) AS df FROM (SELECT unnest(terms) AS term FROM docs) t GROUP BY t.term),
+base AS (SELECT topic_id, doc_id, sum(ln(1 + (SELECT count(*) FROM docs) / (1 + df)::DOUBLE)) AS base, count(*) AS n FROM (SELECT topic_id, unnest(q) AS term FROM topics) x JOIN (SELECT doc_id, unnest(terms) AS term FROM docs) y USING (term) JOIN often USING (term) GROUP BY ALL),
+pairs AS (SELECT t.topic_id, d.doc_id, t.a, t.home, d.timeline, d.lo, coalesce(d.lo <= t.b AND d.hi >= t.a, FALSE) AS meets, b.base, b.n FROM topics t CROSS JOIN docs d LEFT JOIN base b ON b.topic_id = t.topic_id AND b.doc_id = d.doc_id)
+SELECT topic_id, doc_id AS doc_index, coalesce(n, 0) AS n_common, round(coalesce(base, 0.0) + CASE WHEN meets THEN 2 ELSE 0 END, 6) AS score FROM pairs
+WHERE (n IS NOT NULL OR home AND meets AND timeline) AND NOT (a IS NOT NULL AND lo IS NOT NULL AND NOT meets)""",
+    "topic_split": """SELECT page_id, 1 AS topic_no, CASE page_id % 4 WHEN 1 THEN 'no heading ' || url WHEN 3 THEN url ELSE url || chr(10) END AS topic FROM pages
+UNION ALL SELECT page_id, 2, CASE page_id % 4 WHEN 0 THEN 'B ' || url ELSE 'Drugi' || chr(10) || 'ciąg dalszy ' || url END FROM pages WHERE page_id % 4 IN (0, 2)""",
+    "essay_classification": rf"""SELECT doc_id, CASE WHEN regexp_matches(f, 'wypracowan|\besej|\bessay') OR (regexp_matches(f, '\b\d{{3,4}}{_UNIT}') AND regexp_matches(f, 'wybierz\s+jeden|choose\s+one')) THEN 'essay'
+  WHEN regexp_matches(f, '\b\d{{3,4}}{_UNIT}') OR coalesce(max_points >= 10, FALSE) THEN 'uncertain' ELSE 'short' END AS kind FROM (SELECT doc_id, max_points, {_FOLDED} AS f FROM {_Q})""",
+    "word_bounds": rf"""SELECT doc_id, coalesce(TRY_CAST(nullif(regexp_extract(f, '(?:minimum|co najmniej|at least|min\.)\s*(\d+){_UNIT}', 1), '') AS BIGINT), TRY_CAST(nullif(regexp_extract(f, '\b(\d+)\s*[-–]\s*(\d+){_UNIT}', 1), '') AS BIGINT)) AS low,
   coalesce(TRY_CAST(nullif(regexp_extract(f, '(?:maksymalnie|maksimum|nie wiecej niz|at most|maximum)\s*(\d+){_UNIT}', 1), '') AS BIGINT), TRY_CAST(nullif(regexp_extract(f, '\b(\d+)\s*[-–]\s*(\d+){_UNIT}', 2), '') AS BIGINT)) AS high
-FROM (SELECT id, {_FOLDED} AS f FROM {_Q})""",
+FROM (SELECT doc_id, {_FOLDED} AS f FROM {_Q})""",
     "word_count": r"""WITH n AS (SELECT 'conversations' AS t, len(regexp_extract_all(text, '[^\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+')) AS n FROM conversations
   UNION ALL SELECT 'documents', len(regexp_extract_all(text, '[^\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+')) FROM documents)
 SELECT t, CAST(sum(n) AS BIGINT) AS words, CAST(max(n) AS BIGINT) AS longest, count(*) AS texts FROM n GROUP BY t""",
@@ -419,6 +470,8 @@ SELECT l.n AS only_left, r.n AS only_right, l.n = 0 AND r.n = 0 AS equal, r.n AS
     "nested_props": "SELECT event_type, CAST(sum(coalesce(CAST(json_extract(props, '$.k') AS BIGINT), 0)) AS BIGINT) AS k_sum, max(coalesce(CAST(json_extract(props, '$.k') AS BIGINT), 0)) AS k_most, max(coalesce(json_extract_string(props, '$.absent'), '')) AS absent FROM events GROUP BY event_type",
     "sha256_and_key": "SELECT page_id, sha256(html) AS sha256, substr(sha256(url), 1, 12) AS key FROM pages",
     "data_url_length": "SELECT page_id, CAST(length('data:image/png;base64,') + length(base64(encode(html))) AS BIGINT) AS n_chars FROM pages",
+    "responder_batch": """WITH w AS (SELECT item_id, string_split_regex(trim(text, chr(32) || chr(10) || chr(9)), '\\s+') AS w FROM benchmark)
+SELECT CAST(item_id AS VARCHAR) AS id, array_to_string(w[1:5], ' ') AS answer, 'ok' AS status, CAST(least(len(w), 5) AS BIGINT) AS word_count, FALSE AS truncated FROM w""",
     "unpivot_parts": f"""WITH w AS (SELECT conv_id, turn, length(concat('{prompt.Wording.sources}', chr(10), role, chr(10), chr(10), '{prompt.Wording.task}', chr(10), text, chr(10), chr(10), '{prompt.Wording.form}', chr(10), '', chr(10), chr(10),
   CASE WHEN turn = 0 THEN '{prompt.Wording.essay}' ELSE '{prompt.Wording.short}' END)) AS n FROM conversations)
 SELECT conv_id, turn, CAST(0 AS BIGINT) AS nth, n AS n_chars FROM w UNION ALL SELECT conv_id, turn, 1, length(concat('{prompt.Wording.help}', chr(10), 'help')) FROM w WHERE turn = 0""",
