@@ -7,7 +7,7 @@ import tarfile
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import images, infer, ledger, retrieve, run, validate
+from lectern.operators import context, images, infer, ledger, retrieve, run, validate
 from lectern.plans import prompt
 from lectern.sources import corpus, sinks
 from lectern.streaming import ledger as streaming
@@ -260,3 +260,25 @@ def test_streaming_ledger_runs_twice_as_once(spark, tmp_path):
         streaming.answer_new(spark, requests, ledger_path, bad, str(tmp_path / f"check{n}"), answer, 2).awaitTermination()
     assert [r["id"] for r in spark.read.parquet(ledger_path).collect()] == ["1"]
     assert {r["status"] for r in spark.read.parquet(bad).collect()} == {"empty"}
+
+
+def test_contexts_of_odd_questions(spark):
+    docs = spark.createDataFrame(
+        [(0, "a", "timeline", "Title", "1003", "Bitwa pod murami", ["bitwa", "muram"], (1003, 1003)), (1, "b", "context", "Other", "", "Wojna domowa", ["domow", "wojna"], None)],
+        "doc_index long, id string, kind string, title string, date_text string, text string, terms array<string>, span struct<lo: int, hi: int>",
+    )
+    items = spark.createDataFrame([("1", "1. Bitwa w XI wieku\n2. nic"), ("2", ""), ("3", None), ("4", "Bitwa w XV wieku i wojna")], "id string, question string")
+    text, told = context.essay_context(items, docs)
+    got = {r["id"]: r["context"] for r in text.collect()}
+    s = context.Sections()
+    assert got["1"] == f"{s.header}{s.heading}1:\n[a] Title | 1003 | Bitwa pod murami\n\n{s.heading}2:\n{s.nothing}"
+    assert got["2"] == f"{s.header}{s.heading}1:\n{s.nothing}" and got["4"] == f"{s.header}{s.heading}1:\n[b] Other |  | Wojna domowa"
+    audit = {(r["id"], r["topic_no"]): r for r in told.collect()}
+    assert audit["1", 1]["periods"] == [[1001, 1100]] and [r["id"] for r in audit["1", 1]["records"]] == ["a"] and audit["1", 2]["records"] == []
+    assert "terms" not in audit["1", 1]["records"][0].asDict()
+    none, empty = context.essay_context(items, docs.limit(0))
+    assert none.count() == text.count() and all(r["records"] == [] for r in empty.collect())
+    short = items.select("id", "question", F.lit("murami").alias("source_text"), F.when(F.col("id") == "4", F.array(F.lit("x.png"))).alias("images"))
+    found = {r["id"]: r for r in context.short_context(short, docs).collect()}
+    assert found["1"]["reason"] == "matched" and found["1"]["records"][0]["matched_terms"] == ["bitwa", "muram"] and found["1"]["context"].endswith("\n1003 | Bitwa pod murami")
+    assert found["4"]["reason"] == "image_question_unchanged" and found["2"]["reason"] == "no_strong_lexical_match" and found["2"]["context"] == ""
