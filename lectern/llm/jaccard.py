@@ -91,10 +91,10 @@ def described(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, prefix array<long>")
 
 
-def _classes(full: DataFrame) -> tuple[DataFrame, bool]:
-    """set_key, first (its smallest doc_id), n, rep (a number of its own); and whether a class's first row is there again.
+def _classes(full: DataFrame) -> tuple[DataFrame, bool, bool]:
+    """set_key, first (its smallest doc_id), n, rep (a number of its own); whether a class's first row is there again, and whether rep is first.
 
-    ``rep`` is ``first``, unless rows of one doc_id have different sets.
+    It is, unless rows of one doc_id have different sets.
     """
     by_doc = full.groupBy("set_key", "doc_id").agg(F.first("n_shingles").alias("n"), F.count("*").alias("again"))
     classes = by_doc.groupBy("set_key").agg(F.min(F.struct("doc_id", "again", "n")).alias("f"))
@@ -103,10 +103,10 @@ def _classes(full: DataFrame) -> tuple[DataFrame, bool]:
     if (told[0] or 0) <= 1:
         out = classes.withColumn("rep", F.col("first"))
         out._lectern_path = classes._lectern_path
-        return out, (told[1] or 0) > 1
+        return out, (told[1] or 0) > 1, True
     out = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     drop(classes)
-    return out, (told[1] or 0) > 1
+    return out, (told[1] or 0) > 1, False
 
 
 def screened(full: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -196,7 +196,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = materialize(described(docs, k, percent), "prefixes")
     full = rows.filter("n_shingles > 0 and doc_id is not null")
-    classes, again = _classes(full)
+    classes, again, named_first = _classes(full)
     wanted = screened(full, classes, percent)
     keyed = materialize(rows.select("doc_id", "n_shingles", "set_key"), "keyed")
     drop(rows)
@@ -206,8 +206,11 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     drop(sets)
     groups = groups.withColumnRenamed("node", "rep")
     of_class = classes.join(groups, "rep", "left").select("set_key", "first", F.coalesce("component", "rep").alias("component"))
-    least = of_class.groupBy("component").agg(F.min("first").alias("component_id"))
-    of_class = of_class.join(least, "component").select("set_key", "component_id")
+    if named_first:
+        of_class = of_class.select("set_key", F.col("component").alias("component_id"))
+    else:
+        least = of_class.groupBy("component").agg(F.min("first").alias("component_id"))
+        of_class = of_class.join(least, "component").select("set_key", "component_id")
     named = keyed.withColumn("set_key", F.when(F.col("n_shingles") > 0, F.col("set_key")))
     out = named.join(of_class, "set_key", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
