@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.periods import overlaps
 from ..functions.text import DOMESTIC_STEMS
-from ..store import drop, materialize
+from ..store import bounded, drop, materialize
 
 
 @dataclass(frozen=True)
@@ -49,18 +49,18 @@ def weighted_terms(docs: DataFrame, topics: DataFrame) -> DataFrame:
     n = docs.agg(F.count("*").alias("n"))
     asked = topics.select("topic_id", F.explode("q").alias("term"))
     # only terms that some topic asks for are counted: the count's shuffle has their number of rows, not the corpus's
-    wanted = asked.select("term").distinct()
+    wanted = bounded(materialize(asked.select("term").distinct(), "wanted"))
     df = docs.select(F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     out = asked.join(df, "term").crossJoin(F.broadcast(n)).withColumn("idf", rarity(F.col("df"), F.col("n")))
-    return out.select("topic_id", "term", "df", "n", "idf")
+    return bounded(materialize(out.select("topic_id", "term", "df", "n", "idf"), "weighed"))
 
 
 def matches(docs: DataFrame, topics: DataFrame, field_weight: Column | None = None, audit: bool = False) -> DataFrame:
     """topic_id, doc_index, base, n_common, least_df, n for every pair with a common term; ``audit`` adds matched, the sorted common terms.
 
-    The topics' weighted terms are the small side; ``field_weight`` may use the
-    columns of ``docs`` and ``term``.  Which side is broadcast, if any, is left
-    to Spark, which goes by measured sizes.
+    The topics' weighted terms are the small side, which goes to every executor
+    as long as it is small; ``field_weight`` may use the columns of ``docs`` and
+    ``term``.
     """
     weighed = weighted_terms(docs, topics)
     weight = F.col("idf") if field_weight is None else F.col("idf") * field_weight
@@ -211,7 +211,7 @@ def pick_diverse(candidates: DataFrame, docs: DataFrame, topics: DataFrame, budg
     terms not yet covered.  Where a pick does not beat that bound, what still
     fits competes again, with more rivals if that brought nothing.
     """
-    weighed = materialize(weighted_terms(docs, topics), "weighed")
+    weighed = weighted_terms(docs, topics)
     idf = weighed.groupBy("topic_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idf"), F.collect_list(F.struct("term", "df")).alias("dfs"))
     rows = candidates.join(docs.select("doc_index", "len"), "doc_index").filter(F.col("len") + budget.in_test <= budget.chars)
     rows = materialize(rows.select("topic_id", "doc_index", "score", "len"), "candidates")
