@@ -1,11 +1,10 @@
-"""Bounds on what goes to Python and to every executor; written tables come from the library."""
+"""Bounds on what goes to Python; written tables and bounded broadcasts come from the library."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
-from ..store import drop, materialize, setting, shared_dir
+from ..store import bounded, drop, materialize, setting, shared_dir
 
 __all__ = ["bounded", "drop", "materialize", "setting", "shared_dir", "small_batches"]
 
@@ -19,28 +18,3 @@ def small_batches(spark: SparkSession, rows: int = 200, most: int = 4 << 20) ->
         spark.conf.set(_ROWS, str(rows))
     if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BYTES)) > most:
         spark.conf.set(_BYTES, str(most))
-
-
-#: Bytes of a table's rows that may go to every executor.
-BROADCAST = 16 << 20
-
-
-def _width(table: DataFrame):
-    """Bytes of a row: eight a column, and what strings, binaries and arrays of numbers hold."""
-    out = F.lit(16 + 8 * len(table.columns)).cast("long")
-    for f in table.schema:
-        kind = f.dataType.simpleString()
-        if kind in ("string", "binary"):
-            out = out + F.coalesce(F.octet_length(f.name), F.lit(0))
-        elif kind == "array<string>":
-            out = out + F.coalesce(F.aggregate(f.name, F.lit(0).cast("long"), lambda n, x: n + 8 + F.coalesce(F.octet_length(x), F.lit(0))), F.lit(0))
-        elif kind.startswith("array"):
-            inner = 8 * max(1, kind.count(":")) + (16 if "struct" in kind else 0)
-            out = out + inner * F.greatest(F.coalesce(F.size(f.name), F.lit(0)), F.lit(0))
-    return out
-
-
-def bounded(table: DataFrame, most: int = BROADCAST) -> DataFrame:
-    """The written table, marked for broadcast if its measured bytes are within the bound."""
-    size = table.agg(F.sum(_width(table))).first()[0] or 0
-    return F.broadcast(table) if size <= most else table
