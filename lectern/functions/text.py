@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,6 +77,18 @@ def fold(text: Column) -> Column:
     return let(F.lower(text), accents)
 
 
+def fold_exact(text: Column) -> Column:
+    """As ``fold``, by full compatibility decomposition, for texts beyond Latin letters; runs in Python, by Arrow batches."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t.lower().replace("ł", "l")) if not unicodedata.combining(c))
+        return texts.map(plain, na_action="ignore")
+
+    return run(text)
+
+
 def terms(text: Column, without: tuple[str, ...] = ()) -> Column:
     """The sorted distinct terms of a text: folded words cut to their first letters, stop words left out.
 

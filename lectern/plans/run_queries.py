@@ -16,7 +16,7 @@ from ..sources import corpus, sinks
 from ..store import materialize, scratch
 from ..streaming.ledger import answer_new
 from . import prompt
-from .queries import _LINE, _documents, _sql_picked, _sql_scored, _sql_terms, _sql_years, _table
+from .queries import _LINE, _documents, _sql_fold, _sql_picked, _sql_scored, _sql_terms, _sql_years, _table
 
 GENERIC = X.word_terms(X.GENERIC_SHORT + " thand ofthe onthe there")
 W, S = prompt.Wording(), context.Sections()
@@ -283,6 +283,21 @@ def plan_then_write(spark, sf_dir):
     return done.union(refused.select("id", F.col("status"), F.lit(None).cast("string"), F.lit(0).cast("long"), F.lit(False)))
 
 
+def stage_artefacts(spark, sf_dir):
+    """Requests, raw responses and texts of a first call as files by item, written and read back."""
+    rows = _benchmark(spark, sf_dir).select("id", F.to_json(F.struct(F.col("text").alias("content"))).alias("payload"))
+    got = infer.respond(rows, _respond, 4).select("id", "raw", "answer").join(rows, "id")
+    sinks.write_stage(got, path := scratch(spark, "stage"), "essay-plan-")
+    read = spark.read.option("wholetext", True).text(path)
+    return read.select("name", _digest(F.regexp_replace("value", "\\n$", "")).alias("sha256"))
+
+
+def folded_exactly(spark, sf_dir):
+    """Full decomposition against the folding of Latin letters, over all texts."""
+    rows = _documents(spark, sf_dir).select("doc_id", X.fold_exact(F.col("text")).alias("f"), X.fold(F.col("text")).alias("g"))
+    return rows.select("doc_id", _digest(F.col("f")).alias("sha256"), (F.col("f") == F.col("g")).alias("same"))
+
+
 def observe_then_answer(spark, sf_dir):
     """Two calls for items with images: notes on the images alone, then added to the content."""
     rows = _benchmark(spark, sf_dir)
@@ -431,6 +446,11 @@ SELECT CASE WHEN kind IN (2, 4) THEN 'ledger' ELSE 'quarantine' END AS side, CAS
 SELECT CAST(item_id AS VARCHAR) AS id, CASE WHEN item_id % 2 = 1 OR kind = 2 THEN 'asked' ELSE ['error', 'empty', '', 'tags', 'ok'][kind + 1] END AS stage,
   CASE WHEN item_id % 2 = 1 THEN sha256('system:write' || chr(10) || 'user:' || text) WHEN kind = 2 THEN sha256('system:write' || chr(10) || 'user:' || text || chr(10) || 'assistant:' || a || chr(10) || 'user:Now write.') END AS sha256,
   CAST(CASE WHEN item_id % 2 = 1 THEN 2 WHEN kind = 2 THEN 4 ELSE 0 END AS BIGINT) AS n, item_id % 2 = 0 AND kind = 2 AS timed FROM answered JOIN benchmark USING (item_id)""",
+    "stage_artefacts": f"""WITH {_ANSWERED}, files AS (
+  SELECT item_id, '-request.json' AS e, concat('{{"content":', to_json(text), '}}') AS body FROM benchmark UNION ALL SELECT item_id, '-response.json', '{{}}' FROM answered WHERE kind <> 0
+  UNION ALL SELECT item_id, '.txt', CASE kind WHEN 1 THEN '' WHEN 3 THEN '<think>' || a ELSE a END FROM answered WHERE kind <> 0)
+SELECT 'essay-plan-' || substr(sha256(CAST(item_id AS VARCHAR)), 1, 12) || e AS name, sha256(body) AS sha256 FROM files""",
+    "folded_exactly": f"SELECT doc_id, sha256({_sql_fold('text')}) AS sha256, TRUE AS same FROM documents",
     "observe_then_answer": f"""SELECT CAST(item_id AS VARCHAR) AS id, CAST(CASE WHEN item_id % 3 <> 0 THEN 1 WHEN item_id % 2 = 1 THEN 3 ELSE 4 END AS BIGINT) AS n, sha256(CASE WHEN item_id % 3 = 0 AND item_id % 2 = 0 THEN concat('NOTES:', chr(10), 'seen 3 {W.image}a.png', chr(10), 'Check them.')
   ELSE concat('{W.sources}', chr(10), text, chr(10), chr(10), '{W.task}', chr(10), 'Q', chr(10), chr(10), '{W.form}', chr(10), '', chr(10), chr(10), CASE WHEN item_id % 2 = 1 THEN '{W.essay}' ELSE '{W.short}' END) END) AS last_sha256 FROM benchmark""",
     "stage_seconds": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN round((event_id % 400) / 4.0::DOUBLE + (event_id % 7) / 4.0::DOUBLE, 2) END AS total_seconds FROM events",

@@ -21,9 +21,9 @@ def split_quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.filter("status = 'ok'"), df.filter("status <> 'ok'")
 
 
-def audit_name(key):
-    """Name of a request's audit file: twelve hexadecimal digits of the id's digest."""
-    return F.concat(F.lit("essay-request-"), F.substring(F.sha2(key, 256), 1, 12), F.lit(".json"))
+def audit_name(key, stem: str = "essay-request-", ending: str = ".json"):
+    """Name of an item's file: a stem and twelve hexadecimal digits of the id's digest."""
+    return F.concat(F.lit(stem), F.substring(F.sha2(key, 256), 1, 12), F.lit(ending))
 
 
 def write_audits(rows: DataFrame, folder: str, key: str = "id", body: str = "payload") -> None:
@@ -31,6 +31,16 @@ def write_audits(rows: DataFrame, folder: str, key: str = "id", body: str = "pay
     rows.select(audit_name(F.col(key)).alias("name"), body).write.mode("overwrite").partitionBy("name").text(folder)
 
 
+def write_stage(rows: DataFrame, folder: str, stem: str) -> None:
+    """What a first call leaves for each item: its request, the raw response and the text, if there is one.
+
+    ``rows`` has id, payload, raw and answer; each file has a subfolder by its name.
+    """
+    files = F.array(*[F.struct(audit_name(F.col("id"), stem, ending).alias("name"), F.col(body).alias("body")) for ending, body in (("-request.json", "payload"), ("-response.json", "raw"), (".txt", "answer"))])
+    rows = rows.select(F.explode(files).alias("f")).select("f.*").filter("body is not null")
+    rows.write.mode("overwrite").partitionBy("name").text(folder)
+
+
 def write_contexts(contexts: DataFrame, audit: DataFrame, folder: str) -> None:
     """A run that stops after retrieval: the contexts and their audit."""
     write_json(contexts, f"{folder}/contexts")
