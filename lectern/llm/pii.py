@@ -149,7 +149,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
 
 
 def pii_summary(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): counts of base spans, their digest, and all spans.
+    """One row per row of ``docs`` (doc_id, text): counts of base spans, their digest, all spans and their number.
 
     The order of spans is by kind as in ``KINDS``, secrets last, then start.
     """
@@ -162,12 +162,12 @@ def pii_summary(docs: DataFrame) -> DataFrame:
         F.collect_list(F.when(F.col("base"), F.col("x"))).alias("base_spans"),
         F.collect_list("x").alias("all_spans"),
     )
-    found = found.select("_id", "_copy", *[f"n_{k}" for k in KINDS], shown(F.col("base_spans")).alias("base_shown"), shown(F.col("all_spans")).alias("shown"))
+    found = found.select("_id", "_copy", *[f"n_{k}" for k in KINDS], shown(F.col("base_spans")).alias("base_shown"), shown(F.col("all_spans")).alias("shown"), F.size("all_spans").cast("long").alias("n_spans"))
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("copy"))
     rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy")), "left")
     return rows.select(
         "doc_id", *[F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}") for k in KINDS],
-        F.sha2(F.coalesce("base_shown", F.lit("")), 256).alias("base_sha256"), F.coalesce("shown", F.lit("")).alias("spans"),
+        F.sha2(F.coalesce("base_shown", F.lit("")), 256).alias("base_sha256"), F.coalesce("shown", F.lit("")).alias("spans"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
     )
 
 
