@@ -768,7 +768,7 @@ def test_discovery_against_a_plain_bootstrap(spark):
     for i, text in rows:
         base = base_spans(text)
         assert got[i]["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
-        assert set(filter(None, got[i]["spans"].split(","))) == set(base) | added[i]
+        assert set(filter(None, got[i]["spans"].split(","))) == set(base) | added[i] and got[i]["n_spans"] == len(base) + len(added[i])
     assert all(added[i] for i in range(12)) and added[60] and added[61] and not any(added[40 + i] for i in range(12)) and not added[62]
 
 
