@@ -158,3 +158,18 @@ def op7_line_chunks(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = dedup_lines(docs)
     return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = """
+WITH lined AS (SELECT doc_id, text, CASE WHEN text IS NULL OR text = '' THEN []::VARCHAR[] ELSE string_split(text, chr(10)) END AS l FROM documents),
+pairs AS (SELECT doc_id, l, unnest(range(1, len(l))) AS pos FROM lined WHERE len(l) > 1),
+again AS (
+  SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY md5(l[pos] || chr(10) || l[pos + 1]) ORDER BY doc_id, pos) AS rn FROM pairs) WHERE rn > 1),
+lost AS (SELECT doc_id, pos FROM again UNION SELECT doc_id, pos + 1 FROM again),
+each AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS pos FROM lined),
+kept AS (
+  SELECT e.doc_id, count(x.pos) AS n_removed, coalesce(string_agg(e.line, chr(10) ORDER BY e.pos) FILTER (x.pos IS NULL), '') AS t
+  FROM each e LEFT JOIN lost x ON x.doc_id = e.doc_id AND x.pos = e.pos GROUP BY e.doc_id)
+SELECT d.doc_id, CAST(len(d.l) AS BIGINT) AS n_lines, coalesce(k.n_removed, 0) AS n_removed, CAST(length(coalesce(k.t, d.text)) AS BIGINT) AS n_chars, sha256(coalesce(k.t, d.text)) AS kept_sha256
+FROM lined d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
