@@ -31,7 +31,7 @@ DEFAULT, SHORT, WEIGHTED, DIVERSE = Budget(), Budget(1600, 1, 1, 4), Budget(8500
 #: What a met period adds to a score, and the decimals to which scores are ranked.
 OVERLAP_BONUS, DECIMALS = 2.0, 6
 #: Best rows of a topic that are looked at in one round of the selection.
-ROUND_ROWS = 512
+ROUND_ROWS = 2048
 
 
 def term_df(docs: DataFrame) -> DataFrame:
