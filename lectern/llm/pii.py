@@ -174,3 +174,60 @@ def pii_summary(docs: DataFrame) -> DataFrame:
 def op9_pii(spark, sf_dir: str) -> DataFrame:
     """Personal data of all ``documents``."""
     return pii_summary(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def _sql_spread(n: int) -> str:
+    """One round of scoring, from ``scores{n}`` to ``trusted{n}`` and ``scores{n + 1}``."""
+    return f"""
+trusted{n} AS (
+  SELECT pattern, kind, confidence FROM (
+    SELECT pattern, kind, sum(score) / any_value(fillers) AS confidence, count(*) AS support FROM edges JOIN scores{n} USING (value) JOIN fillers USING (pattern) GROUP BY pattern, kind)
+  WHERE confidence >= {CONFIDENCE} AND support >= CASE WHEN regexp_matches(pattern, '[:=#]$') THEN {CUED_SUPPORT} ELSE {SUPPORT} END),
+scores{n + 1} AS (
+  SELECT value, kind, max(score) AS score FROM (
+    SELECT value, kind, 1.0::DOUBLE AS score FROM seeds
+    UNION ALL SELECT value, kind, 1 - exp(sum(ln(greatest(1 - confidence, 1e-9)))) FROM edges JOIN trusted{n} USING (pattern) GROUP BY value, kind) GROUP BY value, kind)"""
+
+
+_SQL_FORMS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]", "token": rf"[^{_S}]*[0-9@][^{_S}]*",
+}
+_SQL_MATCHES = " UNION ALL ".join(
+    f"SELECT doc_id, '{kind}' AS kind, {rank} AS rank, unnest(m) AS s, unnest(g[1:len(m)]) AS gap, unnest(range(len(m))) AS nth FROM (SELECT doc_id, regexp_extract_all(t, '{form}') AS m, string_split_regex(t, '{form}') AS g FROM d)"
+    for rank, (kind, form) in enumerate(_SQL_FORMS.items(), 1)
+)
+_SQL_DIGITS = "regexp_replace(s, '[^0-9]', '', 'g')"
+_SQL_LUHN = f"""list_sum(list_transform(range(1, length({_SQL_DIGITS}) + 1), lambda i:
+    CASE WHEN i % 2 = 1 THEN CAST({_SQL_DIGITS}[-i] AS INTEGER) WHEN CAST({_SQL_DIGITS}[-i] AS INTEGER) > 4 THEN 2 * CAST({_SQL_DIGITS}[-i] AS INTEGER) - 9 ELSE 2 * CAST({_SQL_DIGITS}[-i] AS INTEGER) END)) % 10 = 0"""
+ORACLE_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+matches AS ({_SQL_MATCHES}),
+placed AS (SELECT *, sum(length(gap) + length(s)) OVER (PARTITION BY doc_id, kind ORDER BY nth) AS e FROM matches),
+-- digits that are no card by their number are none of its form
+formed AS (SELECT doc_id, kind, rank, s, e - length(s) AS b, e FROM placed WHERE kind <> 'card' OR length({_SQL_DIGITS}) BETWEEN 16 AND 19),
+between AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id, kind ORDER BY b), 0) AS last FROM formed),
+told AS (SELECT doc_id, kind, rank, s, b, e, list_transform(regexp_extract_all(lower(substr(t, CAST(last + 1 AS BIGINT), CAST(b - last AS BIGINT))), '[^{_S}]+')[-2:], lambda w: regexp_replace(w, '[0-9]+', '0', 'g')) AS w FROM between JOIN d USING (doc_id)),
+patterned AS (SELECT *, list_filter([CASE WHEN regexp_matches(w[-1], '[^:=#].*[:=#]$') THEN '1 ' || w[-1] END, CASE WHEN len(w) = 2 THEN '2 ' || array_to_string(w, ' ') END], lambda p: p IS NOT NULL) AS patterns FROM told),
+base AS (
+  SELECT * FROM patterned WHERE CASE kind WHEN 'email' THEN TRUE
+    WHEN 'ip' THEN len(list_filter(string_split(s, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(nullif(ltrim(p, '0'), '') AS INTEGER), 0) > 255)) = 0
+    WHEN 'card' THEN {_SQL_LUHN} WHEN 'phone' THEN length({_SQL_DIGITS}) BETWEEN 8 AND 15 ELSE FALSE END),
+tokens AS (SELECT doc_id, s, b, patterns, regexp_extract(s, '[A-Za-z0-9+](?:.*[A-Za-z0-9])?') AS value FROM patterned WHERE kind = 'token'),
+valued AS (SELECT doc_id, value, patterns, b + strpos(s, value) - 1 AS b, b + strpos(s, value) - 1 + length(value) AS e FROM tokens
+  WHERE value <> '' AND (contains(value, '@') OR length(regexp_replace(value, '[^0-9]', '', 'g')) >= {LEAST_DIGITS})),
+free AS (SELECT doc_id, value, b, e, unnest(patterns) AS pattern FROM valued v WHERE NOT EXISTS (SELECT 1 FROM formed f WHERE f.kind <> 'token' AND f.doc_id = v.doc_id AND v.b < f.e AND f.b < v.e)),
+edges AS (SELECT DISTINCT unnest(patterns) AS pattern, s AS value FROM base UNION SELECT DISTINCT pattern, value FROM free),
+seeds AS (SELECT DISTINCT s AS value, kind FROM base
+  UNION SELECT value, '{SECRET}' FROM free WHERE regexp_full_match(value, '[0-9a-f]{{32,}}|[0-9A-F]{{32,}}') AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Fa-f]')),
+fillers AS (SELECT pattern, count(*) AS fillers FROM edges GROUP BY pattern),
+scores0 AS (SELECT value, kind, 1.0::DOUBLE AS score FROM seeds),{','.join(_sql_spread(n) for n in range(ROUNDS))},
+best AS (SELECT pattern, max(struct_pack(c := confidence, k := kind)).k AS kind FROM trusted{ROUNDS - 1} GROUP BY pattern),
+spans AS (
+  SELECT doc_id, kind, rank, b, e, TRUE AS base FROM base
+  UNION ALL SELECT DISTINCT doc_id, kind, list_position(['email', 'ip', 'card', 'phone', '{SECRET}'], kind), b, e, FALSE FROM free JOIN best USING (pattern)),
+shown AS (
+  SELECT doc_id, {', '.join(f"count(*) FILTER (base AND kind = '{k}') AS n_{k}" for k in KINDS)},
+    coalesce(string_agg(concat(kind, ':', b, ':', e), ',' ORDER BY rank, b) FILTER (base), '') AS base_shown, string_agg(concat(kind, ':', b, ':', e), ',' ORDER BY rank, b, e) AS spans, count(*) AS n FROM spans GROUP BY doc_id)
+SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in KINDS)}, sha256(coalesce(base_shown, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n, 0) AS n_spans FROM d LEFT JOIN shown USING (doc_id)
+"""

@@ -21,5 +21,6 @@ ORACLE_SQL = {
     "op5_curriculum_mix": mixing.ORACLE_SQL,
     "op7_line_chunks": line_chunks.ORACLE_SQL,
     "op8_substring_dedup": substrings.ORACLE_SQL,
+    "op9_pii": pii.ORACLE_SQL,
     "op10_ngram_jaccard": jaccard.ORACLE_SQL,
 }
