@@ -208,11 +208,6 @@ def toxicity(b: tv.Bytes, w: tv.Spans, known: np.ndarray, weights: np.ndarray) -
     return np.diff(total) / np.maximum(tv.counts(w), 1)
 
 
-def _arrays(features: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
-    known = np.array(sorted(features), dtype=np.uint64)
-    return known, np.array([features[h] for h in known.tolist()])
-
-
 def best_limit(scores: np.ndarray, toxic: np.ndarray) -> float:
     """The limit with the least sum of both classes' shares on its wrong side, halfway to the next score."""
     order = np.argsort(scores, kind="stable")
@@ -229,7 +224,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame | None, text: str = "text"
     ``labels`` has doc_id and toxic (0 or 1).  At most LABELLED labelled
     documents, by hash of doc_id, are used, equal texts once.
     """
-    alone = (*_arrays({}), float("inf"))
+    alone = np.zeros(0, np.uint64), np.zeros(0), float("inf")
     if labels is None:
         return alone
     given = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic"))
@@ -260,7 +255,9 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame | None, text: str = "text"
     often = rows.filter("not apart").select("text", "toxic").mapInArrow(features, "h long, t long, o long").groupBy("h").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
     odds = (F.col("t") / n_toxic) / ((F.col("o") + 0.5) / n_other)
     chosen = often.filter(F.col("t") >= LEAST).withColumn("odds", odds).filter(F.col("odds") >= ODDS).orderBy(F.desc("odds"), "h").limit(FEATURES)
-    hashes, weights = _arrays({r["h"] % 2**64: float(np.log(r["odds"])) for r in chosen.collect()})
+    found = chosen.select("h", "odds").toArrow().combine_chunks()
+    hashes, weights = _column(found, "h").to_numpy().view(np.uint64), np.log(_column(found, "odds").to_numpy())
+    hashes, weights = hashes[order := np.argsort(hashes)], weights[order]
 
     def score(batches):
         for batch in batches:
@@ -298,10 +295,18 @@ def train(docs: DataFrame, text: str = "text") -> tuple[dict[int, float], np.nda
     least = texts.select(F.col("key").alias("_key")).distinct().orderBy("_key").limit(SAMPLE)
     # a text's copies count once
     picked = texts.join(F.broadcast(least), F.col("key") == F.col("_key"), "left_semi").groupBy("key").agg(F.min("text").alias("text")).select("text", "key")
-    rows = picked.mapInArrow(sampled, "key long, code long, cells array<int>, weights array<float>").collect()
-    rows.sort(key=lambda r: r["key"])
-    labels = np.array([chance[r["code"]] for r in rows])
-    return chance, fit_scorer([(np.array(r["cells"], np.int64), np.array(r["weights"])) for r in rows], labels)
+    # as Arrow: the driver's Python holds arrays, not millions of numbers
+    rows = picked.mapInArrow(sampled, "key long, code long, cells array<int>, weights array<float>").toArrow().sort_by("key").combine_chunks()
+    labels = np.array([chance[c] for c in rows["code"].to_pylist()])
+    cells, weights = (_column(rows, c) for c in ("cells", "weights"))
+    ends = cells.offsets.to_numpy()
+    cells, weights = cells.values.to_numpy().astype(np.int64), weights.values.to_numpy().astype(float)
+    return chance, fit_scorer([(cells[i:j], weights[i:j]) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())], labels)
+
+
+def _column(table: pa.Table, name: str) -> pa.Array:
+    found = table[name]
+    return found.combine_chunks() if found.num_chunks != 1 else found.chunk(0)
 
 
 def classify(docs: DataFrame, threshold: float = 0.5, labels: DataFrame | None = None) -> DataFrame:
