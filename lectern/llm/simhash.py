@@ -88,15 +88,15 @@ def likeness(*halves: Column) -> Column:
     return F.lit(1.0) - distance(*halves) / F.lit(128.0)
 
 
-def _bits(high: Column, low: Column, a: int, b: int) -> Column:
-    """Bits a to b of a fingerprint as text, counted from the lowest."""
+def _bits(high: Column, low: Column, a: int, b: int) -> list[Column]:
+    """Bits a to b of a fingerprint, counted from the lowest, as one number or two."""
     parts = []
     for half, base in ((low, 0), (high, 64)):
         x, y = max(a, base) - base, min(b, base + 64) - base
         if x < y:
             mask = (1 << (y - x)) - 1
             parts.append(F.shiftrightunsigned(half, x).bitwiseAND(F.lit(mask if mask < 1 << 63 else -1)))
-    return F.concat_ws("-", *parts)
+    return parts
 
 
 def near_fingerprints(prints: DataFrame, radius: int = 3, spare: int = 3) -> DataFrame:
@@ -119,23 +119,21 @@ def near_fingerprints(prints: DataFrame, radius: int = 3, spare: int = 3) -> Dat
     distinct = materialize(prints.select("high", "low").filter("high is not null and low is not null").distinct(), "prints")
     high, low = F.col("high"), F.col("low")
     choices = list(combinations(range(count), spare))
-    blocks = F.array(*[_bits(high, low, a, b) for a, b in zip(cuts, cuts[1:])])
-    tables = [F.struct(F.lit(t).alias("t"), F.concat_ws("|", *[F.element_at("_b", i + 1) for i in chosen]).alias("key")) for t, chosen in enumerate(choices)]
-    rows = distinct.withColumn("_b", blocks).select("high", "low", F.explode(F.array(*tables)).alias("x")).select("high", "low", "x.t", "x.key")
+    tables = [F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), *[x for i in chosen for x in _bits(high, low, cuts[i], cuts[i + 1])]).alias("key")) for t, chosen in enumerate(choices)]
+    rows = distinct.select("high", "low", F.explode(F.array(*tables)).alias("x")).select("high", "low", "x.t", "x.key")
     often = materialize(rows.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1"), "blocks")
     rows = materialize(rows.join(often, ["t", "key"]), "tables")
     drop(often)
     found = _met(rows.filter(F.col("n") <= CROWD), radius)
     if rows.filter(F.col("n") > CROWD).limit(1).count():
-        finer = F.lit(None).cast("array<string>")
+        finer = F.lit(None).cast("array<bigint>")
         for t, chosen in enumerate(choices):
             left = [(x, y) for i in range(count) if i not in chosen for x, y in ((halves[i][0], halves[i][1]), (halves[i][1], halves[i][2]))]
             middle = len(left) // 2
             twos = [*combinations(left[:middle], 2), *combinations(left[middle:], 2)]
-            keys = F.array(*[F.concat_ws("|", F.lit(str(k)), _bits(high, low, *one), _bits(high, low, *two)) for k, (one, two) in enumerate(twos)])
+            keys = F.array(*[F.xxhash64("key", F.lit(k), *_bits(high, low, *one), *_bits(high, low, *two)) for k, (one, two) in enumerate(twos)])
             finer = F.when(F.col("t") == t, keys).otherwise(finer)
-        crowd = rows.filter(F.col("n") > CROWD).select("high", "low", "t", F.explode(finer).alias("part"), "key")
-        crowd = crowd.select("high", "low", "t", F.concat_ws("/", "key", "part").alias("key"))
+        crowd = rows.filter(F.col("n") > CROWD).select("high", "low", "t", F.explode(finer).alias("key"))
         often = materialize(crowd.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1"), "parts")
         found = found.union(_met(crowd.join(often, ["t", "key"]), radius))
     return found.distinct()
