@@ -27,7 +27,7 @@ from .store import small_batches
 
 SPACE = "▁"
 #: Entries of each memory of a worker; a full one is emptied by and by.
-CHUNKS_KEPT, PAIRS_KEPT = 150_000, 200_000
+CHUNKS_KEPT, PAIRS_KEPT = 300_000, 200_000
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
