@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, html_wrapper, jaccard, line_chunks, mixing, pii, quality, sentencepiece_bpe, simhash, substrings
+from . import centroids, embeddings, fim, html_wrapper, jaccard, line_chunks, mixing, pii, quality, sentencepiece_bpe, simhash, substrings
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_bpe.op1_sentencepiece,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_substring_dedup": substrings.op8_substring_dedup,
     "op9_pii": pii.op9_pii,
     "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
+    "op11_fill_in_middle": fim.op11_fill_in_middle,
+    "op12_delta_lloyd": centroids.op12_delta_lloyd,
 }
 ORACLE_SQL = {
     "op3_embedding_near_dedup": embeddings.ORACLE_SQL,
@@ -23,4 +25,6 @@ ORACLE_SQL = {
     "op8_substring_dedup": substrings.ORACLE_SQL,
     "op9_pii": pii.ORACLE_SQL,
     "op10_ngram_jaccard": jaccard.ORACLE_SQL,
+    "op11_fill_in_middle": fim.ORACLE_SQL,
+    "op12_delta_lloyd": centroids.ORACLE_SQL,
 }
