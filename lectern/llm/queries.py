@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, embeddings, fim, html_wrapper, jaccard, line_chunks, mixing, pii, quality, sentencepiece_bpe, simhash, substrings
+from . import centroids, context_mixing, embeddings, fim, html_wrapper, jaccard, line_chunks, mixing, pii, quality, sentencepiece_bpe, simhash, substrings
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_bpe.op1_sentencepiece,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
     "op11_fill_in_middle": fim.op11_fill_in_middle,
     "op12_delta_lloyd": centroids.op12_delta_lloyd,
+    "op13_context_mixing": context_mixing.op13_context_mixing,
 }
 ORACLE_SQL = {
     "op3_embedding_near_dedup": embeddings.ORACLE_SQL,
