@@ -116,17 +116,19 @@ def _fold(rows: Column, state: Column, budget: Budget) -> Column:
     return F.aggregate(rows, state, step)
 
 
-def pick(candidates: DataFrame, lengths: DataFrame, budget: Budget = DEFAULT) -> DataFrame:
-    """topic_id, picked (array of doc_index in the order of picking), used.
+def pick(candidates: DataFrame, lengths: DataFrame, budget: Budget = DEFAULT, start: DataFrame | None = None) -> DataFrame:
+    """topic_id, picked (array of doc_index in the order of picking), used; after what ``start`` (the same columns) has picked, if it is given.
 
     The best rows that can still fit are folded in rounds, so a topic's
     candidates are never gathered at once; used characters only grow, so a row
     that does not fit once never will, and the rounds give the whole scan.
     """
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("picked"))
+    nothing = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("picked"))
     rows = candidates.join(lengths.select("doc_index", "len"), "doc_index").filter(F.col("len") + budget.in_test <= budget.chars)
     rows = materialize(rows.select("topic_id", F.col("doc_index").cast("long").alias("doc_index"), "score", F.col("len").cast("long").alias("len")), "candidates")
-    left, states = rows.withColumn("state", start), None
+    left, states = rows.withColumn("state", nothing), None
+    if start is not None:
+        left = rows.join(start.select("topic_id", F.struct("used", "picked").alias("state")), "topic_id").filter(F.col("state.used") + F.col("len") + budget.in_test <= budget.chars)
     while True:
         best = ranked(left, ROUND_ROWS)
         done = best.groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_index", "len"))).alias("rows"), F.first("state").alias("state0"), F.max_by(F.struct("score", "doc_index"), "rank").alias("last"), F.max("rank").alias("n"))

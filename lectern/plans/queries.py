@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import periods as P
 from ..functions import text as X
 from ..operators import infer, ledger, retrieve, validate
+from ..operators.bounded import pick_bounded
 from ..store import materialize
 from . import prompt
 
@@ -108,13 +109,26 @@ def retrieve_short(spark, sf_dir):
 
 
 def retrieve_weighted(spark, sf_dir):
-    docs, topics = _corpus(spark, sf_dir), _topics(spark, sf_dir)
-    docs = docs.withColumns({"title_terms": X.terms(F.concat(F.lit("the "), F.col("source"), F.lit(" that"))), "meta_terms": X.terms(F.concat(F.col("lang"), F.lit("with from")))})
-    weight = F.when(F.array_contains("title_terms", F.col("term")), 3).when(F.array_contains("meta_terms", F.col("term")), 2).otherwise(1)
+    topics = _topics(spark, sf_dir)
+    docs, weight = _by_field(_corpus(spark, sf_dir))
     picks = retrieve.pick(retrieve.scored(docs, topics, weight, domestic=False), docs, retrieve.WEIGHTED)
     return picks.select(F.col("topic_id").alias("item_id"), _joined(F.col("picked")).alias("picked"), "used")
 
 
+def _by_field(docs: DataFrame):
+    docs = docs.withColumns({"title_terms": X.terms(F.concat(F.lit("the "), F.col("source"), F.lit(" that"))), "meta_terms": X.terms(F.concat(F.col("lang"), F.lit("with from")))})
+    return docs, F.when(F.array_contains("title_terms", F.col("term")), 3).when(F.array_contains("meta_terms", F.col("term")), 2).otherwise(1)
+
+
+def retrieve_bounded(spark, sf_dir):
+    """The picks of both budgets without scoring what cannot enter them: all terms alike, and weighted by field."""
+    docs, topics = _corpus(spark, sf_dir), _topics(spark, sf_dir)
+    fielded, weight = _by_field(docs)
+    alike, weighted = pick_bounded(docs, topics), pick_bounded(fielded, topics, retrieve.WEIGHTED, weight, domestic=False)
+    shown = lambda rows, name: rows.select(F.lit(name).alias("budget"), F.col("topic_id").alias("item_id"), _joined(F.col("picked")).alias("picked"), "used")
+    return shown(alike, "alike").union(shown(weighted, "weighted"))
+
+
 def retrieve_diverse(spark, sf_dir):
     docs, topics, found = _candidates(spark, sf_dir)
     picks = retrieve.pick_diverse(found, docs, topics)
@@ -393,6 +407,8 @@ told AS (
     CASE WHEN essay AND n > high THEN n || ' words, maximum ' || high END], lambda m: m IS NOT NULL) END AS m FROM rows),
 violations AS (SELECT id, unnest(range(len(m))) AS nth, unnest(m) AS message FROM told)"""
 
+_FIELDS = f"CASE WHEN list_contains({_sql_terms("'the ' || h.source || ' that'")}, h.term) THEN 3 WHEN list_contains({_sql_terms("h.lang || 'with from'")}, h.term) THEN 2 ELSE 1 END"
+
 ORACLE_SQL = {
     "terms_per_doc": f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_terms, array_to_string(t, ' ') AS terms FROM (SELECT doc_id, {_sql_terms('text')} AS t FROM documents)",
     "term_document_frequency": f"SELECT term, count(*) AS df FROM (SELECT unnest({_sql_terms('text')}) AS term FROM documents) GROUP BY term",
@@ -404,8 +420,9 @@ lines AS (SELECT p.topic_id, string_agg('[' || c.doc_id || '] ' || c.source || '
   FROM (SELECT topic_id, unnest(ids) AS doc_id FROM picked) p JOIN documents c USING (doc_id) GROUP BY p.topic_id)
 SELECT b.item_id, CAST(length(coalesce(l.c, '')) AS BIGINT) AS n_chars, sha256(coalesce(l.c, '')) AS sha256 FROM benchmark b LEFT JOIN lines l ON l.topic_id = b.item_id""",
     "retrieve_short": f"WITH RECURSIVE {_sql_scored(bonus='0', match='n_common >= 2 AND least_df <= greatest(2, 0.03 * (SELECT count(*) FROM corpus))')}, {_sql_picked(1600, 1, 1, 4)} SELECT topic_id AS item_id, array_to_string(ids, ' ') AS picked, used FROM picked",
-    "retrieve_weighted": f"""WITH RECURSIVE {_sql_scored(weight=f"CASE WHEN list_contains({_sql_terms("'the ' || h.source || ' that'")}, h.term) THEN 3 WHEN list_contains({_sql_terms("h.lang || 'with from'")}, h.term) THEN 2 ELSE 1 END")}, {_sql_picked(8500, 2, 2, 5)}
-SELECT topic_id AS item_id, array_to_string(ids, ' ') AS picked, used FROM picked""",
+    "retrieve_weighted": f"WITH RECURSIVE {_sql_scored(weight=_FIELDS)}, {_sql_picked(8500, 2, 2, 5)} SELECT topic_id AS item_id, array_to_string(ids, ' ') AS picked, used FROM picked",
+    "retrieve_bounded": f"""SELECT 'alike' AS budget, * FROM (WITH RECURSIVE {_sql_scored()}, {_sql_picked(4000, 0, 1, 18)} SELECT topic_id AS item_id, array_to_string(ids, ' ') AS picked, used FROM picked)
+UNION ALL SELECT 'weighted', * FROM (WITH RECURSIVE {_sql_scored(weight=_FIELDS)}, {_sql_picked(8500, 2, 2, 5)} SELECT topic_id AS item_id, array_to_string(ids, ' ') AS picked, used FROM picked)""",
     "retrieve_diverse": f"""WITH RECURSIVE {_sql_scored()},
 rivals AS MATERIALIZED (
   SELECT s.topic_id, s.doc_id, s.len, s.score, s.matched, c.terms FROM scored s JOIN corpus c USING (doc_id) WHERE s.len + 1 <= 4000),
@@ -479,7 +496,7 @@ SELECT conv_id, turn, CAST(0 AS BIGINT) AS nth, n AS n_chars FROM w UNION ALL SE
 QUERIES = {
     f.__name__: f
     for f in (
-        terms_per_doc, term_document_frequency, idf_scores, retrieve_ranked, retrieve_budgeted, retrieve_context_text, retrieve_short, retrieve_weighted, retrieve_diverse,
+        terms_per_doc, term_document_frequency, idf_scores, retrieve_ranked, retrieve_budgeted, retrieve_context_text, retrieve_short, retrieve_weighted, retrieve_bounded, retrieve_diverse,
         roman_numerals, periods_of_topic, doc_year_span, period_overlap_join, domestic_union_branch, topic_split, essay_classification, word_bounds, word_count, jaccard_pairs,
         duplicate_ids, duplicate_texts, ledger_resume, export_left_join, subset_and_setequal_checks, validate_answers, validation_report, run_usage_totals, nested_props,
         sha256_and_key, data_url_length, unpivot_parts, responder_batch,
