@@ -7,23 +7,26 @@ task that is run again asks again, so responders must not mind repeated ids.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import has_reasoning_tags, is_blank, strip, word_count
+from ..functions.text import REASONING_TAGS, has_reasoning_tags, is_blank, strip, word_count
 from ..plans.prompt import part, without_last
 from ..store import materialize
 
 OUT = "id string, answer string, seconds double, finish_reason string, error string, raw string"
 
 
-# Fixed value: the characters of an error's text that are kept.
+# The characters of an error's text that are kept; Unicode's white space.
 ERROR_TEXT = 3000
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def health(base: str, timeout: int = 10, ask=None) -> dict:
@@ -41,48 +44,82 @@ def health(base: str, timeout: int = 10, ask=None) -> dict:
     return found
 
 
-def http_responder(base: str, route: str = "/v1/chat/completions", timeout: int = 1800) -> Callable[[list[dict]], list[dict]]:
-    """Posts each payload to a chat server; what fails, in whatever way, is an answer with an error, cut to its first characters."""
+def http_responder(base: str, route: str = "/v1/chat/completions", timeout: int = 1800, tries: int = 1, wait: float = 1.0, longest: float = 60.0) -> Callable[[list[dict]], list[dict]]:
+    """Posts each payload to a chat server; what fails, in whatever way, is an answer with an error, cut to its first characters.
 
-    def ask(payloads: list[dict]) -> list[dict]:
+    A server that is busy (429), fails (5xx) or cannot be reached is asked
+    again, ``tries`` times in all, after a wait that doubles up to ``longest``
+    seconds, or as long as it asks for.  The digest of a payload goes along as
+    the request's key, so that a server can tell a repeated one.
+    """
+
+    def once(payload: dict) -> tuple[dict, bool, float]:
+        """The response, whether asking again may help, and how long the server asks to wait."""
         from http.client import HTTPException
         from urllib.error import HTTPError
         from urllib.request import Request, urlopen
 
+        body = json.dumps(payload).encode()
+        request = Request(base.rstrip("/") + route, body, {"Content-Type": "application/json", "Idempotency-Key": hashlib.sha256(body).hexdigest()})
+        try:
+            with urlopen(request, timeout=timeout) as reply:
+                got = json.load(reply)
+            choice = got["choices"][0]
+            return {"answer": choice["message"].get("content"), "finish_reason": choice.get("finish_reason"), "raw": json.dumps(got)}, False, 0.0
+        except HTTPError as error:
+            told = error.headers.get("Retry-After", "")
+            return {"error": error.read().decode("utf-8", "replace")[:ERROR_TEXT]}, error.code == 429 or error.code >= 500, float(told) if told.isdigit() else 0.0
+        except (OSError, HTTPException) as error:  # no connection, a timeout
+            return {"error": f"{type(error).__name__}: {error}"[:ERROR_TEXT]}, True, 0.0
+        except (ValueError, LookupError) as error:  # no JSON, no choice
+            return {"error": f"{type(error).__name__}: {error}"[:ERROR_TEXT]}, False, 0.0
+
+    def ask(payloads: list[dict]) -> list[dict]:
         out = []
         for payload in payloads:
-            request = Request(base.rstrip("/") + route, json.dumps(payload).encode(), {"Content-Type": "application/json"})
-            try:
-                with urlopen(request, timeout=timeout) as reply:
-                    body = json.load(reply)
-                choice = body["choices"][0]
-                out.append({"answer": choice["message"].get("content"), "finish_reason": choice.get("finish_reason"), "raw": json.dumps(body)})
-            except HTTPError as error:
-                out.append({"error": error.read().decode("utf-8", "replace")[:ERROR_TEXT]})
-            except (OSError, HTTPException, ValueError, LookupError) as error:  # no connection, a timeout, no JSON, no choice
-                out.append({"error": f"{type(error).__name__}: {error}"[:ERROR_TEXT]})
+            for nth in range(tries):
+                got, again, asked = once(payload)
+                if not again or nth + 1 == tries:
+                    break
+                time.sleep(min(longest, max(asked, wait * 2**nth)))
+            out.append(got)
         return out
 
     return ask
 
 
-def respond(requests: DataFrame, responder: Callable[[list[dict]], list[dict]], slots: int) -> DataFrame:
+def respond(requests: DataFrame, responder: Callable[[list[dict]], list[dict]], slots: int, in_flight: int = 1, until: bool = False, order: str | None = None) -> DataFrame:
     """Adds to each request (id, payload as JSON) its answer, seconds, finish_reason, truncated, word_count, status.
 
-    At most ``slots`` tasks ask at once.  Blank answers, answers with reasoning
-    tags and errors have a status other than ``ok`` and keep the raw response.
+    At most ``slots`` tasks ask at once, each with ``in_flight`` requests under
+    way; the next is sent as one comes back.  Blank answers, answers with
+    reasoning tags and errors have a status other than ``ok`` and keep the raw
+    response.  With ``until`` a task asks in the given order, one by one, and
+    nothing behind its first answer that is not ``ok``.
     """
 
+    def ask(payload: str) -> tuple:
+        began = time.monotonic()
+        got = responder([json.loads(payload)])[0]
+        return got.get("answer"), round(time.monotonic() - began, 2), got.get("finish_reason"), got.get("error"), got.get("raw")
+
+    def unsound(answer: str | None, error: str | None) -> bool:
+        return error is not None or not (answer or "").strip(WHITE) or any(tag in answer for tag in REASONING_TAGS)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for key, payload in zip(batch["id"], batch["payload"]):
-                began = time.monotonic()
-                got = responder([json.loads(payload)])[0]
-                rows.append((key, got.get("answer"), round(time.monotonic() - began, 2), got.get("finish_reason"), got.get("error"), got.get("raw")))
-            yield pd.DataFrame(rows, columns=["id", "answer", "seconds", "finish_reason", "error", "raw"])
-
-    rows = requests.select("id", "payload").repartition(slots, "id").mapInPandas(run, OUT)
+        with ThreadPoolExecutor(in_flight) as pool:
+            for batch in batches:
+                rows = []
+                for key, got in zip(batch["id"], map(ask, batch["payload"]) if until or in_flight == 1 else pool.map(ask, batch["payload"])):
+                    rows.append((key, *got))
+                    if until and unsound(got[0], got[3]):
+                        break
+                yield pd.DataFrame(rows, columns=["id", "answer", "seconds", "finish_reason", "error", "raw"])
+                if until and rows and unsound(rows[-1][1], rows[-1][4]):
+                    return
+
+    dealt = requests.repartition(slots, "id")
+    rows = (dealt.sortWithinPartitions(order) if order else dealt).select("id", "payload").mapInPandas(run, OUT)
     answer = F.col("answer")
     status = F.when(F.col("error").isNotNull(), "error").when(is_blank(answer), "empty").when(has_reasoning_tags(answer), "tags").otherwise("ok")
     return rows.withColumns({"status": status, "answer": strip(answer), "truncated": F.coalesce(F.col("finish_reason") == "length", F.lit(False)), "word_count": word_count(answer)})

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import periods as P
 from ..functions import text as X
 from ..operators import context, images, infer, ledger, run, validate
-from ..sources import corpus, sinks
+from ..operators.stop import Unsound, ask_until_unsound
+from ..sources import corpus, sinks, versions
 from ..store import materialize, scratch
-from ..streaming.ledger import answer_new
+from ..streaming.ledger import OUTCOME, add_outcomes, answer_new, outcomes
 from . import prompt
 from .queries import _LINE, _documents, _sql_fold, _sql_picked, _sql_scored, _sql_terms, _sql_years, _table
 
@@ -181,7 +182,7 @@ def context_audit(spark, sf_dir):
     """The audit of the same retrieval, written as JSON beside the contexts and read again."""
     text, told = context.essay_context(_paired(spark, sf_dir), _dated(spark, sf_dir))
     sinks.write_contexts(text, told, path := scratch(spark, "contexts"))
-    read = spark.read.schema(told.schema).json(f"{path}/retrieval")
+    read = sinks.read_json(spark, f"{path}/retrieval", told.schema)
     lines = F.transform("records", lambda r: F.concat_ws("|", r["id"], r["title"], r["date_text"]))
     return read.select("id", F.col("topic_no").cast("long").alias("topic_no"), _digest(F.col("topic")).alias("topic_sha256"), F.array_join(F.transform("periods", lambda p: F.array_join(p.cast("array<string>"), "-")), " ").alias("periods"), F.size("records").cast("long").alias("n_records"), F.array_join(lines, " ").alias("records"))
 
@@ -267,10 +268,53 @@ def ledger_stream(spark, sf_dir):
     """The ledger as a stream in two runs: what the first has answered, the second does not ask again."""
     rows = _benchmark(spark, sf_dir).select("id", "pos", F.to_json(F.struct(F.col("text").alias("content"))).alias("payload"))
     root = scratch(spark, "stream")
-    for n, part in enumerate((rows.filter("pos % 2 = 0"), rows)):
+    for part in (rows.filter("pos % 2 = 0"), rows):
         part.select("id", "payload").write.mode("append").parquet(f"{root}/requests")
-        answer_new(spark, f"{root}/requests", f"{root}/ledger", f"{root}/quarantine-{n}", f"{root}/checkpoint", _respond, 2).awaitTermination()
-    return spark.read.parquet(f"{root}/ledger").groupBy("id").agg(F.count("*").alias("n"), F.max("answer").alias("answer"))
+        answer_new(spark, f"{root}/requests", f"{root}/log", f"{root}/checkpoint", _respond, 2).awaitTermination()
+    good, _ = outcomes(spark, f"{root}/log")
+    return good.groupBy("id").agg(F.count("*").alias("n"), F.max("answer").alias("answer"))
+
+
+def ledger_replayed(spark, sf_dir):
+    """Batches that come twice, one of them after the log was compacted: one record for each id, on one side."""
+    rows = _benchmark(spark, sf_dir).select("id", "pos", F.to_json(F.struct(F.col("text").alias("content"))).alias("payload"))
+    log = scratch(spark, "log")
+    for nth, number in enumerate((0, 1, 1, 0, 2, 2)):
+        got = infer.respond(rows.filter(F.col("pos") % 3 == number), _respond, 2)
+        add_outcomes(got.drop("nth"), log, "run", number)
+        if nth == 2:
+            versions.compact(spark, log, OUTCOME)
+    good, bad = outcomes(spark, log)
+    return good.select("id", F.lit("ledger").alias("side"), "answer").union(bad.select("id", F.lit("quarantine"), "answer"))
+
+
+def _rarely(payloads):
+    """A server that fails at texts of some lengths only."""
+    words = payloads[0]["content"].split()
+    return [{"error": "busy"} if sum(map(len, words)) % 23 == 0 else {"answer": " ".join(words[:4]), "finish_reason": "stop", "raw": "{}"}]
+
+
+def run_stops(spark, sf_dir):
+    """A run that ends with its first answer that is not sound: what was answered before, and that one."""
+    rows = _benchmark(spark, sf_dir).select("pos", "id", F.to_json(F.struct(F.col("text").alias("content"))).alias("payload"))
+    log, told = scratch(spark, "stops"), "whole"
+    try:
+        ask_until_unsound(rows, _rarely, log)
+    except Unsound as error:
+        told = str(error)
+    good, bad = outcomes(spark, log)
+    both = good.select("id", F.lit("ledger").alias("side"), "answer").union(bad.select("id", F.lit("quarantine"), "answer"))
+    return both.withColumn("told", F.lit(told))
+
+
+def tables_replaced(spark, sf_dir):
+    """A table that was replaced, and whose next writer died before its rows counted."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", _digest(F.col("text")).alias("sha256"))
+    path = scratch(spark, "replaced")
+    versions.replace(docs.filter("doc_id % 3 = 0"), path)
+    versions.replace(docs.filter("doc_id % 2 = 0"), path)
+    docs.filter("doc_id % 5 = 0").write.parquet(f"{path}/{versions.PARTS}/unfinished")
+    return versions.read(spark, path, docs.schema)
 
 
 def plan_then_write(spark, sf_dir):
@@ -356,7 +400,7 @@ def publish_answers(spark, sf_dir):
     done = [sinks.publish(answers, none, kept), sinks.publish(answers, none, gone), sinks.publish(answers, spark.createDataFrame([("bad",)], "message string"), gone)]
     left = corpus.optional_text(spark, gone)
     told = f"{done} {left}"
-    return spark.read.schema("pos long, id string, answer string").json(kept).select("pos", "id", _digest(F.col("answer")).alias("sha256"), F.lit(told).alias("told"))
+    return sinks.read_json(spark, kept, "pos long, id string, answer string").select("pos", "id", _digest(F.col("answer")).alias("sha256"), F.lit(told).alias("told"))
 
 
 def request_audits(spark, sf_dir):
@@ -476,6 +520,11 @@ SELECT 'FAIL' AS status, CAST(len(e) AS BIGINT) AS n_errors, CAST(len(w) AS BIGI
   {_WORDS.format("CASE WHEN item_id % 9 = 0 THEN ' ' WHEN item_id % 7 = 0 THEN '<think>' || text ELSE text END")} AS words FROM benchmark),
 told AS (SELECT id, list_filter([CASE WHEN essay AND n % 4 = 3 THEN 'no explicit word limit parsed; inspect task manually' END, CASE WHEN cut THEN 'token limit reached' END, CASE WHEN essay AND words < 300 THEN 'fewer than 300 words' END], lambda m: m IS NOT NULL) AS m FROM rows)
 SELECT id, unnest(range(len(m))) AS nth, unnest(m) AS message FROM told""",
+    "ledger_replayed": f"WITH {_ANSWERED} SELECT CAST(item_id AS VARCHAR) AS id, CASE WHEN kind IN (2, 4) THEN 'ledger' ELSE 'quarantine' END AS side, CASE kind WHEN 1 THEN '' WHEN 2 THEN a WHEN 3 THEN '<think>' || a WHEN 4 THEN a END AS answer FROM answered",
+    "run_stops": f"""WITH {_ANSWERED.replace('% 5', '% 23')}, bad AS (SELECT min(item_id) AS first FROM answered WHERE kind = 0)
+SELECT CAST(item_id AS VARCHAR) AS id, CASE WHEN kind = 0 THEN 'quarantine' ELSE 'ledger' END AS side, CASE WHEN kind <> 0 THEN a END AS answer, coalesce('item ' || first || ': error', 'whole') AS told
+FROM answered, bad WHERE item_id <= coalesce(first, item_id)""",
+    "tables_replaced": "SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE doc_id % 2 = 0",
     "publish_answers": "SELECT item_id AS pos, CAST(item_id AS VARCHAR) AS id, sha256(CASE WHEN item_id % 3 <> 0 THEN text ELSE '' END) AS sha256, '[True, True, False] None' AS told FROM benchmark",
     "request_audits": """SELECT 'essay-request-' || substr(sha256(CAST(item_id AS VARCHAR)), 1, 12) || '.json' AS name, sha256(concat('{"id":"', item_id, '","text":', to_json(text), '}')) AS sha256 FROM benchmark WHERE item_id % 4 <> 1""",
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.periods import SPAN, doc_span, entry_span
 from ..functions.text import is_blank, terms
+from .versions import folders
 
 TIMELINE = "id string, section_path string, date_text string, event_text string, source_text string, citation_refs string, source_url string, revision_id string"
 NOTES = "id string, title string, years array<int>, date_text string, tags array<string>, text string, source_url string, status string"
@@ -30,7 +31,7 @@ def _lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     start of the piece in it, and the order within the piece, which one task reads.
     """
     at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
-    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(folders(spark, path))
     return rows.select(*rows.columns, at.alias("line"))
 
 
@@ -98,7 +99,7 @@ def kb_rows(rows: DataFrame) -> DataFrame:
 
 def exam_items(spark: SparkSession, path: str) -> DataFrame:
     """One row per item with exam_id and pos, its place; ids are text, and must be there and differ."""
-    exam = spark.read.schema(EXAM).option("multiLine", True).json(path)
+    exam = spark.read.schema(EXAM).option("multiLine", True).json(folders(spark, path))
     items = exam.select("exam_id", F.posexplode("items").alias("pos", "item")).select("exam_id", "pos", "item.*")
     bad = items.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.count(F.when(F.coalesce("id", F.lit("")) == "", 1)).alias("blank")).first()
     if bad["n"] != bad["ids"] or bad["blank"]:
@@ -109,7 +110,7 @@ def exam_items(spark: SparkSession, path: str) -> DataFrame:
 def records(spark: SparkSession, path: str) -> DataFrame:
     """The ledger: a JSON object of records by id; an absent file gives no rows."""
     try:
-        text = spark.read.text(path, wholetext=True)
+        text = spark.read.text(folders(spark, path), wholetext=True)
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
@@ -120,7 +121,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
 
 def answers(spark: SparkSession, path: str) -> DataFrame:
     """Exported answers with their places."""
-    rows = spark.read.schema(ANSWERS).option("multiLine", True).json(path)
+    rows = spark.read.schema(ANSWERS).option("multiLine", True).json(folders(spark, path))
     return rows.select("exam_id", F.posexplode("answers").alias("pos", "a")).select("exam_id", "pos", "a.*")
 
 

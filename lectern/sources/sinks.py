@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import versions
+
 
 def write_json(df: DataFrame, path: str) -> None:
-    """JSON lines; Spark's committer moves finished files into place, so readers see all or nothing."""
-    df.write.mode("overwrite").json(path)
+    """JSON lines that replace what was there as a whole; the sources' readers find them by their path."""
+    versions.replace(df, path, "json")
+
+
+def read_json(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What ``write_json`` has written last."""
+    return versions.read(spark, path, schema, "json")
 
 
 def append_records(df: DataFrame, path: str) -> None:
@@ -60,7 +67,7 @@ def publish(answers: DataFrame, violations: DataFrame, path: str) -> bool:
     """Writes the answers if there is no violation, else removes what was published before."""
     spark = answers.sparkSession
     if violations.limit(1).count():
-        remove(spark, path)
+        versions.withdraw(spark, path)
         return False
     write_json(answers, path)
     return True

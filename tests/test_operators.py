@@ -121,7 +121,7 @@ def test_validation_and_publishing(spark, tmp_path):
     ]
     out = str(tmp_path / "answers")
     assert sinks.publish(answers, validate.run_violations(items, answers, records, same, exam), out)
-    assert spark.read.json(out).count() == 2
+    assert sinks.read_json(spark, out, answers.schema).count() == 2
     assert not sinks.publish(answers, validate.run_violations(items, answers, records, other, exam), out)
     assert not (tmp_path / "answers").exists()
 
@@ -255,11 +255,12 @@ def test_streaming_ledger_runs_twice_as_once(spark, tmp_path):
     requests = str(tmp_path / "requests")
     spark.createDataFrame([("1", '{"x": "hello"}'), ("2", '{"x": ""}'), ("1", '{"x": "hello"}')], "id string, payload string").write.parquet(requests)
     answer = lambda ps: [{"answer": p["x"], "finish_reason": "stop", "raw": "r"} for p in ps]
-    ledger_path, bad = str(tmp_path / "ledger"), str(tmp_path / "bad")
+    log = str(tmp_path / "log")
     for n in range(2):
-        streaming.answer_new(spark, requests, ledger_path, bad, str(tmp_path / f"check{n}"), answer, 2).awaitTermination()
-    assert [r["id"] for r in spark.read.parquet(ledger_path).collect()] == ["1"]
-    assert {r["status"] for r in spark.read.parquet(bad).collect()} == {"empty"}
+        streaming.answer_new(spark, requests, log, str(tmp_path / f"check{n}"), answer, 2).awaitTermination()
+    good, bad = streaming.outcomes(spark, log)
+    assert [r["id"] for r in good.collect()] == ["1"]
+    assert [(r["id"], r["status"], r["nth"]) for r in bad.collect()] == [("2", "empty", 1)]
 
 
 def test_contexts_of_odd_questions(spark):
