@@ -2,7 +2,7 @@
 
 For every host the pages of its most frequent layouts are references: those
 whose trees are alike are merged to one tree that has the slots of all, others
-stay apart.  Each page's DOM tree is aligned with the most alike of its host's
+stay apart; each further layout has its own page as reference.  Each page's DOM tree is aligned with the most alike of its host's
 trees by simple tree matching (the largest order-preserving matching of
 children with equal tags, top down).  Over all distinct pages aligned with a
 tree, a slot that has one text in nearly all of them is template; slots whose
@@ -34,6 +34,8 @@ CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
 )
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Furniture that stands within a line and ends no block.
+SILENT = frozenset("script style noscript template button select option textarea iframe svg canvas object".split())
 SIBLINGS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 SCOPES = frozenset("ul ol dl table body html article section div main".split())
 ANYWHERE = (
@@ -42,16 +44,23 @@ ANYWHERE = (
     r"subscribe|newsletter|signup|login|notices?|disclaimer"
 )
 OUTSIDE = r"header|masthead|topbar|toolbar|search|alert|skip"
-# Whole class names that are furniture within an article or main element, too.
+# Words in classes and ids of reader comments, and of other furniture, within an article or main element.
+COMMENTS = frozenset("comment comments commentlist commenting disqus reply replies respond".split())
 INSIDE = frozenset(
-    "ad ads advert adverts advertisement advertising sponsored promo sidebar comments comment-list comments-list reader-comments share sharing share-buttons "
-    "newsletter newsletter-signup cookie-notice cookie-banner breadcrumb breadcrumbs pagination related-posts related-articles".split()
+    "ad ads adbox adslot adunit adsense adsbygoogle advert adverts advertisement advertisements advertising sponsored sponsor promo promos promotion banner cookie cookies consent gdpr "
+    "notice notices disclaimer popup modal overlay sidebar widget nav navbar navigation menu breadcrumb breadcrumbs pagination pager share sharing social related recommended "
+    "newsletter subscribe signup login".split()
 )
+#: Words behind which a word of these lists says something of the whole page.
+STATES = frozenset("open closed enabled disabled off on no has with is".split())
+#: A part that holds more of the main text than this is no furniture, whatever it is called, but for comments.
+MOST = 0.5
 
 _TOKEN = re.compile(
     r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)(?:>|\Z))", re.S
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:$|[\s/=])")
 #: What makes a tag close itself: a slash that is not the end of an unquoted value.
 _CLOSED = re.compile(r"(?:^|[\s\"'])/\Z")
 _WORDS = {k: re.compile(rf"(?:^|[\s_-])(?:{v})(?:$|[\s_-])", re.I) for k, v in (("any", ANYWHERE), ("out", OUTSIDE))}
@@ -59,8 +68,10 @@ _WORDS = {k: re.compile(rf"(?:^|[\s_-])(?:{v})(?:$|[\s_-])", re.I) for k, v in (
 WIDE = 4_000
 #: A text is template if so large a part of at least so many aligned pages have it.
 CONSTANT, PAGES = 0.9, 3
-#: References of a host at most, the depth to which tags tell layouts apart, and the likeness from which trees are merged.
+#: Layouts of a host that share its trees, others have a tree of their own; the depth to which tags tell layouts apart, and the likeness from which trees are merged.
 LAYOUTS, OUTLINE, ALIKE = 8, 4, 0.6
+#: Parts of a host's layouts that are ranked on their own first.
+RANKED = 64
 
 
 class Node:
@@ -328,16 +339,44 @@ def induce(references: list[str]) -> list[Node]:
     return trees
 
 
-def _furniture(node: Node, within: bool) -> bool:
+def _letters(node: Node) -> int:
+    """Characters of all text below a node that is no script or style."""
+    total, todo = 0, [node]
+    while todo:
+        x = todo.pop()
+        total += len(x.text)
+        todo.extend(c for c in x.children if c.tag not in RAW)
+    return total
+
+
+def _named(marks: dict[str, str]) -> set[str]:
+    """The words of an element's classes and ids, without those that only tell a state."""
+    out: set[str] = set()
+    for name in f"{marks.get('class', '')} {marks.get('id', '')}".lower().split():
+        words = re.split(r"[^a-z0-9]+", re.sub(r"\d+$", "", name))
+        if STATES.isdisjoint(words):
+            out.update(words)
+    return out
+
+
+def _furniture(node: Node, within: bool, main: int = 0) -> bool:
+    """Whether a node is none of the text; ``main`` is how many characters the article or main element around it has."""
     if node.tag in FURNITURE or node.tag == "header" and not within:
         return True
+    if not node.marks:
+        return False
+    if "hidden" in node.marks and _HIDDEN.search(_ATTRIBUTE.sub(lambda m: m[0] if m[1] == "hidden" and (m[2] or m[3] or m[4]) != "until-found" else " ", node.marks)):
+        return True
     if "=" not in node.marks:
         return False
     marks = {k.lower(): x or y or z for k, x, y, z in _ATTRIBUTE.findall(node.marks)}
     if marks.get("role", "").lower() in ROLES or marks.get("aria-hidden") == "true" or "display:none" in marks.get("style", "").replace(" ", ""):
         return True
     if within:
-        return not INSIDE.isdisjoint(marks.get("class", "").lower().split())
+        words = _named(marks)
+        if not COMMENTS.isdisjoint(words):
+            return True
+        return not INSIDE.isdisjoint(words) and _letters(node) <= MOST * main
     named = f"{marks.get('class', '')} {marks.get('id', '')}"
     return any(bool(words.search(named)) for words in _WORDS.values())
 
@@ -371,10 +410,10 @@ def blocks(page: Node, aligned: dict[int, Node]) -> list[tuple[str, int]]:
             out.append((text, -1 if first is None or within else first.number, within))
         parts.clear()
 
-    # each open element: its children that are left, and the rank within which it stands; a block one is closed at its end
-    todo = [(iter(page.children), 0, False)]
+    # each open element: its children that are left, the rank within which it stands and its characters; a block one is closed at its end
+    todo = [(iter(page.children), 0, 0, False)]
     while todo:
-        children, within, block = todo[-1]
+        children, within, main, block = todo[-1]
         child = next(children, None)
         if child is None:
             todo.pop()
@@ -384,16 +423,16 @@ def blocks(page: Node, aligned: dict[int, Node]) -> list[tuple[str, int]]:
             parts.append(child)
         elif child.tag == "br":
             close(within)
-        elif _furniture(child, within > 0):
-            if child.tag not in INLINE:
+        elif _furniture(child, within > 0, main):
+            if child.tag not in INLINE and child.tag not in SILENT:
                 close(within)
         elif child.tag in INLINE:
-            todo.append((iter(child.children), within, False))
+            todo.append((iter(child.children), within, main, False))
         else:
             close(within)
             inner = max(within, _main_rank(child))
             ranks.add(inner)
-            todo.append((iter(child.children), inner, True))
+            todo.append((iter(child.children), inner, _letters(child) if inner > within else main, True))
     close(0)
     size = [sum(len(t) for t, _, rank in out if rank == r) for r in (0, 1, 2)]
     chosen = 0 if ranks == {0} else 1 if size[1] > size[2] or 2 not in ranks else 2
@@ -408,8 +447,13 @@ def _host(url):
 BROADCAST = 32 << 20
 
 
-def _references(rows: DataFrame) -> DataFrame:
-    """(host, references): the shortest page of each of a host's most frequent outlines, in that order; no empty ones."""
+def _references(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(host, layout, references), layout 0 for the trees that a host's frequent outlines share; and (host, key, layout) of the pages with a tree of their own.
+
+    A reference is the shortest page of its outline.  An outline that is not
+    among its host's frequent ones has a tree of its own if it has as many
+    pages as a template needs; no empty pages are looked at.
+    """
 
     def run(batches):
         for batch in batches:
@@ -417,13 +461,21 @@ def _references(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("host", "key", "n")), pa.array(found, pa.int64())], names=["host", "key", "n", "outline"])
 
     filled = rows.filter("length(html) > 0").withColumns({"key": F.xxhash64("html"), "n": F.length("html")})
-    outlines = filled.select("host", "key", "n", "html").mapInArrow(run, "host string, key long, n int, outline long").distinct()
-    layouts = outlines.groupBy("host", "outline").agg(F.count("*").alias("pages"), F.min(F.struct("n", "key")).alias("least"))
-    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("pages"), "outline"))
-    chosen = layouts.withColumn("rank", rank).filter(F.col("rank") <= LAYOUTS).select(F.col("host").alias("_host"), F.col("least.key").alias("_key"), "rank")
-    chosen = bounded(materialize(chosen, "layouts"))
-    found = filled.join(chosen, (F.col("host") == F.col("_host")) & (F.col("key") == F.col("_key"))).groupBy("host", "rank").agg(F.min("html").alias("html"))
-    return found.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "html"))), lambda r: r["html"]).alias("references"))
+    outlines = materialize(filled.select("host", "key", "n", "html").mapInArrow(run, "host string, key long, n int, outline long").distinct(), "outlines")
+    layouts = materialize(outlines.groupBy("host", "outline").agg(F.count("*").alias("pages"), F.min(F.struct("n", "key")).alias("least")), "layouts")
+    # a host may have many outlines: its best are found among the best of parts of them
+    best = layouts.withColumn("part", F.pmod("outline", F.lit(RANKED)))
+    for keys in (("host", "part"), ("host",)):
+        best = best.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("pages"), "outline"))).filter(F.col("rank") <= LAYOUTS)
+    best = materialize(best.drop("part"), "frequent")
+    own = layouts.filter(F.col("pages") >= PAGES).join(bounded(best.select("host", "outline")), ["host", "outline"], "left_anti")
+    own = materialize(own.withColumn("layout", F.when(F.col("outline") == 0, F.lit(1)).otherwise(F.col("outline"))), "own")
+    shared = best.select("host", F.lit(0).cast("long").alias("layout"), "rank", F.col("least.key").alias("key"))
+    chosen = materialize(shared.union(own.select("host", "layout", F.lit(1), "least.key")), "chosen").withColumnsRenamed({"host": "_host", "key": "_key"})
+    found = filled.join(bounded(chosen), (F.col("host") == F.col("_host")) & (F.col("key") == F.col("_key"))).groupBy("host", "layout", "rank").agg(F.min("html").alias("html"))
+    found = found.groupBy("host", "layout").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "html"))), lambda r: r["html"]).alias("references"))
+    apart = outlines.join(bounded(own.select("host", "outline", "layout")), ["host", "outline"]).select("host", "key", "layout")
+    return found, apart
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -437,36 +489,43 @@ def main_text(pages: DataFrame) -> DataFrame:
     """
     small_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), _host(F.col("url")).alias("host"))
-    refs = materialize(_references(rows), "references")
-    refs = bounded(refs, BROADCAST)
-    rows = rows.join(refs, "host", "left").withColumn("copy", F.xxhash64("html"))
+    refs, apart = _references(rows)
+    refs, apart = bounded(materialize(refs, "references"), BROADCAST), materialize(apart, "apart")
+    rows = rows.withColumn("copy", F.xxhash64("html"))
+    if apart.limit(1).count():
+        apart = bounded(apart.select(F.col("host").alias("_host"), F.col("key").alias("_key"), "layout"))
+        rows = rows.join(apart, (F.col("host") == F.col("_host")) & (F.col("copy") == F.col("_key")), "left").drop("_host", "_key").withColumn("layout", F.coalesce("layout", F.lit(0).cast("long")))
+    else:
+        rows = rows.withColumn("layout", F.lit(0).cast("long"))
+    rows = rows.join(refs, ["host", "layout"], "left")
 
     def run(batches):
-        kept: dict[str, list[Node]] = {}
+        kept: dict[tuple[str, int], list[Node]] = {}
         for batch in batches:
             found = []
             references = batch.column("references")
-            for i, (html, host) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("html", "host")))):
-                if host not in kept:
+            for i, (html, *key) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("html", "host", "layout")))):
+                key = tuple(key)
+                if key not in kept:
                     if len(kept) > 200:
                         kept.clear()
-                    kept[host] = induce(references[i].as_py() or [])
+                    kept[key] = induce(references[i].as_py() or [])
                 page = parse(html)
-                _, tree, memo = nearest(page, kept[host])
+                _, tree, memo = nearest(page, kept[key])
                 found.append([{"t": t, "n": n} for t, n in blocks(page, align(page, tree, memo))])
             kind = pa.list_(pa.struct([("t", pa.string()), ("n", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host", "copy")), pa.array(found, kind)], names=["page_id", "url", "host", "copy", "blocks"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host", "layout", "copy")), pa.array(found, kind)], names=["page_id", "url", "host", "layout", "copy", "blocks"])
 
     ids = rows.schema["page_id"].dataType.simpleString()
-    schema = f"page_id {ids}, url string, host string, copy long, blocks array<struct<t: string, n: int>>"
+    schema = f"page_id {ids}, url string, host string, layout long, copy long, blocks array<struct<t: string, n: int>>"
     cut = materialize(rows.mapInArrow(run, schema), "blocks")
     # copies of a page say nothing about its host's template: each distinct page counts once
-    seen = cut.select("host", "copy", F.explode("blocks").alias("b")).filter("b.n >= 0").select("host", "copy", "b.n", F.xxhash64("b.t").alias("t")).distinct()
-    said = seen.groupBy("host", "n", "t").agg(F.count("*").alias("same"))
-    template = said.groupBy("host", "n").agg(F.sum("same").alias("pages"), F.max(F.struct("same", "t")).alias("most"))
+    seen = cut.select("host", "layout", "copy", F.explode("blocks").alias("b")).filter("b.n >= 0").select("host", "layout", "copy", "b.n", F.xxhash64("b.t").alias("t")).distinct()
+    said = seen.groupBy("host", "layout", "n", "t").agg(F.count("*").alias("same"))
+    template = said.groupBy("host", "layout", "n").agg(F.sum("same").alias("pages"), F.max(F.struct("same", "t")).alias("most"))
     template = template.filter((F.col("pages") >= PAGES) & (F.col("most.same") >= CONSTANT * F.col("pages")))
-    template = materialize(template.groupBy("host").agg(F.collect_list(F.struct("n", F.col("most.t").alias("t"))).alias("constant")), "template")
-    cut = cut.join(bounded(template), "host", "left")
+    template = materialize(template.groupBy("host", "layout").agg(F.collect_list(F.struct("n", F.col("most.t").alias("t"))).alias("constant")), "template")
+    cut = cut.join(bounded(template), ["host", "layout"], "left")
     constant = F.coalesce("constant", F.array().cast("array<struct<n: int, t: bigint>>"))
     content = F.filter("blocks", lambda b: ~F.array_contains(constant, F.struct(b["n"].alias("n"), F.xxhash64(b["t"]).alias("t"))))
     text = F.array_join(F.transform(content, lambda b: b["t"]), "\n")
