@@ -4,8 +4,8 @@ A text's lower-cased words, then an end, are coded in yes-or-no decisions: a
 word of the vocabulary by the bits of its Shannon code, any other by the code
 of OTHER and the bits of its bytes and of a space.  Every decision is predicted
 in four contexts: by the code alone (or the last byte), and, hashed into tables
-of counts, by the word before, the two words before and the last frequent word (or two
-bytes, three bytes and the word so far).  The log odds are added with
+of counts, by the word before, the two words before and the last frequent word
+(or two bytes, three bytes and the word so far).  The log odds are added with
 weights that a gate chooses; a text's weights follow its own decisions, block
 by block, and a last stage corrects the mix by how often it was right so far.
 A decision's chance rests on what stands before it alone, so the chances of a
@@ -103,19 +103,13 @@ class Code:
         self.length = length.astype(np.int32)
         self.code = np.empty(len(mass), np.uint32)
         self.code[order] = (aligned >> (30 - length[order])).astype(np.uint32)
-        self.offset = np.cumsum(length) - length
+        self.offset = (np.cumsum(length) - length).astype(np.int32)
         total = np.concatenate([[0.0], np.cumsum(mass[order])])
-        of = np.repeat(np.arange(len(mass)), length)
-        depth = np.arange(len(of)) - self.offset[of]
-        up = 30 - depth - 1
-        prefix = self.code[of].astype(np.int64) >> (length[of] - depth) << 1
-        low, middle, high = (total[np.searchsorted(aligned, (prefix + i) << up)] for i in (0, 1, 2))
-        small = 1e-4 * (high - low)
-        # of each bit of each code: log odds, node of the tree, the bit, and the first of its weights
-        self.odds = np.log((high - middle + small) / (middle - low + small)).astype(np.float32)
-        self.node = ((prefix >> 1) | np.int64(1) << depth).astype(np.uint32) * _M3
-        self.bit = (self.code[of].astype(np.int64) >> (length[of] - depth - 1) & 1).astype(np.uint8)
-        self.level = np.minimum(depth, DEPTHS - 1).astype(np.int32) * np.int32(STRENGTHS)
+        # of each bit of each code: log odds, node of the tree, and its level with the bit behind
+        n = int(length.sum())
+        self.odds, self.node, self.packed = np.empty(n, np.float32), np.empty(n, np.uint32), np.empty(n, np.uint8)
+        for i in range(0, len(mass), 1 << 14):
+            self._spread(slice(i, i + (1 << 14)), aligned, total)
         data = pa.array(words, pa.binary())
         b = tv.Bytes.of(pa.array([], pa.string()))
         if len(words):
@@ -126,6 +120,19 @@ class Code:
         self.hashes = h[self.by_hash]
         self.by_hash += 2
 
+    def _spread(self, part: slice, aligned: np.ndarray, total: np.ndarray) -> None:
+        code, length = self.code[part].astype(np.int64), self.length[part]
+        of = np.repeat(np.arange(len(code)), length)
+        depth = np.arange(len(of)) - np.repeat(np.cumsum(length) - length, length)
+        up = 30 - depth - 1
+        prefix = code[of] >> (length[of] - depth)
+        low, middle, high = (total[np.searchsorted(aligned, (2 * prefix + i) << up)] for i in (0, 1, 2))
+        small = 1e-4 * (high - low)
+        at = slice(int(self.offset[part][0]), int(self.offset[part][0]) + len(of))
+        self.odds[at] = np.log((high - middle + small) / (middle - low + small))
+        self.node[at] = (prefix | np.int64(1) << depth).astype(np.uint32) * _M3
+        self.packed[at] = np.minimum(depth, DEPTHS - 1) << 1 | code[of] >> (length[of] - depth - 1) & 1
+
     def symbols(self, h: np.ndarray) -> np.ndarray:
         """The symbol of each word by its hash."""
         if not len(self.hashes):
@@ -215,13 +222,13 @@ def _slots(node: np.ndarray, context: np.ndarray) -> np.ndarray:
 
 
 def word_decisions(code: Code, value: np.ndarray, contexts: np.ndarray):
-    """Of words: decisions of each, place among all codes' bits, bit, first weight, and the cells of each table."""
+    """Of words: decisions of each, place among all codes' bits, level with the bit behind, and the cells of each table."""
     length = code.length[value]
-    ends = np.cumsum(length)
+    ends = np.cumsum(length, dtype=np.int32)
     place = np.repeat(code.offset[value] - (ends - length), length)
-    place += np.arange(len(place))
+    place += np.arange(len(place), dtype=np.int32)
     node = code.node[place]
-    return length, place, code.bit[place], code.level[place], [_slots(node, np.repeat(c, length)) for c in contexts]
+    return length, place, code.packed[place], [_slots(node, np.repeat(c, length)) for c in contexts]
 
 
 #: Hashes of the nodes of a byte's bits, apart from those of words.
@@ -233,10 +240,10 @@ def letter_decisions(value: np.ndarray, last: np.ndarray, contexts: np.ndarray):
     depth = np.arange(8, dtype=np.uint32)
     byte = value.astype(np.uint32)[:, None]
     node = (byte | np.uint32(256)) >> (np.uint32(8) - depth)
-    bit = (byte >> (np.uint32(7) - depth) & np.uint32(1)).astype(np.uint8).ravel()
+    bit = (byte >> (np.uint32(7) - depth) & np.uint32(1)).astype(np.uint8)
     place = (last.astype(np.int32)[:, None] << 8 | node.astype(np.int32)).ravel()
-    level = np.tile(np.arange(DEPTHS, DEPTHS + 8, dtype=np.int32) * np.int32(STRENGTHS), len(value))
-    return np.full(len(value), 8), place, bit, level, [_slots(_NODES[node], c[:, None]).ravel() for c in contexts]
+    packed = np.arange(DEPTHS, DEPTHS + 8, dtype=np.uint8) << np.uint8(1) | bit
+    return np.full(len(value), 8, np.int32), place, packed.ravel(), [_slots(_NODES[node], c[:, None]).ravel() for c in contexts]
 
 
 class Counts:
@@ -246,23 +253,22 @@ class Counts:
         self.total = np.zeros(2 * ALL, np.int64)
 
     def add(self, base: int, bit: np.ndarray, cells: np.ndarray) -> None:
-        np.add.at(self.total, (cells.astype(np.int64) << 1 | bit) + 2 * base, 1)
+        np.add.at(self.total, (cells.astype(np.int64) << 1 | bit) + 2 * base, np.int64(1))
 
     def words(self, code: Code, units: Units) -> None:
         at = np.flatnonzero(~units.letter)
         for i in range(0, len(at), COUNTED):
             part = at[i : i + COUNTED]
-            _, _, bit, _, cells = word_decisions(code, units.value[part], units.contexts[:, part])
+            _, _, packed, cells = word_decisions(code, units.value[part], units.contexts[:, part])
             for k, c in enumerate(cells):
-                self.add(k * CELLS, bit, c)
+                self.add(k * CELLS, packed & 1, c)
 
     def letters(self, data: np.ndarray, offsets: np.ndarray) -> None:
         value, last, contexts = letters(data, offsets)
         for i in range(0, len(value), COUNTED):
-            _, place, bit, _, cells = letter_decisions(value[i : i + COUNTED], last[i : i + COUNTED], contexts[:, i : i + COUNTED])
-            self.add(TABLES * CELLS, bit, place)
-            for k, c in enumerate(cells):
-                self.add(k * CELLS, bit, c)
+            _, place, packed, cells = letter_decisions(value[i : i + COUNTED], last[i : i + COUNTED], contexts[:, i : i + COUNTED])
+            for base, c in ((TABLES * CELLS, place), *((k * CELLS, c) for k, c in enumerate(cells))):
+                self.add(base, packed & 1, c)
 
     def rows(self):
         """Rows of the cells that were met, ROW cells in each."""
@@ -277,12 +283,16 @@ _COUNTS = [f"c{i}" for i in range(2 * ROW)]
 
 
 class Model:
-    """Code, log odds of all cells, and the sizes that the base score needs."""
+    """The code, and the log odds of all cells."""
+
+    def __init__(self, code: Code, odds: np.ndarray):
+        self.code, self.odds = code, odds
 
-    def __init__(self, code: Code, counts: np.ndarray, tokens: int, distinct: int):
-        n = counts.reshape(-1, 2).astype(float)
-        self.code, self.tokens, self.distinct = code, tokens, distinct
-        self.odds = np.log((n[:, 1] + ADDED) / (n[:, 0] + ADDED)).astype(np.float32)
+    @staticmethod
+    def learned(counts: np.ndarray) -> np.ndarray:
+        """Log odds of cells with these counts of either bit."""
+        n = counts.reshape(-1, 2) + np.float32(ADDED)
+        return np.log(n[:, 1] / n[:, 0]).astype(np.float32)
 
     def bits(self, units: Units) -> np.ndarray:
         """Bits of each text of a batch; what a text gets does not depend on the others."""
@@ -295,8 +305,9 @@ class Model:
         return out
 
     def _side_by_side(self, units: Units, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-        weights = np.tile(np.array(FIRST, np.float32).repeat(DEPTHS * STRENGTHS, 0), (len(size), 1, 1))
-        right = np.zeros((len(size), 2, 2 * DEPTHS * STEPS), np.float32)
+        # of each predictor, text and gate; and of each text, level and step of log odds, the decisions that were yes, and all
+        weights = np.tile(np.array(FIRST, np.float32).T[:, None, :, None], (1, len(size), 1, DEPTHS * STRENGTHS)).reshape(TABLES + 1, len(size), -1)
+        right = np.zeros((2, len(size), 2 * DEPTHS * STEPS), np.float32)
         out = np.zeros(len(size))
         done, nth = 0, 0
         while done < size[-1]:
@@ -305,52 +316,52 @@ class Model:
             upto = done + (BLOCKS[nth] if nth < len(BLOCKS) else BLOCK)
             n = np.minimum(size[i:], upto) - done
             at = np.arange(int(n.sum())) + np.repeat(first[i:] + done - (np.cumsum(n) - n), n)
-            told, weights[i:], right[i:] = self._block(units, at, np.repeat(np.arange(len(n), dtype=np.int32), n), weights[i:], right[i:])
-            out[i:] += told
+            out[i:] += self._block(units, at, np.repeat(np.arange(len(n)), n), weights[:, i:], right[:, i:])
             done, nth = upto, nth + 1
         return out
 
-    def _block(self, units: Units, at: np.ndarray, text: np.ndarray, weights: np.ndarray, right: np.ndarray):
-        """Bits of the texts' blocks, and their weights and records after them: all decisions are predicted before any is learned from."""
+    def _block(self, units: Units, at: np.ndarray, text: np.ndarray, weights: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Bits of the texts' blocks; then weights and records follow: all decisions are predicted before any is learned from."""
         kinds = []
         letter = units.letter[at]
         for kind, mine in ((0, np.flatnonzero(~letter)), (1, np.flatnonzero(letter))):
             a = at[mine]
             if not len(a):
                 continue
-            if kind:
-                n, place, bit, level, cells = letter_decisions(units.value[a], units.last[a], units.contexts[:, a])
-                first = self.odds[TABLES * CELLS :][place]
-            else:
-                n, place, bit, level, cells = word_decisions(self.code, units.value[a], units.contexts[:, a])
-                first = self.code.odds[place]
-            level += np.repeat(text[mine] * np.int32(2 * DEPTHS * STRENGTHS), n)
-            kinds.append((level, bit, first, *(self.odds[k * CELLS : (k + 1) * CELLS][c] for k, c in enumerate(cells))))
-        level, bit, *odds = (x[0] if len(x) == 1 else np.concatenate(x) for x in zip(*kinds))
-        gate = level + (odds[2] != 0)
+            decided = letter_decisions(units.value[a], units.last[a], units.contexts[:, a]) if kind else word_decisions(self.code, units.value[a], units.contexts[:, a])
+            n, place, packed, cells = decided
+            first = self.odds[TABLES * CELLS :][place] if kind else self.code.odds[place]
+            kinds.append((np.repeat(text[mine], n), packed, first, *(self.odds[k * CELLS : (k + 1) * CELLS][c] for k, c in enumerate(cells))))
+        own, packed, *odds = (x[0] if len(x) == 1 else np.concatenate(x) for x in zip(*kinds))
+        n_texts = weights.shape[1]
+        bit, level = (packed & 1).astype(np.float32), own * (2 * DEPTHS) + (packed >> 1)
+        gate = level * STRENGTHS
+        gate += odds[2] != 0
         gate += np.abs(odds[3]) > 1
-        flat = weights.reshape(-1, len(odds))
-        z = odds[0] * flat[:, 0][gate]
-        for k in range(1, len(odds)):
-            z += odds[k] * flat[:, k][gate]
-        np.clip(z, -11.9, 11.9, out=z)
+        flat = [w.reshape(-1) for w in weights]
+        z = odds[0] * flat[0][gate]
+        for x, w in zip(odds[1:], flat[1:]):
+            z += x * w[gate]
+        np.minimum(np.maximum(z, np.float32(-11.9), out=z), np.float32(11.9), out=z)
         p = 1 / (1 + np.exp(-z))
-        cell = level * np.int32(STEPS // STRENGTHS) + (z + 12).astype(np.int32)
-        # where the mix was right so far, by its log odds: of a cell, how many decisions were met, and how many were yes
-        share = 1 / (right[:, 0] + np.float32(TRUST)).ravel()
-        final = (right[:, 1].ravel() * share)[cell] + (np.float32(TRUST) * share)[cell] * p
-        np.clip(final, LEAST, 1 - LEAST, out=final)
-        told = -np.bincount(level // np.int32(2 * DEPTHS * STRENGTHS), np.log2(np.abs(final - (1 - bit))), len(weights))
-        seen = np.bincount(cell << 1 | bit, minlength=2 * len(share)).reshape(len(weights), -1, 2)
-        right = right + np.stack([seen.sum(2), seen[:, :, 1]], axis=1).astype(np.float32)
+        # how often the mix was right so far, by its log odds
+        cell = level * STEPS + ((z + 12) * np.float32(STEPS / 24)).astype(np.int64)
+        yes, met = (r.reshape(-1) for r in right)
+        share = 1 / (met + np.float32(TRUST))
+        final = (yes * share)[cell] + (np.float32(TRUST) * share)[cell] * p
+        np.minimum(np.maximum(final, np.float32(LEAST), out=final), np.float32(1 - LEAST), out=final)
+        told = -np.bincount(own, np.log2(np.abs(final - (1 - bit))), n_texts)
+        right[0] += np.bincount(cell, bit, len(met)).reshape(n_texts, -1)
+        right[1] += np.bincount(cell, minlength=len(met)).reshape(n_texts, -1)
         miss = bit - p
-        n = np.sqrt(np.maximum(np.bincount(gate, minlength=len(flat)), 1))
-        learned = np.stack([np.bincount(gate, miss * x, len(flat)) / n for x in odds], axis=1)
-        return told, (flat + RATE * learned).reshape(weights.shape), right
+        step = RATE / np.sqrt(np.maximum(np.bincount(gate, minlength=len(flat[0])), 1))
+        for k, x in enumerate(odds):
+            weights[k] += (np.bincount(gate, miss * x, len(step)) * step).reshape(n_texts, -1)
+        return told
 
 
-def train(spark, texts: DataFrame, words: int = WORDS) -> tuple[Model, DataFrame]:
-    """The model of all ``texts`` (text), and the counts (w, c) of the words outside its vocabulary."""
+def train(spark, texts: DataFrame, words: int = WORDS):
+    """Of all ``texts`` (text): the code and the log odds, for tasks; how many tokens and distinct ones; and the counts (w, c) of the words outside the vocabulary."""
     counted = materialize(count_words(texts), "words")
     ends = texts.count()
     # a word's frequency to a 64th of a doubling: at most 64 * 63 rows
@@ -392,10 +403,9 @@ def train(spark, texts: DataFrame, words: int = WORDS) -> tuple[Model, DataFrame
     cells = met.groupBy("cell").agg(*[F.sum(c).alias(c) for c in _COUNTS]).toArrow()  # at most ALL / ROW rows
     total = np.zeros((ALL // ROW, 2 * ROW), np.int64)
     if cells.num_rows:
-        total[cells["cell"].to_numpy()] = np.stack([cells[c].to_numpy() for c in _COUNTS], axis=1)
-    shared.unpersist()
-    model = Model(code, total, tokens + ends, distinct + (ends > 0))
-    return model, counted.filter(step < least) if least < float("inf") else counted
+        for i, c in enumerate(_COUNTS):
+            total[cells["cell"].to_numpy(), i] = cells[c].to_numpy()
+    return shared, spark.sparkContext.broadcast(Model.learned(total)), tokens + ends, distinct + (ends > 0), counted.filter(step < least) if least < float("inf") else counted
 
 
 def lm_scores(docs: DataFrame, held: Column, words: int = WORDS) -> DataFrame:
@@ -412,11 +422,10 @@ def lm_scores(docs: DataFrame, held: Column, words: int = WORDS) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark, 1000)
     rows = docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held_out"))
-    model, rare = train(spark, rows.filter(~F.col("held_out")), words)
-    shared = spark.sparkContext.broadcast(model)
+    code, odds, tokens, distinct, rare = train(spark, rows.filter(~F.col("held_out")), words)
 
     def run(batches):
-        model = shared.value
+        model = Model(code.value, odds.value)
         worth = np.log10(model.code.counts + 0.1)
         for batch in batches:
             b = tv.Bytes.of(batch.column("text"))
@@ -439,9 +448,9 @@ def lm_scores(docs: DataFrame, held: Column, words: int = WORDS) -> DataFrame:
     found = found.groupBy("nth").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 0.1) - F.log10(F.lit(0.1))).alias("gain"))
     out = scored.drop("others").join(found.withColumnRenamed("nth", "_nth"), F.col("nth") == F.col("_nth"), "left")
     # what a token's count is divided by
-    size = F.log10(F.lit(model.tokens + 0.1 * (model.distinct + 1)))
+    size = F.log10(F.lit(tokens + 0.1 * (distinct + 1)))
     return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("worth") + F.coalesce("gain", F.lit(0.0)) - F.col("n_tokens") * size).alias("base_score"), (-F.col("bits") * F.log10(F.lit(2.0))).alias("score"),
         F.when(F.col("bytes") > 0, F.col("bits") / F.col("bytes")).alias("bits_per_byte"),
     )

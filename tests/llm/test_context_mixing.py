@@ -129,7 +129,7 @@ class Plain:
                     gate = kind, min(d, cm.DEPTHS - 1), (x[2] != 0) + (abs(x[3]) > 1)
                     z = max(-11.9, min(11.9, sum(a * b for a, b in zip(x, weights[gate]))))
                     p = 1 / (1 + math.exp(-z))
-                    spot = gate[:2] + (int(z + 12),)
+                    spot = gate[:2] + (int((z + 12) * cm.STEPS / 24),)
                     met, ones = right[spot]
                     final = max(cm.LEAST, min(1 - cm.LEAST, (ones + cm.TRUST * p) / (met + cm.TRUST)))
                     total -= math.log2(final if bit else 1 - final)
@@ -190,7 +190,7 @@ def test_code_is_free_of_prefixes_and_probabilities_of_words_add_up_to_one():
     assert all(not b.startswith(a) for a, b in zip(bits, bits[1:]))
     mass = np.array([7, 30, *counts], float)
     yes = 1 / (1 + np.exp(-code.odds.astype(float)))
-    said = np.where(code.bit == 1, yes, 1 - yes)
+    said = np.where(code.packed & 1, yes, 1 - yes)
     p = np.multiply.reduceat(said, code.offset)
     assert np.allclose(p, mass / mass.sum(), rtol=5e-3) and p.sum() <= 1 + 1e-9
 
@@ -199,7 +199,7 @@ def test_a_text_scores_alike_whatever_stands_beside_it():
     texts = [t for _, t in corpus(9)]
     plain = Plain(texts[:20], 50)
     counts = cm.Counts()
-    model = cm.Model(plain.code, counts.total, 1, 1)
+    model = cm.Model(plain.code, cm.Model.learned(counts.total))
 
     def bits(some):
         b = tv.Bytes.of(pa.array(some, pa.string()))
