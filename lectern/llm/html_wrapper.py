@@ -51,8 +51,11 @@ INSIDE = frozenset(
     "notice notices disclaimer popup modal overlay sidebar widget nav navbar navigation menu breadcrumb breadcrumbs pagination pager share sharing social related recommended "
     "newsletter subscribe signup login".split()
 )
-#: Words behind which a word of these lists says something of the whole page.
-STATES = frozenset("open closed enabled disabled off on no has with is".split())
+# Words that may stand beside these in one name; any other word (social-history, comments-open) makes it another thing.
+BESIDE = frozenset(
+    "area articles bar block body bottom box boxes button buttons container content count counter feed footer form google head header icon icons inline inner item items label left "
+    "link links list main media message outer panel post posts reader readers right row section slot stories story text thread title top unit user users wrap wrapper".split()
+)
 #: A part that holds more of the main text than this is no furniture, whatever it is called, but for comments.
 MOST = 0.5
 
@@ -349,14 +352,13 @@ def _letters(node: Node) -> int:
     return total
 
 
-def _named(marks: dict[str, str]) -> set[str]:
-    """The words of an element's classes and ids, without those that only tell a state."""
-    out: set[str] = set()
-    for name in f"{marks.get('class', '')} {marks.get('id', '')}".lower().split():
-        words = re.split(r"[^a-z0-9]+", re.sub(r"\d+$", "", name))
-        if STATES.isdisjoint(words):
-            out.update(words)
-    return out
+def _named(names: str, words: frozenset[str]) -> bool:
+    """Whether one of the names is made of these words, and of such that may stand beside them."""
+    for name in names.lower().split():
+        told = {w for w in re.split(r"[^a-z0-9]+", re.sub(r"\d+$", "", name)) if w}
+        if not words.isdisjoint(told) and told <= COMMENTS | INSIDE | BESIDE:
+            return True
+    return False
 
 
 def _furniture(node: Node, within: bool, main: int = 0) -> bool:
@@ -373,10 +375,9 @@ def _furniture(node: Node, within: bool, main: int = 0) -> bool:
     if marks.get("role", "").lower() in ROLES or marks.get("aria-hidden") == "true" or "display:none" in marks.get("style", "").replace(" ", ""):
         return True
     if within:
-        words = _named(marks)
-        if not COMMENTS.isdisjoint(words):
+        if _named(f"{marks.get('class', '')} {marks.get('id', '')}", COMMENTS):
             return True
-        return not INSIDE.isdisjoint(words) and _letters(node) <= MOST * main
+        return _named(marks.get("class", ""), INSIDE) and _letters(node) <= MOST * main
     named = f"{marks.get('class', '')} {marks.get('id', '')}"
     return any(bool(words.search(named)) for words in _WORDS.values())
 
