@@ -10,6 +10,7 @@ ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100}
 BCE, LAST_CENTURY = "p.n.e.", 21
 SPAN = "struct<lo: int, hi: int>"
 
+# How years, centuries and decades are written.
 _YEAR = r"(?<!\d)(\d{3,4})(?!\d)"
 _CENTURY = r"(?U)\b([IVX]{1,6})(?:\s*[–−-]\s*([IVX]{1,6}))?\s*(?:w\.|wieku|wiek)"
 _DECADE = r"(?U)latach\s+(\d{2})\.\s*([IVX]+)\s*(?:w\.|wieku)"
@@ -64,3 +65,34 @@ def entry_span(dates: Column) -> Column:
 def overlaps(span: Column, spans: Column) -> Column:
     """Whether a span, if there is one, meets any of the spans."""
     return F.coalesce(F.exists(spans, lambda s: (span["lo"] <= s["hi"]) & (span["hi"] >= s["lo"])), F.lit(False))
+
+
+#: Levels of the index of years: its largest cells have 2 ** LEVELS years.
+LEVELS = 13
+
+
+def cells_of(year: Column) -> Column:
+    """The cells that hold a year, one for each level."""
+    return F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda level: F.struct(level.alias("level"), F.call_function("shiftright", year.cast("int"), level).alias("cell")))
+
+
+def cover(lo: Column, hi: Column) -> Column:
+    """The fewest cells that make up a span of years: two a level at most, but for the last; none if it ends before it begins."""
+    cell = lambda level, of: F.array(F.struct(level.alias("level"), of.alias("cell")))
+    kind = "array<struct<level: int, cell: int>>"
+    none = F.array().cast(kind)
+    odd = lambda x: F.pmod(x, F.lit(2)) == 1
+
+    def up(state: Column, level: Column) -> Column:
+        a, b, some = state["a"], state["b"], state["a"] <= state["b"]
+        left, right = some & odd(a), some & ~odd(b) & ~(odd(a) & (a == b))
+        found = F.concat(state["cells"], F.when(left, cell(level, a)).otherwise(none), F.when(right, cell(level, b)).otherwise(none))
+        half = lambda x: F.call_function("shiftright", x, F.lit(1))
+        return F.struct(half(a + left.cast("int")).alias("a"), F.when(some, half(b - right.cast("int"))).otherwise(half(a + left.cast("int")) - 1).alias("b"), found.cast(kind).alias("cells"))
+
+    def last(state: Column) -> Column:
+        rest = F.transform(F.sequence(state["a"], F.greatest(state["a"], state["b"])), lambda c: F.struct(F.lit(LEVELS).alias("level"), c.alias("cell")))
+        return F.concat(state["cells"], F.when(state["a"] <= state["b"], rest).otherwise(none).cast(kind))
+
+    start = F.struct(lo.cast("int").alias("a"), hi.cast("int").alias("b"), none.alias("cells"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), start, up, last)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,29 +33,60 @@ GENERIC_TOPIC = (
 )
 
 
+def plain(text: str) -> str:
+    """Lower case, decomposed by compatibility, without combining marks: what ``fold`` gives, of a text that is known when a plan is made."""
+    return "".join(c for c in unicodedata.normalize("NFKD", text.lower().replace("ł", "l")) if not unicodedata.combining(c))
+
+
 def word_terms(words: str) -> tuple[str, ...]:
     """The terms of a few words that are known when a plan is made."""
-    plain = "".join(c for c in unicodedata.normalize("NFKD", words.lower().replace("ł", "l")) if not unicodedata.combining(c))
-    found = re.findall(f"[a-z]{{{SHORTEST_WORD},}}", plain)
+    found = re.findall(f"[a-z]{{{SHORTEST_WORD},}}", plain(words))
     return tuple(sorted({w[:TERM_LETTERS] for w in found if w not in STOP_WORDS}))
 
 
-def _folds() -> tuple[str, str, dict[str, str]]:
-    """Letters that lose their marks one to one, and those that become several letters."""
-    single, several = {"ł": "l"}, {}
-    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+#: Hangul syllables, which stay whole: no term holds them.
+_SYLLABLES = range(0xAC00, 0xD7A4)
+#: Letters beyond which an expansion is long: few are.
+_LONG = 3
+
+
+def _ranges(letters: list[str]) -> str:
+    """A class of a regular expression that holds these characters, in ranges."""
+    codes = sorted(map(ord, letters))
+    out, start = [], None
+    for i, code in enumerate(codes):
+        start = code if start is None else start
+        if i + 1 == len(codes) or codes[i + 1] != code + 1:
+            out.append(f"\\x{{{start:x}}}-\\x{{{code:x}}}")
+            start = None
+    return "[" + "".join(out) + "]"
+
+
+@functools.cache
+def _folds() -> tuple[tuple[str, str], list[tuple[str, str, list[str]]], str]:
+    """Of all characters: those that become one other, as two strings; those that become several, short and long ones
+    apart, as a class, a string, and strings of their first, second ... letters; and the class of those that vanish.
+
+    A string of n-th letters is shorter than that of the characters, which go by the length of what they become: so
+    ``translate`` drops those that have no n-th letter.
+    """
+    single, several, gone = {}, {}, []
+    for code in range(0x80, sys.maxunicode + 1):
         c = chr(code)
-        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if c != c.lower() or plain == c:
+        if code in _SYLLABLES or 0xD800 <= code < 0xE000 or (p := plain(c)) == c:
             continue
-        if len(plain) == 1:
-            single[c] = plain
+        if not p:
+            gone.append(c)
+        elif len(p) == 1:
+            single[c] = p
         else:
-            several[c] = plain
-    return "".join(single), "".join(single.values()), several
-
-
-_FROM, _TO, _SEVERAL = _folds()
+            several[c] = p
+    kinds = []
+    for long in (False, True):
+        own = sorted((c for c, p in several.items() if (len(p) > _LONG) == long), key=lambda c: (-len(several[c]), c))
+        nth = ["".join(several[c][i] for c in own if len(several[c]) > i) for i in range(len(several[own[0]]))]
+        kinds.append((_ranges(own), "".join(own), nth))
+    return ("".join(single), "".join(single.values())), kinds, _ranges(gone)
 
 
 def let(value: Column, use) -> Column:
@@ -63,32 +95,27 @@ def let(value: Column, use) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents; ligatures are spelled out, combining marks dropped."""
-    several, rest = f"[{''.join(_SEVERAL)}]", r"\p{M}"
+    """Lower case, decomposed by compatibility (NFKD), without combining marks; Hangul syllables stay whole.
+
+    One-to-one letters are translated at once; only texts that hold others are
+    cut at them, which are spelled out letter by letter.
+    """
+    (of, to), kinds, gone = _folds()
 
     def spelled(out: Column) -> Column:
-        for c, plain in _SEVERAL.items():
-            out = F.replace(out, F.lit(c), F.lit(plain))
-        return F.regexp_replace(out, r"\p{M}+", "")
+        for one, letters, nth in kinds:
+            parts = F.regexp_extract_all(out, F.lit(f"{one}|[^{one[1:]}+"), F.lit(0))
+            whole = lambda p: F.concat(*[F.translate(p, letters, told) for told in nth])  # noqa: B023, E731
+            out = F.when(out.rlike(one), F.array_join(F.transform(parts, lambda p: F.when(p.rlike(f"^{one}"), whole(p)).otherwise(p)), "")).otherwise(out)  # noqa: B023
+        return F.regexp_replace(out, f"{gone}+", "")
 
     def accents(lower: Column) -> Column:
-        return F.when(lower.rlike(r"[^\x00-\x7F]"), let(F.translate(lower, _FROM, _TO), lambda out: F.when(out.rlike(f"{several}|{rest}"), spelled(out)).otherwise(out))).otherwise(lower)
+        rest = "|".join([*(one for one, _, _ in kinds), gone])
+        return F.when(lower.rlike(r"[^\x00-\x7F]"), let(F.translate(lower, of, to), lambda out: F.when(out.rlike(rest), spelled(out)).otherwise(out))).otherwise(lower)
 
     return let(F.lower(text), accents)
 
 
-def fold_exact(text: Column) -> Column:
-    """As ``fold``, by full compatibility decomposition, for texts beyond Latin letters; runs in Python, by Arrow batches."""
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t.lower().replace("ł", "l")) if not unicodedata.combining(c))
-        return texts.map(plain, na_action="ignore")
-
-    return run(text)
-
-
 def terms(text: Column, without: tuple[str, ...] = ()) -> Column:
     """The sorted distinct terms of a text: folded words cut to their first letters, stop words left out.
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.periods import overlaps
+from ..functions.periods import cells_of, cover, overlaps
 from ..functions.text import DOMESTIC_STEMS
 from ..store import bounded, drop, materialize
 
@@ -71,11 +71,19 @@ def matches(docs: DataFrame, topics: DataFrame, field_weight: Column | None = No
 
 
 def dated_pairs(docs: DataFrame, topics: DataFrame) -> DataFrame:
-    """Pairs (topic_id, doc_index) whose spans meet: an equal-century join, checked and made distinct."""
-    century = lambda y: F.floor(y / 100).cast("int")
-    asked = topics.select("topic_id", F.explode("spans").alias("s")).withColumn("c", F.explode(F.sequence(century(F.col("s.lo")), century(F.col("s.hi")))))
-    held = docs.filter("span is not null").select("doc_index", "span").withColumn("c", F.explode(F.sequence(century(F.col("span.lo")), century(F.col("span.hi")))))
-    met = held.join(asked, "c").filter((F.col("span.lo") <= F.col("s.hi")) & (F.col("span.hi") >= F.col("s.lo")))
+    """Pairs (topic_id, doc_index) whose spans meet, each once.
+
+    Two spans meet where one begins within the other.  A span is made up of few
+    cells of halved years, and a year is in one cell of each size: an equality
+    join of cells, which no span multiplies by its length, and which meets each
+    pair of spans in one cell of one of both joins.
+    """
+    asked = topics.select("topic_id", F.explode("spans").alias("s")).select("topic_id", "s.lo", "s.hi").distinct()
+    held = docs.filter("span is not null").select("doc_index", F.col("span.lo").alias("from"), F.col("span.hi").alias("to"))
+    within = held.withColumn("c", F.explode(cells_of(F.col("from")))).join(asked.withColumn("c", F.explode(cover(F.col("lo"), F.col("hi")))), "c")
+    around = held.withColumn("c", F.explode(cover(F.col("from") + 1, F.col("to")))).join(asked.withColumn("c", F.explode(cells_of(F.col("lo")))), "c")
+    # spans that end before they begin meet nothing
+    met = within.filter(F.col("from") <= F.col("to")).union(around.filter(F.col("lo") <= F.col("hi")))
     return met.select("topic_id", "doc_index").distinct()
 
 

@@ -336,10 +336,15 @@ def stage_artefacts(spark, sf_dir):
     return read.select("name", _digest(F.regexp_replace("value", "\\n$", "")).alias("sha256"))
 
 
+#: Letters that decompose to one or more others, beyond Latin ones with accents, and what they are folded to.
+DECOMPOSED = ("ﬁnał", "ＦＵＬＬ", "𝔘𝔫𝔦𝔠𝔬𝔡𝔢", "㎏㏒", "Ⅷ", "Ǆungla", "x̂ŷ", "①②", "ｶﾞ", "ﷺ")
+
+
 def folded_exactly(spark, sf_dir):
-    """Full decomposition against the folding of Latin letters, over all texts."""
-    rows = _documents(spark, sf_dir).select("doc_id", X.fold_exact(F.col("text")).alias("f"), X.fold(F.col("text")).alias("g"))
-    return rows.select("doc_id", _digest(F.col("f")).alias("sha256"), (F.col("f") == F.col("g")).alias("same"))
+    """The folding of all texts, each with a word of letters beyond Latin ones."""
+    odd = F.element_at(F.array(*map(F.lit, DECOMPOSED)), (F.col("doc_id") % len(DECOMPOSED) + 1).cast("int"))
+    rows = _documents(spark, sf_dir).select("doc_id", F.concat("text", F.lit(" "), odd).alias("text"))
+    return rows.select("doc_id", _digest(X.fold(F.col("text"))).alias("sha256"))
 
 
 def observe_then_answer(spark, sf_dir):
@@ -494,7 +499,7 @@ SELECT CAST(item_id AS VARCHAR) AS id, CASE WHEN item_id % 2 = 1 OR kind = 2 THE
   SELECT item_id, '-request.json' AS e, concat('{{"content":', to_json(text), '}}') AS body FROM benchmark UNION ALL SELECT item_id, '-response.json', '{{}}' FROM answered WHERE kind <> 0
   UNION ALL SELECT item_id, '.txt', CASE kind WHEN 1 THEN '' WHEN 3 THEN '<think>' || a ELSE a END FROM answered WHERE kind <> 0)
 SELECT 'essay-plan-' || substr(sha256(CAST(item_id AS VARCHAR)), 1, 12) || e AS name, sha256(body) AS sha256 FROM files""",
-    "folded_exactly": f"SELECT doc_id, sha256({_sql_fold('text')}) AS sha256, TRUE AS same FROM documents",
+    "folded_exactly": f"SELECT doc_id, sha256({_sql_fold('text')} || ' ' || [{', '.join(repr(X.plain(w)) for w in DECOMPOSED)}][doc_id % {len(DECOMPOSED)} + 1]) AS sha256 FROM documents",
     "observe_then_answer": f"""SELECT CAST(item_id AS VARCHAR) AS id, CAST(CASE WHEN item_id % 3 <> 0 THEN 1 WHEN item_id % 2 = 1 THEN 3 ELSE 4 END AS BIGINT) AS n, sha256(CASE WHEN item_id % 3 = 0 AND item_id % 2 = 0 THEN concat('NOTES:', chr(10), 'seen 3 {W.image}a.png', chr(10), 'Check them.')
   ELSE concat('{W.sources}', chr(10), text, chr(10), chr(10), '{W.task}', chr(10), 'Q', chr(10), chr(10), '{W.form}', chr(10), '', chr(10), chr(10), CASE WHEN item_id % 2 = 1 THEN '{W.essay}' ELSE '{W.short}' END) END) AS last_sha256 FROM benchmark""",
     "stage_seconds": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN round((event_id % 400) / 4.0::DOUBLE + (event_id % 7) / 4.0::DOUBLE, 2) END AS total_seconds FROM events",
