@@ -328,12 +328,15 @@ def plan_then_write(spark, sf_dir):
 
 
 def stage_artefacts(spark, sf_dir):
-    """Requests, raw responses and texts of a first call as files by item, written and read back."""
+    """Requests, raw responses and texts of a first call as files by item, written and read back; Spark reads no empty ones."""
     rows = _benchmark(spark, sf_dir).select("id", F.to_json(F.struct(F.col("text").alias("content"))).alias("payload"))
     got = infer.respond(rows, _respond, 4).select("id", "raw", "answer").join(rows, "id")
     sinks.write_stage(got, path := scratch(spark, "stage"), "essay-plan-")
-    read = spark.read.option("wholetext", True).text(path)
-    return read.select("name", _digest(F.regexp_replace("value", "\\n$", "")).alias("sha256"))
+    return _named(spark, path)
+
+
+def _named(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))
 
 
 #: Letters that decompose to one or more others, beyond Latin ones with accents, and what they are folded to.
@@ -410,9 +413,10 @@ def publish_answers(spark, sf_dir):
 
 def request_audits(spark, sf_dir):
     """One file for each request with a context, named by its id's digest, written and read back."""
-    rows = _benchmark(spark, sf_dir).filter("pos % 4 <> 1")
-    sinks.write_audits(rows.select("id", F.to_json(F.struct("id", "text")).alias("payload")), path := scratch(spark, "audits"))
-    return spark.read.text(path).select(F.col("name"), _digest(F.col("value")).alias("sha256"))
+    context = F.when(F.col("pos") % 4 == 0, "help").when(F.col("pos") % 4 == 1, "").when(F.col("pos") % 4 == 2, F.col("text"))
+    rows = _benchmark(spark, sf_dir).select("id", F.to_json(F.struct("id", "text")).alias("payload"), context.alias("context"))
+    sinks.write_audits(rows, path := scratch(spark, "audits"))
+    return _named(spark, path)
 
 
 # --- DuckDB ---
@@ -498,7 +502,7 @@ SELECT CAST(item_id AS VARCHAR) AS id, CASE WHEN item_id % 2 = 1 OR kind = 2 THE
     "stage_artefacts": f"""WITH {_ANSWERED}, files AS (
   SELECT item_id, '-request.json' AS e, concat('{{"content":', to_json(text), '}}') AS body FROM benchmark UNION ALL SELECT item_id, '-response.json', '{{}}' FROM answered WHERE kind <> 0
   UNION ALL SELECT item_id, '.txt', CASE kind WHEN 1 THEN '' WHEN 3 THEN '<think>' || a ELSE a END FROM answered WHERE kind <> 0)
-SELECT 'essay-plan-' || substr(sha256(CAST(item_id AS VARCHAR)), 1, 12) || e AS name, sha256(body) AS sha256 FROM files""",
+SELECT 'essay-plan-' || substr(sha256(CAST(item_id AS VARCHAR)), 1, 12) || e AS name, sha256(body) AS sha256 FROM files WHERE body <> ''""",
     "folded_exactly": f"SELECT doc_id, sha256({_sql_fold('text')} || ' ' || [{', '.join(repr(X.plain(w)) for w in DECOMPOSED)}][doc_id % {len(DECOMPOSED)} + 1]) AS sha256 FROM documents",
     "observe_then_answer": f"""SELECT CAST(item_id AS VARCHAR) AS id, CAST(CASE WHEN item_id % 3 <> 0 THEN 1 WHEN item_id % 2 = 1 THEN 3 ELSE 4 END AS BIGINT) AS n, sha256(CASE WHEN item_id % 3 = 0 AND item_id % 2 = 0 THEN concat('NOTES:', chr(10), 'seen 3 {W.image}a.png', chr(10), 'Check them.')
   ELSE concat('{W.sources}', chr(10), text, chr(10), chr(10), '{W.task}', chr(10), 'Q', chr(10), chr(10), '{W.form}', chr(10), '', chr(10), chr(10), CASE WHEN item_id % 2 = 1 THEN '{W.essay}' ELSE '{W.short}' END) END) AS last_sha256 FROM benchmark""",
@@ -531,6 +535,6 @@ SELECT CAST(item_id AS VARCHAR) AS id, CASE WHEN kind = 0 THEN 'quarantine' ELSE
 FROM answered, bad WHERE item_id <= coalesce(first, item_id)""",
     "tables_replaced": "SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE doc_id % 2 = 0",
     "publish_answers": "SELECT item_id AS pos, CAST(item_id AS VARCHAR) AS id, sha256(CASE WHEN item_id % 3 <> 0 THEN text ELSE '' END) AS sha256, '[True, True, False] None' AS told FROM benchmark",
-    "request_audits": """SELECT 'essay-request-' || substr(sha256(CAST(item_id AS VARCHAR)), 1, 12) || '.json' AS name, sha256(concat('{"id":"', item_id, '","text":', to_json(text), '}')) AS sha256 FROM benchmark WHERE item_id % 4 <> 1""",
+    "request_audits": """SELECT 'essay-request-' || substr(sha256(CAST(item_id AS VARCHAR)), 1, 12) || '.json' AS name, sha256(concat('{"id":"', item_id, '","text":', to_json(text), '}')) AS sha256 FROM benchmark WHERE item_id % 4 IN (0, 2)""",
 }
 QUERIES = {name: globals()[name] for name in ORACLE_SQL}

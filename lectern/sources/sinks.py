@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from . import versions
 
@@ -33,19 +38,100 @@ def audit_name(key, stem: str = "essay-request-", ending: str = ".json"):
     return F.concat(F.lit(stem), F.substring(F.sha2(key, 256), 1, 12), F.lit(ending))
 
 
+class NamedFiles(DataSource):
+    """A sink for rows of name and body: each becomes the file of its name, with the body's bytes as they are.
+
+    A task writes beside the final names; only when all tasks are done are the
+    files renamed, so a job that fails leaves none.  Names that occur twice, or
+    lead out of the folder, are an error.  The folder is on any file system
+    that Arrow reaches from the executors.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "named_files"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _NamedFilesWriter(self.options["path"])
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    names: list[str]
+
+
+class _NamedFilesWriter(DataSourceWriter):
+    def __init__(self, path: str):
+        self.path, self.job = path if ":/" in path else f"file://{path}", uuid.uuid4().hex
+        system, root = self._open()
+        system.create_dir(self._held(root))
+
+    def _open(self):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.path)
+
+    def _held(self, root: str) -> str:
+        return f"{root}/.{self.job}"
+
+    def write(self, rows: Iterator) -> _Written:
+        system, root = self._open()
+        # a task that runs again writes to a folder of its own
+        own = f"{self._held(root)}/{uuid.uuid4().hex}"
+        # once a job was given up its folder is gone, and no task of it can write any more
+        system.create_dir(own, recursive=False)
+        names = []
+        for row in rows:
+            if not row["name"] or "/" in row["name"] or row["name"] in (".", ".."):
+                raise ValueError(f"no file's name: {row['name']!r}")
+            with system.open_output_stream(f"{own}/{row['name']}") as out:
+                out.write((row["body"] or "").encode("utf-8"))
+            names.append(f"{own.rsplit('/', 1)[-1]}/{row['name']}")
+        return _Written(names)
+
+    def commit(self, messages: list) -> None:
+        system, root = self._open()
+        names = [name for m in messages if m is not None for name in m.names]
+        if len({n.split("/")[1] for n in names}) < len(names):
+            self.abort(messages)
+            raise ValueError("names occur more than once")
+        for name in names:
+            system.move(f"{self._held(root)}/{name}", f"{root}/{name.split('/')[1]}")
+        self.abort(messages)
+
+    def abort(self, messages: list) -> None:
+        """Removes what was not renamed."""
+        from pyarrow import fs
+
+        system, root = self._open()
+        if system.get_file_info(self._held(root)).type == fs.FileType.Directory:
+            system.delete_dir(self._held(root))
+
+
+def write_named(files: DataFrame, folder: str) -> None:
+    """Rows of name and body as files of exactly these names."""
+    files.sparkSession.dataSource.register(NamedFiles)
+    files.select("name", "body").write.format("named_files").mode("append").save(folder)
+
+
+def audited(rows: DataFrame, context: str = "context") -> DataFrame:
+    """The rows whose item has a context: only their requests are kept for an audit."""
+    return rows.filter(F.coalesce(F.col(context), F.lit("")) != "")
+
+
 def write_audits(rows: DataFrame, folder: str, key: str = "id", body: str = "payload") -> None:
-    """One file of a folder for each row, in a subfolder named by its audit name."""
-    rows.select(audit_name(F.col(key)).alias("name"), body).write.mode("overwrite").partitionBy("name").text(folder)
+    """A file for each row, by its audit name; where rows have a context, for those that are ``audited``."""
+    rows = audited(rows) if "context" in rows.columns else rows
+    write_named(rows.select(audit_name(F.col(key)).alias("name"), F.col(body).alias("body")), folder)
 
 
 def write_stage(rows: DataFrame, folder: str, stem: str) -> None:
     """What a first call leaves for each item: its request, the raw response and the text, if there is one.
 
-    ``rows`` has id, payload, raw and answer; each file has a subfolder by its name.
+    ``rows`` has id, payload, raw and answer.
     """
     files = F.array(*[F.struct(audit_name(F.col("id"), stem, ending).alias("name"), F.col(body).alias("body")) for ending, body in (("-request.json", "payload"), ("-response.json", "raw"), (".txt", "answer"))])
-    rows = rows.select(F.explode(files).alias("f")).select("f.*").filter("body is not null")
-    rows.write.mode("overwrite").partitionBy("name").text(folder)
+    write_named(rows.select(F.explode(files).alias("f")).select("f.*").filter("body is not null"), folder)
 
 
 def write_contexts(contexts: DataFrame, audit: DataFrame, folder: str) -> None:
