@@ -138,16 +138,23 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     Only vectors of equal, non-null labels and equal length are compared.
     Vectors that are null, empty or zero, or hold null or non-finite numbers,
     and rows without vec_id, link with nothing.  Equal vectors are one class:
-    they link with each other and count as many times as they occur.  An empty
-    table gives an empty one.
+    they link with each other and count as many times as they occur.  Rows that
+    share a vec_id have each the links of their own vector; their component is
+    one where a link joins them.  An empty table gives an empty one.
     """
     # single precision stays as it is on the way, which loses nothing: products are in double precision
     kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"), "label")
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    fit = rows.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("embedding", lambda v: v != 0))
+    sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("embedding", lambda v: v != 0)
+    fit = rows.filter(sound)
     classes = fit.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     classes = materialize(classes, "vectors")
+    # classes go by their smallest vec_id, unless two have the same
+    shared = bool(classes.groupBy("rep").count().filter("count > 1").limit(1).count())
+    classes = classes.withColumn("least", F.col("rep"))
+    if shared:
+        classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "vectors")
     m = n_pivots(classes.count())
     sample = [r[0] for r in classes.orderBy(F.xxhash64("embedding", "label"), "rep").limit(m).select("embedding").collect()]
     described = materialize(_described(classes, sample, m), "described")
@@ -160,19 +167,18 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     found = materialize(found.applyInArrow(_compared(cosine), "rep long, links long, root long"), "found")
     groups = components(found, "rep", "root").withColumnRenamed("node", "rep")
     counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    of_class = classes.join(counted, "rep", "left").join(groups, "rep", "left")
+    of_class = classes.join(counted, "rep", "left").join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    if shared:
+        of_class = of_class.join(of_class.groupBy("component").agg(F.min("least").alias("smallest")), "component").withColumn("component", F.col("smallest"))
     of_class = of_class.select(
         F.col("label").alias("_label"), F.col("embedding").alias("_embedding"),
-        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component",
     )
     drop(described)
-    members = fit.join(of_class, (F.col("label") == F.col("_label")) & (F.col("embedding") == F.col("_embedding")))
-    members = members.select(F.col("vec_id").alias("_id"), "n_links", "component").dropDuplicates(["_id"])
-    out = rows.select("vec_id").join(members, F.col("vec_id") == F.col("_id"), "left")
-    return out.select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"),
-        F.coalesce(F.col("vec_id") == F.coalesce("component", "vec_id"), F.lit(True)).alias("kept"),
-    )
+    # each row by its own vector: rows that share a vec_id have links of their own
+    members = fit.join(of_class, (F.col("label") == F.col("_label")) & (F.col("embedding") == F.col("_embedding"))).select("vec_id", "n_links", F.col("component").alias("component_id"))
+    alone = rows.filter(~F.coalesce(sound, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return members.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
 def op3_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:

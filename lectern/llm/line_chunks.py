@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .rows import digest, numbered
+from .rows import apart, digest, home, numbered
 from .store import bounded, drop, materialize, small_batches
 
 #: Lines of a chunk, which the rolling hash sees: the shortest passage that can be removed.
@@ -114,6 +114,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     new = ["n_lines", "n_removed"]
+    docs, back = apart(docs.drop(*new), "doc_id", "text")
     names = [c for c in docs.columns if c not in new]
     keyed, digests = numbered(docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     gone = repeated_chunks(keyed)
@@ -150,7 +151,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(tv.counts(parts)), pa.array(removed)], names=[*names, *new])
 
-    return rows.mapInArrow(run, schema)
+    return home(rows.mapInArrow(run, schema), back)
 
 
 def op7_line_chunks(spark, sf_dir: str) -> DataFrame:

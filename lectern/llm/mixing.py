@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .rows import apart, home
 from .store import bounded, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -145,6 +146,7 @@ def curriculum_mix(docs: DataFrame, weights=WEIGHTS, ramps=RAMPS, most: int = MO
     taken, so each source gives its target's whole part in words.  Rows are
     told apart by all their columns, doc_id or not; equal ones are interchangeable.
     """
+    docs, back = apart(docs, "doc_id", "source", "text")
     row = F.xxhash64(*[F.to_json(c) if isinstance(f.dataType, (T.MapType, T.VariantType)) else F.col(c) for c, f in zip(docs.columns, docs.schema)])
     plan = allocate(docs, weights, ramps, most, row).filter(F.size("copies") > 0)
     plan = materialize(plan.select("doc_id", "row", "size", "copies"), "mix-plan")
@@ -156,7 +158,7 @@ def curriculum_mix(docs: DataFrame, weights=WEIGHTS, ramps=RAMPS, most: int = MO
     rows = rows.join(bounded(copies), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row")))
     if "text" in docs.columns:
         rows = rows.withColumn("text", F.when(F.col("_words").isNotNull(), first_words(F.col("text"), F.col("_words"))).otherwise(F.col("text")))
-    return rows.repartitionByRange("_position", "_id").sortWithinPartitions("_position", "_id").select(*docs.columns)
+    return home(rows.repartitionByRange("_position", "_id").sortWithinPartitions("_position", "_id").select(*docs.columns), back)
 
 
 def op5_curriculum_mix(spark, sf_dir: str) -> DataFrame:

@@ -33,3 +33,14 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = parts.select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), "part")
     rows = docs.join(parts, (F.col("doc_id") == F.col("_doc")) & (digest(F.col("text")) == F.col("_digest")), "left")
     return rows.select(*docs.columns, F.coalesce("part", F.lit(0)).alias("part")), both
+
+
+def apart(docs: DataFrame, *known: str) -> tuple[DataFrame, dict[str, str]]:
+    """The rows with columns other than the known ones under names that nothing here uses, and their own names by those."""
+    back = {f"own{i}": c for i, c in enumerate(c for c in docs.columns if c not in known)}
+    return home(docs, {c: name for name, c in back.items()}), back
+
+
+def home(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The rows with some columns renamed, all at once."""
+    return rows.select(*[F.col("`" + c.replace("`", "``") + "`").alias(names.get(c, c)) for c in rows.columns])

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .rows import digest, numbered
+from .rows import apart, digest, home, numbered
 from .store import bounded, drop, materialize, small_batches
 
 
@@ -203,6 +203,8 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     new ones are replaced.
     """
     small_batches(docs.sparkSession)
+    new = ["n_words", "n_removed", "kept_text"]
+    docs, back = apart(docs.drop(*new), "doc_id", "text")
     keyed, digests = numbered(docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     copies = later_copies(digests)
     several = bool(digests.filter("part > 0").limit(1).count())
@@ -213,8 +215,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     if several:
         spans = spans.join(digests.distinct(), ["doc_id", "part"])
     spans = spans.withColumnsRenamed({"doc_id": "_doc", "windows": "_windows", "digest": "_sum"}).drop("part")
-    new = ["n_words", "n_removed", "kept_text"]
-    names = [c for c in docs.columns if c not in new]
+    names = docs.columns
     on = F.col("doc_id").cast("long") == F.col("_doc")
     rows = docs.select(*names).withColumn("_digest", digest(F.col("text"))) if several else docs.select(*names)
     rows = rows.join(spans, on & (F.col("_digest") == F.col("_sum")) if several else on, "left").select(*names, "_windows", "_copy")
@@ -252,7 +253,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
                 names=[*names, *new],
             )
 
-    return rows.select(*names, "_windows", "_copy").mapInArrow(run, schema)
+    return home(rows.select(*names, "_windows", "_copy").mapInArrow(run, schema), back)
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
