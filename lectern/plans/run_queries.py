@@ -13,7 +13,7 @@ from ..functions import periods as P
 from ..functions import text as X
 from ..operators import context, images, infer, ledger, run, validate
 from ..operators.stop import Unsound, ask_until_unsound
-from ..sources import corpus, sinks, versions
+from ..sources import corpus, manifest, sinks, versions
 from ..store import materialize, scratch
 from ..streaming.ledger import OUTCOME, add_outcomes, answer_new, outcomes
 from . import prompt
@@ -393,6 +393,36 @@ def run_report(spark, sf_dir):
     return out.select("status", F.size("errors").cast("long").alias("n_errors"), F.size("warnings").cast("long").alias("n_warnings"), F.array_join(F.slice("errors", 1, 4), "\n").alias("first_errors"), _digest(F.array_join("errors", "\n")).alias("errors_sha256"), _digest(F.array_join("warnings", "\n")).alias("warnings_sha256"), "answer_count", F.array_join("essay_ids", " ").alias("essay_ids"))
 
 
+def report_written(spark, sf_dir):
+    """The same run's violations as a table, with the figures that were observed as it was written."""
+    items, answers, known, essays = _run(spark, sf_dir)
+    hashes = items.agg(F.sha2(F.min("source_text"), 256).alias("actual")).withColumn("recorded", F.sha2(F.lit("drift"), 256))
+    ids = spark.range(1).select(F.lit("exam-1").alias("actual"), F.lit("exam-2").alias("expected"))
+    figures = validate.write_report(items, answers, known, essays, hashes, ids, path := scratch(spark, "report"))
+    shown = " ".join(f"{k}={figures[k]}" for k in ("status", "n_errors", "answers", "completed", "truncated", "short"))
+    return versions.read(spark, path, validate.VIOLATIONS).withColumn("figures", F.lit(shown))
+
+
+def run_manifest(spark, sf_dir):
+    """Fingerprints of a run's files, and whether the run goes on with them, with one altered, and with one more."""
+    rows = _benchmark(spark, sf_dir)
+    root = scratch(spark, "manifest")
+    sinks.write_named(rows.select(F.concat("id", F.lit(".txt")).alias("name"), F.col("text").alias("body")), f"{root}/corpus")
+    config = spark.range(1).select(F.lit(0.0).alias("temperature"))
+    files = manifest.fingerprints(spark, f"{root}/corpus")
+    told = [manifest.begin(config, files, f"{root}/run").first()["corpus_sha256"]]
+    for change in (None, F.col("pos") == 0, F.col("pos") < 0):
+        if change is not None:
+            body = rows.filter(change).select(F.concat("id", F.lit(".txt")).alias("name"), F.concat("text", F.lit("!")).alias("body"))
+            sinks.write_named(body if body.limit(1).count() else spark.createDataFrame([("more.txt", "x")], "name string, body string"), f"{root}/corpus")
+        try:
+            manifest.begin(config, manifest.fingerprints(spark, f"{root}/corpus"), f"{root}/run")
+            told.append("same")
+        except ValueError as error:
+            told.append(str(error).split("; ", 1)[1])
+    return versions.read(spark, f"{root}/run/files", manifest.FILES).withColumn("told", F.lit(" | ".join(told)))
+
+
 def answer_warnings(spark, sf_dir):
     """Warnings while a run goes on: no limit told, the token limit reached, an essay that is short."""
     items, answers, known, essays = _run(spark, sf_dir)
@@ -443,6 +473,21 @@ _SYSTEM = f"CASE WHEN item_id % 2 = 1 THEN '{W.system}' WHEN item_id % 4 = 0 OR
 _RULE = f"CASE WHEN item_id % 2 = 1 THEN '{W.short}' ELSE '{W.bounded_essay}' END"
 _Q = f"(SELECT item_id, text, {_KIND_SQL} AS question FROM benchmark)"
 
+_REPORTED = f"""rows AS (
+  SELECT item_id AS n, CASE WHEN item_id = 3 THEN 'x' ELSE CAST(item_id AS VARCHAR) END AS id, CASE WHEN item_id % 9 = 0 THEN ' ' WHEN item_id % 7 = 0 THEN '<think>' || text ELSE text END AS answer, item_id % 4 AS kind FROM benchmark),
+full_rows AS (SELECT r.*, k.item_id IS NOT NULL AS known, CASE WHEN k.item_id % 11 = 0 THEN 'other' WHEN k.item_id % 7 = 0 THEN '<think>' || k.text ELSE k.text END AS recorded, coalesce(k.item_id % 13 = 0, FALSE) AS cut,
+    CASE WHEN k.item_id % 17 <> 0 THEN CASE WHEN k.item_id % 13 = 0 THEN 'length' ELSE 'stop' END END AS finish, {_WORDS.format('answer')} AS words,
+    id <> 'x' AND (n % 2 = 0 OR n % 4 = 3) AS essay
+  FROM rows r LEFT JOIN (SELECT * FROM benchmark WHERE item_id <> 5) k ON CAST(k.item_id AS VARCHAR) = r.id),
+told AS (SELECT n, id, CASE WHEN n % 9 = 0 THEN ['empty answer'] ELSE list_filter([
+    CASE WHEN answer IS DISTINCT FROM recorded THEN 'answer differs from records' END, CASE WHEN cut OR coalesce(finish, '') = 'length' THEN 'truncated answer' END, CASE WHEN coalesce(finish, '') <> 'stop' THEN 'unexpected finish_reason' END,
+    CASE WHEN contains(answer, '<think>') THEN 'reasoning markers in answer' END,
+    CASE WHEN essay AND kind = 0 AND words < 40 THEN words || ' words, minimum 40' WHEN essay AND kind = 2 AND words < 10 THEN words || ' words, minimum 10' END,
+    CASE WHEN essay AND kind = 2 AND words > 25 THEN words || ' words, maximum 25' END], lambda m: m IS NOT NULL) END AS m FROM full_rows),
+listed AS (
+  SELECT -1 AS n, unnest([0, 1, 2, 3]) AS nth, unnest(['Exam hash differs from the run', 'exam_id mismatch', 'Missing, extra, duplicate or reordered IDs', 'Records do not cover the full exam']) AS m
+  UNION ALL SELECT n, unnest(range(len(m))), id || ': ' || unnest(m) FROM told)"""
+
 ORACLE_SQL = {
     "exam_scan": f"""SELECT 'exam-1' AS exam_id, item_id AS pos, CAST(item_id AS VARCHAR) AS id, {_KIND_SQL} AS question, CASE WHEN item_id % 5 = 0 THEN 12.0::DOUBLE ELSE 2.0::DOUBLE END AS max_points, sha256(text) AS source_sha256,
   CAST(CASE WHEN item_id % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_images, CASE WHEN item_id % 3 = 0 THEN 'img/' || item_id || '.png' END AS image FROM benchmark""",
@@ -507,24 +552,20 @@ SELECT 'essay-plan-' || substr(sha256(CAST(item_id AS VARCHAR)), 1, 12) || e AS
     "observe_then_answer": f"""SELECT CAST(item_id AS VARCHAR) AS id, CAST(CASE WHEN item_id % 3 <> 0 THEN 1 WHEN item_id % 2 = 1 THEN 3 ELSE 4 END AS BIGINT) AS n, sha256(CASE WHEN item_id % 3 = 0 AND item_id % 2 = 0 THEN concat('NOTES:', chr(10), 'seen 3 {W.image}a.png', chr(10), 'Check them.')
   ELSE concat('{W.sources}', chr(10), text, chr(10), chr(10), '{W.task}', chr(10), 'Q', chr(10), chr(10), '{W.form}', chr(10), '', chr(10), chr(10), CASE WHEN item_id % 2 = 1 THEN '{W.essay}' ELSE '{W.short}' END) END) AS last_sha256 FROM benchmark""",
     "stage_seconds": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN round((event_id % 400) / 4.0::DOUBLE + (event_id % 7) / 4.0::DOUBLE, 2) END AS total_seconds FROM events",
-    "run_report": f"""WITH rows AS (
-  SELECT item_id AS n, CASE WHEN item_id = 3 THEN 'x' ELSE CAST(item_id AS VARCHAR) END AS id, CASE WHEN item_id % 9 = 0 THEN ' ' WHEN item_id % 7 = 0 THEN '<think>' || text ELSE text END AS answer, item_id % 4 AS kind FROM benchmark),
-full_rows AS (SELECT r.*, k.item_id IS NOT NULL AS known, CASE WHEN k.item_id % 11 = 0 THEN 'other' WHEN k.item_id % 7 = 0 THEN '<think>' || k.text ELSE k.text END AS recorded, coalesce(k.item_id % 13 = 0, FALSE) AS cut,
-    CASE WHEN k.item_id % 17 <> 0 THEN CASE WHEN k.item_id % 13 = 0 THEN 'length' ELSE 'stop' END END AS finish, {_WORDS.format('answer')} AS words,
-    id <> 'x' AND (n % 2 = 0 OR n % 4 = 3) AS essay
-  FROM rows r LEFT JOIN (SELECT * FROM benchmark WHERE item_id <> 5) k ON CAST(k.item_id AS VARCHAR) = r.id),
-told AS (SELECT n, id, CASE WHEN n % 9 = 0 THEN ['empty answer'] ELSE list_filter([
-    CASE WHEN answer IS DISTINCT FROM recorded THEN 'answer differs from records' END, CASE WHEN cut OR coalesce(finish, '') = 'length' THEN 'truncated answer' END, CASE WHEN coalesce(finish, '') <> 'stop' THEN 'unexpected finish_reason' END,
-    CASE WHEN contains(answer, '<think>') THEN 'reasoning markers in answer' END,
-    CASE WHEN essay AND kind = 0 AND words < 40 THEN words || ' words, minimum 40' WHEN essay AND kind = 2 AND words < 10 THEN words || ' words, minimum 10' END,
-    CASE WHEN essay AND kind = 2 AND words > 25 THEN words || ' words, maximum 25' END], lambda m: m IS NOT NULL) END AS m FROM full_rows),
-listed AS (
-  SELECT -1 AS n, unnest([0, 1, 2, 3]) AS nth, unnest(['Exam hash differs from the run', 'exam_id mismatch', 'Missing, extra, duplicate or reordered IDs', 'Records do not cover the full exam']) AS m
-  UNION ALL SELECT n, unnest(range(len(m))), id || ': ' || unnest(m) FROM told),
+    "run_report": f"""WITH {_REPORTED},
 errors AS (SELECT list(m ORDER BY n, nth) AS e FROM listed),
 warned AS (SELECT coalesce(list(id || ': no explicit word limit parsed; inspect task manually' ORDER BY n), []) AS w FROM full_rows WHERE essay AND kind = 3 AND n % 9 <> 0)
 SELECT 'FAIL' AS status, CAST(len(e) AS BIGINT) AS n_errors, CAST(len(w) AS BIGINT) AS n_warnings, array_to_string(e[1:4], chr(10)) AS first_errors, sha256(array_to_string(e, chr(10))) AS errors_sha256, sha256(array_to_string(w, chr(10))) AS warnings_sha256,
   (SELECT count(*) FROM benchmark) AS answer_count, (SELECT string_agg(CAST(item_id AS VARCHAR), ' ' ORDER BY CAST(item_id AS VARCHAR)) FROM benchmark WHERE item_id % 2 = 0 OR item_id % 4 = 3) AS essay_ids FROM errors, warned""",
+    "report_written": f"""WITH {_REPORTED}, figures AS (
+  SELECT concat('status=FAIL n_errors=', (SELECT count(*) FROM listed), ' answers=', count(*), ' completed=', count(*) FILTER (n % 9 <> 0 AND NOT cut AND coalesce(finish, '') <> 'length' AND recorded IS NOT NULL),
+    ' truncated=', count(*) FILTER (cut OR coalesce(finish, '') = 'length'), ' short=', count(*) FILTER (essay AND (kind = 0 AND words < 40 OR kind = 2 AND words < 10))) AS figures FROM full_rows)
+SELECT -1 AS pos, nth, NULL AS id, m AS message, figures FROM listed, figures WHERE n = -1
+UNION ALL SELECT n, nth, id, m, figures FROM (SELECT n, unnest(range(len(m))) AS nth, id, unnest(m) AS m FROM told), figures""",
+    "run_manifest": f"""WITH files AS (SELECT concat(item_id, '.txt') AS name, CAST(strlen(text) AS BIGINT) AS bytes, sha256(text) AS sha256 FROM benchmark),
+parts AS (SELECT substr(sha256(name), 1, {manifest.DIGITS}) AS part, sha256(string_agg(sha256 || ' ' || name, chr(10) ORDER BY name)) AS s FROM files GROUP BY part),
+root AS (SELECT sha256(string_agg(s || ' ' || part, chr(10) ORDER BY part)) AS r FROM parts)
+SELECT name, bytes, sha256, r || ' | same | 0.txt (altered) | 0.txt (altered); more.txt (added)' AS told FROM files, root""",
     "answer_warnings": f"""WITH rows AS (SELECT item_id AS n, CASE WHEN item_id = 3 THEN 'x' ELSE CAST(item_id AS VARCHAR) END AS id, item_id <> 3 AND (item_id % 2 = 0 OR item_id % 4 = 3) AS essay, item_id <> 5 AND item_id <> 3 AND item_id % 13 = 0 AS cut,
   {_WORDS.format("CASE WHEN item_id % 9 = 0 THEN ' ' WHEN item_id % 7 = 0 THEN '<think>' || text ELSE text END")} AS words FROM benchmark),
 told AS (SELECT id, list_filter([CASE WHEN essay AND n % 4 = 3 THEN 'no explicit word limit parsed; inspect task manually' END, CASE WHEN cut THEN 'token limit reached' END, CASE WHEN essay AND words < 300 THEN 'fewer than 300 words' END], lambda m: m IS NOT NULL) AS m FROM rows)
