@@ -1,4 +1,4 @@
-"""Images as columns: data URLs, and overlapping corner crops where an imaging library is installed."""
+"""Images as columns: data URLs, and overlapping corner crops."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import png
+
 # Media types by file ending; the default, and the crops' share of a side.
 MIME = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp", "svg": "image/svg+xml", "tiff": "image/tiff", "tif": "image/tiff"}
 DEFAULT_MIME, LEAST_SIDE, MOST_IMAGES = "image/png", 500, 3
@@ -44,23 +46,33 @@ def crop_columns(width: Column, height: Column, essay: Column, n_images: Column)
 
 
 def crops(images: DataFrame) -> DataFrame:
-    """id, path, nth, box, content: each image (id, path, content) as it is, nth 0, and its PNG crops."""
+    """id, path, nth, box, content, error: each image (id, path, content) as it is, nth 0, and its PNG crops.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Crops are made of PNG images; others need an imaging library, and where
+    that is absent, or an image is broken, ``error`` tells so beside nth 0.
+    """
+
+    def pixels(content: bytes):
+        if content[:8] == png.SIGNATURE:
+            return png.decode(content)
         from io import BytesIO
 
+        import numpy as np
         from PIL import Image
 
+        with Image.open(BytesIO(content)) as image:
+            return np.asarray(image.convert("RGB"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
             for key, path, content in zip(batch["id"], batch["path"], batch["content"]):
-                rows.append((key, path, 0, None, content))
-                with Image.open(BytesIO(content)) as image:
-                    image = image.convert("RGB")
-                    for nth, box in enumerate(crop_boxes(*image.size), 1):
-                        out = BytesIO()
-                        image.crop(box).save(out, format="PNG")
-                        rows.append((key, path, nth, list(box), out.getvalue()))
-            yield pd.DataFrame(rows, columns=["id", "path", "nth", "box", "content"])
-
-    return images.select("id", "path", "content").mapInPandas(run, "id string, path string, nth int, box array<int>, content binary")
+                rows, error = [], None
+                try:
+                    image = pixels(content)
+                    for nth, (x, y, right, bottom) in enumerate(crop_boxes(image.shape[1], image.shape[0]), 1):
+                        rows.append((key, path, nth, [x, y, right, bottom], png.encode(image[y:bottom, x:right]), None))
+                except (ImportError, ValueError, OSError) as why:
+                    error = f"{type(why).__name__}: {why}"
+                yield pd.DataFrame([(key, path, 0, None, content, error), *rows], columns=["id", "path", "nth", "box", "content", "error"])
+
+    return images.filter("content is not null").select("id", "path", "content").mapInPandas(run, "id string, path string, nth int, box array<int>, content binary, error string")

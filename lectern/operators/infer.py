@@ -101,7 +101,8 @@ def respond(requests: DataFrame, responder: Callable[[list[dict]], list[dict]],
     def ask(payload: str) -> tuple:
         began = time.monotonic()
         got = responder([json.loads(payload)])[0]
-        return got.get("answer"), round(time.monotonic() - began, 2), got.get("finish_reason"), got.get("error"), got.get("raw")
+        error = got.get("error")
+        return got.get("answer"), round(time.monotonic() - began, 2), got.get("finish_reason"), error and error[:ERROR_TEXT], got.get("raw")
 
     def unsound(answer: str | None, error: str | None) -> bool:
         return error is not None or not (answer or "").strip(WHITE) or any(tag in answer for tag in REASONING_TAGS)

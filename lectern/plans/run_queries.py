@@ -6,7 +6,7 @@ shared folder, in the run's own formats, and read back through the sources.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import periods as P
@@ -260,7 +260,7 @@ def responder_outcomes(spark, sf_dir):
     rows = _benchmark(spark, sf_dir).select("id", F.to_json(F.struct(F.col("text").alias("content"))).alias("payload"))
     got = materialize(infer.respond(rows, _respond, 4), "answers")
     good, bad = sinks.split_quarantine(got)
-    columns = ["id", "answer", "status", "truncated", F.length(F.substring("error", 1, infer.ERROR_TEXT)).cast("long").alias("error_chars")]
+    columns = ["id", "answer", "status", "truncated", F.length("error").cast("long").alias("error_chars")]
     return good.select(F.lit("ledger").alias("side"), *columns).union(bad.select(F.lit("quarantine").alias("side"), *columns))
 
 
@@ -393,6 +393,23 @@ def run_report(spark, sf_dir):
     return out.select("status", F.size("errors").cast("long").alias("n_errors"), F.size("warnings").cast("long").alias("n_warnings"), F.array_join(F.slice("errors", 1, 4), "\n").alias("first_errors"), _digest(F.array_join("errors", "\n")).alias("errors_sha256"), _digest(F.array_join("warnings", "\n")).alias("warnings_sha256"), "answer_count", F.array_join("essay_ids", " ").alias("essay_ids"))
 
 
+def answers_sound(spark, sf_dir):
+    """A run over chosen ids whose exported answers, written and read, break no rule."""
+    chosen = run.select_items(_questions(spark, sf_dir), run.Parameters.of({"ids": " ".join(map(str, range(0, 40, 3)))}))
+    place = F.row_number().over(Window.orderBy("pos")) - 1  # as many rows as ids were told
+    items = chosen.withColumn("pos", place)
+    answer = F.struct("pos", F.struct("id", F.col("source_text").alias("answer")).alias("a"))
+    out = items.agg(F.lit("exam-1").alias("exam_id"), F.transform(F.array_sort(F.collect_list(answer)), lambda x: x["a"]).alias("answers"))
+    sinks.write_json(out, path := scratch(spark, "answers"))
+    read = corpus.answers(spark, path)
+    known = items.select("id", F.col("source_text").alias("answer"), F.lit(False).alias("truncated"), F.lit("stop").alias("finish_reason"))
+    digest = items.agg(F.sha2(F.max("source_text"), 256).alias("actual"))
+    ids = read.select(F.col("exam_id").alias("actual"), F.lit("exam-1").alias("expected")).limit(1)
+    whole = validate.full_report(items, read, known, run.choose_essays(items, run.Parameters(no_essays=True)), digest.withColumn("recorded", F.col("actual")), ids)
+    told = whole.select("status", F.size("errors").cast("long").alias("n_errors"), "answer_count")
+    return read.select("exam_id", F.col("pos").cast("long").alias("pos"), "id", _digest(F.col("answer")).alias("sha256")).crossJoin(F.broadcast(told))
+
+
 def report_written(spark, sf_dir):
     """The same run's violations as a table, with the figures that were observed as it was written."""
     items, answers, known, essays = _run(spark, sf_dir)
@@ -557,6 +574,8 @@ errors AS (SELECT list(m ORDER BY n, nth) AS e FROM listed),
 warned AS (SELECT coalesce(list(id || ': no explicit word limit parsed; inspect task manually' ORDER BY n), []) AS w FROM full_rows WHERE essay AND kind = 3 AND n % 9 <> 0)
 SELECT 'FAIL' AS status, CAST(len(e) AS BIGINT) AS n_errors, CAST(len(w) AS BIGINT) AS n_warnings, array_to_string(e[1:4], chr(10)) AS first_errors, sha256(array_to_string(e, chr(10))) AS errors_sha256, sha256(array_to_string(w, chr(10))) AS warnings_sha256,
   (SELECT count(*) FROM benchmark) AS answer_count, (SELECT string_agg(CAST(item_id AS VARCHAR), ' ' ORDER BY CAST(item_id AS VARCHAR)) FROM benchmark WHERE item_id % 2 = 0 OR item_id % 4 = 3) AS essay_ids FROM errors, warned""",
+    "answers_sound": """SELECT 'exam-1' AS exam_id, row_number() OVER (ORDER BY item_id) - 1 AS pos, CAST(item_id AS VARCHAR) AS id, sha256(text) AS sha256, 'PASS' AS status, CAST(0 AS BIGINT) AS n_errors, count(*) OVER () AS answer_count
+FROM benchmark WHERE item_id < 40 AND item_id % 3 = 0""",
     "report_written": f"""WITH {_REPORTED}, figures AS (
   SELECT concat('status=FAIL n_errors=', (SELECT count(*) FROM listed), ' answers=', count(*), ' completed=', count(*) FILTER (n % 9 <> 0 AND NOT cut AND coalesce(finish, '') <> 'length' AND recorded IS NOT NULL),
     ' truncated=', count(*) FILTER (cut OR coalesce(finish, '') = 'length'), ' short=', count(*) FILTER (essay AND (kind = 0 AND words < 40 OR kind = 2 AND words < 10))) AS figures FROM full_rows)
