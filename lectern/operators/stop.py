@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import threading
 import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
@@ -24,7 +25,7 @@ class Unsound(RuntimeError):
     """An answer on which nothing may be built."""
 
 
-def ask_until_unsound(requests: DataFrame, responder, log: str, lanes: int = 1, ahead: int = AHEAD) -> int:
+def ask_until_unsound(requests: DataFrame, responder, log: str, lanes: int = 1, ahead: int = AHEAD, ready: Callable[[], object] | None = None) -> int:
     """Asks requests (pos, id, payload) in the order of pos and commits every job's outcomes to the log; returns how many were asked.
 
     Requests with an answer in the log are skipped.  Jobs of ``ahead`` requests
@@ -33,8 +34,12 @@ def ask_until_unsound(requests: DataFrame, responder, log: str, lanes: int = 1,
     other lanes are then interrupted by their tag, none is begun any more, and
     ``Unsound`` names the item.  Interrupted requests have no outcome and are
     asked again by the next run.  With one lane exactly the requests up to the
-    first unsound answer are asked.  An id should occur once.
+    first unsound answer are asked.  ``ready`` (``infer.health``, say) is called
+    before anything is asked; what it raises ends the run.  An id should occur
+    once.
     """
+    if ready is not None:
+        ready()
     spark = requests.sparkSession
     run, tag = uuid.uuid4().hex, f"lectern-{uuid.uuid4().hex}"
     left = pending(requests.select("pos", "id", "payload"), versions.read(spark, log, OUTCOME).filter("status = 'ok'"))

@@ -83,7 +83,7 @@ def full_report(items: DataFrame, answers: DataFrame, records: DataFrame, essays
     """One row: status, errors and warnings in order (those on the run, then row by row), answer_count and essay_ids."""
     rows = with_records(answers, records, items, essays)
     run = run_violations(items, answers, records, fingerprints, exam_ids).select(F.lit(-1).alias("pos"), "nth", "message")
-    told = F.concat(F.col("id"), F.lit(": "), F.col("message"))
+    told = F.concat(F.coalesce("id", F.lit("None")), F.lit(": "), F.col("message"))
     row = row_rules(*map(F.col, ("answer", "recorded", "truncated", "finish_reason", "essay", "question")))
     by_row = rows.select("pos", "id", F.posexplode(row).alias("nth", "message")).select("pos", "nth", told.alias("message"))
     bounds = word_bounds(F.col("question"))

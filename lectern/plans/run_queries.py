@@ -6,10 +6,15 @@ shared folder, in the run's own formats, and read back through the sources.
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import periods as P
+from ..functions import png
 from ..functions import text as X
 from ..operators import context, images, infer, ledger, run, validate
 from ..operators.stop import Unsound, ask_until_unsound
@@ -161,6 +166,28 @@ def crop_boxes(spark, sf_dir):
     return sizes.select("doc_id", F.array_join(F.transform(boxes, lambda b: F.array_join(b.cast("array<string>"), ",")), " ").alias("boxes"))
 
 
+def _pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An image for each item, 500 by 500 pixels, whose bytes repeat the digest of its text."""
+
+    @F.pandas_udf("binary")
+    def drawn(digests: pd.Series) -> pd.Series:
+        return digests.map(lambda d: png.encode(np.resize(np.frombuffer(d.encode(), np.uint8), 500 * 500 * 3).reshape(500, 500, 3)))
+
+    rows = _benchmark(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "id")
+    return rows.select("id", F.concat("id", F.lit(".png")).alias("path"), drawn(F.sha2("text", 256)).alias("content"))
+
+
+def images_cropped(spark, sf_dir):
+    """The crops of each item's image, by the digest of their pixels."""
+
+    @F.pandas_udf("string")
+    def pixels(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda c: hashlib.sha256(png.decode(c).tobytes()).hexdigest())
+
+    out = images.crops(_pictures(spark, sf_dir))
+    return out.select("id", F.col("nth").cast("long").alias("nth"), F.array_join(F.col("box").cast("array<string>"), ",").alias("box"), pixels("content").alias("sha256"), F.col("error").isNull().alias("ok"))
+
+
 # --- contexts ---
 
 
@@ -574,6 +601,10 @@ errors AS (SELECT list(m ORDER BY n, nth) AS e FROM listed),
 warned AS (SELECT coalesce(list(id || ': no explicit word limit parsed; inspect task manually' ORDER BY n), []) AS w FROM full_rows WHERE essay AND kind = 3 AND n % 9 <> 0)
 SELECT 'FAIL' AS status, CAST(len(e) AS BIGINT) AS n_errors, CAST(len(w) AS BIGINT) AS n_warnings, array_to_string(e[1:4], chr(10)) AS first_errors, sha256(array_to_string(e, chr(10))) AS errors_sha256, sha256(array_to_string(w, chr(10))) AS warnings_sha256,
   (SELECT count(*) FROM benchmark) AS answer_count, (SELECT string_agg(CAST(item_id AS VARCHAR), ' ' ORDER BY CAST(item_id AS VARCHAR)) FROM benchmark WHERE item_id % 2 = 0 OR item_id % 4 = 3) AS essay_ids FROM errors, warned""",
+    "images_cropped": """WITH d AS (SELECT CAST(item_id AS VARCHAR) AS id, repeat(sha256(text), 25) AS t FROM benchmark),
+boxes(nth, x, y, w) AS (VALUES (0, 0, 0, 500), (1, 0, 0, 300), (2, 200, 0, 300), (3, 0, 200, 300), (4, 200, 200, 300)),
+rows AS (SELECT d.id, nth, x, y, w, r, substr(t, (r * 1500 + 3 * x) % 64 + 1, 3 * w) AS line FROM d, boxes, (SELECT unnest(range(500)) AS r) WHERE r >= y AND r < y + w)
+SELECT id, CAST(nth AS BIGINT) AS nth, CASE WHEN nth > 0 THEN concat_ws(',', x, y, x + w, y + w) END AS box, sha256(string_agg(line, '' ORDER BY r)) AS sha256, TRUE AS ok FROM rows GROUP BY ALL""",
     "answers_sound": """SELECT 'exam-1' AS exam_id, row_number() OVER (ORDER BY item_id) - 1 AS pos, CAST(item_id AS VARCHAR) AS id, sha256(text) AS sha256, 'PASS' AS status, CAST(0 AS BIGINT) AS n_errors, count(*) OVER () AS answer_count
 FROM benchmark WHERE item_id < 40 AND item_id % 3 = 0""",
     "report_written": f"""WITH {_REPORTED}, figures AS (

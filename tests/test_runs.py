@@ -171,6 +171,13 @@ def server():
             self.end_headers()
             self.wfile.write(told)
 
+        def do_GET(self):
+            told = json.dumps({"status": "ok" if state.get("up") else "loading"}).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(told)))
+            self.end_headers()
+            self.wfile.write(told)
+
         def log_message(self, *_):
             pass
 
@@ -192,3 +199,17 @@ def test_a_busy_server_is_asked_again_within_bounds(spark, server):
     assert asked == {"fine": {1}, "busy": {3}, "down": {4}, "bad": {1}, "odd": {1}}
     assert all(len(set(keys)) == 1 for keys in state["seen"].values()) and len({k[0] for k in state["seen"].values()}) == 30
     assert 2 <= state["most"] <= 6
+
+
+def test_a_run_begins_once_the_server_is_ready(spark, tmp_path, server):
+    base, state = server
+    rows = spark.createDataFrame([(0, "a", json.dumps({"text": "fine-a"})), (1, "b", json.dumps({"text": "bad-b"}))], "pos int, id string, payload string")
+    begin = lambda: stop.ask_until_unsound(rows, infer.http_responder(base, timeout=10), str(tmp_path / "log"), ready=lambda: infer.health(base))
+    with pytest.raises(RuntimeError, match="not ready"):
+        begin()
+    assert state["seen"] == {}
+    state["up"] = True
+    with pytest.raises(stop.Unsound, match="item b: error"):
+        begin()
+    good, bad = streaming.outcomes(spark, str(tmp_path / "log"))
+    assert [r["answer"] for r in good.collect()] == ["fine-a"] and [r["id"] for r in bad.collect()] == ["b"]
