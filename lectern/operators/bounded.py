@@ -95,7 +95,7 @@ def pick_bounded(docs: DataFrame, topics: DataFrame, budget: Budget = DEFAULT, f
         fits = F.col("len") <= F.col("room")
         wanted = index.join(asked, ["term", "weight"]).join(room, "topic_id").filter(fits).select("topic_id", "doc_index")
         due = home.join(asked.filter(F.col("term") == MET).select("topic_id"), "topic_id", "left_semi")
-        also = dated_pairs(docs.filter("kind = 'timeline'"), due).join(docs.select("doc_index", "len"), "doc_index").join(room, "topic_id").filter(fits)
+        also = dated_pairs(docs.filter("kind = 'timeline'"), due).distinct().join(docs.select("doc_index", "len"), "doc_index").join(room, "topic_id").filter(fits)
         wanted = wanted.union(also.select("topic_id", "doc_index")) if domestic else wanted
         wanted = wanted.distinct() if seen is None else wanted.distinct().join(seen, ["topic_id", "doc_index"], "left_anti")
         wanted = materialize(wanted, "wanted")
