@@ -38,3 +38,14 @@ def test_only_items_with_a_context_are_audited(spark, tmp_path):
     sinks.write_audits(rows, str(tmp_path / "a"))
     name = rows.filter("id = '1'").select(sinks.audit_name(F.col("id"))).first()[0]
     assert os.listdir(tmp_path / "a") == [name] and len(name) == len("essay-request-.json") + 12
+
+
+def test_empty_files_are_read_back(spark, tmp_path):
+    folder = str(tmp_path / "out")
+    rows = {"a.json": '{"x": "ł"}', "empty.txt": "", "none.txt": ""} | {f"n{i}": str(i) for i in range(20)}
+    sinks.write_named(frame(spark, [*rows.items()]), folder)
+    (tmp_path / "out" / ".hidden").write_text("h")
+    found = {r["name"]: bytes(r["content"]).decode("utf-8") for r in sinks.read_named(spark, f"file://{folder}").collect()}
+    assert found == rows
+    sinks.write_named(frame(spark, []), str(tmp_path / "nothing"))
+    assert sinks.read_named(spark, str(tmp_path / "nothing")).count() == 0
