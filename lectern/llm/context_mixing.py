@@ -48,7 +48,7 @@ END, OTHER = 0, 1
 #: Symbols of the most frequent words, which tell a text's language.
 FREQUENT = 256
 #: Texts that are scored side by side, longer ones with longer ones.
-BESIDE = 64
+BESIDE = 128
 
 _M1, _M2, _M3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 
@@ -142,9 +142,9 @@ class Code:
 
 
 class Units:
-    """A batch's words (symbols), each text's end, and the bytes of other words: what is coded, in order."""
+    """A batch's words (symbols), each text's end, and, if they are ``spelled``, the bytes of other words: what is coded, in order."""
 
-    def __init__(self, code: Code, b: tv.Bytes, w: tv.Spans, h: np.ndarray):
+    def __init__(self, code: Code, b: tv.Bytes, w: tv.Spans, h: np.ndarray, spelled: bool = True):
         n_texts = len(b.offsets) - 1
         n = tv.counts(w)
         ends = np.cumsum(n + 1) - 1
@@ -164,7 +164,7 @@ class Units:
         last = np.maximum.accumulate(np.where(frequent, np.arange(len(symbol)), -1))[:-1]
         told = np.full(len(symbol), END, np.uint32)
         told[1:] = np.where(last < 0, END, symbol[last])
-        other = np.flatnonzero(symbol[place] == OTHER)
+        other = np.flatnonzero(symbol[place] == OTHER) if spelled else np.zeros(0, np.int64)
         data, offsets = _cut(b, w.start[other], w.end[other])
         self.other, self.data, self.offsets = other, data, offsets
         size = np.ones(len(symbol), np.int64)
@@ -180,9 +180,10 @@ class Units:
         self.contexts[0, at] = _mixed(one, 1)
         self.contexts[1, at] = _mixed(one * _M1 ^ two, 2)
         self.contexts[2, at] = _mixed(told, 3)
-        where = np.flatnonzero(self.letter)
         self.last = np.zeros(total, np.uint8)
-        self.value[where], self.last[where], self.contexts[:, where] = letters(data, offsets)
+        if len(other):
+            where = np.flatnonzero(self.letter)
+            self.value[where], self.last[where], self.contexts[:, where] = letters(data, offsets)
 
 
 def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -253,7 +254,10 @@ class Counts:
         self.total = np.zeros(2 * ALL, np.int64)
 
     def add(self, base: int, bit: np.ndarray, cells: np.ndarray) -> None:
-        np.add.at(self.total, (cells.astype(np.int64) << 1 | bit) + 2 * base, np.int64(1))
+        at = cells.astype(np.int64)
+        at <<= 1
+        at |= bit
+        np.add.at(self.total[2 * base :], at, np.int64(1))
 
     def words(self, code: Code, units: Units) -> None:
         at = np.flatnonzero(~units.letter)
@@ -322,26 +326,30 @@ class Model:
 
     def _block(self, units: Units, at: np.ndarray, text: np.ndarray, weights: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Bits of the texts' blocks; then weights and records follow: all decisions are predicted before any is learned from."""
-        kinds = []
-        letter = units.letter[at]
+        kinds, letter = [], units.letter[at]
         for kind, mine in ((0, np.flatnonzero(~letter)), (1, np.flatnonzero(letter))):
             a = at[mine]
             if not len(a):
                 continue
             decided = letter_decisions(units.value[a], units.last[a], units.contexts[:, a]) if kind else word_decisions(self.code, units.value[a], units.contexts[:, a])
             n, place, packed, cells = decided
-            first = self.odds[TABLES * CELLS :][place] if kind else self.code.odds[place]
-            kinds.append((np.repeat(text[mine], n), packed, first, *(self.odds[k * CELLS : (k + 1) * CELLS][c] for k, c in enumerate(cells))))
-        own, packed, *odds = (x[0] if len(x) == 1 else np.concatenate(x) for x in zip(*kinds))
+            kinds.append((np.repeat(text[mine], n), packed, self.odds[TABLES * CELLS :] if kind else self.code.odds, place, cells))
+        own, packed = (x[0] if len(x) == 1 else np.concatenate(x) for x in zip(*(k[:2] for k in kinds)))
+        odds, done = np.empty((TABLES + 1, len(own)), np.float32), 0
+        for _, _, table, place, cells in kinds:
+            here = slice(done, done := done + len(place))
+            np.take(table, place, out=odds[0, here], mode="clip")  # all places are within their tables: no second look
+            for k, c in enumerate(cells):
+                np.take(self.odds[k * CELLS : (k + 1) * CELLS], c.astype(np.int64), out=odds[k + 1, here], mode="clip")
         n_texts = weights.shape[1]
         bit, level = (packed & 1).astype(np.float32), own * (2 * DEPTHS) + (packed >> 1)
         gate = level * STRENGTHS
         gate += odds[2] != 0
         gate += np.abs(odds[3]) > 1
         flat = [w.reshape(-1) for w in weights]
-        z = odds[0] * flat[0][gate]
+        z = odds[0] * flat[0].take(gate, mode="clip")
         for x, w in zip(odds[1:], flat[1:]):
-            z += x * w[gate]
+            z += x * w.take(gate, mode="clip")
         np.minimum(np.maximum(z, np.float32(-11.9), out=z), np.float32(11.9), out=z)
         p = 1 / (1 + np.exp(-z))
         # how often the mix was right so far, by its log odds
@@ -384,7 +392,7 @@ def train(spark, texts: DataFrame, words: int = WORDS):
         counts = Counts()
         for batch in batches:
             b = tv.Bytes.of(batch.column("text"))
-            counts.words(shared.value, Units(shared.value, b, *_words(b)))
+            counts.words(shared.value, Units(shared.value, b, *_words(b), spelled=False))
         yield from counts.rows()
 
     def spell(batches):

@@ -213,3 +213,17 @@ def test_the_model_beats_single_words_on_texts_that_it_has_not_seen(spark, sf):
     docs = spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/documents.parquet")
     got = cm.lm_scores(docs, cm.held_out(F.col("doc_id"))).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
+
+
+def test_what_is_counted_as_words_spells_no_letters():
+    from lectern.llm import context_mixing as m
+    from lectern.llm import textvec as tv
+
+    code = m.Code([b"one", b"two"], np.array([5, 4]), 3, 2.0)
+    b = tv.Bytes.of(pa.array(["one new two", "", "other one"]))
+    whole, words = m.Units(code, b, *m._words(b)), m.Units(code, b, *m._words(b), spelled=False)
+    assert whole.letter.any() and not words.letter.any()
+    a, c = m.Counts(), m.Counts()
+    a.words(code, whole)
+    c.words(code, words)
+    assert a.total.any() and (a.total == c.total).all()
