@@ -11,7 +11,7 @@ BCE, LAST_CENTURY = "p.n.e.", 21
 SPAN = "struct<lo: int, hi: int>"
 
 # How years, centuries and decades are written.
-_YEAR = r"(?<!\d)(\d{3,4})(?!\d)"
+_DIGITS = r"[0-9]{3,}"
 _CENTURY = r"(?U)\b([IVX]{1,6})(?:\s*[–−-]\s*([IVX]{1,6}))?\s*(?:w\.|wieku|wiek)"
 _DECADE = r"(?U)latach\s+(\d{2})\.\s*([IVX]+)\s*(?:w\.|wieku)"
 
@@ -30,7 +30,7 @@ def roman(text: Column) -> Column:
 
 def years(text: Column) -> Column:
     """All numbers of three or four digits."""
-    return F.transform(F.regexp_extract_all(text, F.lit(_YEAR), F.lit(1)), lambda y: y.cast("int"))
+    return F.transform(F.filter(F.regexp_extract_all(text, F.lit(_DIGITS), F.lit(0)), lambda y: F.length(y) <= 4), lambda y: y.cast("int"))
 
 
 def _span(lo: Column, hi: Column) -> Column:
@@ -51,8 +51,8 @@ def periods(text: Column) -> Column:
 
 def doc_span(date: Column) -> Column:
     """First to last year of a document's date; null without years or before the common era."""
-    found = years(date)
-    return F.when((F.size(found) > 0) & ~date.contains(BCE), _span(F.array_min(found), F.array_max(found)))
+    ends = lambda found: F.when(F.size(found) > 0, _span(F.array_min(found), F.array_max(found)))
+    return F.when(~date.contains(BCE), F.element_at(F.transform(F.array(years(date)), ends), 1))
 
 
 def entry_span(dates: Column) -> Column:

@@ -105,7 +105,7 @@ def pick_bounded(docs: DataFrame, topics: DataFrame, budget: Budget = DEFAULT, f
         left = blocks.groupBy("topic_id").agg(F.min(F.when(F.col("before") < target, F.col("rest"))).alias("rest"), F.max("before").alias("last"))
         bound = left.join(spans, "topic_id").select("topic_id", F.when(F.col("last") < target, float("-inf")).otherwise(F.col("rest") + F.col("bonus") + MARGIN).alias("bound"))
         known = rows.join(bound, "topic_id")
-        got = pick(known.filter("score > bound").select("topic_id", "doc_index", "score"), docs, budget, states)
+        got = pick(known.filter("score > bound").select("topic_id", "doc_index", "score", "len"), docs, budget, states)
         counted = wanted.groupBy("topic_id").agg(F.count("*").alias("more"))
         got = got.withColumnsRenamed({"picked": "now", "used": "now_used"})
         after = states.join(got, "topic_id", "left").join(counted, "topic_id", "left").join(bound, "topic_id")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import periods as P
 from ..functions import text as X
+from ..store import bounded, materialize
 from . import retrieve
 
 
@@ -90,6 +91,12 @@ def strong(candidates: DataFrame, least: int = 2, rare: int = 2, share: float =
     return candidates.filter((F.col("n_common") >= least) & (F.col("least_df") <= F.greatest(F.lit(float(rare)), share * F.col("n"))))
 
 
+def _told(picks: DataFrame, docs: DataFrame, topics: DataFrame, weighed: DataFrame, weight: Column | None = None, bonus: float = retrieve.OVERLAP_BONUS) -> DataFrame:
+    """Score and matched terms of what was picked: only the picked documents are scored a second time."""
+    chosen = bounded(materialize(picks.select(F.explode("picked").alias("doc_index")).distinct(), "chosen"))
+    return retrieve.scored(docs.join(chosen, "doc_index", "left_semi"), topics, weight, bonus, domestic=False, audit=True, weighed=weighed)
+
+
 def short_context(items: DataFrame, docs: DataFrame, generic: tuple[str, ...] = X.word_terms(X.GENERIC_SHORT), sections: Sections = Sections()) -> DataFrame:
     """id, context, reason and records (id, text, date_text, matched_terms, score to four digits) of short questions.
 
@@ -101,10 +108,12 @@ def short_context(items: DataFrame, docs: DataFrame, generic: tuple[str, ...] =
     topics = items.select(F.col("id").alias("topic_id"), (F.coalesce(F.size("images"), F.lit(0)) > 0).alias("shown"), X.terms(query, generic).alias("q"), P.periods(query).alias("spans"))
     docs = docs.withColumn("len", F.length(short_line()))
     asked = topics.filter("not shown")
-    found = strong(retrieve.scored(docs, asked, bonus=0.0, domestic=False, audit=True))
+    weighed = retrieve.weighted_terms(docs, asked)
+    found = strong(retrieve.scored(docs, asked, bonus=0.0, domestic=False, weighed=weighed))
     picks = retrieve.pick(found, docs, retrieve.SHORT)
     lines = retrieve.render(picks, docs, topics, short_line(), in_order=False)
-    more = found.select("topic_id", "doc_index", F.col("matched").alias("matched_terms"), F.bround("score", 4).alias("score"))
+    told = _told(picks, docs, asked, weighed, bonus=0.0)
+    more = told.select("topic_id", "doc_index", F.col("matched").alias("matched_terms"), F.bround("score", 4).alias("score"))
     rows = picks.select("topic_id", F.posexplode("picked").alias("nth", "doc_index")).join(docs.select("doc_index", "id", "text", "date_text"), "doc_index").join(more, ["topic_id", "doc_index"])
     records = rows.groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("nth", F.struct("id", "text", "date_text", "matched_terms", "score").alias("record")))).alias("r"))
     records = records.select("topic_id", F.transform("r", lambda x: x["record"]).alias("records"))
@@ -120,8 +129,10 @@ def kb_context(items: DataFrame, docs: DataFrame, generic: tuple[str, ...] = X.w
     topics = split_topics(items, generic)
     docs = docs.withColumn("len", F.length(kb_line()))
     weight = F.when(F.array_contains("title_terms", F.col("term")), 3).when(F.array_contains("meta_terms", F.col("term")), 2).otherwise(1)
-    found = retrieve.scored(docs.select("doc_index", "terms", "title_terms", "meta_terms", "span", "len"), topics, weight, domestic=False, audit=True)
+    fields = docs.select("doc_index", "terms", "title_terms", "meta_terms", "span", "len")
+    weighed = retrieve.weighted_terms(fields, topics)
+    found = retrieve.scored(fields, topics, weight, domestic=False, weighed=weighed)
     picks = retrieve.pick(found, docs, retrieve.WEIGHTED)
     lines = retrieve.render(picks, docs, topics, kb_line(), in_order=False, separator="\n\n")
-    more = found.select("topic_id", "doc_index", "score", F.col("matched").alias("matched_terms"))
+    more = _told(picks, fields, topics, weighed, weight).select("topic_id", "doc_index", "score", F.col("matched").alias("matched_terms"))
     return assembled(topics, lines, sections), audit(topics, picks, docs.select("doc_index", "id", "title", "text", F.col("zrodlo").alias("source"), "terms"), False, more)
