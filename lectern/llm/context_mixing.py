@@ -38,6 +38,8 @@ BLOCKS = (16, 16, 32, 64)
 BLOCK = 128
 #: Decisions' contexts are counted for so many units at once.
 COUNTED = 1 << 13
+#: Decisions after which counts are handed on: a batch has far fewer than the rest of a number's room.
+MOST_COUNTED = 1 << 30
 #: What the weights begin with, how fast they follow, what a count is worth beside the mix, and added counts.
 FIRST = ((0.2, 0.2, 0.1, 0.6), (0.2, 0.25, 0.35, 0.35))
 RATE, TRUST, ADDED = 0.08, 40.0, 0.15
@@ -50,6 +52,8 @@ FREQUENT = 256
 #: Texts that are scored side by side, longer ones with longer ones.
 BESIDE = 128
 
+#: Bits of a natural logarithm's unit.
+_BITS = 1 / np.log(2)
 _M1, _M2, _M3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 
 
@@ -248,16 +252,21 @@ def letter_decisions(value: np.ndarray, last: np.ndarray, contexts: np.ndarray):
 
 
 class Counts:
-    """How often each bit was met in each cell, of all tables, the dense one last."""
+    """How often each bit was met in each cell, of all tables, the dense one last; narrow numbers, of which more stay in a core's cache."""
 
     def __init__(self):
-        self.total = np.zeros(2 * ALL, np.int64)
+        self.total, self.met = np.zeros(2 * ALL, np.int32), 0
+
+    def full(self) -> bool:
+        """Whether the next batch might count a cell beyond what a number holds: then the rows are due, and counting begins anew."""
+        return self.met > MOST_COUNTED
 
     def add(self, base: int, bit: np.ndarray, cells: np.ndarray) -> None:
         at = cells.astype(np.int64)
         at <<= 1
         at |= bit
-        np.add.at(self.total[2 * base :], at, np.int64(1))
+        np.add.at(self.total[2 * base :], at, np.int32(1))
+        self.met += len(at)
 
     def words(self, code: Code, units: Units) -> None:
         at = np.flatnonzero(~units.letter)
@@ -280,7 +289,7 @@ class Counts:
         met = np.flatnonzero(wide.any(1))
         for i in range(0, len(met), 1 << 13):
             part = met[i : i + (1 << 13)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *(pa.array(np.ascontiguousarray(c)) for c in wide[part].T)], names=["cell", *_COUNTS])
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *(pa.array(np.ascontiguousarray(c)) for c in wide[part].astype(np.int64).T)], names=["cell", *_COUNTS])
 
 
 _COUNTS = [f"c{i}" for i in range(2 * ROW)]
@@ -333,10 +342,10 @@ class Model:
                 continue
             decided = letter_decisions(units.value[a], units.last[a], units.contexts[:, a]) if kind else word_decisions(self.code, units.value[a], units.contexts[:, a])
             n, place, packed, cells = decided
-            kinds.append((np.repeat(text[mine], n), packed, self.odds[TABLES * CELLS :] if kind else self.code.odds, place, cells))
+            kinds.append((np.repeat(text[mine], n), packed, np.bincount(text[mine], n, weights.shape[1]).astype(np.int64), self.odds[TABLES * CELLS :] if kind else self.code.odds, place, cells))
         own, packed = (x[0] if len(x) == 1 else np.concatenate(x) for x in zip(*(k[:2] for k in kinds)))
         odds, done = np.empty((TABLES + 1, len(own)), np.float32), 0
-        for _, _, table, place, cells in kinds:
+        for *_, table, place, cells in kinds:
             here = slice(done, done := done + len(place))
             np.take(table, place, out=odds[0, here], mode="clip")  # all places are within their tables: no second look
             for k, c in enumerate(cells):
@@ -358,14 +367,18 @@ class Model:
         share = 1 / (met + np.float32(TRUST))
         final = (yes * share)[cell] + (np.float32(TRUST) * share)[cell] * p
         np.minimum(np.maximum(final, np.float32(LEAST), out=final), np.float32(1 - LEAST), out=final)
-        told = -np.bincount(own, np.log2(np.abs(final - (1 - bit))), n_texts)
+        # a text's decisions of a kind stand together: their natural logarithms are added up run by run
+        told, done, logs = np.zeros(n_texts), 0, np.log(np.abs(final - (1 - bit))).astype(float)
+        for _, _, many, *_ in kinds:
+            some, own_logs = np.flatnonzero(many), logs[done : (done := done + int(many.sum()))]
+            told[some] -= np.add.reduceat(own_logs, (np.cumsum(many) - many)[some])
         right[0] += np.bincount(cell, bit, len(met)).reshape(n_texts, -1)
         right[1] += np.bincount(cell, minlength=len(met)).reshape(n_texts, -1)
         miss = bit - p
         step = RATE / np.sqrt(np.maximum(np.bincount(gate, minlength=len(flat[0])), 1))
         for k, x in enumerate(odds):
             weights[k] += (np.bincount(gate, miss * x, len(step)) * step).reshape(n_texts, -1)
-        return told
+        return told * _BITS
 
 
 def train(spark, texts: DataFrame, words: int = WORDS):
@@ -393,6 +406,9 @@ def train(spark, texts: DataFrame, words: int = WORDS):
         for batch in batches:
             b = tv.Bytes.of(batch.column("text"))
             counts.words(shared.value, Units(shared.value, b, *_words(b), spelled=False))
+            if counts.full():
+                yield from counts.rows()
+                counts = Counts()
         yield from counts.rows()
 
     def spell(batches):
@@ -403,6 +419,9 @@ def train(spark, texts: DataFrame, words: int = WORDS):
             offsets = np.frombuffer(offsets, np.int64)[w.offset : w.offset + len(w) + 1]
             raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
             counts.letters(raw, offsets - offsets[0])
+            if counts.full():
+                yield from counts.rows()
+                counts = Counts()
         yield from counts.rows()
 
     schema = "cell int, " + ", ".join(f"{c} long" for c in _COUNTS)

@@ -227,3 +227,15 @@ def test_what_is_counted_as_words_spells_no_letters():
     a.words(code, whole)
     c.words(code, words)
     assert a.total.any() and (a.total == c.total).all()
+
+
+def test_counts_are_handed_on_before_a_number_is_full(monkeypatch):
+    monkeypatch.setattr(cm, "MOST_COUNTED", 3 * 8 * 4)
+    counts = cm.Counts()
+    counts.letters(np.frombuffer(b"a", np.uint8), np.array([0, 1]))
+    assert counts.total.dtype == np.int32 and not counts.full()
+    counts.letters(np.frombuffer(b"a", np.uint8), np.array([0, 1]))
+    # two letters and the space behind each, eight bits, all tables
+    assert counts.full() and counts.met == 4 * 8 * 4 == counts.total.sum()
+    row = next(counts.rows())
+    assert row.schema.field("c0").type == pa.int64()
