@@ -31,10 +31,11 @@ def postings(docs: DataFrame, weighed: DataFrame, field_weight: Column | None =
     weight = F.lit(1.0) if field_weight is None else field_weight.cast("double")
     fields = [] if field_weight is None else _fields(docs)
     terms = bounded(materialize(weighed.select("term").distinct(), "asked"))
-    rows = docs.select("doc_index", "len", *fields, F.explode("terms").alias("term")).join(terms, "term", "left_semi")
+    # postings stay where their document is, short documents first: the filters of later rounds skip most of a file
+    ordered = docs.select("doc_index", "len", *fields, "terms").sortWithinPartitions("len")
+    rows = ordered.select("doc_index", "len", *fields, F.explode("terms").alias("term")).join(terms, "term", "left_semi")
     rows = rows.select("term", weight.alias("weight"), "doc_index", "len")
-    # a block stands together, and within it short documents do: the filters of later rounds skip most of a file
-    return materialize(rows.repartitionByRange("term", "weight", "doc_index").sortWithinPartitions("term", "weight", "len"), "postings")
+    return materialize(rows, "postings")
 
 
 def _fields(docs: DataFrame) -> list[str]:
@@ -60,27 +61,32 @@ def _blocks(index: DataFrame, weighed: DataFrame, domestic: DataFrame) -> DataFr
     )
 
 
-def _scored(docs: DataFrame, wanted: DataFrame, weighed: DataFrame, topics: DataFrame, field_weight: Column | None, bonus: float) -> DataFrame:
+def _scored(docs: DataFrame, index: DataFrame, wanted: DataFrame, weighed: DataFrame, topics: DataFrame, bonus: float) -> DataFrame:
     """topic_id, doc_index, len and score of wanted pairs whose periods, if both have some, meet."""
-    fields = [] if field_weight is None else _fields(docs)
-    pairs = docs.join(bounded(wanted), "doc_index").select("topic_id", "doc_index", "len", "span", *fields, F.explode_outer("terms").alias("term"))
-    weight = F.col("idf") if field_weight is None else F.col("idf") * field_weight
-    hits = pairs.join(weighed.select("topic_id", "term", "idf"), ["topic_id", "term"], "left")
-    sums = hits.groupBy("topic_id", "doc_index").agg(F.sum(weight).alias("base"), F.first("len").alias("len"), F.first("span").alias("span"))
+    wanted = bounded(wanted)
+    own = [F.col("len").cast("long").alias("len"), F.col("span.lo").alias("from"), F.col("span.hi").alias("to")]
+    hits = index.select("doc_index", "term", "weight").join(wanted, "doc_index").join(weighed.select("topic_id", "term", "idf"), ["topic_id", "term"])
+    hits = hits.select("topic_id", "doc_index", (F.col("idf") * F.col("weight")).alias("adds"))
+    # a pair need not have a common term
+    pairs = docs.select("doc_index", *own).join(wanted, "doc_index").withColumn("adds", F.lit(0.0)).unionByName(hits, allowMissingColumns=True)
+    sums = pairs.groupBy("topic_id", "doc_index").agg(F.sum("adds").alias("base"), *[F.min(c).alias(c) for c in ("len", "from", "to")])
     rows = sums.join(topics.select("topic_id", "spans"), "topic_id")
-    meets = overlaps(F.col("span"), F.col("spans"))
-    rows = rows.filter(~((F.size("spans") > 0) & F.col("span").isNotNull() & ~meets))
-    return rows.select("topic_id", "doc_index", "len", F.round(F.coalesce("base", F.lit(0.0)) + F.when(meets, bonus).otherwise(0.0), DECIMALS).alias("score"))
+    meets = overlaps(F.struct(F.col("from").alias("lo"), F.col("to").alias("hi")), F.col("spans"))
+    dated = F.col("from").isNotNull() | F.col("to").isNotNull()
+    rows = rows.filter(~((F.size("spans") > 0) & dated & ~meets))
+    return rows.select("topic_id", "doc_index", "len", F.round(F.col("base") + F.when(meets, bonus).otherwise(0.0), DECIMALS).alias("score"))
 
 
-def pick_bounded(docs: DataFrame, topics: DataFrame, budget: Budget = DEFAULT, field_weight: Column | None = None, bonus: float = OVERLAP_BONUS, domestic: bool = True) -> DataFrame:
+def pick_bounded(docs: DataFrame, topics: DataFrame, budget: Budget = DEFAULT, field_weight: Column | None = None, bonus: float = OVERLAP_BONUS, domestic: bool = True, weighed: DataFrame | None = None) -> DataFrame:
     """topic_id, picked and used as ``pick`` gives them over all of ``scored``, and n_scored: the pairs that were looked at.
 
     ``docs`` has doc_index, len, terms, span and kind; topics without a pick
-    have no row.  Equal scores are told apart by doc_index as there.
+    have no row.  Equal scores are told apart by doc_index as there.  The
+    topics' weighted terms may be given, as ``weighted_terms`` has them.
     """
     least = docs.agg(F.min("len")).first()[0]
-    weighed = weighted_terms(docs, topics)
+    if weighed is None:
+        weighed = weighted_terms(docs, topics)
     index = postings(docs, weighed, field_weight)
     home = topics.filter(F.arrays_overlap("q", F.array(*map(F.lit, DOMESTIC_STEMS))) & F.lit(domestic))
     blocks = bounded(materialize(_blocks(index, weighed, home), "blocks"))
@@ -91,15 +97,19 @@ def pick_bounded(docs: DataFrame, topics: DataFrame, budget: Budget = DEFAULT, f
     target, before = ASKED, 0
     while True:
         room = states.select("topic_id", (budget.chars - budget.in_test - F.col("used")).alias("room"))
+        most = room.agg(F.max("room")).first()[0]
         asked = blocks.filter((F.col("before") < target) & (F.col("before") >= before))
         fits = F.col("len") <= F.col("room")
-        wanted = index.join(asked, ["term", "weight"]).join(room, "topic_id").filter(fits).select("topic_id", "doc_index")
-        due = home.join(asked.filter(F.col("term") == MET).select("topic_id"), "topic_id", "left_semi")
-        also = dated_pairs(docs.filter("kind = 'timeline'"), due).distinct().join(docs.select("doc_index", "len"), "doc_index").join(room, "topic_id").filter(fits)
-        wanted = wanted.union(also.select("topic_id", "doc_index")) if domestic else wanted
+        # the most room of all is known before the index is read
+        short = index if most is None else index.filter(F.col("len") <= F.lit(most).cast(index.schema["len"].dataType))
+        wanted = short.join(asked, ["term", "weight"]).join(room, "topic_id").filter(fits).select("topic_id", "doc_index")
+        if domestic:
+            due = home.join(asked.filter(F.col("term") == MET).select("topic_id"), "topic_id", "left_semi")
+            also = dated_pairs(docs.filter("kind = 'timeline'"), due).distinct().join(docs.select("doc_index", "len"), "doc_index").join(room, "topic_id").filter(fits)
+            wanted = wanted.union(also.select("topic_id", "doc_index"))
         wanted = wanted.distinct() if seen is None else wanted.distinct().join(seen, ["topic_id", "doc_index"], "left_anti")
         wanted = materialize(wanted, "wanted")
-        found = _scored(docs, wanted, weighed, topics, field_weight, bonus)
+        found = _scored(docs, index, wanted, weighed, topics, bonus)
         rows = materialize(found if waiting is None else found.unionByName(waiting.join(room, "topic_id").filter(fits).drop("room")), "rows")
         # what a document that was not looked at can score at most
         left = blocks.groupBy("topic_id").agg(F.min(F.when(F.col("before") < target, F.col("rest"))).alias("rest"), F.max("before").alias("last"))

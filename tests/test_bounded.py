@@ -45,3 +45,10 @@ def test_less_than_half_of_the_pairs_are_scored(spark):
     docs, topics = queries._corpus(spark, sf), queries._topics(spark, sf)
     got = bounded.pick_bounded(docs, topics)
     assert 2 * got.agg(F.sum("n_scored")).first()[0] <= retrieve.matches(docs, topics).count()
+
+
+def test_postings_stay_with_their_document_short_ones_first(spark):
+    docs, topics = world(spark, 5, 60)
+    rows = bounded.postings(docs.coalesce(1), retrieve.weighted_terms(docs, topics)).collect()
+    assert [r["len"] for r in rows] == sorted(r["len"] for r in rows)
+    assert 1 + sum(a["doc_index"] != b["doc_index"] for a, b in zip(rows, rows[1:])) == len({r["doc_index"] for r in rows})
