@@ -50,10 +50,14 @@ END, OTHER = 0, 1
 #: Symbols of the most frequent words, which tell a text's language.
 FREQUENT = 256
 #: Texts that are scored side by side, longer ones with longer ones.
-BESIDE = 128
+BESIDE = 256
+#: Decisions whose predictors are looked up at once.
+AHEAD = 1 << 20
 
 #: Bits of a natural logarithm's unit.
 _BITS = 1 / np.log(2)
+#: Bits of a hash behind the beginning by which it is looked up.
+_BEGINNING = np.uint64(64 - 18)
 _M1, _M2, _M3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 
 
@@ -92,8 +96,15 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("c"))
 
 
+def _odds(prefix: np.ndarray, depth: int, aligned: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Log odds of the bit behind beginnings of codes; of codes in order: left-aligned, and the mass below each and of all."""
+    low, middle, high = (total[np.searchsorted(aligned, (2 * prefix + i) << (29 - depth))] for i in (0, 1, 2))
+    small = 1e-4 * (high - low)
+    return np.log((high - middle + small) / (middle - low + small)).astype(np.float32)
+
+
 class Code:
-    """The vocabulary: hashes, counts, codes, and the log odds of each bit of each code."""
+    """The vocabulary: hashes, counts, codes, and the log odds of each node of the codes' tree."""
 
     def __init__(self, words: list[bytes], counts: np.ndarray, ends: int, other: float):
         self.counts = np.concatenate([[ends, 0], counts]).astype(np.int64)
@@ -107,42 +118,54 @@ class Code:
         self.length = length.astype(np.int32)
         self.code = np.empty(len(mass), np.uint32)
         self.code[order] = (aligned >> (30 - length[order])).astype(np.uint32)
-        self.offset = (np.cumsum(length) - length).astype(np.int32)
+        self.aligned = self.code << (30 - self.length).astype(np.uint32)
         total = np.concatenate([[0.0], np.cumsum(mass[order])])
-        # of each bit of each code: log odds, node of the tree, and its level with the bit behind
-        n = int(length.sum())
-        self.odds, self.node, self.packed = np.empty(n, np.float32), np.empty(n, np.uint32), np.empty(n, np.uint8)
-        for i in range(0, len(mass), 1 << 14):
-            self._spread(slice(i, i + (1 << 14)), aligned, total)
+        # codes leave no gaps and longer ones follow: nodes of a depth at which codes go on are a run of beginnings
+        trees, self.base, done = [], [], 0
+        for depth in range(int(length.max())):
+            low = int(aligned[np.searchsorted(length[order], depth, side="right")]) >> (30 - depth)
+            trees.append(_odds(np.arange(low, (int(aligned[-1]) >> (30 - depth)) + 1), depth, aligned, total))
+            self.base.append(done - low)
+            done += len(trees[-1])
+        self.tree, self.base = np.concatenate(trees), np.array(self.base)
         data = pa.array(words, pa.binary())
         b = tv.Bytes.of(pa.array([], pa.string()))
         if len(words):
             _, offsets, buffer = data.buffers()
             b = tv.Bytes(np.frombuffer(buffer, np.uint8) if buffer is not None else np.zeros(0, np.uint8), np.frombuffer(offsets, np.int32)[: len(words) + 1].astype(np.int64))
         h = tv.hashes(b, tv.Spans(b.offsets[:-1], b.offsets[1:], b.offsets[:1]), lower=True)
-        self.by_hash = np.argsort(h, kind="stable")
-        self.hashes = h[self.by_hash]
-        self.by_hash += 2
-
-    def _spread(self, part: slice, aligned: np.ndarray, total: np.ndarray) -> None:
-        code, length = self.code[part].astype(np.int64), self.length[part]
-        of = np.repeat(np.arange(len(code)), length)
-        depth = np.arange(len(of)) - np.repeat(np.cumsum(length) - length, length)
-        up = 30 - depth - 1
-        prefix = code[of] >> (length[of] - depth)
-        low, middle, high = (total[np.searchsorted(aligned, (2 * prefix + i) << up)] for i in (0, 1, 2))
-        small = 1e-4 * (high - low)
-        at = slice(int(self.offset[part][0]), int(self.offset[part][0]) + len(of))
-        self.odds[at] = np.log((high - middle + small) / (middle - low + small))
-        self.node[at] = (prefix | np.int64(1) << depth).astype(np.uint32) * _M3
-        self.packed[at] = np.minimum(depth, DEPTHS - 1) << 1 | code[of] >> (length[of] - depth - 1) & 1
+        # hashes in order, and how many are below each of their beginnings; what is above all is another word
+        order = np.argsort(h, kind="stable")
+        self.hashes, self.by_hash = np.append(h[order], ~np.uint64(0)), np.append(order + 2, OTHER).astype(np.int32)
+        n = np.bincount((h >> _BEGINNING).astype(np.int64), minlength=1 << 18)
+        self.below, self.most = (np.cumsum(n) - n).astype(np.int32), int(n.max())
+
+    # of each bit of each code, one code after the other: where a code's begin, log odds, and level with the bit behind
+
+    @property
+    def offset(self) -> np.ndarray:
+        return np.cumsum(self.length) - self.length
+
+    @property
+    def odds(self) -> np.ndarray:
+        of, depth = self._each()
+        return self.tree[(self.aligned[of] >> (30 - depth)) + self.base[depth]]
+
+    @property
+    def packed(self) -> np.ndarray:
+        of, depth = self._each()
+        return (np.minimum(depth, DEPTHS - 1) << 1 | self.aligned[of] >> (29 - depth) & 1).astype(np.uint8)
+
+    def _each(self) -> tuple[np.ndarray, np.ndarray]:
+        of = np.repeat(np.arange(len(self.length)), self.length)
+        return of, np.arange(len(of)) - self.offset[of]
 
     def symbols(self, h: np.ndarray) -> np.ndarray:
         """The symbol of each word by its hash."""
-        if not len(self.hashes):
-            return np.full(len(h), OTHER, np.int32)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.by_hash[at], OTHER).astype(np.int32)
+        at = self.below[(h >> _BEGINNING).astype(np.int64)].astype(np.int64)
+        for _ in range(self.most):
+            at += self.hashes[at] < h
+        return np.where(self.hashes[at] == h, self.by_hash[at], np.int32(OTHER))
 
 
 class Units:
@@ -218,37 +241,68 @@ def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return value, np.where(back[1] > 0, back[1] - np.uint32(1), 0).astype(np.uint8), contexts
 
 
-def _slots(node: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """Cell of a node of the code tree in a context, which tables tell apart; both are hashes."""
-    x = (node ^ context) * _M1
+def _slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Cell of a node of the code tree in a context, which tables tell apart; both are hashes, the first one's room is used."""
+    x = context
+    x ^= node
+    x *= _M1
     x ^= x >> np.uint32(16)
     x *= _M2
-    return x >> np.uint32(32 - BITS)
+    x >>= np.uint32(32 - BITS)
+    return x.astype(np.int64)
 
 
-def word_decisions(code: Code, value: np.ndarray, contexts: np.ndarray):
-    """Of words: decisions of each, place among all codes' bits, level with the bit behind, and the cells of each table."""
-    length = code.length[value]
-    ends = np.cumsum(length, dtype=np.int32)
-    place = np.repeat(code.offset[value] - (ends - length), length)
-    place += np.arange(len(place), dtype=np.int32)
-    node = code.node[place]
-    return length, place, code.packed[place], [_slots(node, np.repeat(c, length)) for c in contexts]
+class Decisions:
+    """Units' decisions, one depth of the code after the other: longer units stand first in the ``order``, so each depth has the first ``many`` of them.
 
+    Of each depth: the level; of each decision: bit, place of its first predictor, and a hash of its node in the code's tree.
+    """
+
+    def __init__(self, order, many: np.ndarray, level: np.ndarray, bit: np.ndarray, place: np.ndarray, node: np.ndarray):
+        self.order, self.many, self.level, self.bit, self.place, self.node = order, many.tolist(), level, bit, place, node
 
-#: Hashes of the nodes of a byte's bits, apart from those of words.
-_NODES = (np.arange(256, dtype=np.uint32) | np.uint32(1 << 31)) * _M3
+    def each(self, x: np.ndarray) -> np.ndarray:
+        """What belongs to units, in order, for each of their decisions."""
+        return np.concatenate([x[:n] for n in self.many])
 
+    def slots(self, context: np.ndarray) -> np.ndarray:
+        """Cells of a table."""
+        return _slots(self.each(context[self.order]), self.node)
 
-def letter_decisions(value: np.ndarray, last: np.ndarray, contexts: np.ndarray):
-    """Of bytes, the same; the place is a cell of the dense table by last byte and node."""
-    depth = np.arange(8, dtype=np.uint32)
-    byte = value.astype(np.uint32)[:, None]
-    node = (byte | np.uint32(256)) >> (np.uint32(8) - depth)
-    bit = (byte >> (np.uint32(7) - depth) & np.uint32(1)).astype(np.uint8)
-    place = (last.astype(np.int32)[:, None] << 8 | node.astype(np.int32)).ravel()
-    packed = np.arange(DEPTHS, DEPTHS + 8, dtype=np.uint8) << np.uint8(1) | bit
-    return np.full(len(value), 8, np.int32), place, packed.ravel(), [_slots(_NODES[node], c[:, None]).ravel() for c in contexts]
+
+def word_decisions(code: Code, value: np.ndarray) -> Decisions:
+    """Of words; the place is one among the nodes of the code's tree."""
+    length = code.length[value]
+    order = np.argsort((31 - length).astype(np.uint8), kind="stable")
+    many = len(value) - np.cumsum(np.bincount(length))[:-1]
+    depth, aligned = np.arange(len(many)), code.aligned[value[order]]
+    key = np.concatenate([aligned[:n] for n in many.tolist()])
+    key >>= np.repeat((29 - depth).astype(np.uint32), many)
+    key |= np.repeat((2 << depth).astype(np.uint32), many)
+    bit = key & np.uint32(1)
+    key >>= np.uint32(1)
+    return Decisions(order, many, np.minimum(depth, DEPTHS - 1), bit, key + np.repeat(code.base[: len(many)] - (1 << depth), many), key * _M3)
+
+
+def letter_decisions(value: np.ndarray, last: np.ndarray) -> Decisions:
+    """Of bytes; the place is a cell of the dense table by last byte and node."""
+    depth = np.arange(8)
+    key = ((value.astype(np.uint32) | np.uint32(256)) >> (7 - depth).astype(np.uint32)[:, None]).ravel()
+    bit = key & np.uint32(1)
+    key >>= np.uint32(1)
+    place = ((last.astype(np.int64) << 8) + key.reshape(8, -1)).ravel()
+    # nodes apart from those of words
+    return Decisions(slice(None), np.full(8, len(value)), DEPTHS + depth, bit, place, (key | np.uint32(1 << 31)) * _M3)
+
+
+def _repeated(value: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different pairs of value and context, as one number each, and how often they occur."""
+    keys = value.astype(np.uint64)
+    keys <<= np.uint64(32)
+    keys |= context
+    keys.sort()
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(first, append=len(keys)).astype(np.int32)
 
 
 class Counts:
@@ -261,27 +315,34 @@ class Counts:
         """Whether the next batch might count a cell beyond what a number holds: then the rows are due, and counting begins anew."""
         return self.met > MOST_COUNTED
 
-    def add(self, base: int, bit: np.ndarray, cells: np.ndarray) -> None:
-        at = cells.astype(np.int64)
-        at <<= 1
+    def add(self, base: int, bit: np.ndarray, cells: np.ndarray, n: np.ndarray) -> None:
+        at = cells << 1
         at |= bit
-        np.add.at(self.total[2 * base :], at, np.int32(1))
-        self.met += len(at)
+        np.add.at(self.total[2 * base :], at, n)
 
     def words(self, code: Code, units: Units) -> None:
         at = np.flatnonzero(~units.letter)
-        for i in range(0, len(at), COUNTED):
-            part = at[i : i + COUNTED]
-            _, _, packed, cells = word_decisions(code, units.value[part], units.contexts[:, part])
-            for k, c in enumerate(cells):
-                self.add(k * CELLS, packed & 1, c)
+        value = units.value[at]
+        self.met += TABLES * int(code.length[value].sum())
+        for k in range(TABLES):
+            # a word that occurs often in a context is told once
+            keys, n = _repeated(value, units.contexts[k, at])
+            for i in range(0, len(keys), COUNTED):
+                part, many = keys[i : i + COUNTED], n[i : i + COUNTED]
+                d = word_decisions(code, (part >> np.uint64(32)).astype(np.int32))
+                self.add(k * CELLS, d.bit, d.slots(part.astype(np.uint32)), d.each(many[d.order]))
 
     def letters(self, data: np.ndarray, offsets: np.ndarray) -> None:
         value, last, contexts = letters(data, offsets)
-        for i in range(0, len(value), COUNTED):
-            _, place, packed, cells = letter_decisions(value[i : i + COUNTED], last[i : i + COUNTED], contexts[:, i : i + COUNTED])
-            for base, c in ((TABLES * CELLS, place), *((k * CELLS, c) for k, c in enumerate(cells))):
-                self.add(base, packed & 1, c)
+        self.met += 8 * (TABLES + 1) * len(value)
+        for k in range(TABLES + 1):
+            # the dense table's context is the last byte itself, only there it makes a place
+            keys, n = _repeated(value, contexts[k] if k < TABLES else last)
+            for i in range(0, len(keys), COUNTED):
+                part, many = keys[i : i + COUNTED], n[i : i + COUNTED]
+                context = part.astype(np.uint32)
+                d = letter_decisions((part >> np.uint64(32)).astype(np.int32), context)
+                self.add(k * CELLS, d.bit, d.slots(context) if k < TABLES else d.place, d.each(many))
 
     def rows(self):
         """Rows of the cells that were met, ROW cells in each."""
@@ -299,7 +360,7 @@ class Model:
     """The code, and the log odds of all cells."""
 
     def __init__(self, code: Code, odds: np.ndarray):
-        self.code, self.odds = code, odds
+        self.code, self.odds = code, np.array(odds)  # an array of numpy's own may have large pages
 
     @staticmethod
     def learned(counts: np.ndarray) -> np.ndarray:
@@ -318,67 +379,96 @@ class Model:
         return out
 
     def _side_by_side(self, units: Units, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-        # of each predictor, text and gate; and of each text, level and step of log odds, the decisions that were yes, and all
+        # of each predictor, text, level and strength; and of each text, level and step of log odds, the decisions that were no, and yes
         weights = np.tile(np.array(FIRST, np.float32).T[:, None, :, None], (1, len(size), 1, DEPTHS * STRENGTHS)).reshape(TABLES + 1, len(size), -1)
-        right = np.zeros((2, len(size), 2 * DEPTHS * STEPS), np.float32)
+        right = np.zeros((len(size), 2 * DEPTHS * STEPS), np.int64)
         out = np.zeros(len(size))
-        done, nth = 0, 0
+        for some in self._ahead(units, first, size):
+            odds = [np.empty((TABLES + 1, len(d.bit)), np.float32) for _, d, *_ in some]
+            # table by table, each for many blocks: a table that is looked up at random stays in a core's cache
+            for x, (_, d, a, _) in zip(odds, some):
+                table = self.odds[TABLES * CELLS :] if units.letter[a[0]] else self.code.tree
+                table.take(d.place, out=x[0], mode="clip")  # all places are within their tables: no second look
+            for k in range(TABLES):
+                table = self.odds[k * CELLS : (k + 1) * CELLS]
+                for x, (_, d, a, _) in zip(odds, some):
+                    table.take(d.slots(units.contexts[k, a]), out=x[k + 1], mode="clip")
+            for x, (i, d, _, text) in zip(odds, some):
+                out[i:] += self._block(d, x, text, weights[:, i:], right[i:])
+        return out
+
+    def _ahead(self, units: Units, first: np.ndarray, size: np.ndarray):
+        """Lists of blocks, of about AHEAD decisions: first text that is not over, decisions, units, and the text of each."""
+        some, many, done, nth = [], 0, 0, 0
         while done < size[-1]:
             # sizes ascend: what is left stands at the end
             i = int(np.searchsorted(size, done, side="right"))
             upto = done + (BLOCKS[nth] if nth < len(BLOCKS) else BLOCK)
             n = np.minimum(size[i:], upto) - done
             at = np.arange(int(n.sum())) + np.repeat(first[i:] + done - (np.cumsum(n) - n), n)
-            out[i:] += self._block(units, at, np.repeat(np.arange(len(n)), n), weights[:, i:], right[:, i:])
+            text, letter = np.repeat(np.arange(len(n)), n), units.letter[at]
+            # words and letters share neither weights nor records
+            for kind, mine in ((0, np.flatnonzero(~letter)), (1, np.flatnonzero(letter))):
+                if len(mine):
+                    a = at[mine]
+                    d = letter_decisions(units.value[a], units.last[a]) if kind else word_decisions(self.code, units.value[a])
+                    some.append((i, d, a, text[mine]))
+                    many += len(d.bit)
+            if many > AHEAD:
+                yield some
+                some, many = [], 0
             done, nth = upto, nth + 1
-        return out
+        yield some
 
-    def _block(self, units: Units, at: np.ndarray, text: np.ndarray, weights: np.ndarray, right: np.ndarray) -> np.ndarray:
+    def _block(self, d: Decisions, odds: np.ndarray, text: np.ndarray, weights: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Bits of the texts' blocks; then weights and records follow: all decisions are predicted before any is learned from."""
-        kinds, letter = [], units.letter[at]
-        for kind, mine in ((0, np.flatnonzero(~letter)), (1, np.flatnonzero(letter))):
-            a = at[mine]
-            if not len(a):
-                continue
-            decided = letter_decisions(units.value[a], units.last[a], units.contexts[:, a]) if kind else word_decisions(self.code, units.value[a], units.contexts[:, a])
-            n, place, packed, cells = decided
-            kinds.append((np.repeat(text[mine], n), packed, np.bincount(text[mine], n, weights.shape[1]).astype(np.int64), self.odds[TABLES * CELLS :] if kind else self.code.odds, place, cells))
-        own, packed = (x[0] if len(x) == 1 else np.concatenate(x) for x in zip(*(k[:2] for k in kinds)))
-        odds, done = np.empty((TABLES + 1, len(own)), np.float32), 0
-        for *_, table, place, cells in kinds:
-            here = slice(done, done := done + len(place))
-            np.take(table, place, out=odds[0, here], mode="clip")  # all places are within their tables: no second look
-            for k, c in enumerate(cells):
-                np.take(self.odds[k * CELLS : (k + 1) * CELLS], c.astype(np.int64), out=odds[k + 1, here], mode="clip")
-        n_texts = weights.shape[1]
-        bit, level = (packed & 1).astype(np.float32), own * (2 * DEPTHS) + (packed >> 1)
+        text = text[d.order]
+        level = d.each(text * (2 * DEPTHS))
+        level += np.repeat(d.level, d.many)
         gate = level * STRENGTHS
         gate += odds[2] != 0
         gate += np.abs(odds[3]) > 1
         flat = [w.reshape(-1) for w in weights]
-        z = odds[0] * flat[0].take(gate, mode="clip")
+        z = flat[0].take(gate, mode="clip")
+        z *= odds[0]
         for x, w in zip(odds[1:], flat[1:]):
-            z += x * w.take(gate, mode="clip")
+            more = w.take(gate, mode="clip")
+            more *= x
+            z += more
         np.minimum(np.maximum(z, np.float32(-11.9), out=z), np.float32(11.9), out=z)
-        p = 1 / (1 + np.exp(-z))
+        p = np.exp(-z)
+        p += 1
+        np.reciprocal(p, out=p)
         # how often the mix was right so far, by its log odds
-        cell = level * STEPS + ((z + 12) * np.float32(STEPS / 24)).astype(np.int64)
-        yes, met = (r.reshape(-1) for r in right)
-        share = 1 / (met + np.float32(TRUST))
-        final = (yes * share)[cell] + (np.float32(TRUST) * share)[cell] * p
+        z += np.float32(12)
+        z *= np.float32(STEPS / 24)
+        cell = level
+        cell *= STEPS
+        cell += z.astype(np.int32)
+        told = right.reshape(-1).take(cell, mode="clip").view(np.int32)
+        yes, share = told[1::2].astype(np.float32), told[::2].astype(np.float32)
+        share += yes
+        share += np.float32(TRUST)
+        final = p * np.float32(TRUST)
+        final += yes
+        final /= share
         np.minimum(np.maximum(final, np.float32(LEAST), out=final), np.float32(1 - LEAST), out=final)
-        # a text's decisions of a kind stand together: their natural logarithms are added up run by run
-        told, done, logs = np.zeros(n_texts), 0, np.log(np.abs(final - (1 - bit))).astype(float)
-        for _, _, many, *_ in kinds:
-            some, own_logs = np.flatnonzero(many), logs[done : (done := done + int(many.sum()))]
-            told[some] -= np.add.reduceat(own_logs, (np.cumsum(many) - many)[some])
-        right[0] += np.bincount(cell, bit, len(met)).reshape(n_texts, -1)
-        right[1] += np.bincount(cell, minlength=len(met)).reshape(n_texts, -1)
-        miss = bit - p
+        bit = d.bit.astype(np.float32)
+        final -= 1 - bit
+        np.abs(final, out=final)
+        # a unit's chance has 29 factors at most, none below LEAST
+        chance, done = np.ones(len(text)), 0
+        for n in d.many:
+            chance[:n] *= final[done : (done := done + n)]
+        cell <<= 1
+        cell |= d.bit
+        np.add.at(right.view(np.int32).reshape(-1), cell, np.int32(1))
+        bit -= p
         step = RATE / np.sqrt(np.maximum(np.bincount(gate, minlength=len(flat[0])), 1))
         for k, x in enumerate(odds):
-            weights[k] += (np.bincount(gate, miss * x, len(step)) * step).reshape(n_texts, -1)
-        return told * _BITS
+            x *= bit
+            weights[k] += (np.bincount(gate, x, len(step)) * step).reshape(len(right), -1)
+        return np.bincount(text, np.log(chance), len(right)) * -_BITS
 
 
 def train(spark, texts: DataFrame, words: int = WORDS):

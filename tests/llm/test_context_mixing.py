@@ -239,3 +239,44 @@ def test_counts_are_handed_on_before_a_number_is_full(monkeypatch):
     assert counts.full() and counts.met == 4 * 8 * 4 == counts.total.sum()
     row = next(counts.rows())
     assert row.schema.field("c0").type == pa.int64()
+
+
+def test_the_code_keeps_one_number_for_each_node_and_finds_words_without_a_search():
+    words = [f"w{i}".encode() for i in range(500)]
+    code = cm.Code(words, np.array([1000 - i for i in range(500)], np.int64), 7, 30.0)
+    nodes = {(d, int(c) >> (int(n) - d)) for c, n in zip(code.code, code.length) for d in range(int(n))}
+    # a node that many codes share is kept once, not once for each of their bits
+    assert len(nodes) <= len(code.tree) <= len(nodes) + int(code.length.max()) < int(code.length.sum()) // 4
+    b = tv.Bytes.of(pa.array([" ".join([w.decode() for w in words] + ["new", "W3"])]))
+    assert code.symbols(cm._words(b)[1]).tolist() == [*range(2, 502), cm.OTHER, 5]
+    assert cm.Code([], np.zeros(0, np.int64), 1, 1.0).symbols(np.array([0, 1 << 63, (1 << 64) - 1], np.uint64)).tolist() == [cm.OTHER] * 3
+
+
+def test_what_is_repeated_is_counted_at_once(monkeypatch):
+    told = []
+    add = cm.Counts.add
+    monkeypatch.setattr(cm.Counts, "add", lambda self, base, bit, cells, *n: (told.append(len(cells)), add(self, base, bit, cells, *n)))
+    code = cm.Code([b"of", b"the"], np.array([3000, 2000]), 3, 2.0)
+
+    def count(texts):
+        told.clear()
+        b = tv.Bytes.of(pa.array(texts))
+        counts = cm.Counts()
+        counts.words(code, cm.Units(code, b, *cm._words(b), spelled=False))
+        return sum(told), counts
+    few, once = count(["of the of the of the of"])
+    many, often = count(["of the of the of the of"] * 300)
+    assert many == few and (often.total == 300 * once.total).all() and often.met == 300 * once.met
+
+
+def test_decisions_of_a_depth_stand_together_in_the_order_of_units():
+    code = cm.Code([b"a", b"b", b"c", b"d"], np.array([900, 90, 9, 3]), 5, 2.0)
+    value = np.array([5, 2, 3, 0, 2, 4], np.int32)
+    d = cm.word_decisions(code, value)
+    assert d.many == sorted(d.many, reverse=True) and sum(d.many) == len(d.bit) == code.length[value].sum()
+    unit, depth = d.each(np.arange(6)[d.order]), np.repeat(np.arange(len(d.many)), d.many)
+    for i, v in enumerate(value):
+        mine = unit == i
+        assert depth[mine].tolist() == list(range(code.length[v]))
+        assert "".join(map(str, d.bit[mine])) == format(code.code[v], f"0{code.length[v]}b")
+        assert (code.tree[d.place[mine]] == code.odds[code.offset[v] : code.offset[v] + code.length[v]]).all()
